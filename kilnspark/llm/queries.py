@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing
+from . import bpe, line_dedup, packing, secrets, simhash, topk
 from .common import documents
 
 
@@ -27,8 +27,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_every(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op5_line_dedup, op6_byte_bpe]
+    found = [
+        op1_best_fit_packing,
+        op5_line_dedup,
+        op6_byte_bpe,
+        op7_exact_topk,
+        op8_secret_scans,
+        op10_simhash,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -55,5 +74,25 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP7_SQL = """
+WITH raw AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+bad AS (SELECT DISTINCT vec_id FROM raw WHERE x IS NULL OR NOT isfinite(x)),
+cells AS (
+  SELECT vec_id, i, CAST(floor(256 * x) AS BIGINT) AS x FROM raw
+  WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM cells q JOIN cells c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_exact_topk": OP7_SQL}
