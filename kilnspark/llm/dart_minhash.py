@@ -340,3 +340,15 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: floa
     )
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(classes, "label").select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+
+
+def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with all its columns, one row of each near-duplicate class: its smallest doc_id.
+
+    Repeated rows of that id count as one. Rows with a null doc_id all stay, since nothing
+    names them.
+    """
+    classes = near_duplicate_classes(docs.where(F.col("doc_id").isNotNull()), **how)
+    first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kiln_id"), F.lit(1).alias("_kiln_one"))
+    kept = docs.join(first.distinct(), docs["doc_id"].cast("long") == F.col("_kiln_id"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -100,3 +100,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         n_dropped.cast("long").alias("n_dropped"),
         kept.alias("kept"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with all its columns, ``text`` without the lines that :func:`dedup_lines` drops.
+
+    A text that loses every line becomes empty; a null text stays null.
+    """
+    rows = id_text(docs).withColumn("_row", F.xxhash64("text"))
+    gone = dropped_positions(rows, min_docs, min_chars).select(
+        F.col("doc_id").alias("_kiln_id"), F.col("_row").alias("_kiln_row"), F.col("dropped").alias("_kiln_dropped")
+    )
+    keyed = docs.withColumns(
+        {"_kiln_id": docs["doc_id"].cast("long"), "_kiln_row": F.xxhash64(F.coalesce(docs["text"], F.lit("")))}
+    )
+    joined = keyed.join(gone.hint("shuffle_hash"), ["_kiln_id", "_kiln_row"], "left")
+    kept = F.when(F.col("_kiln_dropped").isNull(), F.col("text")).otherwise(
+        F.array_join(without(lines_of(F.col("text")), F.col("_kiln_dropped")), "\n")
+    )
+    return joined.select(*(kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
