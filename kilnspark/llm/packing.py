@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, id_text, materialize, slices
+from .bpe import byte_alphabet
+from .common import id_text, materialize, slices
 from .pretokens import Splitter
 
 CAPACITY = 2048
@@ -34,33 +35,34 @@ CAPACITY = 2048
 RANK_GROUP = 100_000
 
 
-class IdEncoder:
+class IdEncoder(dict):
     """Token ids of whole texts as little-endian uint32 bytes, through a cache of pre-tokens.
 
     Merges never cross a pre-token, so the ids of a text are those of its pre-tokens in
-    turn; each distinct pre-token is encoded by the tokenizer once.
+    turn; a pre-token that the cache does not hold goes to the tokenizer's merge model.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
+        self.bytes = dict(enumerate(byte_alphabet()))
         self.splitter = Splitter()
-        self.known = BoundedCache(limit)
+        self.limit = limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        # one character for each byte, as translate() and the model's vocabulary need
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))
+        ids = self[word] = b"".join(t.id.to_bytes(4, "little") for t in found)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.splitter.split(t) for t in texts]
-        asked = set().union(*words)
-        if new := list(asked.difference(self.known)):
-            if len(self.known) + len(new) > self.known.limit:
-                self.known.clear()
-                new = list(asked)
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        get = self.__getitem__
+        return [b"".join(map(get, self.splitter.split(t))) for t in texts]
 
 
 _ENCODERS: dict[str, IdEncoder] = {}
