@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize, slices
@@ -167,42 +167,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(run, FINGERPRINT_SCHEMA)
 
 
-def halves(hexed):
+def halves(hexed: Column) -> list[Column]:
     """The fingerprint as two longs, for bit arithmetic."""
     return [F.conv(F.substring(hexed, at, 16), 16, -10).cast("long") for at in (1, 17)]
 
 
+def _hexed(high: Column, low: Column) -> Column:
+    return F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (high, low))))
+
+
+def _near(marks: DataFrame, radius: int) -> DataFrame:
+    """Pairs of distinct fingerprints as longs (hi_a, lo_a, hi_b, lo_b, distance), a before b."""
+    digits, blocks = BITS // 4, radius + 2
+    edges = [digits * i // blocks for i in range(blocks + 1)]
+    one = marks.where(F.col("fingerprint").isNotNull())
+    high, low = halves(F.col("fingerprint"))
+    one = one.select(high.alias("hi"), low.alias("lo")).distinct()
+    whole = _hexed(F.col("hi"), F.col("lo"))
+    part = lambda i: F.substring(whole, edges[i] + 1, edges[i + 1] - edges[i])
+    # a hash of two blocks as key is half as wide; it can only add candidates
+    keys = [F.xxhash64(F.lit(i), F.lit(j), part(i), part(j)) for i, j in itertools.combinations(range(blocks), 2)]
+    table = one.select("hi", "lo", F.explode(F.array(*keys)).alias("key"))
+    a, b = (table.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("hi", "lo"))) for side in "ab")
+    before = (F.col("hi_a") < F.col("hi_b")) | ((F.col("hi_a") == F.col("hi_b")) & (F.col("lo_a") < F.col("lo_b")))
+    distance = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
+    found = a.join(b, (a["key"] == b["key"]) & before & (distance <= radius))
+    return found.select("hi_a", "lo_a", "hi_b", "lo_b", distance.alias("distance")).distinct()
+
+
 def within_radius(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of distinct fingerprints that differ in at most ``radius`` bits.
 
     ``marks`` has a string column ``fingerprint`` (32 hex digits); equal ones count once,
-    nulls never. Returns ``a, b, distance`` with a < b. The digits fall into radius + 2
-    blocks, of which at least two are equal in any such pair, so one table keyed by each
+    nulls never. Returns ``a, b, distance``, each pair once. The digits fall into radius +
+    2 blocks, of which at least two are equal in any such pair, so one table keyed by each
     two blocks finds them all; the exact distance is checked in the join.
     """
-    digits, blocks = BITS // 4, radius + 2
-    edges = [digits * i // blocks for i in range(blocks + 1)]
-    one = marks.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
-    part = lambda i: F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i])
-    keys = [F.concat(F.lit(f"{i}.{j}."), part(i), part(j)) for i, j in itertools.combinations(range(blocks), 2)]
-    high, low = halves(F.col("fingerprint"))
-    table = one.select("fingerprint", high.alias("hi"), low.alias("lo"), F.explode(F.array(*keys)).alias("key"))
-    a, b = (table.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("fingerprint", "hi", "lo"))) for side in "ab")
-    distance = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-    found = a.join(b, (a["key"] == b["key"]) & (F.col("fingerprint_a") < F.col("fingerprint_b")) & (distance <= radius))
-    return found.select(
-        F.col("fingerprint_a").alias("a"), F.col("fingerprint_b").alias("b"), distance.alias("distance")
-    ).distinct()
+    return _near(marks, radius).select(
+        _hexed(F.col("hi_a"), F.col("lo_a")).alias("a"), _hexed(F.col("hi_b"), F.col("lo_b")).alias("b"), "distance"
+    )
 
 
 def simhash_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """:func:`fingerprints` and ``n_near``, the other fingerprints within ``radius`` bits."""
     table = materialize(fingerprints(docs))
-    pairs = within_radius(table, radius)
-    links = (
-        pairs.select(F.col("a").alias("fingerprint")).unionByName(pairs.select(F.col("b").alias("fingerprint")))
-        .groupBy("fingerprint").agg(F.count("*").alias("n_near"))
-    )
+    pairs = _near(table, radius)
+    ends = [pairs.select(F.col(f"hi_{s}").alias("hi"), F.col(f"lo_{s}").alias("lo")) for s in "ab"]
+    links = ends[0].unionByName(ends[1]).groupBy("hi", "lo").agg(F.count("*").alias("n_near"))
+    links = links.select(_hexed(F.col("hi"), F.col("lo")).alias("fingerprint"), "n_near")
     return table.join(links, "fingerprint", "left").select(
         *table.columns, F.coalesce("n_near", F.lit(0)).alias("n_near")
     )
