@@ -23,10 +23,8 @@ from .common import id_text, materialize, slices
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-#: Members of a bucket beyond which its unlinked members must share a second band.
-CROWD = 64
-#: Rounds in which every bucket's unlinked members are held against one of them.
-ROUNDS = 2
+#: Members of a bucket beyond which shingles that no other such member holds are counted.
+CROWD = 16
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
@@ -202,17 +200,17 @@ def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int =
             owner = np.repeat(np.arange(len(sets)), sizes)
             keys = band_hashes(hasher.signatures(elements, np.ones(len(elements)), owner, len(sets)), bands, rows)
             listed = [k.tolist() if n else [] for k, n in zip(keys.view(np.int64), sizes)]
-            low = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
+            low = [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]
             yield pa.record_batch(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))],
                 names=["doc_id", "node", "n", "bands", "shingles"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, shingles binary")
+    return id_text(docs).mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, shingles array<int>")
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two arrays without repeats; 0 if one is empty."""
     if not len(x) or not len(y):
         return 0.0
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -226,11 +224,12 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            a, b, sa, sb = (c.to_pylist() for c in batch.columns)
-            yield pa.record_batch(
-                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(list(map(jaccard, sa, sb)), pa.float64())],
-                names=["a", "b", "similarity"],
-            )
+            parts = []
+            for column in batch.columns[2:]:
+                values, at = column.values.to_numpy(), column.offsets.to_numpy()
+                parts.append([values[i:j] for i, j in zip(at, at[1:])])
+            found = pa.array(list(map(jaccard, *parts)), pa.float64())
+            yield pa.record_batch([*batch.columns[:2], found], names=["a", "b", "similarity"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(run, "a binary, b binary, similarity double")
@@ -264,60 +263,64 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between nodes of ``table`` (see :func:`sketch`) whose components are
     those of all pairs that share a bucket and reach ``similarity``.
 
-    1. In every bucket each member is held against the bucket's smallest member: as many
-       pairs as members, however large the bucket.
-    2. Members that are linked already need no further check between them. Those of
-       different components are held against each other; a bucket with more than ``CROWD``
-       components asks them to share a second band (at the threshold similarity a pair
-       that shares one band of 32 shares another with a probability above 0.9999).
+    1. In every bucket each member is held against one centre: as many pairs as members,
+       however large the bucket.
+    2. Members that are linked already need no check between them. Those of different
+       components are held against each other, save where that is known to fail.
+
+    For buckets of more than ``crowd`` members, the shingles of each member that no other
+    such member holds are counted. The rest bounds its overlap with any of them: a member
+    whose rest is below ``similarity`` of its shingles has no partner, and a pair has none
+    if the smaller rest is below the overlap that its sizes ask for. The member with the
+    fewest such shingles, which is the nearest to the origin of a group of copies, is the
+    centre. So members of a large group of copies, or sharers of a passage, are not all
+    held against each other, and no pair that reaches ``similarity`` is lost.
     """
     nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes)
     sets = table.select("node", "shingles").dropDuplicates(["node"])
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members"))
-    shared = materialize(entries.join(heads.where("members > 1"), "bucket").select("bucket", "node", "n", "head"))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(entries.join(sizes, "bucket").select("bucket", "node", "n", "members"))
+
+    crowded = shared.where(F.col("members") > crowd).select("node").distinct()
+    held = table.select("node", "shingles").join(crowded, "node", "left_semi").dropDuplicates(["node"])
+    once = held.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("c"))
+    alone = once.where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    alone = crowded.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    # outside crowded buckets nothing is known, so nothing is ruled out
+    member = shared.join(alone, "node", "left").withColumn("alone", F.when(F.col("members") > crowd, F.col("alone")).otherwise(0))
+    member = materialize(member.withColumn("rest", F.col("n") - F.col("alone")).drop("members"))
+
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    # sizes too far apart cannot reach the similarity
-    stars = (
-        shared.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-        .select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-        .distinct()
+    overlap = similarity / (1 + similarity) * (1 - 1e-9)
+    # of two sets of these sizes and rests; sizes too far apart cannot reach the similarity
+    possible = lambda a, b: alike(a("n"), b("n")) & (F.least(a("rest"), b("rest")) >= overlap * (a("n") + b("n")))
+    able = member.where(F.col("rest") >= similarity * (1 - 1e-9) * F.col("n"))
+    heads = able.groupBy("bucket").agg(F.min(F.struct("alone", "node", "n", "rest")).alias("head"))
+    stars = able.join(heads, "bucket").where(
+        (F.col("node") != F.col("head.node")) & possible(F.col, lambda c: F.col(f"head.{c}"))
     )
+    stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
     star_checks = materialize(checked(stars, sets))
     links = star_checks.where(F.col("similarity") >= similarity).select("a", "b")
     labels = components(links)
 
-    member = shared.join(labels, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("label", "node").alias("label")
-    )
-    mixed = member.groupBy("bucket").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label").alias("labels")
-    ).where("lo < hi")
-    open_ = materialize(member.join(mixed, "bucket").select("bucket", "node", "n", "label", "labels"))
-    plain = open_.where(F.col("labels") <= CROWD).select("bucket", "node", "n", "label")
-    crowded = open_.where(F.col("labels") > CROWD).select("bucket", "node", "n", "label")
-    second = (
-        crowded.join(nodes.select("node", F.explode("bands").alias("other")), "node")
-        .where(F.col("other") != F.col("bucket"))
-        .select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node", "n", "label")
-        .distinct()
-    )
-    rest = plain.unionByName(second)
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label"))) for s in "ab")
-    pairs = (
-        x.join(y, (x["bucket"] == y["bucket"]) & (x["node_a"] < y["node_b"]) & (x["label_a"] != y["label_b"])
-               & alike(x["n_a"], y["n_b"]))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-    )
-    pairs = pairs.join(star_checks.select("a", "b"), ["a", "b"], "left_anti")
-    more = checked(pairs, sets).where(F.col("similarity") >= similarity).select("a", "b")
-    return materialize(links.unionByName(more))
+    named = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    rest = materialize(named.join(mixed, "bucket").select("bucket", "node", "n", "rest", "label"))
+    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "rest", "label"))) for s in "ab")
+    pairs = x.join(
+        y,
+        (x["bucket"] == y["bucket"]) & (x["node_a"] < y["node_b"]) & (x["label_a"] != y["label_b"])
+        & possible(lambda c: x[f"{c}_a"], lambda c: y[f"{c}_b"]),
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    seen = star_checks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = checked(pairs.join(seen, ["a", "b"], "left_anti"), sets).where(F.col("similarity") >= similarity)
+    return materialize(links.unionByName(more.select("a", "b")))
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
