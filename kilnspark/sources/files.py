@@ -87,7 +87,7 @@ def split_page_batch(response: Column) -> Column:
     """Array of ``struct(page, text)`` from an answer with ``[PAGE N]`` markers."""
     numbers = F.regexp_extract_all(response, F.lit(r"\[PAGE\s*(\d+)\]"), F.lit(1))
     texts = F.slice(F.split(response, r"\[PAGE\s*\d+\]\s*\n?", -1), 2, F.size(numbers))
-    return F.zip_with(numbers, texts, lambda n, t: F.struct(n.cast("int").alias("page"), F.trim(t).alias("text")))
+    return F.zip_with(numbers, texts, lambda n, t: F.struct(n.cast("int").alias("page"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("text")))
 
 
 class _Tables(HTMLParser):
