@@ -23,8 +23,11 @@ from .common import id_text, materialize, slices
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-#: Members of a bucket beyond which shingles that no other such member holds are counted.
+#: Members of a bucket beyond which the shingles that few such members hold are counted.
 CROWD = 16
+#: Members of a bucket beyond which pairs that share a rare shingle are found by it; rare is
+#: a shingle that at most so many members hold.
+HUGE, RARE = 128, 32
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
@@ -263,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, huge: int = HUGE, rare: int = RARE) -> DataFrame:
     """Links (a, b) between nodes of ``table`` (see :func:`sketch`) whose components are
     those of all pairs that share a bucket and reach ``similarity``.
 
@@ -274,11 +277,14 @@ def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd
 
     For buckets of more than ``crowd`` members, the shingles of each member that no other
     such member holds are counted. The rest bounds its overlap with any of them: a member
-    whose rest is below ``similarity`` of its shingles has no partner, and a pair has none
+    whose rest is below ``similarity`` of its shingles has no partner, and a pair is none
     if the smaller rest is below the overlap that its sizes ask for. The member with the
     fewest such shingles, which is the nearest to the origin of a group of copies, is the
-    centre. So members of a large group of copies, or sharers of a passage, are not all
-    held against each other, and no pair that reaches ``similarity`` is lost.
+    centre. In buckets of more than ``huge`` members, the bound leaves out all shingles
+    that at most ``rare`` members hold, and pairs that share one of those are found by an
+    equality join on it (at most ``rare`` members a key). So members of a large group of
+    copies, or sharers of a passage, are not all held against each other, and no pair that
+    reaches ``similarity`` is lost.
     """
     nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = table.select("node", "shingles").dropDuplicates(["node"])
@@ -286,23 +292,29 @@ def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialize(entries.join(sizes, "bucket").select("bucket", "node", "n", "members"))
 
-    crowded = shared.where(F.col("members") > crowd).select("node").distinct()
-    held = table.select("node", "shingles").join(crowded, "node", "left_semi").dropDuplicates(["node"])
-    once = held.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("c"))
-    alone = once.where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    alone = crowded.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    crowded = shared.where(F.col("members") > crowd).groupBy("node").agg((F.max("members") > huge).alias("huge"))
+    held = table.select("node", "shingles").join(crowded, "node").dropDuplicates(["node"])
+    listed = held.select("node", "huge", F.explode("shingles").alias("s"))
+    counted = listed.groupBy("s").agg(F.count("*").alias("c"))
+    few = materialize(listed.join(counted.where(F.col("c") <= rare), "s").select("s", "c", "node", "huge"))
+    scarce = few.groupBy("node").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count("*").alias("few"))
     # outside crowded buckets nothing is known, so nothing is ruled out
-    member = shared.join(alone, "node", "left").withColumn("alone", F.when(F.col("members") > crowd, F.col("alone")).otherwise(0))
-    member = materialize(member.withColumn("rest", F.col("n") - F.col("alone")).drop("members"))
+    member = shared.join(scarce, "node", "left")
+    member = member.withColumns({c: F.when(F.col("members") > crowd, F.coalesce(c, F.lit(0))).otherwise(0) for c in ("alone", "few")})
+    # shingles that another member may hold; in huge buckets, those that are not rare
+    member = materialize(
+        member.withColumns({"rest": F.col("n") - F.col("alone"), "main": F.col("n") - F.when(F.col("members") > huge, F.col("few")).otherwise(F.col("alone"))})
+        .drop("members", "few")
+    )
 
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     overlap = similarity / (1 + similarity) * (1 - 1e-9)
-    # of two sets of these sizes and rests; sizes too far apart cannot reach the similarity
-    possible = lambda a, b: alike(a("n"), b("n")) & (F.least(a("rest"), b("rest")) >= overlap * (a("n") + b("n")))
+    # of two sets of these sizes and bounds; sizes too far apart cannot reach the similarity
+    possible = lambda a, b, by: alike(a("n"), b("n")) & (F.least(a(by), b(by)) >= overlap * (a("n") + b("n")))
     able = member.where(F.col("rest") >= similarity * (1 - 1e-9) * F.col("n"))
     heads = able.groupBy("bucket").agg(F.min(F.struct("alone", "node", "n", "rest")).alias("head"))
     stars = able.join(heads, "bucket").where(
-        (F.col("node") != F.col("head.node")) & possible(F.col, lambda c: F.col(f"head.{c}"))
+        (F.col("node") != F.col("head.node")) & possible(F.col, lambda c: F.col(f"head.{c}"), "rest")
     )
     stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
     star_checks = materialize(checked(stars, sets))
@@ -311,13 +323,20 @@ def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd
 
     named = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    rest = materialize(named.join(mixed, "bucket").select("bucket", "node", "n", "rest", "label"))
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "rest", "label"))) for s in "ab")
-    pairs = x.join(
-        y,
-        (x["bucket"] == y["bucket"]) & (x["node_a"] < y["node_b"]) & (x["label_a"] != y["label_b"])
-        & possible(lambda c: x[f"{c}_a"], lambda c: y[f"{c}_b"]),
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    open_ = materialize(named.join(mixed, "bucket").select("bucket", "node", "n", "rest", "main", "label"))
+
+    def apart(rows: DataFrame, key: str, by: str) -> DataFrame:
+        """Pairs of members under one key, of different components, that ``by`` does not rule out."""
+        x, y = (rows.select(key, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", by, "label"))) for side in "ab")
+        fits = possible(lambda c: x[f"{c}_a"], lambda c: y[f"{c}_b"], by)
+        found = x.join(y, (x[key] == y[key]) & (x["node_a"] < y["node_b"]) & (x["label_a"] != y["label_b"]) & fits)
+        return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    # a pair in a huge bucket either reaches the overlap without rare shingles or shares one
+    vast = few.where(F.col("huge") & (F.col("c") > 1)).select("s", "node")
+    facts = open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "label")), F.min("rest").alias("rest"))
+    by_rare = apart(vast.join(facts, "node").select("s", "node", "n", "rest", "label"), "s", "rest")
+    pairs = apart(open_, "bucket", "main").unionByName(by_rare).distinct()
     seen = star_checks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = checked(pairs.join(seen, ["a", "b"], "left_anti"), sets).where(F.col("similarity") >= similarity)
     return materialize(links.unionByName(more.select("a", "b")))
