@@ -35,6 +35,8 @@ SAMPLE = 20_000
 #: Labelled windows of tokens that the CRF is fitted to, at most, and their half width.
 WINDOWS, REACH = 8_000, 6
 FEATURES = 20_000
+#: How much more often a feature must occur in toxic texts than in clean ones.
+LIFT = 20
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 #: A marginal from which a token counts as offending.
@@ -224,7 +226,9 @@ def _sampled_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
         fold.where("toxic = 0").orderBy(*order).limit(sample // 2)
     )
     # at most ``sample`` rows of two numbers: bounded, so safe to broadcast
-    return id_text(docs).join(F.broadcast(picked), "doc_id")
+    texts = id_text(docs).join(F.broadcast(picked), "doc_id")
+    # copies of one text would make its words look tied to its label
+    return texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h", "toxic"]).drop("_h")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
@@ -268,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
     term = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
     ratio = 2 * (term(F.col("t"), F.lit(share)) + term(F.col("c"), F.lit(max(1e-9, 1 - share))))
     known = (
-        counts.where((F.col("f") != "") & (F.col("t") * clean_docs > 4 * F.col("c") * toxic_docs))
+        counts.where((F.col("f") != "") & (F.col("t") * clean_docs > LIFT * F.col("c") * toxic_docs))
         .select("f", ratio.alias("g"))
         .where(F.col("g") > 2 * math.log(20 * tested))
         .orderBy(F.desc("g"), "f")
