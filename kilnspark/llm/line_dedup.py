@@ -65,16 +65,32 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once: what a lambda refers to is otherwise
+    evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without(lines: Column, dropped: Column) -> Column:
     """``lines`` without the ascending positions ``dropped``, in time linear in both."""
-    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(lines)))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(edges) - 1),
-        lambda i: F.slice(
-            lines, F.element_at(edges, i) + 2, F.element_at(edges, i + 1) - F.element_at(edges, i) - 1
-        ),
-    )
-    return F.flatten(runs)
+
+    def kept(held: Column) -> Column:
+        edges = F.concat(F.array(F.lit(-1)), held["dropped"], F.array(F.size(held["lines"])))
+        return let(
+            F.struct(held["lines"].alias("lines"), edges.alias("edges")),
+            lambda h: F.flatten(
+                F.transform(
+                    F.sequence(F.lit(1), F.size(h["edges"]) - 1),
+                    lambda i: F.slice(
+                        h["lines"],
+                        F.element_at(h["edges"], i) + 2,
+                        F.element_at(h["edges"], i + 1) - F.element_at(h["edges"], i) - 1,
+                    ),
+                )
+            ),
+        )
+
+    return let(F.struct(lines.alias("lines"), dropped.alias("dropped")), kept)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
