@@ -97,7 +97,7 @@ def salvage(text: str | None, fields: tuple[str, ...] = ()) -> tuple[str, str]:
             found = json.loads(candidate)
         except ValueError:
             continue
-        if isinstance(found, dict):
+        if isinstance(found, dict) and (found or name != "closed"):  # closing can make an empty one
             return name, json.dumps(found, ensure_ascii=False)
     picked = {}
     for f in fields:
@@ -128,4 +128,5 @@ def probability(c: Column) -> Column:
 
 
 def probability_number(n: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 100).otherwise(n))), F.lit(0.0))
+    # least() and greatest() pass over nulls, so a missing number is dealt with first
+    return F.when(n.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 100).otherwise(n))))
