@@ -15,6 +15,7 @@ stretches are solved once.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -50,38 +51,51 @@ def read_pieces(model_path: str) -> list[tuple[str, float]]:
 class Counter(dict):
     """(pieces, score) of stretches of marked text, solved when first asked for."""
 
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = 500_000):
+    def __init__(self, pieces: list[tuple[str, float]], limit: int = 1_000_000):
         super().__init__()
         if crossing := [p for p, _ in pieces if re.search(f"[^{MARK}]{MARK}", p)]:
             raise ValueError(f"pieces that cross words: {crossing[:5]}")
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
-            self.automaton.add_word(piece, (len(piece), np.float32(score)))
+            self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown = np.float32(min(s for _, s in pieces)) - np.float32(UNKNOWN_PENALTY)
+        self.unknown = float(np.float32(min(s for _, s in pieces)) - np.float32(UNKNOWN_PENALTY))
+        # sums of whole numbers below 2 ** 24 are the same in single and double precision
+        scores = [self.unknown, *(s for _, s in pieces)]
+        self.exact = 2**24 / max(map(abs, scores), default=1) if all(s == int(s) for s in scores) else 0
         self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.limit = limit
 
     def solve(self, marked: str) -> tuple[int, float]:
         n = len(marked)
-        ending: list[list[tuple[int, np.float32]]] = [[] for _ in range(n + 1)]
+        single_precision = n >= self.exact
+        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         single = [False] * n
         for last, (length, score) in self.automaton.iter(marked):
             ending[last + 1].append((last + 1 - length, score))
-            single[last] |= length == 1
-        best: list[np.float32 | None] = [np.float32(0)] + [None] * n
+            if length == 1:
+                single[last] = True
+        best = [0.0] * (n + 1)
         count = [0] * (n + 1)
         for end in range(1, n + 1):
-            steps = sorted(ending[end], key=lambda s: s[0])
-            if not single[end - 1]:
-                steps.append((end - 1, self.unknown))
+            steps = ending[end]
+            if len(steps) > 1:
+                steps.sort()  # by start: no two pieces start and end alike
+            top, pieces = -math.inf, 0
             for start, score in steps:
                 total = best[start] + score
-                if best[end] is None or total > best[end]:
-                    best[end] = total
-                    known = start < end - 1 or single[end - 1]
-                    count[end] = count[start] + (1 if known else len(marked[start].encode()))
-        return count[n], float(best[n])
+                if single_precision:
+                    total = float(np.float32(total))
+                if total > top:
+                    top, pieces = total, count[start] + 1
+            if not single[end - 1]:
+                total = best[end - 1] + self.unknown
+                if single_precision:
+                    total = float(np.float32(total))
+                if total > top:
+                    top, pieces = total, count[end - 1] + len(marked[end - 1].encode())
+            best[end], count[end] = top, pieces
+        return count[n], best[n]
 
     def __missing__(self, stretch: str) -> tuple[int, float]:
         if len(self) >= self.limit:
