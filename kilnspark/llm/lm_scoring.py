@@ -3,16 +3,15 @@
 The model is counted by Spark from the training fold, smoothed by interpolated absolute
 discounting, and written as shards of a trie into the shared folder:
 
-* level 1: all words, as sorted 64-bit hashes, with their counts;
-* level 2: pairs (v, w) of vocabulary words, as monotone numbers ``v * F + w``;
-* level 3: (u, v, w) relative to its context: ``rank of (u, v) in level 2 * F + w``.
+* level 1: all words, as sorted 64-bit hashes, with their counts; the place of a word in
+  this order, from 1 on, is its id;
+* level 2: all pairs (v, w), as numbers that mix the two ids reversibly;
+* level 3: all triples (u, v, w), relative to their context: rank of (u, v), then id of w.
 
-Each level is Elias-Fano coded, with 16-bit quantised discounted probabilities and context
-weights, and searched by successor queries through memory-mapped files, so a task touches
-only the pages its texts ask for. Every training token counts at level 1. Words enter the
-higher levels if they make up at least ``SHARE`` of all tokens, so at most 1 / SHARE words
-do, whatever the corpus; the n-grams over them grow with it. Trigrams seen once are left
-to the lower levels.
+Each level is Elias-Fano coded, with 16-bit codes of the counts (exact below 32,768), and
+searched by successor queries through memory-mapped files, so a task touches only the
+pages its texts ask for. Nothing is left out: every training token counts at every level,
+whatever the size of the corpus.
 
 ``spark.checkpoint.dir`` must name a folder that driver and executors can map (file:).
 """
@@ -35,27 +34,56 @@ from pyspark.sql import functions as F
 from .common import crc_mod, id_text, materialize, shared_dir, slices
 from .elias_fano import EliasFano, encode, load_arrays, save_arrays
 
-#: Least share of all training tokens of a word of the higher levels.
-SHARE = 1e-5
-#: Words or n-grams in a shard, about.
+#: Words of a smaller share of all training tokens stay at level 1; 0: none do.
+SHARE = 0.0
+#: Words in a shard, about.
 SHARD = 500_000
+#: Training tokens for a shard of pairs and triples, about.
+GRAM_SHARD = 2_000_000
+#: Tokens that a task counts before it hands blocks on.
+BLOCK = 2_000_000
 #: Cannot occur in a word, so it can stand for the end of a text.
 END = b"\n"
 BOS = 0
 
-#: 16-bit codes of log10 values from -13 to 0; code 0 stands for nothing.
-_STEP = 13 / 65534
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 2**64)
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        logs = np.log10(p)
-    codes = np.clip(np.rint((logs + 13) / _STEP) + 1, 1, 65535)
-    return np.where(p > 0, codes, 0).astype(np.uint16)
+def coded(n: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: exact below 2 ** 15, then 1024 steps for each power of two."""
+    wide = np.log2(np.maximum(n, 1) / 2**15) * 1024 + 2**15
+    return np.where(n < 2**15, n, np.minimum(np.rint(wide), 65535)).astype(np.uint16)
 
 
-def restore(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10 ** ((codes.astype(float) - 1) * _STEP - 13), 0.0)
+def decoded(codes: np.ndarray) -> np.ndarray:
+    codes = codes.astype(float)
+    return np.where(codes < 2**15, codes, 2 ** ((codes - 2**15) / 1024 + 15))
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
+    """The pairs as numbers of ``2 * bits`` bits, spread evenly; :func:`unpaired` turns them back."""
+    x = v.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64)
+    return (x ^ x >> np.uint64(bits)) * np.uint64(_ODD) & np.uint64(4**bits - 1)
+
+
+def unpaired(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = keys * np.uint64(_INVERSE) & np.uint64(4**bits - 1)
+    x ^= x >> np.uint64(bits)
+    return (x >> np.uint64(bits)).astype(np.int64), (x & np.uint64(2**bits - 1)).astype(np.int64)
+
+
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, and where."""
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(at, [*at[1:], len(order)]):
+        yield int(shard[order[a]]), order[a:b]
+
+
+def top_bits(x: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The highest ``bits`` of numbers of ``width`` bits."""
+    return (x >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
 def word_hash(word: bytes) -> int:
@@ -137,46 +165,70 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u, v
 
 
-def count_ngrams(texts: DataFrame, frequent: np.ndarray, size: int) -> DataFrame:
-    """``level, key, n`` for pairs and triples of vocabulary words (keys in base ``size``)."""
-    held = texts.sparkSession.sparkContext.broadcast(frequent)
+def pack_block(key: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys as differences, words and counts, byte plane by byte plane, compressed."""
+    columns = (np.diff(key, prepend=np.uint64(0)), w.astype(np.uint32), n.astype(np.uint32))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack_block(block: bytes, size: int) -> tuple[np.ndarray, ...]:
+    planes = np.frombuffer(pa.decompress(block, 16 * size, codec="zstd", asbytes=True), np.uint8).reshape(16, size)
+    column = lambda a, b, kind: np.ascontiguousarray(planes[a:b].T).reshape(-1).view(kind)
+    return np.cumsum(column(0, 8, np.uint64), dtype=np.uint64), column(8, 12, np.uint32), column(12, 16, np.uint32)
+
+
+def summed(key: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted distinct (key, w) and the sum of ``n`` (each one: 1) of each."""
+    order = np.lexsort((w, key))
+    key, w = key[order], w[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (w[1:] != w[:-1])
+    at = np.flatnonzero(new)
+    total = np.diff(np.append(at, len(key))) if n is None else np.add.reduceat(n[order].astype(np.int64), at)
+    return key[at], w[at], total
+
+
+def count_ngrams(texts: DataFrame, meta: dict) -> DataFrame:
+    """``shard, size, block``: blocks of counted (pair, next word), to be summed by shard.
+
+    Each pair of words is counted with the word that follows it, or ``none`` for no such
+    word, so one record for each token holds the counts of both levels.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(meta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = held.value
-        words = Words(lambda h: (vocabulary_ids(hashes, h),))
-        kept: list[list[np.ndarray]] = [[], []]
+        model = Model(held.value)
+        words = Words(model.words)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            for level, parts in zip((2, 3), kept):
-                if parts:
-                    key, n = np.unique(np.concatenate(parts), return_counts=True)
-                    parts.clear()
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(key), level, np.int32)), pa.array(key), pa.array(n.astype(np.int64))],
-                        names=["level", "key", "n"],
-                    )
+            key, w, n = summed(*map(np.concatenate, zip(*kept)))
+            kept.clear()
+            shard = top_bits(key, model.gram_bits, 2 * model.bits)
+            at = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = np.append(at[1:], len(key))
+            blocks = [pack_block(key[a:b], w[a:b], n[a:b]) for a, b in zip(at, ends)]
+            return pa.record_batch([pa.array(shard[at]), pa.array(ends - at), pa.array(blocks, pa.binary())], names=["shard", "size", "block"])
 
         for b in slices(batches):
+            if not b.num_rows:
+                continue
             flat, starts = flat_tokens(b.column(0).to_pylist())
             at = words(flat)
-            ids = words.columns[0][at]
-            u, v = contexts(ids, starts)
+            ids = words.columns[1][at]
+            _, v = contexts(ids, starts)
+            following = np.append(ids[1:], -1)
+            following[starts[1:] - 1] = -1
             pair = (ids >= 0) & (v >= 0)
-            kept[0].append(v[pair] * size + ids[pair])
-            triple = pair & (u >= 0)
-            kept[1].append((u[triple] * size + v[triple]) * size + ids[triple])
-            if sum(map(len, kept[1])) > 1_000_000:
-                yield from flush()
-        yield from flush()
-
-    found = texts.select("text").mapInArrow(run, "level int, key long, n long")
-    return found.groupBy("level", "key").agg(F.sum("n").alias("n"))
-
+            following = np.where(following >= 0, following, model.none)[pair].astype(np.uint32)
+            kept.append((pair_keys(v[pair], ids[pair], model.bits), following))
+            if sum(len(k) for k, _ in kept) > BLOCK:
+                yield flush()
+        if sum(len(k) for k, _ in kept):
+            yield flush()
 
-def vocabulary_ids(frequent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """1, 2, ... for the sorted vocabulary hashes, -1 for others (0 is the start of a text)."""
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    return np.where(frequent[at] == hashes, at + 1, -1)
+    return texts.select("text").mapInArrow(run, "shard long, size long, block binary")
 
 
 def discount(counts_of_counts: dict[int, int]) -> float:
@@ -209,82 +261,98 @@ class Model:
             self._open[key] = arrays
         return self._open[key]
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Training counts by word hash (level 1)."""
-        out = np.zeros(len(hashes), np.int64)
-        shard = (hashes >> np.uint64(64 - self.word_bits)).astype(np.int64) if self.word_bits else np.zeros(len(hashes), np.int64)
-        for s in np.unique(shard):
-            if (part := self.shard("words", int(s))) is not None:
-                own = np.flatnonzero(shard == s)
-                at, hit = part["a"].successor(hashes[own] & np.uint64(2 ** (64 - self.word_bits) - 1))
-                out[own[hit]] = part["counts"][at[hit]]
-        return out
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts and ids by word hash (level 1); 0 and -1 for others."""
+        counts, ids = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        rest = hashes & np.uint64(2 ** (64 - self.word_bits) - 1)
+        for s, own in by_shard(top_bits(hashes, self.word_bits, 64)):
+            if (part := self.shard("words", s)) is not None:
+                at, hit = part["a"].successor(rest[own])
+                own, at = own[hit], at[hit]
+                counts[own] = part["counts"][at]
+                ids[own] = self.offsets[s] + at + 1
+        return counts, ids
 
     def words(self, hashes: np.ndarray):
-        """Columns for :class:`Words`: count, vocabulary id, base log10, probability."""
-        c = self.counts(hashes)
+        """Columns for :class:`Words`: count, id for the higher levels, base log10, probability."""
+        c, ids = self.find(hashes)
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
         if self.total:
             p = np.where(c > 0, c - self.d1, self.d1 * self.distinct) / self.total
         else:
             p = np.ones(len(c))
-        ids = vocabulary_ids(self.frequent, hashes) if len(self.frequent) else np.full(len(c), -1)
-        return c, ids, base, p
+        return c, np.where(c >= self.least, ids, -1), base, p
 
     def probabilities(self, ids: np.ndarray, p1: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of every token, given the words before it: p3 over p2 over p1, interpolated."""
-        u, v = contexts(ids, starts)
+        _, v = contexts(ids, starts)
         p = p1.copy()
-        if not len(self.frequent):
+        if not self.total:
             return p
         given = np.flatnonzero(v >= 0)
-        p2 = self.weights[v[given]] * p1[given]
-        pair = np.flatnonzero(ids[given] >= 0)
-        at = given[pair]
-        discounted, *_ = self._level2(v[at] * self.size + ids[at])
-        p2[pair] += discounted
-        p[given] = p2
-        wide = np.flatnonzero((u >= 0) & (v >= 0))
-        _, weight, shard, rank = self._level2(u[wide] * self.size + v[wide])
-        known = rank >= 0
-        wide, weight, shard, rank = wide[known], weight[known], shard[known], rank[known]
-        p[wide] *= weight
+        often, left = self._context(v[given])
+        p[given] *= left
+        full = ids[given] >= 0
+        at, often = given[full], often[full]
+        shard, rank, n, wide_left = (np.zeros(len(ids), t) for t in (np.int64, np.int64, float, float))
+        rank[:] = -1
+        shard[at], rank[at], n[at], wide_left[at] = self._level2(pair_keys(v[at], ids[at], self.bits))
+        p[at] += np.where(n[at] > 0, n[at] - self.d2, 0) / often
+        # the pair that ends at the token before is the context of the next one of its text
+        inner = np.ones(len(ids), bool)
+        inner[starts] = False
+        wide = np.flatnonzero(inner)
+        wide = wide[rank[wide - 1] >= 0]
+        before = wide - 1
+        p[wide] *= wide_left[before]
         full = ids[wide] >= 0
-        p[wide[full]] += self._level3(shard[full], rank[full], ids[wide[full]])
+        wide, before = wide[full], before[full]
+        n3 = self._level3(shard[before], rank[before], ids[wide])
+        p[wide] += np.where(n3 > 0, n3 - self.d3, 0) / n[before]
         return p
 
+    def _context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word is a context, and what share it leaves to level 1."""
+        often, kinds, used = (np.full(len(ids), x, float) for x in (self.texts, 0, 0))
+        words = np.flatnonzero(ids != BOS)
+        shard = np.searchsorted(self.offsets, ids[words] - 1, side="right") - 1
+        for s, own in by_shard(shard):
+            own = words[own]
+            often[own] = self.shard("words", s)["counts"][ids[own] - 1 - self.offsets[s]]
+        for s, own in by_shard(ids // SHARD):
+            if (part := self.shard("contexts", s)) is not None:
+                kinds[own], used[own] = (part[c][ids[own] % SHARD] for c in ("kinds", "used"))
+        return often, (often - used + self.d2 * kinds) / often
+
     def _level2(self, keys: np.ndarray):
-        """Discounted probability, weight as a context, shard and rank (-1: unseen) of pairs."""
-        unique, back = np.unique(keys, return_inverse=True)
-        prob, weight = np.zeros(len(unique)), np.ones(len(unique))
-        shard, rank = ngram_shard(unique, self.ngram_shards), np.full(len(unique), -1, np.int64)
-        for s in np.unique(shard):
-            if (part := self.shard("ngrams", int(s))) is not None:
-                own = np.flatnonzero(shard == s)
-                at, hit = part["b"].successor(unique[own])
+        """Shard, rank (-1: unseen) and count of pairs, and what share each leaves to level 2."""
+        shard, rank = top_bits(keys, self.gram_bits, 2 * self.bits), np.full(len(keys), -1, np.int64)
+        n, left = np.zeros(len(keys)), np.ones(len(keys))
+        rest = keys & np.uint64(2 ** (2 * self.bits - self.gram_bits) - 1)
+        for s, own in by_shard(shard):
+            if (part := self.shard("ngrams", s)) is not None:
+                at, hit = part["b"].successor(rest[own])
                 own, at = own[hit], at[hit]
                 rank[own] = at
-                prob[own] = restore(part["p2"][at])
-                weight[own] = restore(part["w2"][at])
-        return prob[back], weight[back], shard[back], rank[back]
+                n[own] = decoded(part["n2"][at])
+                left[own] = self.d3 * decoded(part["kinds"][at])
+                if "unused" in part:
+                    left[own] += decoded(part["unused"][at])
+                left[own] /= n[own]
+        return shard, rank, n, left
 
     def _level3(self, shard: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Counts of the triples of a known pair (by shard and rank) and a word."""
         out = np.zeros(len(ids))
-        for s in np.unique(shard):
-            part = self.shard("ngrams", int(s))
+        keys = rank.astype(np.uint64) << np.uint64(self.bits) | ids.astype(np.uint64)
+        for s, own in by_shard(shard):
+            part = self.shard("ngrams", s)
             if part is not None and "c" in part:
-                own = np.flatnonzero(shard == s)
-                at, hit = part["c"].successor(rank[own] * self.size + ids[own])
-                out[own[hit]] = restore(part["p3"][at[hit]])
+                at, hit = part["c"].successor(keys[own])
+                out[own[hit]] = decoded(part["n3"][at[hit]])
         return out
 
 
-def ngram_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    """By the pair (u, v): its pair entry and all its continuations share a shard."""
-    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-
-
 def _local(uri: str) -> str:
     parts = urlparse(uri)
     if parts.scheme not in ("", "file"):
@@ -302,9 +370,14 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     d1 = discount(_once_and_twice(counts))
     word_bits = max(0, math.ceil(math.log2(max(1, distinct / shard))))
+    bits = (distinct + 1).bit_length()
+    if bits > 32:
+        raise ValueError("more than 2 ** 32 - 2 distinct words")
     meta = {
         "folder": folder, "total": total, "distinct": distinct, "d1": d1, "word_bits": word_bits,
-        "frequent": np.zeros(0, np.uint64), "weights": np.zeros(0), "size": 1, "ngram_shards": 1,
+        "least": max(1, math.ceil(share * total)), "bits": bits, "none": distinct + 1, "texts": 0, "d2": 0.5, "d3": 0.5,
+        "offsets": np.zeros(2**word_bits, np.int64),
+        "gram_bits": min(2 * bits, max(0, math.ceil(math.log2(max(1, total / GRAM_SHARD))))),
     }
 
     def write_words(key, table):
@@ -318,60 +391,66 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
         return pa.table({"shard": [key[0].as_py()], "n": [len(h)]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
 
     top = F.shiftrightunsigned("h", 64 - word_bits).cast("long") if word_bits else F.lit(0).cast("long")
-    counts.withColumn("shard", top).groupBy("shard").applyInArrow(write_words, "shard long, n long").collect()
+    sizes = np.zeros(2**word_bits, np.int64)
+    for r in counts.withColumn("shard", top).groupBy("shard").applyInArrow(write_words, "shard long, n long").collect():
+        sizes[r["shard"]] = r["n"]
     if not total:
         return Model(meta)
-
-    # at most 1 / share words can reach this count
-    end = int(np.array([word_hash(END)], np.uint64).view(np.int64)[0])
-    vocabulary = counts.where((F.col("n") >= max(2, math.ceil(share * total))) | (F.col("h") == end)).select("h", "n").toPandas()
-    hashes, n = vocabulary["h"].to_numpy(np.int64).view(np.uint64), vocabulary["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    frequent, n = hashes[order], n[order]
-    size = len(frequent) + 1
-    texts_n = int(n[frequent == np.uint64(word_hash(END))][0])
-    as_context = np.concatenate([[texts_n], n]).astype(float)  # by vocabulary id; BOS once a text
-
-    grams = materialize(count_ngrams(texts, frequent, size))
-    d2, d3 = (discount(_once_and_twice(grams.where(F.col("level") == level))) for level in (2, 3))
-    kept = grams.where((F.col("level") == 2) | (F.col("n") >= 2))
-    # what a context leaves to the level below: one less what its continuations get
-    used = np.zeros(size)
-    for r in grams.where("level = 2").groupBy(F.expr(f"key div {size}").alias("v")).agg(F.sum(F.col("n") - d2).alias("x")).collect():
-        used[r["v"]] = r["x"]
-    weights = 1 - used / as_context
-    shards = max(1, math.ceil(kept.count() / shard))
-    meta |= {"frequent": frequent, "weights": weights, "size": size, "ngram_shards": shards}
-    context_counts = spark.sparkContext.broadcast(as_context)
+    meta["offsets"] = np.cumsum(sizes) - sizes
+    (texts_n,), (end,) = Model(meta).find(np.array([word_hash(END)], np.uint64))
+    meta["texts"] = int(texts_n)
+    gram_bits = meta["gram_bits"]
 
     def write_ngrams(key, table):
-        level, keys, n = (table.column(c).to_numpy() for c in ("level", "key", "n"))
-        two = np.flatnonzero(level == 2)
-        two = two[np.argsort(keys[two])]
-        pairs, pair_n = keys[two], n[two].astype(float)
-        p2 = (pair_n - d2) / context_counts.value[pairs // size]
-        three = np.flatnonzero(level == 3)
-        three = three[np.argsort(keys[three])]
-        triples, triple_n = keys[three], n[three].astype(float)
-        context = np.searchsorted(pairs, triples // size)
-        left = 1 - np.bincount(context, triple_n - d3, len(pairs)) / pair_n
-        arrays = {f"b.{k}": v for k, v in encode(pairs.astype(np.uint64), size * size).items()}
-        arrays |= {"p2": quantise(p2), "w2": quantise(left)}
+        parts = [unpack_block(b, n) for b, n in zip(table.column("block").to_pylist(), table.column("size").to_pylist())]
+        keys, w, n = summed(*map(np.concatenate, zip(*parts)))
+        first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
+        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        pairs, pair_n = keys[first], np.add.reduceat(n, first)
+        u, v = unpaired(pairs, bits)
+        three = np.flatnonzero(w != meta["none"])
+        triple_n, context = n[three], rank[three]
+        kinds = np.bincount(context, minlength=len(pairs))
+        # nothing follows the end of a text, and nothing asks for what does
+        unused = np.where(v == end, 0, pair_n - np.bincount(context, triple_n, len(pairs)).astype(np.int64))
+        width = 2 * bits - gram_bits
+        arrays = {f"b.{k}": v for k, v in encode(pairs & np.uint64(2**width - 1), 2**width).items()}
+        arrays |= {"n2": coded(pair_n), "kinds": coded(kinds)}
+        if unused.any():
+            arrays["unused"] = coded(unused)
         if len(three):
-            relative = (context * size + triples % size).astype(np.uint64)
-            arrays |= {f"c.{k}": v for k, v in encode(relative, len(pairs) * size).items()}
-            arrays["p3"] = quantise((triple_n - d3) / pair_n[context])
+            relative = context.astype(np.uint64) << np.uint64(bits) | w[three].astype(np.uint64)
+            arrays |= {f"c.{k}": v for k, v in encode(relative, len(pairs) << bits).items()}
+            arrays["n3"] = coded(triple_n)
         save_arrays(os.path.join(folder, f"ngrams-{key[0].as_py()}"), arrays)
-        return pa.table({"shard": [key[0].as_py()], "n": [len(keys)]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
-
-    @F.pandas_udf("long")
-    def shard_of(pair):
-        import pandas as pd
-
-        return pd.Series(ngram_shard(pair.to_numpy(np.int64), shards))
-
-    pair = F.when(F.col("level") == 2, F.col("key")).otherwise(F.expr(f"key div {size}"))  # in whole numbers
-    kept.withColumn("shard", shard_of(pair)).groupBy("shard").applyInArrow(write_ngrams, "shard long, n long").collect()
+        words, at = np.unique(u, return_inverse=True)
+        once = [(level, k, int((c == k).sum())) for level, c in ((2, pair_n), (3, triple_n)) for k in (1, 2)]
+        columns = [
+            np.concatenate([np.ones(len(words), np.int64), [x[0] for x in once]]),
+            np.concatenate([words, [x[1] for x in once]]),
+            np.concatenate([np.bincount(at), np.zeros(len(once), np.int64)]),
+            np.concatenate([np.bincount(at, pair_n).astype(np.int64), [x[2] for x in once]]),
+        ]
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["level", "word", "kinds", "n"])
+
+    grams = count_ngrams(texts, meta).groupBy("shard")
+    told = materialize(grams.applyInArrow(write_ngrams, "level long, word long, kinds long, n long"))
+    often = {2: {}, 3: {}}
+    for r in told.where("level > 1").groupBy("level", "word").agg(F.sum("n").alias("n")).collect():
+        often[r["level"]][r["word"]] = r["n"]
+    meta["d2"], meta["d3"] = discount(often[2]), discount(often[3])
+
+    def write_contexts(key, table):
+        at, arrays = table.column("word").to_numpy() % SHARD, {}
+        for name in ("kinds", "n"):
+            x = table.column(name).to_numpy()
+            arrays[name] = np.zeros(SHARD, np.uint32 if x.max() < 2**32 else np.uint64)
+            arrays[name][at] = x
+        save_arrays(os.path.join(folder, f"contexts-{key[0].as_py()}"), {"kinds": arrays["kinds"], "used": arrays["n"]})
+        return pa.table({"shard": [key[0].as_py()], "n": [len(at)]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
+
+    by_word = told.where("level = 1").groupBy("word").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n"))
+    by_word.withColumn("shard", F.expr(f"word div {SHARD}")).groupBy("shard").applyInArrow(write_contexts, "shard long, n long").collect()
     return Model(meta)
 
 
@@ -380,8 +459,7 @@ _MODELS: dict[str, tuple[Model, Words]] = {}
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each text."""
-    names = ("folder", "total", "distinct", "d1", "word_bits", "frequent", "weights", "size", "ngram_shards")
-    held = docs.sparkSession.sparkContext.broadcast({k: getattr(model, k) for k in names})
+    held = docs.sparkSession.sparkContext.broadcast({k: v for k, v in vars(model).items() if not k.startswith("_")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta = held.value

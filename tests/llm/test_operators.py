@@ -215,6 +215,42 @@ def test_lm_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=2e-3)
 
 
+@pytest.mark.parametrize("block, gram_shard, shard", [(2_000_000, 2_000_000, 500_000), (700, 500, 40)])
+def test_lm_counts_every_word_and_triple(spark, monkeypatch, block, gram_shard, shard):
+    """Rare words have pairs and triples too: against brute force over all of them."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    monkeypatch.setattr(lm_scoring, "GRAM_SHARD", gram_shard)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = [Counter(), Counter(), Counter()]
+    for _, t in rows:
+        words = ["<s>", *t.split(), "</s>"]
+        counts[0].update(words[1:])
+        counts[1].update(zip(words, words[1:]))
+        counts[2].update(zip(words, words[1:], words[2:]))
+    once = [[list(c.values()).count(k) for k in (1, 2)] for c in counts]
+    d = [a / (a + 2 * b) for a, b in once]
+    total, heads = sum(counts[0].values()), [defaultdict(list), defaultdict(list)]
+    for level in (1, 2):
+        for gram, n in counts[level].items():
+            heads[level - 1][gram[:-1]].append(n)
+
+    def probability(u, v, w):
+        p = (counts[0][w] - d[0] if w in counts[0] else d[0] * len(counts[0])) / total
+        for level, context in ((1, (v,)), (2, (u, v))):
+            if after := heads[level - 1].get(context):
+                p = (max(0, counts[level][*context, w] - d[level]) + d[level] * len(after) * p) / sum(after)
+        return p
+
+    asked = [*rows, (1000, "w1 new w1 w2 w77 w1 w1"), (1001, "new"), (1002, "")]
+    got = lm_scoring.score(spark.createDataFrame(asked, "doc_id long, text string"), lm_scoring.fit(docs, shard=shard))
+    got = {r.doc_id: r.score for r in got.collect()}
+    for i, t in asked:
+        words = [None, "<s>", *t.split(), "</s>"]
+        assert got[i] == pytest.approx(sum(math.log10(probability(*g)) for g in zip(words, words[1:], words[2:])), rel=1e-3), i
+
+
 def test_lm_without_training(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
     got = lm_scoring.score_documents(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
