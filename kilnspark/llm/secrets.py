@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Each text is scanned once for parts: strong ones, which are always reported, and weak
-ones (bare secret values, endpoints), which are reported only when a complementary part
-lies near enough. The linking is an interval join within scopes: a scope is a stretch of
+ones (bare secret values, endpoints), which are reported only when a complementary part,
+strong or weak, lies near enough. The linking is an interval join within scopes: a scope is a stretch of
 ``scope`` code points of one document, parts are put under the scopes they touch, and two
 parts link if the gap between them is below ``scope``.
 """
@@ -21,6 +21,8 @@ from .common import id_text, materialize, slices
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
+#: While linking, a secret within an endpoint, such as the path of a URL; then a secret.
+INNER = len(KINDS)
 SCOPE = 200
 
 _ASSIGN = re.compile(
@@ -32,6 +34,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![\w.-])(?:[a-z0-9-]+\.)+[a-z]{2,}:\d{2,5}(?!\d)", re.A)
 
+_PORT = re.compile(r":\d\d", re.A)
+_CLASS = ("value", "access", "value", "value", "endpoint", "value")
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all strong parts, sorted."""
@@ -43,9 +48,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that overlap no strong one; only asked of texts where they could link."""
-    found = [(m.start(), 3, m.end()) for m in _SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
-    found += [(m.start(), 4, m.end()) for m in _ENDPOINT.finditer(text)]
+    """Weak parts that overlap no strong one; none where all parts of the text are alike.
+
+    Parts are access identifiers, endpoints, or values (assigned, hex, bare).
+    """
+    endpoints = [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text or _PORT.search(text) else []
+    if not endpoints and all(k != 1 for _, k, _ in base):
+        return []
+    found, at = [(a, 4, b) for a, b in endpoints], 0
+    for m in _SECRET.finditer(text):
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+            while at < len(endpoints) and endpoints[at][1] <= m.start():
+                at += 1
+            inner = at < len(endpoints) and endpoints[at][0] < m.end()
+            found.append((m.start(), INNER if inner else 3, m.end()))
+    if len({_CLASS[k] for _, k, _ in found + base}) < 2:
+        return []
     ends, out, at = base, [], 0
     for span in sorted(found):
         while at < len(ends) and ends[at][2] <= span[0]:
@@ -62,8 +80,8 @@ _SPANS_SQL = "array<struct<start:long,kind:int,end:long>>"
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, _row, base, weak``: strong and weak parts of each text, with code point offsets.
 
-    Weak parts are looked for only where the text holds an access identifier or an assigned
-    value, since without one they cannot link.
+    Weak parts are kept only where the text holds two parts that complement each other,
+    since without these they cannot link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in b.column(2).to_pylist():
                 strong = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in strong])
-                linkable = any(k != 2 for _, k, _ in strong)
-                weak.append([{"start": s, "kind": k, "end": e} for s, k, e in weak_spans(text, strong)] if linkable else [])
+                weak.append([{"start": s, "kind": k, "end": e} for s, k, e in weak_spans(text, strong)])
             yield pa.record_batch(
                 [b.column(0), b.column(1), pa.array(base, _SPANS), pa.array(weak, _SPANS)],
                 names=["doc_id", "_row", "base", "weak"],
@@ -86,9 +103,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def linked_weak(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, _row, linked``: the weak parts that a complementary part supports.
 
-    A bare secret is supported by an access identifier, an endpoint by an access
-    identifier or an assigned value. Every part is listed once for each scope it touches
-    after widening strong ones by ``scope`` on both sides; parts meet in a shared scope.
+    A bare secret is supported by an access identifier or an endpoint, an endpoint by an
+    access identifier or a value: assigned, hex or bare. So two weak parts can support each
+    other; but what lies within an endpoint and an endpoint do not. Every part is listed
+    once for each scope it touches after widening supporting ones by ``scope`` on both
+    sides; parts meet in a shared scope.
     """
     some = scanned.where(F.size("weak") > 0)
     scopes = lambda low, high: F.explode(
@@ -99,12 +118,16 @@ def linked_weak(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
         "_id", "_row", "w", scopes(F.col("w.start"), F.col("w.end") - 1).alias("_scope")
     )
     strong = (
-        some.select(id_key, "_row", F.explode("base").alias("s"))
-        .where(F.col("s.kind") != 2)
+        some.select(id_key, "_row", F.explode(F.concat("base", "weak")).alias("s"))
+        .where(F.col("s.kind") != INNER)
         .select("_id", "_row", "s", scopes(F.col("s.start") - scope, F.col("s.end") - 1 + scope).alias("_scope"))
     )
     gap = F.greatest(F.col("w.start") - F.col("s.end"), F.col("s.start") - F.col("w.end"))
-    fits = (F.col("s.kind") == 1) | (F.col("w.kind") == 4)
+    fits = (
+        (F.col("s.kind") == 1)
+        | ((F.col("w.kind") == 4) & F.col("s.kind").isin(0, 2, 3))
+        | ((F.col("w.kind") == 3) & (F.col("s.kind") == 4))
+    )
     # semi join: a weak part comes out once for each scope, however many parts support it
     near = weak.alias("l").join(
         strong.alias("r"),
@@ -112,7 +135,9 @@ def linked_weak(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
         & (F.col("l._scope") == F.col("r._scope")) & fits & (gap < scope),
         "left_semi",
     )
-    return near.groupBy("_id", "_row").agg(F.collect_set("w").alias("linked"))
+    kind = F.when(F.col("w.kind") == INNER, 3).otherwise(F.col("w.kind"))
+    linked = F.struct(F.col("w.start").alias("start"), kind.alias("kind"), F.col("w.end").alias("end"))
+    return near.groupBy("_id", "_row").agg(F.collect_set(linked).alias("linked"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
