@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,8 @@ class IdEncoder(dict):
 
     Merges never cross a pre-token, so the ids of a text are those of its pre-tokens in
     turn; a pre-token that the cache does not hold goes to the tokenizer's merge model.
+    Tokens that the tokenizer's file adds to the model, such as the end of a text, are cut
+    out first, as the library does; each stretch between them is a text of its own.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -47,7 +50,15 @@ class IdEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        self.added: dict[str, bytes] = {}
+        for at, token in tokenizer.get_added_tokens_decoder().items():
+            if token.lstrip or token.rstrip or token.single_word:
+                raise ValueError(f"added token {token.content!r}: only plain ones are supported")
+            self.added[token.content] = at.to_bytes(4, "little")
+        # the longest of those that start at one place
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.bytes = dict(enumerate(byte_alphabet()))
         self.splitter = Splitter()
         self.limit = limit
@@ -61,8 +72,15 @@ class IdEncoder(dict):
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.__getitem__
-        return [b"".join(map(get, self.splitter.split(t))) for t in texts]
+        get, split = self.__getitem__, self.splitter.split
+        out = []
+        for t in texts:
+            if any(token in t for token in self.added):
+                parts = self.cut.split(t)  # every second one is an added token
+                out.append(b"".join(self.added[x] if i % 2 else b"".join(map(get, split(x))) for i, x in enumerate(parts)))
+            else:
+                out.append(b"".join(map(get, split(t))))
+        return out
 
 
 _ENCODERS: dict[str, IdEncoder] = {}

@@ -105,6 +105,16 @@ def test_plan_is_near_the_bound():
         packing.plan_bins({31: 1}, 30)
 
 
+def test_added_tokens():
+    path = P.path("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    cases = [f"a {end} b", end, end * 2, f"{end} ", f"  {end}\n\n{end}é 🙂", f"a <|endoftext|{end}|>", "<|endoftext|", f"it's{end}'s", end.upper()]
+    got = packing.IdEncoder(path).encode(cases)
+    tokenizer = Tokenizer.from_file(path)
+    for text, ids in zip(cases, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark, odd, empty, sample):
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
