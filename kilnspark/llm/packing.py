@@ -9,8 +9,8 @@ a distributed rank within each length:
 3. ``plan_bins``: items above a third of the capacity are matched at most two to a bin,
    greedily (each with the largest partner that still fits); smaller items then go, in
    descending length, into the tightest gap that holds them;
-4. rank pieces within (length, salt) and join the plan, whose rows say which ranks of a
-   length go to which run of bins.
+4. rank pieces within (length, salt), with as many salts as a length's count asks for, and
+   join the plan, whose rows say which ranks of a length go to which run of bins.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from .common import id_text, materialize, slices
 from .pretokens import Splitter
 
 CAPACITY = 2048
-#: Pieces ranked together in one window group, on average.
-RANK_GROUP = 100_000
+#: Groups for ranking, for each shuffle partition; a length has its share of them.
+RANK_GROUPS = 4
 
 
 class IdEncoder(dict):
@@ -230,12 +230,16 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
         plan_bins(histogram, capacity) or [],
         "p_length long, p_from long, p_to long, p_per long, p_first long, p_offset long",
     )
-    salts = max(1, -(-sum(histogram.values()) // RANK_GROUP))
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    # a length gets groups by its own count, so that one that a third of all pieces have
+    # fills many tasks; in all there are at most ``groups`` and one for each length
+    groups = RANK_GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, -(-sum(histogram.values()) // groups))
+    salts = spark.createDataFrame([(n, -(-c // each)) for n, c in histogram.items()], "length long, _salts long")
+    salted = items.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_salts")))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = salted.join(bases, ["length", "_salt"]).withColumn(
+    ranked = salted.join(F.broadcast(bases), ["length", "_salt"]).withColumn(
         "_rank", F.col("_base") + F.row_number().over(W.partitionBy("length", "_salt").orderBy(*order)) - 1
     )
     # the plan is bounded by the capacity (a few rows for each length), never by the data

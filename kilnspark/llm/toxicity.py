@@ -17,8 +17,10 @@ training; language, source and ids never enter a score.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_mod, id_text, materialize, slices
@@ -34,6 +37,7 @@ from .common import crc_mod, id_text, materialize, slices
 SAMPLE = 20_000
 #: Labelled windows of tokens that the CRF is fitted to, at most, and their half width.
 WINDOWS, REACH = 8_000, 6
+#: Features, at most; never more than windows, so that each has a window of its own.
 FEATURES = 20_000
 #: How much more often a feature must occur in toxic texts than in clean ones.
 LIFT = 20
@@ -217,7 +221,7 @@ def fit_curve(most: np.ndarray, mass: np.ndarray, label: np.ndarray, rounds: int
 
 
 def _sampled_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Texts of a bounded sample of the training fold: ``doc_id, toxic, text``."""
+    """Distinct texts of a bounded sample of the training fold: ``toxic, text``."""
     fold = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     fold = fold.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2))
     fold = fold.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -227,19 +231,23 @@ def _sampled_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
     )
     # at most ``sample`` rows of two numbers: bounded, so safe to broadcast
     texts = id_text(docs).join(F.broadcast(picked), "doc_id")
-    # copies of one text would make its words look tied to its label
-    return texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h", "toxic"]).drop("_h")
+    # copies of one text would make its words look tied to its label; ids go no further, so
+    # which copy stays has no effect
+    return texts.groupBy(F.xxhash64("text"), "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Tagger:
     """Fit on at most ``sample`` labelled rows whose crc32(doc_id) mod 4 is not 2.
 
+    Of each text, one window is drawn around every word that carries features and one around
+    a place that the text decides. At most ``windows`` of them, a third without features at
+    their centre, are fitted; each feature has its share, so none is left without.
+
     Without toxic rows in that fold, the tagger knows no features and scores every text
     alike, at the low end. Null texts are empty, null labels are ignored, repeated labels
     of one document count once (toxic wins).
     """
-    spark = docs.sparkSession
-    texts = _sampled_texts(docs, labels, sample)
+    texts = materialize(_sampled_texts(docs, labels, sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -276,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
         .select("f", ratio.alias("g"))
         .where(F.col("g") > 2 * math.log(20 * tested))
         .orderBy(F.desc("g"), "f")
-        .limit(FEATURES)
+        .limit(min(FEATURES, windows))
         .collect()
     )
     lexicon = {r["f"] for r in known}
@@ -284,30 +292,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
         return Tagger()
 
     def label_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out, golds = [], []
-            for doc, label, text in zip(*(c.to_pylist() for c in b.columns)):
+        for b in slices(batches, 64):
+            out, golds, centres = [], [], []
+            for label, text in zip(*(c.to_pylist() for c in b.columns)):
                 tokens = [[f for f in features(w) if f in lexicon] for w in map(str.lower, _WORD.findall(text))]
-                hits = [i for i, fs in enumerate(tokens) if fs]
-                # around the first hits, and one stretch at a place the id decides
-                centres = hits[:2] + [doc * 7919 % len(tokens)] if tokens else []
-                for centre in centres:
+                if not tokens:
+                    continue
+                at = {"": zlib.crc32(text.encode()) % len(tokens)}  # and one place for each kind of hit
+                for i, fs in enumerate(tokens):
+                    if fs:
+                        at.setdefault(" ".join(fs), i)
+                for name, centre in at.items():
                     low, high = max(0, centre - REACH), centre + REACH + 1
                     out.append(tokens[low:high])
                     golds.append([int(bool(label and fs)) for fs in tokens[low:high]])
-            yield pa.record_batch(
-                [pa.array(out, pa.list_(pa.list_(pa.string()))), pa.array(golds, pa.list_(pa.int32()))], names=["x", "y"]
-            )
-
-    windows = (
-        texts.select("doc_id", "toxic", "text")
-        .mapInArrow(label_windows, "x array<array<string>>, y array<int>")
-        .orderBy(F.xxhash64(F.to_json(F.struct("x", "y"))), F.to_json(F.struct("x", "y")))
-        .limit(WINDOWS)
-        .collect()
+                    centres.append(tokens[centre] if name else [])
+            kinds = (pa.list_(pa.list_(pa.string())), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip((out, golds, centres), kinds)], names=["x", "y", "centre"])
+
+    drawn = texts.mapInArrow(label_windows, "x array<array<string>>, y array<int>, centre array<string>")
+    drawn = drawn.withColumn("_as_text", F.to_json(F.struct("x", "y"))).withColumn("_h", F.xxhash64("_as_text"))
+    shuffled = ["_h", "_as_text"]
+    # the first window of each feature, then the second of each, ...: as many for a rare one
+    turn = F.row_number().over(W.partitionBy("f").orderBy(*shuffled))
+    hits = drawn.where(F.size("centre") > 0).withColumn("f", F.explode("centre")).withColumn("turn", turn)
+    hits = hits.groupBy(*shuffled).agg(F.min("turn").alias("turn"))
+    plain = drawn.where(F.size("centre") == 0).select(*shuffled)
+    picked = hits.orderBy("turn", *shuffled).limit(windows - windows // 3).select(*shuffled).unionByName(
+        plain.orderBy(*shuffled).limit(windows // 3)
     )
-    tagger = fit_crf([(r["x"], r["y"]) for r in windows])
-    told = tagged(texts.select("doc_id", "text", "toxic"), tagger, keep=["toxic"]).select("most", "mass", "toxic").toPandas()
+    read = [json.loads(r["_as_text"]) for r in picked.collect()]
+    tagger = fit_crf([(r["x"], r["y"]) for r in read])
+    told = tagged(texts.select(F.lit(0).cast("long").alias("doc_id"), "text", "toxic"), tagger, keep=["toxic"])
+    told = told.select("most", "mass", "toxic").orderBy("most", "mass", "toxic").toPandas()
     tagger.curve = fit_curve(*(told[c].to_numpy(float) for c in ("most", "mass", "toxic")))
     return tagger
 
