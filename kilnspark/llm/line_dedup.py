@@ -18,6 +18,8 @@ from .common import id_text
 
 MIN_CHARS = 10
 MIN_DOCS = 2
+#: Most frequent keys that are broadcast, for each shuffle partition.
+HOT_KEYS = 4
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -47,19 +49,28 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         # 128 bits: two hashes of different seeds
         .select("doc_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
-    keys = lines.groupBy("_h1", "_h2")
+    keys = ["_h1", "_h2"]
     if min_docs == 2:
         # two documents hold a key exactly if the smallest and largest ids differ; this
         # combines on the map side, so a line that all documents share is no hot key
-        found = keys.agg(F.min("doc_id").alias("_keep"), F.max("doc_id").alias("_last")).where("_keep < _last")
+        ends = F.min("doc_id").alias("_keep"), F.max("doc_id").alias("_last")
+        counted = lines.groupBy(*keys).agg(*ends, F.count("*").alias("_n"))
+        repeats = (F.col("_keep") < F.col("_last")) & (F.col("_n") > 1)
     else:
-        found = keys.agg(F.min("doc_id").alias("_keep"), F.count_distinct("doc_id").alias("_n")).where(
-            F.col("_n") >= min_docs
-        )
-    repeated = found.select("_h1", "_h2", "_keep")
+        once = lines.groupBy(*keys, "doc_id").agg(F.count("*").alias("_n"))
+        counted = once.groupBy(*keys).agg(F.min("doc_id").alias("_keep"), F.count("*").alias("_last"), F.sum("_n").alias("_n"))
+        repeats = (F.col("_last") >= min_docs) & (F.col("_n") > 0)
+    # the most frequent keys, a fixed number for each partition, are broadcast; their lines
+    # are spread evenly over the join that finds the others, where they match nothing
+    most = HOT_KEYS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = counted.orderBy(F.desc("_n"), *keys).limit(most).select(*keys, F.when(repeats, F.col("_keep")).alias("_hot"), F.lit(True).alias("_is_hot"))
+    lines = lines.join(F.broadcast(hot), keys, "left")
+    spread = F.xxhash64("doc_id", "_row", "_pos")
+    lines = lines.withColumns({k: F.when(F.col("_is_hot"), spread).otherwise(F.col(k)) for k in keys})
+    joined = lines.join(counted.where(repeats).select(*keys, "_keep"), keys, "left")
+    keep = F.when(F.col("_is_hot"), F.col("_hot")).otherwise(F.col("_keep"))
     return (
-        lines.join(repeated, ["_h1", "_h2"])
-        .where(F.col("doc_id") != F.col("_keep"))
+        joined.where(F.col("doc_id") != keep)
         .groupBy("doc_id", "_row")
         .agg(F.sort_array(F.collect_set("_pos")).alias("dropped"))
     )
