@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, slices
+from .common import id_text, materialize, most_frequent, remove, scope, slices, spread_join, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -49,23 +49,20 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 
 def _poisson_table(mean: float) -> np.ndarray:
-    p = term = math.exp(-mean)
-    table, n = [p], 0
-    while p < 1 - 1e-15 and n < 20 + 10 * mean:
-        n += 1
-        term *= mean / n
-        p += term
-        table.append(p)
-    return np.array(table)
+    """Cumulated probabilities of 0, 1, 2, ... events; in logarithms, so any mean will do."""
+    n = np.arange(int(mean + 12 * math.sqrt(mean)) + 24)
+    logs = n * math.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(n[1:]))])
+    return np.cumsum(np.exp(logs))
 
 
 class DartMinHash:
     """Signatures of ``k`` coordinates for weighted sets.
 
-    Ranks are cut into [0, base), [base, 2 base), [2 base, 4 base), ...; weights into
-    [0, 1), [1, 2), [2, 4), ... A cell holds a Poisson number of darts with the mean of
-    its area, drawn from the hash of (element, cell), so every set that contains the
-    element sees the same darts.
+    Weights are cut into [0, 1), [1, 2), [2, 4), ...; ranks into [0, base), [base, 2 base),
+    [2 base, 4 base), ..., with a base that falls as weights rise, so that first cells have
+    the same area. A cell holds a Poisson number of darts with the mean of its area, drawn
+    from the hash of (element, cell), so every set that contains the element sees the same
+    darts.
     """
 
     def __init__(self, k: int, seed: int = 1, base: float = 1 / 16):
@@ -74,18 +71,21 @@ class DartMinHash:
         self.seed = mix(np.array([seed], np.uint64))[0]
         self._tables: dict[float, np.ndarray] = {}
 
-    def _rank_cell(self, c: int) -> tuple[float, float]:
-        return (0.0, self.base) if c == 0 else (self.base * 2 ** (c - 1), self.base * 2**c)
-
     @staticmethod
     def _weight_cell(c: int) -> tuple[float, float]:
         return (0.0, 1.0) if c == 0 else (2.0 ** (c - 1), 2.0**c)
 
+    def _rank_base(self, wcell: int) -> float:
+        return self.base / 2 ** max(0, wcell - 1)
+
     def _throw(self, elements, weights, owner, wcell: int, rcell: int):
         """Darts of one cell: owner, coordinate, rank and identity."""
-        (wlo, whi), (rlo, rhi) = self._weight_cell(wcell), self._rank_cell(rcell)
+        (wlo, whi), base = self._weight_cell(wcell), self._rank_base(wcell)
+        rlo, rhi = (0.0, base) if rcell == 0 else (base * 2 ** (rcell - 1), base * 2**rcell)
         area = (whi - wlo) * (rhi - rlo)
-        table = self._tables.setdefault(area, _poisson_table(area))
+        if area not in self._tables:
+            self._tables[area] = _poisson_table(area)
+        table = self._tables[area]
         cell = mix(elements + _times_g(1 + wcell * 64 + rcell) + self.seed)
         counts = np.searchsorted(table, _uniform(cell), side="right")
         hit = np.flatnonzero(counts)
@@ -94,7 +94,7 @@ class DartMinHash:
         nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
         dart = mix(cell[at] + (nth.astype(np.uint64) + np.uint64(1)) * _G)
         rank = rlo + (rhi - rlo) * _uniform(mix(dart + np.uint64(1)))
-        if wcell or whi > 1 or not np.all(weights[at] == 1):
+        if len(at) and weights[at].min() < whi:
             inside = wlo + (whi - wlo) * _uniform(mix(dart + np.uint64(2))) < weights[at]
             at, dart, rank = at[inside], dart[inside], rank[inside]
         return owner[at], (dart % np.uint64(self.k)).astype(np.int64), rank, dart
@@ -108,22 +108,19 @@ class DartMinHash:
         np.divide(self.darts, total, out=limit, where=total > 0)
         todo = total > 0
         while todo.any():
-            # rank cells up to the one that holds the limit; darts above the limit stay out
-            cells = np.maximum(0, np.ceil(np.log2(np.where(todo, limit, self.base) / self.base)).astype(int)) + 1
             active = todo[owner]
             e, w, o = elements[active], weights[active], owner[active]
-            found = []
-            for rcell in range(int(cells[todo].max())):
-                near = cells[o] > rcell
-                if not near.any():
-                    continue
-                er, wr, orr = (e, w, o) if near.all() else (e[near], w[near], o[near])
-                wcell = 0
-                while len(er):
-                    found.append(self._throw(er, wr, orr, wcell, rcell))
-                    more = wr > self._weight_cell(wcell)[1]
-                    er, wr, orr = er[more], wr[more], orr[more]
-                    wcell += 1
+            found, wcell = [], 0
+            while len(e):
+                # rank cells up to the one that holds the limit; darts above it stay out
+                need = np.ceil(np.log2(np.where(todo, limit, 1.0) / self._rank_base(wcell))).astype(int)
+                cells = np.maximum(0, need) + 1
+                for rcell in range(int(cells[o].max())):
+                    near = cells[o] > rcell
+                    found.append(self._throw(*((e, w, o) if near.all() else (e[near], w[near], o[near])), wcell, rcell))
+                more = w > self._weight_cell(wcell)[1]
+                e, w, o = e[more], w[more], o[more]
+                wcell += 1
             own, coord, rank, dart = (np.concatenate(x) for x in zip(*found))
             low = rank < limit[own]
             own, coord, rank, dart = own[low], coord[low], rank[low], dart[low]
@@ -151,7 +148,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 class Shingler:
-    """Hashed runs of ``words`` lower-cased words of a text, each once, ascending.
+    """Hashed runs of ``words`` lower-cased words of a text, ascending, and how often each occurs.
 
     A text with fewer words has one shingle, all of it; a text without words has none.
     """
@@ -163,7 +160,7 @@ class Shingler:
     def tokens(self, text: str) -> list[bytes]:
         return text.encode().lower().split()
 
-    def shingles(self, tokens: list[bytes]) -> np.ndarray:
+    def shingles(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if new := set(tokens).difference(self.known):
             if len(self.known) + len(new) > self.limit:
                 self.known.clear()
@@ -175,18 +172,25 @@ class Shingler:
         out = np.full(n, min(self.words, len(h)), np.uint64)
         for at in range(min(self.words, len(h))):
             out = mix(out + h[at : at + n] * _G)
-        return np.unique(out)
+        return np.unique(out, return_counts=True)
 
 
 _SHINGLERS: dict[int, Shingler] = {}
 
 
+SKETCH_SCHEMA = (
+    "doc_id long, t1 long, t2 long, node binary, n long, bands array<long>, shingles array<int>, counts array<int>"
+)
+
+
 def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, node, n, bands, shingles`` of each text.
+    """``doc_id, t1, t2, node, n, bands, shingles, counts`` of each text.
 
-    ``node`` (16 bytes) is a digest of the words, so exact copies share it; ``n`` counts
-    distinct shingles; ``bands`` are the band hashes (empty without shingles);
-    ``shingles`` are the low 32 bits of the sorted shingle hashes, for the check.
+    ``t1`` and ``t2`` are the key of the text; ``node`` (16 bytes) is a digest of its words,
+    so texts of equal words share it; ``n`` is the number of shingles, repeats counted;
+    ``bands`` are the band hashes (empty without shingles) of the shingles weighted by their
+    counts; ``shingles`` are the low 32 bits of the distinct shingle hashes, ascending, with
+    their ``counts``, for the check.
     """
     hasher = DartMinHash(bands * rows)
 
@@ -194,36 +198,49 @@ def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int =
         sh = _SHINGLERS.setdefault(words, Shingler(words))
         for b in slices(batches, 256):
             nodes, sets = [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 tokens = sh.tokens(text)
                 nodes.append(hashlib.blake2b(b" ".join(tokens), digest_size=16).digest())
                 sets.append(sh.shingles(tokens))
-            sizes = np.array([len(s) for s in sets])
-            elements = np.concatenate([np.zeros(0, np.uint64), *sets])
+            sizes = np.array([len(s) for s, _ in sets])
+            elements = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in sets)])
+            weights = np.concatenate([np.zeros(0), *(c for _, c in sets)]).astype(float)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            keys = band_hashes(hasher.signatures(elements, np.ones(len(elements)), owner, len(sets)), bands, rows)
+            keys = band_hashes(hasher.signatures(elements, weights, owner, len(sets)), bands, rows)
             listed = [k.tolist() if n else [] for k, n in zip(keys.view(np.int64), sizes)]
-            low = [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]
-            yield pa.record_batch(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))],
-                names=["doc_id", "node", "n", "bands", "shingles"],
-            )
+            low, many = zip(*(_low_bits(*s) for s in sets)) if sets else ((), ())
+            total = [int(c.sum()) for _, c in sets]
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            made = [pa.array(c, k) for c, k in zip((nodes, total, listed, low, many), kinds)]
+            names = [f.split()[0] for f in SKETCH_SCHEMA.split(", ")]
+            yield pa.record_batch([*b.columns[:3], *made], names=names)
+
+    t1, t2 = text_key(F.col("text"))
+    return id_text(docs).select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, node binary, n long, bands array<long>, shingles array<int>")
 
+def _low_bits(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 32 bits of the hashes, ascending, and the summed counts of each."""
+    low, at = np.unique(shingles.astype(np.uint32), return_inverse=True)
+    many = counts if len(low) == len(shingles) and (at[1:] > at[:-1]).all() else np.bincount(at, counts, len(low))
+    return low.view(np.int32), many.astype(np.int32)
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two arrays without repeats; 0 if one is empty."""
+
+def similarity_of(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets (elements without repeats, and their weights);
+    0 if one is empty."""
     if not len(x) or not len(y):
         return 0.0
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    _, at, there = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(nx[at], ny[there]).sum())
+    return both / (int(nx.sum()) + int(ny.sum()) - both)
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of each pair of nodes; ``sets`` has ``node, shingles``, a row a node."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    """``a, b, similarity`` of each pair of nodes (a stored table); ``sets`` has ``node,
+    shingles, counts``, a row a node."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -231,44 +248,68 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for column in batch.columns[2:]:
                 values, at = column.values.to_numpy(), column.offsets.to_numpy()
                 parts.append([values[i:j] for i, j in zip(at, at[1:])])
-            found = pa.array(list(map(jaccard, *parts)), pa.float64())
+            found = pa.array(list(map(similarity_of, *parts)), pa.float64())
             yield pa.record_batch([*batch.columns[:2], found], names=["a", "b", "similarity"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    # the centre of a large group is in as many pairs as the group has members
+    both = spread_join(spread_join(pairs, left, ["a"], "inner", by="b"), right, ["b"], "inner", by="a", counted=pairs)
+    return both.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node connected to each node of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps, each a map-side combined minimum and a
-    join, until the set of edges stays the same; written between steps.
+    Alternates large-star and small-star steps, each a map-side combined minimum and a join
+    that splits the edges of a node with many, until the set of edges stays the same; each
+    step is stored, and what it was made from is removed.
     """
+    spark = edges.sparkSession
     pointing = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    now = materialize(edges.where("a <> b").select(*pointing(F.col("a"), F.col("b"))).distinct())
-    state = None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # every edge now points from a larger node to a smaller one
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
+    with scope(spark) as keep:
+        now = materialize(edges.where("a <> b").select(*pointing(F.col("a"), F.col("b"))).distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before = None
+        while state[0] and state != before:
+            with scope(spark) as pass_on:
+                both = materialize(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+                least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+                large = spread_join(both, least, ["u"], "inner", by="v").where(F.col("v") > F.col("u"))
+                # every edge now points from a larger node to a smaller one
+                large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+                least = large.groupBy("u").agg(F.min("v").alias("m"))
+                small = spread_join(large, least, ["u"], "inner", by="v")
+                ends = F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"))
+                small = small.select(F.inline(ends)).where("u <> v").distinct()
+                now = pass_on(materialize(small))
+            before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        keep(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
 
 
-def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, huge: int = HUGE, rare: int = RARE) -> DataFrame:
-    """Links (a, b) between nodes of ``table`` (see :func:`sketch`) whose components are
-    those of all pairs that share a bucket and reach ``similarity``.
+#: Members of one bucket that meet in one task, at most, in each of the two sides of a block.
+BLOCK = 512
+
+
+def _in_blocks(rows: DataFrame, key: str, members: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, for a join in which every two rows of one ``key`` meet exactly once.
+
+    A key of many members is cut into groups; the rows of group i are listed under (key, i,
+    j) for every j >= i on one side, under (key, j, i) for every j <= i on the other.
+    """
+    groups = F.ceil(F.col(members) / block).cast("int")
+    placed = rows.withColumn("_groups", F.greatest(F.lit(1), groups)).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_groups")).cast("int"))
+    x = placed.withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_groups") - 1)))
+    y = placed.withColumnsRenamed({"_i": "_j"}).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+    return x.drop("_groups", members), y.drop("_groups", members)
+
+
+def linked_nodes(sets: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, huge: int = HUGE, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+    """``node, label``: the components of all pairs of nodes that share a bucket and reach
+    ``similarity``; nodes without such a partner may be missing.
+
+    ``sets`` is a stored table of :func:`sketch` with one row a node.
 
     1. In every bucket each member is held against one centre: as many pairs as members,
        however large the bucket.
@@ -284,93 +325,136 @@ def near_duplicate_links(table: DataFrame, similarity: float = SIMILARITY, crowd
     that at most ``rare`` members hold, and pairs that share one of those are found by an
     equality join on it (at most ``rare`` members a key). So members of a large group of
     copies, or sharers of a passage, are not all held against each other, and no pair that
-    reaches ``similarity`` is lost.
+    reaches ``similarity`` is lost. What is left of a large bucket is dealt out in blocks.
     """
-    nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    sets = table.select("node", "shingles").dropDuplicates(["node"])
+    nodes = sets.where(F.size("bands") > 0)
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = materialize(entries.join(sizes, "bucket").select("bucket", "node", "n", "members"))
+    sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    # a bucket of most documents is known by its size, so its entries need not meet at one place
+    big = most_frequent(sizes, "members").withColumnRenamed("members", "_big")
+    entries = entries.join(big, "bucket", "left")
+    spread = F.when(F.col("_big").isNull(), F.col("bucket")).otherwise(F.xxhash64("node", "bucket"))
+    found = entries.withColumn("_at", spread).join(sizes.select(F.col("bucket").alias("_at"), "members"), "_at", "left")
+    members = F.coalesce("_big", "members")
+    shared = materialize(found.select("bucket", "node", "n", members.alias("members")).where(F.col("members").isNotNull()))
 
     crowded = shared.where(F.col("members") > crowd).groupBy("node").agg((F.max("members") > huge).alias("huge"))
-    held = table.select("node", "shingles").join(crowded, "node").dropDuplicates(["node"])
-    listed = held.select("node", "huge", F.explode("shingles").alias("s"))
+    held = sets.select("node", F.arrays_zip("shingles", "counts").alias("z")).join(crowded, "node")
+    listed = held.select("node", "huge", F.inline("z").alias("s", "w"))
     counted = listed.groupBy("s").agg(F.count("*").alias("c"))
-    few = materialize(listed.join(counted.where(F.col("c") <= rare), "s").select("s", "c", "node", "huge"))
-    scarce = few.groupBy("node").agg(F.count_if(F.col("c") == 1).alias("alone"), F.count("*").alias("few"))
+    # shingles that most members hold are not rare, so they go before the join
+    common = most_frequent(counted.where(F.col("c") > rare), "c").drop("c")
+    scant = listed.join(common, "s", "left_anti").join(counted.where(F.col("c") <= rare), "s")
+    few = materialize(scant.select("s", "c", "w", "node", "huge"))
+    scarce = few.groupBy("node").agg(F.sum(F.when(F.col("c") == 1, F.col("w")).otherwise(0)).alias("alone"), F.sum("w").alias("few"))
     # outside crowded buckets nothing is known, so nothing is ruled out
     member = shared.join(scarce, "node", "left")
     member = member.withColumns({c: F.when(F.col("members") > crowd, F.coalesce(c, F.lit(0))).otherwise(0) for c in ("alone", "few")})
     # shingles that another member may hold; in huge buckets, those that are not rare
-    member = materialize(
-        member.withColumns({"rest": F.col("n") - F.col("alone"), "main": F.col("n") - F.when(F.col("members") > huge, F.col("few")).otherwise(F.col("alone"))})
-        .drop("members", "few")
-    )
+    member = member.withColumns({"rest": F.col("n") - F.col("alone"), "main": F.col("n") - F.when(F.col("members") > huge, F.col("few")).otherwise(F.col("alone"))})
+    able = member.where(F.col("rest") >= similarity * (1 - 1e-9) * F.col("n"))
+    able = materialize(able.select("bucket", "node", "n", "members", "alone", "rest", "main"))
 
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     overlap = similarity / (1 + similarity) * (1 - 1e-9)
     # of two sets of these sizes and bounds; sizes too far apart cannot reach the similarity
     possible = lambda a, b, by: alike(a("n"), b("n")) & (F.least(a(by), b(by)) >= overlap * (a("n") + b("n")))
-    able = member.where(F.col("rest") >= similarity * (1 - 1e-9) * F.col("n"))
     heads = able.groupBy("bucket").agg(F.min(F.struct("alone", "node", "n", "rest")).alias("head"))
-    stars = able.join(heads, "bucket").where(
+    stars = spread_join(able, heads, ["bucket"], "inner", by="node").where(
         (F.col("node") != F.col("head.node")) & possible(F.col, lambda c: F.col(f"head.{c}"), "rest")
     )
-    stars = stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
     star_checks = materialize(checked(stars, sets))
-    links = star_checks.where(F.col("similarity") >= similarity).select("a", "b")
-    labels = components(links)
+    reach = F.col("similarity") >= similarity
+    labels = materialize(components(star_checks.where(reach).select("a", "b")))
 
     named = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    open_ = materialize(named.join(mixed, "bucket").select("bucket", "node", "n", "rest", "main", "label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    open_ = spread_join(named, mixed, ["bucket"], "left_semi", by="node", counted=able)
+    open_ = materialize(open_.select("bucket", "node", "n", "members", "rest", "main", "label"))
 
     def apart(rows: DataFrame, key: str, by: str) -> DataFrame:
         """Pairs of members under one key, of different components, that ``by`` does not rule out."""
-        x, y = (rows.select(key, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", by, "label"))) for side in "ab")
+        sides = _in_blocks(rows, key, "members", block)
+        x, y = (r.select(key, "_i", "_j", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", by, "label"))) for r, side in zip(sides, "ab"))
         fits = possible(lambda c: x[f"{c}_a"], lambda c: y[f"{c}_b"], by)
-        found = x.join(y, (x[key] == y[key]) & (x["node_a"] < y["node_b"]) & (x["label_a"] != y["label_b"]) & fits)
-        return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        # two groups meet in one order only; within a group both orders would come up
+        once = (x["_i"] < x["_j"]) | (x["node_a"] < y["node_b"])
+        same = (x[key] == y[key]) & (x["_i"] == y["_i"]) & (x["_j"] == y["_j"])
+        found = x.join(y, same & once & (x["label_a"] != y["label_b"]) & fits)
+        return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     # a pair in a huge bucket either reaches the overlap without rare shingles or shares one
-    vast = few.where(F.col("huge") & (F.col("c") > 1)).select("s", "node")
+    vast = few.where(F.col("huge") & (F.col("c") > 1)).select("s", "node", F.col("c").alias("members"))
     facts = open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "label")), F.min("rest").alias("rest"))
-    by_rare = apart(vast.join(facts, "node").select("s", "node", "n", "rest", "label"), "s", "rest")
+    by_rare = apart(vast.join(facts, "node").select("s", "node", "n", "members", "rest", "label"), "s", "rest")
     pairs = apart(open_, "bucket", "main").unionByName(by_rare).distinct()
     seen = star_checks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = checked(pairs.join(seen, ["a", "b"], "left_anti"), sets).where(F.col("similarity") >= similarity)
-    return materialize(links.unionByName(more.select("a", "b")))
+    pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"))
+    more = checked(pairs, sets).where(reach)
+    # later links join components, so only those are searched again
+    for end in "ab":
+        ends = labels.select(F.col("node").alias(end), F.col("label").alias("_label"))
+        more = more.join(ends, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    joined = materialize(components(more.select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("_label")))
+    whole = spread_join(labels, joined, ["label"], "left", by="node")
+    whole = whole.select("node", F.coalesce("_label", "label").alias("label"))
+    # components of single nodes are in no link yet
+    single = joined.join(labels, joined["label"] == labels["node"], "left_anti")
+    return whole.unionByName(single.select(F.col("label").alias("node"), F.col("_label").alias("label")))
+
+
+def classes_by_row(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, t1, t2, class_id, n_shingles, first``: a row for each row of ``docs``.
+
+    ``t1`` and ``t2`` are the key of the text; ``first`` marks the rows that stand for their
+    class: those of its smallest (doc_id, t1, t2).
+    """
+    with scope(docs.sparkSession) as keep:
+        table = materialize(sketch(docs, words, bands, rows))
+        given = materialize(table.select("doc_id", "t1", "t2", "node", "n"))
+        least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t1", "t2"))).alias("least")
+        sets = materialize(table.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "shingles", "counts"))))
+        remove(docs.sparkSession, [table._kiln_path])
+        labels = materialize(linked_nodes(sets, similarity))
+        nodes = given.groupBy("node").agg(least).join(labels, "node", "left")
+        nodes = materialize(nodes.select("node", F.coalesce("label", "node").alias("label"), "least"))
+        classes = nodes.groupBy("label").agg(F.min("least").alias("least"))
+        nodes = materialize(spread_join(nodes.drop("least"), classes, ["label"], "inner", by="node").select("node", "least"))
+        found = keep(materialize(spread_join(given, nodes, ["node"], "inner", by="doc_id")))
+    own = F.col("least") == F.struct("doc_id", "t1", "t2")
+    return found.select(
+        "doc_id", "t1", "t2", F.col("least.doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.coalesce(own, F.lit(False)).alias("first")
+    )
 
 
-def near_duplicate_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, class_id, n_shingles``: a row for each row of ``docs``.
 
     Documents belong to one class if a chain of documents joins them in which neighbours
-    have the same words or a Jaccard similarity of their ``words``-word shingle sets of at
-    least ``similarity``. ``class_id`` is the smallest doc_id of the class (null if all its
-    ids are null). Null texts are empty; texts without words are copies of each other.
-    Repeated rows fall into one class. Other columns of ``docs`` play no part.
+    have the same words or a weighted Jaccard similarity of their five-word shingles, each
+    weighted by how often the text holds it, of at least 0.8. ``class_id`` is the smallest
+    doc_id of the class (null if all its ids are null). Null texts are empty; texts without
+    words are copies of each other. Repeated rows fall into one class. Other columns of
+    ``docs`` play no part. ``how``: see :func:`classes_by_row`.
 
     Candidates come from banded signatures: with 32 bands of 5 coordinates a pair at
     exactly 0.8 is missed with probability 3e-6, a closer one less often.
     """
-    table = materialize(sketch(docs, words, bands, rows))
-    links = near_duplicate_links(table, similarity)
-    labels = components(links)
-    named = table.select("doc_id", "node", "n").join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")
-    )
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(classes, "label").select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+    return classes_by_row(docs, **how).select("doc_id", "class_id", "n_shingles")
 
 
 def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with all its columns, one row of each near-duplicate class: its smallest doc_id.
 
-    Repeated rows of that id count as one. Rows with a null doc_id all stay, since nothing
-    names them.
+    Of rows with equal id and text one stays; of different texts under one id, each that
+    stands for a class stays. Rows with a null doc_id all stay, since nothing names them.
     """
-    classes = near_duplicate_classes(docs.where(F.col("doc_id").isNotNull()), **how)
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kiln_id"), F.lit(1).alias("_kiln_one"))
-    kept = docs.join(first.distinct(), docs["doc_id"].cast("long") == F.col("_kiln_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull())
+    classes = classes_by_row(named, **how).where("first")
+    own = ["_kiln_id", "_kiln_t1", "_kiln_t2"]
+    first = classes.select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), own))).distinct()
+    t1, t2 = text_key(F.col("text"))
+    keyed = named.withColumns(dict(zip(own, (F.col("doc_id").cast("long"), t1, t2))))
+    kept = keyed.join(first, own, "left_semi").dropDuplicates(own).drop(*own)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

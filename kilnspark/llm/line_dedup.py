@@ -14,12 +14,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, most_frequent
 
 MIN_CHARS = 10
 MIN_DOCS = 2
-#: Most frequent keys that are broadcast, for each shuffle partition.
-HOT_KEYS = 4
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -60,11 +58,10 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         once = lines.groupBy(*keys, "doc_id").agg(F.count("*").alias("_n"))
         counted = once.groupBy(*keys).agg(F.min("doc_id").alias("_keep"), F.count("*").alias("_last"), F.sum("_n").alias("_n"))
         repeats = (F.col("_last") >= min_docs) & (F.col("_n") > 0)
-    # the most frequent keys, a fixed number for each partition, are broadcast; their lines
-    # are spread evenly over the join that finds the others, where they match nothing
-    most = HOT_KEYS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = counted.orderBy(F.desc("_n"), *keys).limit(most).select(*keys, F.when(repeats, F.col("_keep")).alias("_hot"), F.lit(True).alias("_is_hot"))
-    lines = lines.join(F.broadcast(hot), keys, "left")
+    # the most frequent keys are broadcast; their lines are spread evenly over the join that
+    # finds the others, where they match nothing
+    hot = most_frequent(counted.select(*keys, "_n", F.when(repeats, F.col("_keep")).alias("_hot"), F.lit(True).alias("_is_hot")), "_n")
+    lines = lines.join(hot.drop("_n"), keys, "left")
     spread = F.xxhash64("doc_id", "_row", "_pos")
     lines = lines.withColumns({k: F.when(F.col("_is_hot"), spread).otherwise(F.col(k)) for k in keys})
     joined = lines.join(counted.where(repeats).select(*keys, "_keep"), keys, "left")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, slices
+from .common import id_text, materialize, slices, spread_join, text_key
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
@@ -78,7 +78,8 @@ _SPANS_SQL = "array<struct<start:long,kind:int,end:long>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, _row, base, weak``: strong and weak parts of each text, with code point offsets.
+    """``doc_id, _t1, _t2, base, weak``: strong and weak parts of each text, with code point
+    offsets, and the text's key.
 
     Weak parts are kept only where the text holds two parts that complement each other,
     since without these they cannot link.
@@ -87,40 +88,41 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             base, weak = [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(3).to_pylist():
                 strong = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in strong])
                 weak.append([{"start": s, "kind": k, "end": e} for s, k, e in weak_spans(text, strong)])
             yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(base, _SPANS), pa.array(weak, _SPANS)],
-                names=["doc_id", "_row", "base", "weak"],
+                [*b.columns[:3], pa.array(base, _SPANS), pa.array(weak, _SPANS)],
+                names=["doc_id", "_t1", "_t2", "base", "weak"],
             )
 
-    rows = id_text(docs).select("doc_id", F.xxhash64("text").alias("_row"), "text")
-    return rows.mapInArrow(run, f"doc_id long, _row long, base {_SPANS_SQL}, weak {_SPANS_SQL}")
+    t1, t2 = text_key(F.col("text"))
+    rows = id_text(docs).select("doc_id", t1.alias("_t1"), t2.alias("_t2"), "text")
+    return rows.mapInArrow(run, f"doc_id long, _t1 long, _t2 long, base {_SPANS_SQL}, weak {_SPANS_SQL}")
 
 
 def linked_weak(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``doc_id, _row, linked``: the weak parts that a complementary part supports.
+    """``_t1, _t2, linked``: the weak parts of each text that a complementary part supports.
 
     A bare secret is supported by an access identifier or an endpoint, an endpoint by an
     access identifier or a value: assigned, hex or bare. So two weak parts can support each
     other; but what lies within an endpoint and an endpoint do not. Every part is listed
     once for each scope it touches after widening supporting ones by ``scope`` on both
-    sides; parts meet in a shared scope.
+    sides; parts meet in a shared scope. Copies of a text are linked once.
     """
-    some = scanned.where(F.size("weak") > 0)
+    key = ["_t1", "_t2"]
+    some = scanned.where(F.size("weak") > 0).groupBy(*key).agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
     scopes = lambda low, high: F.explode(
         F.sequence(F.floor(F.greatest(F.lit(0), low) / scope).cast("long"), F.floor(high / scope).cast("long"))
     )
-    id_key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")
-    weak = some.select(id_key, "_row", F.explode("weak").alias("w")).select(
-        "_id", "_row", "w", scopes(F.col("w.start"), F.col("w.end") - 1).alias("_scope")
+    weak = some.select(*key, F.explode("weak").alias("w")).select(
+        *key, "w", scopes(F.col("w.start"), F.col("w.end") - 1).alias("_scope")
     )
     strong = (
-        some.select(id_key, "_row", F.explode(F.concat("base", "weak")).alias("s"))
+        some.select(*key, F.explode(F.concat("base", "weak")).alias("s"))
         .where(F.col("s.kind") != INNER)
-        .select("_id", "_row", "s", scopes(F.col("s.start") - scope, F.col("s.end") - 1 + scope).alias("_scope"))
+        .select(*key, "s", scopes(F.col("s.start") - scope, F.col("s.end") - 1 + scope).alias("_scope"))
     )
     gap = F.greatest(F.col("w.start") - F.col("s.end"), F.col("s.start") - F.col("w.end"))
     fits = (
@@ -129,34 +131,26 @@ def linked_weak(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
         | ((F.col("w.kind") == 3) & (F.col("s.kind") == 4))
     )
     # semi join: a weak part comes out once for each scope, however many parts support it
-    near = weak.alias("l").join(
-        strong.alias("r"),
-        (F.col("l._id") == F.col("r._id")) & (F.col("l._row") == F.col("r._row"))
-        & (F.col("l._scope") == F.col("r._scope")) & fits & (gap < scope),
-        "left_semi",
-    )
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*key, "_scope")]
+    near = weak.alias("l").join(strong.alias("r"), [*same, fits & (gap < scope)], "left_semi")
     kind = F.when(F.col("w.kind") == INNER, 3).otherwise(F.col("w.kind"))
     linked = F.struct(F.col("w.start").alias("start"), kind.alias("kind"), F.col("w.end").alias("end"))
-    return near.groupBy("_id", "_row").agg(F.collect_set(linked).alias("linked"))
+    return near.groupBy(*key).agg(F.collect_set(linked).alias("linked"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``doc_id, _row, base, spans``: strong parts, and all reported parts, of each row.
+    """``doc_id, _t1, _t2, base, spans``: strong parts, and all reported parts, of each row.
 
     Spans are structs (start, kind, end), sorted; offsets are in code points, ends
     exclusive, ``kind`` an index into ``KINDS``. Null or empty texts have none. Repeated
-    rows are each returned. ``_row`` tells texts of one id apart. Other columns of
-    ``docs`` play no part.
+    rows are each returned; ``_t1`` and ``_t2`` are the key of the text (see
+    :func:`.common.text_key`). Other columns of ``docs`` play no part.
     """
     table = materialize(scan(docs))
     links = linked_weak(table, scope)
-    keyed = table.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    return keyed.join(links, ["_id", "_row"], "left").select(
-        "doc_id",
-        "_row",
-        "base",
-        F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPANS_SQL)))).alias("spans"),
-    )
+    joined = spread_join(table, links, ["_t1", "_t2"], "left", by="doc_id", small=True)
+    none = F.array().cast(_SPANS_SQL)
+    return joined.select("doc_id", "_t1", "_t2", "base", F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"))
 
 
 def listed(spans) -> object:
@@ -187,13 +181,11 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     All columns stay; a null text stays null. Overlapping spans are replaced as one, named
     after the first.
     """
-    spans = find_secrets(docs, scope).where(F.size("spans") > 0)
-    spans = spans.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_kiln_id"), F.col("_row").alias("_kiln_row")).agg(
-        F.first("spans").alias("_kiln_spans")
-    )
-    keyed = docs.withColumns(
-        {"_kiln_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "_kiln_row": F.xxhash64(F.coalesce(docs["text"], F.lit("")))}
-    )
+    found = find_secrets(docs, scope).where(F.size("spans") > 0)
+    spans = found.groupBy("_t1", "_t2").agg(F.first("spans").alias("_kiln_spans"))
+    spans = spans.select(F.col("_t1").alias("_kiln_t1"), F.col("_t2").alias("_kiln_t2"), "_kiln_spans")
+    t1, t2 = text_key(docs["text"])
+    keyed = docs.withColumns({"_kiln_t1": t1, "_kiln_t2": t2})
 
     @F.pandas_udf("string")
     def cut(text, found):
@@ -211,7 +203,7 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    joined = keyed.join(spans.hint("shuffle_hash"), ["_kiln_id", "_kiln_row"], "left")
+    joined = spread_join(keyed, spans, ["_kiln_t1", "_kiln_t2"], "left", by="doc_id", small=True)
     return joined.select(
         *(
             F.when(F.col("_kiln_spans").isNull(), F.col("text")).otherwise(cut("text", "_kiln_spans")).alias("text")

@@ -399,7 +399,7 @@ def test_weak_parts_support_each_other(spark):
 
 def classes_by_hand(rows, least=0.8):
     words = [t.encode().lower().split() for _, t in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in words]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -408,7 +408,7 @@ def classes_by_hand(rows, least=0.8):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if words[a] == words[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+        if words[a] == words[b] or (sets[a] and sets[b] and (sets[a] & sets[b]).total() >= least * (sets[a] | sets[b]).total()):
             parent[root(b)] = root(a)
     named = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
@@ -439,16 +439,16 @@ def copies(rng, n, size=60, edits=5):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"crowd": 2, "huge": 4, "rare": 3}])
+@pytest.mark.parametrize("how", [{}, {"crowd": 2, "huge": 4, "rare": 3}, {"block": 3}])
 def test_near_duplicates(spark, odd, empty, how):
     rng = random.Random(9)
     passage = prose(20, rng)
     made = [t for n in (2, 3, 40) for t in copies(rng, n)] + [prose(30, rng) + " " + passage + " " + prose(30, rng) for _ in range(40)]
     made += [made[0], made[5], prose(3, rng), "a", "a", ""]
     rows = list(enumerate(made))
-    table = common.materialize(dart_minhash.sketch(clashing(spark.createDataFrame(rows, "doc_id long, text string"))))
-    links = dart_minhash.near_duplicate_links(table, **how)
-    labels = {bytes(r.node): bytes(r.label) for r in dart_minhash.components(links).collect()}
+    table = dart_minhash.sketch(clashing(spark.createDataFrame(rows, "doc_id long, text string")))
+    sets = common.materialize(table.dropDuplicates(["node"]))
+    labels = {bytes(r.node): bytes(r.label) for r in dart_minhash.linked_nodes(sets, **how).collect()}
     groups = defaultdict(list)
     for r in table.select("doc_id", "node").collect():
         groups[labels.get(bytes(r.node), bytes(r.node))].append(r.doc_id)
@@ -460,8 +460,37 @@ def test_near_duplicate_rows(spark, odd, empty):
     assert Counter((r.doc_id, r.class_id) for r in got) == classes_by_hand(texts(odd))
     kept = dart_minhash.one_of_each_class(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, None])
-    assert dart_minhash.near_duplicate_classes(empty).count() == 0
+    # two unlike texts share the id 7: both stay; 2, 3 and 9 are copies of 1
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 7, 8, None])
+    assert dart_minhash.near_duplicate_classes(empty).count() == 0 == dart_minhash.one_of_each_class(empty).count()
+
+
+def test_repeated_shingles_count(spark):
+    """Two texts of the same words differ if one says them three times as often."""
+    part = prose(40, random.Random(12))
+    rows = [(1, part), (2, " ".join([part] * 3)), (3, " ".join([part] * 12)), (4, " ".join([part] * 13)), (5, "x " * 3000), (6, "x " * 2900)]
+    got = dart_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == classes_by_hand(rows)
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
+def test_near_copies_are_found(spark):
+    """Edited copies that reach 0.8: at least 0.9 of them, beside others that do not."""
+    rng = random.Random(13)
+    rows, pairs = [], []
+    for i in range(400):
+        base = prose(rng.randint(60, 400), rng).split()
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0, 0.03)))):
+            copy[at] = "".join(rng.choices("pqrstuv", k=7))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        a, b = (Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (base, copy))
+        pairs.append((a & b).total() / (a | b).total())
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, s in enumerate(pairs) if s >= 0.8]
+    assert len(near) > 100 and len(near) < 390
+    assert sum(got[2 * i + 1] == 2 * i for i in near) >= 0.999 * len(near)
+    assert all(got[2 * i + 1] == 2 * i + 1 for i, s in enumerate(pairs) if s < 0.8)
 
 
 def test_components(spark):
