@@ -82,7 +82,8 @@ def _closed(text: str) -> str:
 def salvage(text: str | None, fields: tuple[str, ...] = ()) -> tuple[str, str]:
     """(strategy, JSON object) of an answer; ('none', '{}') if nothing can be read.
 
-    Strategies in order: strict, fenced, controls, braces, commas, closed, fields.
+    Strategies in order: strict, fenced, controls, braces, commas, quotes, closed, fields.
+    ``fields`` picks texts, numbers, truth values and lists of texts out of the wreck.
     """
     text = (text or "").strip()
     bare = re.sub(r"^```\w*\s*|\s*```$", "", text)
@@ -91,7 +92,7 @@ def salvage(text: str | None, fields: tuple[str, ...] = ()) -> tuple[str, str]:
     spaced = re.sub(r"[\x00-\x1f]", " ", inner)
     commas = re.sub(r",(\s*[}\]])", r"\1", spaced)
     closed = re.sub(r",(\s*[}\]])", r"\1", _closed(re.sub(r"[\x00-\x1f]", " ", bare)))
-    tried = (("strict", text), ("fenced", bare), ("controls", re.sub(r"[\x00-\x1f]", " ", bare)), ("braces", spaced), ("commas", commas), ("closed", closed))
+    tried = (("strict", text), ("fenced", bare), ("controls", re.sub(r"[\x00-\x1f]", " ", bare)), ("braces", spaced), ("commas", commas), ("quotes", _requoted(commas)), ("closed", closed))
     for name, candidate in tried:
         try:
             found = json.loads(candidate)
@@ -99,16 +100,25 @@ def salvage(text: str | None, fields: tuple[str, ...] = ()) -> tuple[str, str]:
             continue
         if isinstance(found, dict) and (found or name != "closed"):  # closing can make an empty one
             return name, json.dumps(found, ensure_ascii=False)
+    text = r'"(?:[^"\\]|\\.)*"'
     picked = {}
     for f in fields:
-        if m := re.search(rf'"{re.escape(f)}"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?|true|false|null)', bare):
+        if m := re.search(rf'"{re.escape(f)}"\s*:\s*(?:({text}|-?\d+(?:\.\d+)?|true|false|null)|\[([^\]]*))', bare):
+            listed = None if m[2] is None else re.findall(text, m[2])
             try:
-                picked[f] = json.loads(re.sub(r"[\x00-\x1f]", " ", m[1]))
+                plain = re.sub(r"[\x00-\x1f]", " ", m[1] if listed is None else f"[{','.join(listed)}]")
+                if listed != []:
+                    picked[f] = json.loads(plain)
             except ValueError:
                 pass
     return ("fields", json.dumps(picked, ensure_ascii=False)) if picked else ("none", "{}")
 
 
+def _requoted(text: str) -> str:
+    """Single quotes around names and texts made double ones; apostrophes within words stay."""
+    return re.sub(r"(?<![\w\\])'|'(?!\w)", '"', text)
+
+
 def salvaged(c: Column, fields: tuple[str, ...] = ()) -> Column:
     """``struct(strategy, json)`` by :func:`salvage`."""
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once.
 
@@ -37,6 +36,8 @@ DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 DIGITS = "0123456789"
+#: Letters and digits that keyword search does not tell apart, and what stands for them.
+FTS_LETTERS = (ARABIC + PERSIAN_DIGITS + ARABIC_DIGITS + ZWNJ, PERSIAN + DIGITS + DIGITS + " ")
 # fixed values: words that decomposed ligatures garble, and their repair, in this order
 LIGATURES = {
     "وکالی": "وکلای",
@@ -120,7 +121,47 @@ def fts_normalize(c: Column, unicode_forms: bool = True) -> Column:
     """
     c = F.coalesce(c, F.lit(""))
     c = nfkc(c) if unicode_forms else c
-    return F.translate(c, ARABIC + PERSIAN_DIGITS + ARABIC_DIGITS + ZWNJ, PERSIAN + DIGITS + DIGITS + " ")
+    return F.translate(c, *FTS_LETTERS)
+
+
+def fts_normalized(text: str) -> str:
+    """:func:`fts_normalize` of one query."""
+    return unicodedata.normalize("NFKC", text or "").translate(str.maketrans(*FTS_LETTERS))
+
+
+# fixed values: letters that anchors do not tell apart, and what stands for them
+ANCHOR_LETTERS = ("يكأإآ", "یکااا")
+
+
+def anchor_form(c: Column) -> Column:
+    """The form in which anchors are looked for: no marks, letters made alike, single blanks."""
+    bare = F.translate(F.regexp_replace(c, DIACRITICS, ""), *ANCHOR_LETTERS)
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^ | $", "")
+
+
+# fixed values: the letters beside which a bracket may be misplaced
+BRACKETED = "\u0600-\u06FF\uFB8A\uFE8D\uFEE3\uFEFB\uFEFC"
+
+
+def fix_brackets(c: Column, least: int = 3) -> Column:
+    """Brackets on the wrong side of a Persian word change sides; then, in lines where one kind
+    outnumbers the other by ``least`` or more, the excess goes: closing ones from the end,
+    opening ones from the start."""
+    c = F.regexp_replace(c, rf"(?U)(?<![{BRACKETED}])\s*\)\s*([{BRACKETED}]+)", "$1)")
+    c = F.regexp_replace(c, rf"(?U)([{BRACKETED}]+)\s*\(\s*(?![{BRACKETED}])", "($1")
+
+    def balanced(line: Column) -> Column:
+        opened, closed = F.split(line, r"\(", -1), F.split(line, r"\)", -1)
+        more = F.size(closed) - F.size(opened)
+        # of closing brackets the first stay, of opening ones the last: as many as of the other
+        first = lambda xs, n: F.slice(xs, F.lit(1), n)
+        rest = lambda xs, n: F.slice(xs, n + 1, F.size(xs))
+        without_last = F.concat(F.array_join(first(closed, F.size(opened)), ")"), F.array_join(rest(closed, F.size(opened)), ""))
+        gone = F.greatest(F.lit(1), 1 - more)
+        without_first = F.array_join(F.concat(F.array(F.array_join(first(opened, gone), "")), rest(opened, gone)), "(")
+        return F.when(more >= least, without_last).when(more <= -least, without_first).otherwise(line)
+
+    return F.array_join(F.transform(F.split(c, "\n", -1), balanced), "\n")
 
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -137,14 +178,18 @@ def split_words(c: Column) -> Column:
 
 
 # fixed values: Persian function words that queries lose
-STOP_WORDS = tuple(
-    """و در به از که با برای این آن را ها های می هم نیز اگر اما ولی یا باید شاید ممکن خواهد باشند است هست شد
-    شود شده کرد کند گفت دهد دارد داشت باشه باشید باشیم باشم باشی بود بودن بوده باشد هستند هستم هستی نمی نباید
-    نخواهد نکرد نکند نگفت هر چند چگونه چیست چه چرا کجا کی اینکه آنکه آنچه هرچه هرکس هرکه تحت طی درباره دربارۀ
-    پیرامون مربوط قبل بعد بالا پایین داخل خارج جلوی علیه ضد جز غیر خیلی بسیار کم اندکی تقریبا حدود البته قطعا
-    مسلما حتما پس پیش کنون اکنون هنوز همچنان همچنین همیشه گاهی گاه برخی بعضی بعضا سراسر تمام تمامی همه همگی
-    بدون بی باوجود علیرغم طبق براساس برپایه برمبنای برطبق ضمن هنگام زمان وقتی موقع نظیر مانند مثل همچو چو جزیی
-    جزئی لذا بنابراین ازاینرو معذلک الا مگر زیرا چون اگرچه هرچند""".split()
+STOP_WORDS = (
+    "و", "در", "به", "از", "که", "با", "برای", "این", "آن", "را", "ها", "های", "می", "هم", "نیز", "اگر",
+    "اما", "ولی", "یا", "باید", "شاید", "ممکن", "خواهد", "باشند", "است", "هست", "شد", "شود", "شده", "کرد",
+    "کند", "گفت", "دهد", "دارد", "داشت", "باشه", "باشید", "باشیم", "باشم", "باشی", "بود", "بودن", "بوده",
+    "باشد", "هستند", "هستم", "هستی", "نمی", "نباید", "نخواهد", "نکرد", "نکند", "نگفت", "هر", "چند", "چگونه",
+    "چیست", "چه", "چرا", "کجا", "کی", "اینکه", "آنکه", "آنچه", "هرچه", "هرکس", "هرکه", "تحت", "طی", "درباره",
+    "دربارۀ", "پیرامون", "مربوط", "قبل", "بعد", "بالا", "پایین", "داخل", "خارج", "جلوی", "علیه", "ضد", "جز",
+    "غیر", "خیلی", "بسیار", "کم", "اندکی", "تقریبا", "حدود", "البته", "قطعا", "مسلما", "حتما", "پس", "پیش",
+    "کنون", "اکنون", "هنوز", "همچنان", "همچنین", "همیشه", "گاهی", "گاه", "برخی", "بعضی", "بعضا", "سراسر",
+    "تمام", "تمامی", "همه", "همگی", "بدون", "بی", "باوجود", "علیرغم", "طبق", "براساس", "برپایه", "برمبنای",
+    "برطبق", "ضمن", "هنگام", "زمان", "وقتی", "موقع", "نظیر", "مانند", "مثل", "همچو", "چو", "جزیی", "جزئی",
+    "لذا", "بنابراین", "ازاینرو", "معذلک", "الا", "مگر", "زیرا", "چون", "اگرچه", "هرچند",
 )
 
 
@@ -155,13 +200,14 @@ def remove_stop_words(tokens: Column, stop_words: tuple[str, ...] = STOP_WORDS)
 
 
 def trigrams(c: Column) -> Column:
-    """The set of character triples of the lower-cased words, padded by two blanks before and one after."""
-    padded = F.transform(F.array_distinct(words(c)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
-        )
-    )
+    """The set of character triples of the lower-cased words, padded by two blanks before and one after.
+
+    Padded words stand on lines of their own, so one look-ahead pattern finds every triple
+    within a line.
+    """
+    lines = F.concat(F.lit("  "), F.array_join(F.array_distinct(words(c)), " \n  "), F.lit(" "))
+    found = F.array_distinct(F.regexp_extract_all(lines, F.lit("(?=([^\n]{3}))"), F.lit(1)))
+    return F.filter(found, lambda g: g != "   ")  # of no words, three blanks are left
 
 
 def set_similarity(a: Column, b: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import ANCHOR_LETTERS, DIACRITICS, anchor_form, let
 
 # fixed values: anchors at which a section starts, and the kind of section
 SECTION_KINDS = (
@@ -112,6 +112,26 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [*out, (at, end)] if at < end else out
 
 
+_LETTERS = str.maketrans(*ANCHOR_LETTERS)
+_MARKS = re.compile(DIACRITICS)
+
+
+def anchor_view(text: str) -> tuple[str, Sequence[int]]:
+    """The text as anchors are looked for in it (letters made alike, no marks), and the place
+    in ``text`` of each of its characters and of its end."""
+    alike = text.translate(_LETTERS)
+    if not _MARKS.search(alike):
+        return alike, range(len(text) + 1)
+    places = [i for i, ch in enumerate(alike) if not _MARKS.match(ch)]
+    return "".join(alike[i] for i in places), [*places, len(text)]
+
+
+def anchors_in(pattern: re.Pattern | None, text: str) -> list[tuple[int, int]]:
+    """Where anchors start and end in ``text``."""
+    view, place = anchor_view(text)
+    return [(place[m.start()], place[m.end() - 1] + 1) for m in pattern.finditer(view)] if pattern else []
+
+
 @dataclass
 class Chunk:
     start: int
@@ -133,7 +153,7 @@ class StructuralChunker:
 
     def sections(self, text: str) -> list[Chunk]:
         """From anchor to anchor; text before the first is a section without a title."""
-        starts = [(m.start(), m[0]) for m in self.anchor.finditer(text)] if self.anchor else []
+        starts = [(a, text[a:b]) for a, b in anchors_in(self.anchor, text)]
         if not starts or text[: starts[0][0]].strip():
             starts.insert(0, (0, ""))
         else:
@@ -142,7 +162,8 @@ class StructuralChunker:
         return [Chunk(s, e, t, self.kind(t)) for (s, t), e in zip(starts, ends)]
 
     def kind(self, title: str) -> str:
-        return next((k for p, k in self.kinds if title and p.search(title)), "text")
+        view = anchor_view(title)[0]
+        return next((k for p, k in self.kinds if view and p.search(view)), "text")
 
     def _pieces(self, text: str, section: Chunk) -> list[tuple[int, int]]:
         """Sentence spans, none longer than the limit, also cut before boundary hints."""
@@ -198,9 +219,9 @@ class SimpleChunker:
         self.anchor = re.compile("|".join(anchors))
 
     def chunks(self, text: str) -> list[Chunk]:
-        found = list(self.anchor.finditer(text))
-        spans = [(0, found[0].start() if found else len(text), PREAMBLE)]
-        spans += [(m.end(), n.start() if n else len(text), m[0]) for m, n in zip(found, [*found[1:], None])]
+        found = anchors_in(self.anchor, text)
+        spans = [(0, found[0][0] if found else len(text), PREAMBLE)]
+        spans += [(b, n[0] if n else len(text), text[a:b]) for (a, b), n in zip(found, [*found[1:], None])]
         out = []
         for start, end, title in spans:
             words = list(_TOKEN.finditer(text, start, end))
@@ -259,12 +280,32 @@ def token_windows(tokens: Column, size: int = 400, overlap: int = 50) -> Column:
 
 def section_kind(title: Column, kinds=SECTION_KINDS) -> Column:
     """The first kind whose anchor the title holds."""
-    out = None
+    view, out = anchor_form(title), F
     for pattern, kind in kinds:
-        out = F.when(title.rlike("(?U)" + pattern), kind) if out is None else out.when(title.rlike("(?U)" + pattern), kind)
+        out = out.when(view.rlike("(?U)" + pattern), kind)
     return out.otherwise("text")
 
 
+# fixed values: words of a verdict
+VERDICT_WORDS = (r"محکوم[\s‌]+می‌نماید", r"حکم[\s‌]+به", r"محکومیت")
+
+
+def chunk_metadata(content: Column, title: Column, pages: Column) -> Column:
+    """What is known about a chunk: its section, sentences, verdict, references and pages."""
+    refs = article_references(content)
+    said = F.filter(F.split(content, r"(?<![0-9])[.؟!](?![0-9])|:\s|\n{2,}", -1), lambda x: x.rlike(r"(?U)\S"))
+    return F.struct(
+        section_kind(title).alias("section_type"),
+        F.when(title != "", title).alias("anchor_text"),
+        F.size(said).alias("sentence_count"),
+        content.rlike("(?U)" + "|".join(VERDICT_WORDS)).alias("has_verdict"),
+        (F.size(refs) > 0).alias("has_legislation_ref"),
+        refs.alias("legislation_refs"),
+        F.array_min(pages).alias("start_page"),
+        F.array_max(pages).alias("end_page"),
+    )
+
+
 def article_references(content: Column, pattern: str = REFERENCE) -> Column:
     """Distinct references to articles, in order."""
     return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)))
@@ -288,6 +329,12 @@ def header_fields(text: Column, fields=HEADER_FIELDS) -> Column:
     return F.aggregate(found, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
+def without_header(text: Column, fields=HEADER_FIELDS) -> Column:
+    """The text without the lines that hold a header field."""
+    held = "(?U)" + "|".join(f"(?:{pattern})" for _, pattern in fields)
+    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1), lambda x: ~x.rlike(held)), "\n")
+
+
 def section_spans(anchors: DataFrame, key: str = "document_id") -> DataFrame:
     """Anchors (``pos``) with the ``end`` of the section each starts: the next anchor, or the text's length."""
     from pyspark.sql import Window as W

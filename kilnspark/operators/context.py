@@ -49,44 +49,44 @@ def build_context(chunks: DataFrame, by: Sequence[str] = ("query_id",), order: s
 def build_global_context(chunks: DataFrame, hub_order: Sequence[str] = HUB_ORDER, labels: dict[str, str] | None = None, budget: int = BUDGET_TOKENS * CHARS_PER_TOKEN) -> DataFrame:
     """One context for each ``query_id`` over several hubs, in fixed order with one numbering.
 
-    Whether a part fits depends on what was cut before it, so a query's candidate parts
-    (bounded by hubs x top-k) are packed in an Arrow function over one array a query.
+    A hub's title and each of its parts cost their length and 2. The parts of a hub are taken
+    while they fit; the first that does not is cut to what is left and ends the hub. A title
+    that does not fit leaves its hub out. What hubs before have used and numbered is carried
+    from hub to hub as a small table, so every step is a running sum over one hub's rows.
     """
-    labels = labels or {}
-    place = F.array_position(F.array(*map(F.lit, hub_order)), F.col("hub_type"))
-    row = F.struct(place.alias("hub"), "rank", "hub_type", "content", "page_start", "page_end", "legal_context")
-    listed = chunks.where(F.col("hub_type").isin(list(hub_order))).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    @F.pandas_udf("string")
-    def packed(groups):
-        def one(rows):
-            sections, total, number = [], 0, 1
-            for hub in hub_order:
-                mine = [r for r in rows if r["hub_type"] == hub]
-                title = f"=== [{labels.get(hub, hub)}] ==="
-                if not mine or total + len(title) + 2 > budget:
-                    continue
-                lines, used = [title], len(title) + 2
-                for r in mine:
-                    first, last = (("?" if r[k] is None else r[k]) for k in ("page_start", "page_end"))
-                    legal = f" | {r['legal_context']}" if r["legal_context"] else ""
-                    header = f"[Source {number} | Pages {first}-{last}{legal}]"
-                    room = budget - total - used - len(header) - 1 - 2
-                    kept = r["content"][: max(0, room)]
-                    if kept or (room >= 0 and not r["content"]):
-                        lines.append(f"{header}\n{kept}")
-                        used += len(header) + 1 + len(kept) + 2
-                        number += 1
-                    if len(kept) < len(r["content"]):
-                        break
-                text = "\n".join(lines)
-                sections.append(text)
-                total += len(text) + 2
-            return "\n\n".join(sections)
-
-        return groups.map(one)
-
-    return listed.select("query_id", packed("rows").alias("context"))
+    by, carried = ["query_id"], ["_used", "_seen", "context"]
+    state = chunks.where(F.col("hub_type").isin(list(hub_order))).select(*by).distinct()
+    state = state.withColumns({"_used": F.lit(0).cast("long"), "_seen": F.lit(0).cast("long"), "context": F.lit("")})
+    in_order = W.partitionBy(*by).orderBy("rank")
+    for hub in hub_order:
+        title = f"=== [{(labels or {}).get(hub, hub)}] ==="
+        start = F.col("_used") + len(title) + 2
+        rows = state.join(chunks.where(F.col("hub_type") == hub), by, "left")
+        rows = rows.withColumns({"_fits": F.col("rank").isNotNull() & (start <= budget), "n": F.col("_seen") + F.row_number().over(in_order)})
+        rows = rows.withColumn("_header", source_header(F.col("n"), F.col("page_start"), F.col("page_end"), F.col("legal_context")))
+        rows = rows.withColumn("_cost", F.length("_header") + 3 + F.length("content"))
+        rows = rows.withColumn("_end", start + F.sum("_cost").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        # all up to and with the first overflow; the room it leaves is what its text may fill
+        room = F.least(F.length("content"), F.lit(budget) - (F.col("_end") - F.col("_cost")) - F.length("_header") - 3).cast("int")
+        rows = rows.withColumn("_room", room)
+        kept = F.col("_fits") & (F.col("_end") - F.col("_cost") < budget) & ((F.col("_room") > 0) | (F.col("_end") <= budget))
+        line = F.concat(F.lit("\n"), "_header", F.lit("\n"), F.substring(F.col("content"), F.lit(1), F.col("_room")))
+        lines = F.array_sort(F.collect_list(F.when(kept, F.struct("n", line.alias("line")))))  # no more than fits the budget
+        told = rows.groupBy(*by, *carried).agg(
+            F.bool_or("_fits").alias("_titled"),
+            F.coalesce(F.sum(F.when(kept, F.length("_header") + 3 + F.col("_room"))), F.lit(0)).alias("_more"),
+            F.coalesce(F.max(F.when(kept, F.col("n"))), F.col("_seen")).alias("_last"),
+            lines.alias("_lines"),
+        )
+        apart = F.when(F.col("context") == "", "").otherwise("\n\n")
+        section = F.concat("context", apart, F.lit(title), F.array_join(F.transform("_lines", lambda s: s["line"]), ""))
+        state = told.select(
+            *by,
+            F.when(F.col("_titled"), start + F.col("_more")).otherwise(F.col("_used")).alias("_used"),
+            F.col("_last").alias("_seen"),
+            F.when(F.col("_titled"), section).otherwise(F.col("context")).alias("context"),
+        )
+    return state.select(*by, "context")
 
 
 def cited_numbers(answer: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], list[list[float] | None]]
@@ -132,13 +132,6 @@ def formulate_query(question: str, model: Callable[[str], str] | None = None) ->
     return first.query, first.hypothetical
 
 
-def case_keywords(base: str, claims: str | Sequence[str] | None, evidence: str | Sequence[str] | None, roles: Sequence[str] = (), known_roles: Sequence[str] = ()) -> str:
-    """Search words of a case: its type's words, 20 of the claims, 15 of the evidence, known roles."""
-    flat = lambda v: v if isinstance(v, str) else " ".join(map(str, v or []))
-    parts = [base, " ".join(flat(claims).split()[:20]), " ".join(flat(evidence).split()[:15]), *(r for r in roles if r in known_roles)]
-    return " ".join(p for p in parts if p)
-
-
 def merge_facts(known: dict, found: dict) -> dict:
     """Known facts with non-empty new ones put over them."""
     return {**known, **{k: v for k, v in found.items() if v not in (None, "", [], {})}}
@@ -185,10 +178,23 @@ def merged_answers(answers: DataFrame, hub_order: Sequence[str]) -> DataFrame:
     )
 
 
-def fallback_report(title: str, sections: dict[str, str | Sequence[str]]) -> str:
-    """A Markdown report from whatever fields of an analysis could be read."""
-    lines = [f"# {title}"]
-    for name, body in sections.items():
-        if body:
-            lines += ["", f"## {name}", *([body] if isinstance(body, str) else [f"- {x}" for x in body])]
-    return "\n".join(lines)
+def bullets(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def fallback_report(title: Column, sections: dict[str, Column]) -> Column:
+    """A Markdown report from whatever texts of an analysis could be read, by heading; those
+    that are null or empty are left out. Lists go through :func:`bullets`."""
+    parts = [F.when(body != "", F.concat(F.lit(f"## {name}\n"), body)) for name, body in sections.items()]
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), *parts)
+
+
+def streamed(chat: Callable[[str], str]) -> Callable[[str], Iterator[str]]:
+    """A chat model that gives whole answers, as one that gives pieces: one piece."""
+    return lambda prompt: iter((chat(prompt),))
+
+
+def re_embedded(chunks: DataFrame, embedder: Embedder, text: str = "content", key: str = "chunk_id", batch: int = 8) -> DataFrame:
+    """All chunks with new vectors; those with blank text lose theirs."""
+    new = embed_chunks(chunks.drop("embedding"), embedder, text, key, batch)
+    return chunks.drop("embedding").join(new, key, "left")

@@ -60,7 +60,10 @@ def still_valid(expires: Column, now: Column) -> Column:
 
 # --- projections -----------------------------------------------------------------------
 
-RESULT_FIELDS = ("chunk_id", "document_id", "content", "page_start", "page_end", "chunk_index", "legal_context", "relevance_score")
+# fixed values: the columns of a search result
+RESULT_FIELDS = (
+    "chunk_id", "chunk_index", "page_start", "page_end", "content", "relevance_score", "token_count", "metadata", "legal_context",
+)
 #: fixed values: metadata keys shown with a source, and their captions
 CONTEXT_KEYS = ("law_name", "kitab", "bakhsh", "fasl", "madde_raw")
 
@@ -71,6 +74,14 @@ def legal_context(metadata: Column, keys: Sequence[str] = CONTEXT_KEYS) -> Colum
     return F.array_join(present, " | ")
 
 
+def search_results(found: DataFrame) -> DataFrame:
+    """The columns of a search result; those that ``found`` lacks are null, but for the context
+    line, which comes from the metadata."""
+    have = set(found.columns)
+    made = {"legal_context": legal_context(F.col("metadata"))} if "metadata" in have else {}
+    return found.select(*(F.col(c) if c in have else made.get(c, F.lit(None)).alias(c) for c in RESULT_FIELDS))
+
+
 def preview(content: Column, n: int = 200) -> Column:
     return F.substring(content, 1, n)
 
@@ -99,14 +110,15 @@ def cache_key(*parts: Column) -> Column:
 # --- pages and top rows ----------------------------------------------------------------
 
 
-def page(rows: DataFrame, order: Sequence[Column], number: int, size: int, clamp: bool = True) -> DataFrame:
+def page(rows: DataFrame, order: Sequence[Column], number: int, size: int, clamp: bool = True, total: int | None = None) -> DataFrame:
     """One page of an ordered table.
 
     With ``clamp`` a size is brought into 1..100 and a number past the end gives the last
-    page; without, such a page is empty. The rows are counted first: a top-k plan sets
-    aside room for all rows up to its offset, so an offset past the end must not reach it.
+    page; without, such a page is empty. ``total`` is the number of rows, counted here if the
+    caller does not know it: a top-k plan sets aside room for all rows up to its offset, so
+    an offset past the end must not reach it.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     if clamp:
         size = min(100, max(1, size))
         number = min(max(1, number), max(1, -(-total // size)))
@@ -115,6 +127,15 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int, clamp
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def paginated(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> dict:
+    """A page with its surroundings: rows, total, pages, number, and whether others precede or follow."""
+    total, size = rows.count(), min(100, max(1, size))
+    pages = max(1, -(-total // size))
+    number = min(max(1, number), pages)
+    found = page(rows, order, number, size, total=total)
+    return {"rows": found, "total": total, "pages": pages, "page": number, "size": size, "has_next": number < pages, "has_previous": number > 1}
+
+
 def last_per_group(rows: DataFrame, by: Sequence[str], newest: Sequence[Column], n: int) -> DataFrame:
     """The n newest rows of each group, pruned in each partition before the shuffle."""
     w = W.partitionBy(*by).orderBy(*newest)
@@ -148,15 +169,29 @@ def tables_of_chunks(chunks: DataFrame, tables: DataFrame, bucket: int = 16) ->
     return joined.where((F.col("page") >= F.col("page_start")) & (F.col("page") <= F.col("page_end"))).drop("_bucket")
 
 
-def page_as_of(positions: DataFrame, markers: DataFrame, key: str = "document_id") -> DataFrame:
+def page_as_of(positions: DataFrame, markers: DataFrame, key: str = "document_id", bucket: int = 100_000) -> DataFrame:
     """As-of join: for each position the page of the last marker at or before it, else 1.
 
-    Both sides are united and sorted within a document; the last marker seen is carried on.
+    Both sides fall into buckets of ``bucket`` positions, so a long document is many groups.
+    Within one, the last marker seen is carried on; what a bucket ends with is carried to
+    the next ones over a table of a row for each bucket that has markers.
     """
-    left = positions.select(key, F.col("pos"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_page"), F.struct(*positions.columns).alias("_row"))
-    right = markers.select(key, F.col("pos"), F.lit(0).alias("_side"), F.col("page").cast("long").alias("_page"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
-    w = W.partitionBy(key).orderBy("pos", "_side", "_page").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = left.unionByName(right).withColumn("page", F.coalesce(F.last("_page", ignorenulls=True).over(w), F.lit(1)))
+    at = F.expr(f"floor(pos / {bucket})").cast("long").alias("_bucket")
+    left = positions.select(key, at, F.col("pos"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_page"), F.struct(*positions.columns).alias("_row"))
+    right = markers.select(key, at, F.col("pos"), F.lit(0).alias("_side"), F.col("page").cast("long").alias("_page"))
+    ends = right.groupBy(key, "_bucket").agg(F.max(F.struct("pos", "_page"))["_page"].alias("_page"))
+    # a bucket starts with what the last one before it ended with
+    wanted = left.select(key, "_bucket").distinct().withColumn("_page", F.lit(None).cast("long")).withColumn("_asks", F.lit(0))
+    steps = wanted.unionByName(ends.withColumn("_asks", F.lit(1)))
+    over = W.partitionBy(key).orderBy("_bucket", "_asks").rowsBetween(W.unboundedPreceding, W.currentRow)
+    starts = steps.withColumn("_page", F.last("_page", ignorenulls=True).over(over)).where("_asks = 0")
+    lowest = F.lit(None).cast(positions.schema["pos"].dataType)
+    first = starts.select(key, "_bucket", lowest.alias("pos"), F.lit(0).alias("_side"), "_page")
+    none = F.lit(None).cast(left.schema["_row"].dataType).alias("_row")
+    # nulls come first, so what a bucket starts with precedes its own markers
+    w = W.partitionBy(key, "_bucket").orderBy("pos", "_side", "_page").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = left.unionByName(right.unionByName(first).select("*", none))
+    seen = both.withColumn("page", F.coalesce(F.last("_page", ignorenulls=True).over(w), F.lit(1)))
     return seen.where("_side = 1").select("_row.*", "page")
 
 
@@ -219,3 +254,25 @@ def not_running(requests: DataFrame, tasks: DataFrame, key: str = "document_id")
     """Requests for documents that are neither in work nor done."""
     busy = tasks.where(F.col("status").isin("running", "pending", "completed")).select(key).distinct()
     return requests.join(busy, key, "left_anti")
+
+
+def with_failures(rows: DataFrame, failures: DataFrame, key: str, status: str = "status", error: str = "error") -> DataFrame:
+    """Rows whose ``key`` is among ``failures`` (``key, message, at``) become failed.
+
+    The latest message of a key counts. ``error`` and ``completed_at`` are set, other rows
+    and columns stay.
+    """
+    last = failures.groupBy(key).agg(F.max(F.struct("at", "message")).alias("_f"))
+    joined = rows.join(last, key, "left")
+    hit = F.col("_f").isNotNull()
+    new = {status: F.lit("failed"), error: F.col("_f.message"), "completed_at": F.col("_f.at")}
+    names = [*rows.columns, *(c for c in new if c not in rows.columns)]
+    old = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    return joined.select(*((F.when(hit, new[c]).otherwise(old(c)) if c in new else F.col(c)).alias(c) for c in names))
+
+
+def milestone_line(document_id: Column, milestone: Column, extra: Column) -> Column:
+    """``[id] milestone — key=value ...`` for the log of events; ``extra`` is a map, in its order."""
+    pairs = F.transform(F.map_entries(extra), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
+    said = F.when(F.size(extra) > 0, F.concat(F.lit(" — "), F.array_join(pairs, " "))).otherwise("")
+    return F.concat(F.lit("["), document_id.cast("string"), F.lit("] "), milestone, said)

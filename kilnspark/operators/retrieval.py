@@ -8,17 +8,21 @@ predicates are plain filters on the chunk table, so they reach the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let, remove_stop_words, set_similarity, trigrams, words
+from ..functions.text import STOP_WORDS, fts_normalize, fts_normalized, let, set_similarity, trigrams, words
 
 RRF_K = 60
-#: A table of queries beyond this many rows is not broadcast to the chunks.
-BROADCAST_QUERIES = 10_000
+#: A table of queries beyond this many rows or bytes is not broadcast to the chunks.
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 64 << 20
+#: The similarity from which trigrams stand in for a keyword search that finds nothing.
+FALLBACK_SIMILARITY = 0.1
 
 
 def candidate_depth(top_k: int) -> int:
@@ -33,8 +37,10 @@ def top_per_query(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",))
 
 
 def _small(queries: DataFrame) -> DataFrame:
-    """Broadcast the queries if they are few (counted, with a limit so the count is cheap)."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+    """Broadcast the queries if they are few and small (measured over a limited number)."""
+    width = F.sum(F.octet_length(F.to_json(F.struct(*queries.columns))))
+    rows, size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(queries) if rows <= BROADCAST_QUERIES and size <= BROADCAST_BYTES else queries
 
 
 # --- vectors ---------------------------------------------------------------------------
@@ -55,21 +61,37 @@ def checked_width(vector: Sequence[float], width: int) -> list[float]:
     return [float(x) for x in vector]
 
 
+def same_width(a: Column, b: Column, value: Column) -> Column:
+    """``value``, or an error where two vectors that meet have different numbers of components."""
+    message = F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" components"))
+    return F.when(F.size(a) != F.size(b), F.raise_error(message).cast("double")).otherwise(value)
+
+
 def vector_search(chunks: DataFrame, vector: Sequence[float], top_k: int, min_score: float = 0.0, width: int | None = None) -> DataFrame:
     """One query vector: the top k by cosine similarity, nulls left out.
 
-    The query is a literal, so the plan is scan, project, ``TakeOrderedAndProject``.
+    The query is a literal, so the plan is scan, project, ``TakeOrderedAndProject``. A vector
+    of another width than ``width``, by default that of one stored vector, is an error.
     """
-    literal = F.array(*map(F.lit, checked_width(vector, width or len(vector))))
-    scored = chunks.where(F.col("embedding").isNotNull()).withColumn("score", cosine(F.col("embedding"), literal))
-    return scored.where(F.col("score") >= min_score).drop("embedding").orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    held = chunks.where(F.col("embedding").isNotNull())
+    if width is None:
+        one = held.select(F.size("embedding")).first()
+        width = one[0] if one else len(vector)
+    literal = F.array(*map(F.lit, checked_width(vector, width)))
+    score = same_width(F.col("embedding"), literal, cosine(F.col("embedding"), literal))
+    scored = held.withColumn("score", score).where(F.col("score") >= min_score)
+    return scored.drop("embedding").orderBy(F.desc("score"), "chunk_id").limit(top_k)
+
 
+def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int, on: Column, min_score: float = 0.0, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Many queries (``query_id, vector``): the top k of each ``by`` group.
 
-def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int, min_score: float = 0.0, on: Column | None = None, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Many queries (``query_id, vector``): the top k of each ``by`` group; ``on`` scopes queries to chunks."""
+    ``on`` scopes queries to chunks by an equality, such as that of the hub; for queries over
+    all chunks there is no such plan.
+    """
     held = chunks.where(F.col("embedding").isNotNull())
-    paired = held.join(_small(queries), on if on is not None else F.lit(True))
-    scored = paired.withColumn("score", cosine(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
+    score = same_width(F.col("embedding"), F.col("vector"), cosine(F.col("embedding"), F.col("vector")))
+    scored = held.join(_small(queries), on).withColumn("score", score).drop("embedding", "vector")
     return top_per_query(scored.where(F.col("score") >= min_score), top_k, by)
 
 
@@ -81,8 +103,6 @@ def parse_websearch(query: str) -> list[dict]:
 
     ``a "b c" -d or e`` becomes two alternatives. Words are what :func:`words` would find.
     """
-    import re
-
     found, at = [], {"words": [], "phrases": [], "not": []}
     for minus, phrase, word in re.findall(r'(-?)"([^"]*)"|(?<!\S)(-?\S+)', query):
         if phrase:
@@ -135,21 +155,60 @@ def term_rank(tokens: Column, terms: Sequence[str]) -> Column:
     return total / len(terms) if terms else F.lit(0.0)
 
 
-def keyword_search(chunks: DataFrame, query: str, top_k: int, content: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
-    """One query in web-search syntax. A query of stop words only finds nothing."""
-    terms = [w for alt in parse_websearch(query) for w in [*alt["words"], *(x for p in alt["phrases"] for x in p)]]
-    terms = list(dict.fromkeys(t for t in terms if t not in set(stop_words)))
-    tokens = words(F.col(content))
-    hit = matches_websearch(tokens, query) if terms else F.lit(False)
-    return chunks.where(hit).withColumn("score", term_rank(tokens, terms)).orderBy(F.desc("score"), "chunk_id").limit(top_k)
+def searched_text(chunks: DataFrame, content: str) -> Column:
+    """What keyword search reads: the column that :func:`~..sources.sinks.with_search_text`
+    stores, or the content with letters and digits made alike."""
+    return F.col("search_text") if "search_text" in chunks.columns else fts_normalize(F.col(content), unicode_forms=False)
+
 
+def without_stop_words(query: str, stop_words: Sequence[str]) -> str:
+    """The normalised query without its stop words; signs of the syntax stay."""
+    stops = {fts_normalized(w).lower() for w in stop_words}
+    return " ".join(w for w in fts_normalized(query).split() if w.lower() not in stops)
 
-def postings(chunks: DataFrame, content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+
+def query_terms(query: str) -> list[str]:
+    """All words that a web-search query asks for, each once."""
+    asked = [w for alt in parse_websearch(query) for w in [*alt["words"], *(x for p in alt["phrases"] for x in p)]]
+    return list(dict.fromkeys(asked))
+
+
+def keyword_search(chunks: DataFrame, query: str, top_k: int, content: str = "content", stop_words: Sequence[str] = STOP_WORDS, fallback: bool = True) -> DataFrame:
+    """One query: web-search syntax, else all its words, else (``fallback``) trigrams from 0.1 on.
+
+    The query is normalised and loses its stop words first; one that has nothing else finds
+    nothing. A later stage is tried when the one before has no row, which a job with a limit
+    of one row tells. ``score`` is that of the stage.
+    """
+    asked = without_stop_words(query, stop_words)
+    tokens = words(searched_text(chunks, content))
+    plain = re.findall(r"\w+", asked.lower())
+    best = lambda rows: rows.orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    if not plain:
+        return chunks.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    stages = [
+        chunks.where(matches_websearch(tokens, asked)).withColumn("score", term_rank(tokens, query_terms(asked))),
+        chunks.where(matches_websearch(tokens, " ".join(plain))).withColumn("score", term_rank(tokens, list(dict.fromkeys(plain)))),
+    ]
+    for found in stages:
+        if not found.isEmpty():
+            return best(found)
+    if fallback:
+        return trigram_search(chunks, asked, top_k, FALLBACK_SIMILARITY, content)
+    return best(stages[0])
+
+
+def postings(chunks: DataFrame, content: str = "content", keep: Sequence[str] = (), asked: DataFrame | None = None) -> DataFrame:
     """``chunk_id, term, tf`` (and ``keep``): the inverted index as a table.
 
     Written bucketed by ``term`` it serves any number of keyword jobs without a shuffle.
+    With ``asked`` (queries with ``terms``) only their terms are listed: all others go before
+    anything is shuffled.
     """
-    exploded = chunks.select("chunk_id", *keep, F.explode(words(F.col(content))).alias("term"))
+    exploded = chunks.select("chunk_id", *keep, F.explode(words(searched_text(chunks, content))).alias("term"))
+    if asked is not None:
+        wanted = asked.select(F.explode("terms").alias("term")).distinct()
+        exploded = exploded.join(_small(wanted), "term", "left_semi")
     return exploded.groupBy("chunk_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
@@ -189,11 +248,23 @@ def trigram_search(chunks: DataFrame, query: str, top_k: int, min_similarity: fl
 
 
 def trigram_search_many(chunks: DataFrame, queries: DataFrame, min_similarity: float, content: str = "content", keep: Sequence[str] = (), on: Column | None = None) -> DataFrame:
-    """Many queries (``query_id, query``): all pairs that reach ``min_similarity``."""
-    sets = chunks.select("chunk_id", *keep, trigrams(F.col(content)).alias("_grams"))
-    asked = queries.select("query_id", *(c for c in queries.columns if c not in ("query_id", "query")), trigrams(F.col("query")).alias("_asked"))
-    paired = sets.join(_small(asked), on if on is not None else F.lit(True))
-    scored = paired.select("query_id", "chunk_id", *keep, set_similarity(F.col("_grams"), F.col("_asked")).alias("score"))
+    """Many queries (``query_id, query``): all pairs that reach ``min_similarity`` (above 0).
+
+    With ``on``, queries meet the chunks of their scope. Without, chunks and queries meet in
+    the trigrams they share, which are counted, so pairs without a common one never arise.
+    """
+    if min_similarity <= 0:
+        raise ValueError("min_similarity must be above 0")
+    held = chunks.select("chunk_id", *keep, trigrams(F.col(content)).alias("_grams"))
+    asked = queries.withColumn("_asked", trigrams(F.col("query"))).drop("query")
+    if on is not None:
+        score = set_similarity(F.col("_grams"), F.col("_asked"))
+        scored = held.join(_small(asked), on).select("query_id", "chunk_id", *keep, score.alias("score"))
+        return scored.where(F.col("score") >= min_similarity)
+    one = held.select("chunk_id", *keep, F.size("_grams").alias("_n"), F.explode("_grams").alias("_g"))
+    other = asked.select("query_id", F.size("_asked").alias("_m"), F.explode("_asked").alias("_g"))
+    met = one.join(_small(other), "_g").groupBy("query_id", "_m", "chunk_id", *keep, "_n").agg(F.count("*").alias("_both"))
+    scored = met.select("query_id", "chunk_id", *keep, (F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("score"))
     return scored.where(F.col("score") >= min_similarity)
 
 
@@ -225,7 +296,7 @@ def rank_fusion(lists: Sequence[DataFrame], weights: Sequence[float], top_k: int
 
 def hybrid_search(chunks: DataFrame, query_vector: Sequence[float], query_text: str, top_k: int, min_score: float = 0.0,
                   trigram: bool = True, weights: Sequence[float] | None = None, min_similarity: float = 0.2,
-                  content: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
+                  content: str = "content", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """One question over ``chunks`` (already scoped): vector, keyword and trigram lists, fused.
 
     ``min_score`` gates the vector list only.
@@ -241,20 +312,77 @@ def hybrid_search(chunks: DataFrame, query_vector: Sequence[float], query_text:
     return kept.join(F.broadcast(fused), "chunk_id")  # at most top_k rows
 
 
-def multi_hub_search(chunks: DataFrame, questions: DataFrame, top_k: int, hub: str = "hub_type", stop_words: Sequence[str] = ()) -> DataFrame:
-    """All sub-queries of all hubs in one job.
+def asked_for(query: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """The parsed web-search syntax of each query, as a struct of ``alternatives`` (arrays of
+    words, of phrases, of words and phrases that must be absent), ``plain`` words and ``terms``
+    of the rank. Runs over the table of queries only."""
+
+    @F.pandas_udf("alternatives array<struct<words:array<string>,phrases:array<string>,no:array<string>>>, plain array<string>, terms array<string>")
+    def parsed(queries: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q in queries:
+            asked = without_stop_words(q or "", stop_words)
+            found = [{"words": a["words"], "phrases": [" ".join(p) for p in a["phrases"]], "no": a["not"]} for a in parse_websearch(asked)]
+            plain = list(dict.fromkeys(re.findall(r"\w+", asked.lower())))
+            rows.append((found if plain else [], plain, query_terms(asked)))
+        return pd.DataFrame(rows, columns=["alternatives", "plain", "terms"])
+
+    return parsed(query)
+
+
+def holds_all(text: Column, wanted: Column) -> Column:
+    """Whether words or phrases of ``wanted`` all stand in ``text``, words between blanks."""
+    return F.forall(wanted, lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" "))))
+
+
+def keyword_search_many(chunks: DataFrame, queries: DataFrame, top_k: int, on: Column, content: str = "content", keep: Sequence[str] = (), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """:func:`keyword_search` without its trigrams for many queries (``query_id, query``) at
+    once, each over the chunks that ``on`` gives it; ranked per query and ``keep``."""
+    asked = queries.withColumn("_asked", asked_for(F.col("query"), stop_words)).drop("query", "vector")
+    tokens = chunks.select("chunk_id", *keep, words(searched_text(chunks, content)).alias("_tokens"))
+    met = tokens.withColumn("_line", F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))).join(_small(asked), on)
+    hit = F.exists(
+        "_asked.alternatives",
+        lambda a: holds_all(F.col("_line"), a["words"]) & holds_all(F.col("_line"), a["phrases"])
+        & ~F.exists(a["no"], lambda w: F.contains(F.col("_line"), F.concat(F.lit(" "), w, F.lit(" ")))),
+    )
+    every = (F.size("_asked.plain") > 0) & holds_all(F.col("_line"), F.col("_asked.plain"))
+    met = met.withColumn("stage", F.when(hit, 0).when(every, 1)).where(F.col("stage").isNotNull())
+
+    def rank(terms: Column) -> Column:
+        tf = lambda t: F.size(F.filter("_tokens", lambda x: x == t))
+        parts = F.transform(terms, lambda t: tf(t) / (tf(t) + 1))
+        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(terms))
+
+    score = F.when(F.col("stage") == 0, rank(F.col("_asked.terms"))).otherwise(rank(F.col("_asked.plain")))
+    group = ["query_id", *keep]
+    ranked = top_per_query(met.withColumn("score", score).select(*group, "chunk_id", "stage", "score"), top_k, (*group, "stage"))
+    return ranked.drop("rank").withColumn("_first", F.min("stage").over(W.partitionBy(*group))).where("stage = _first").drop("_first", "stage")
+
+
+def multi_hub_search(chunks: DataFrame, questions: DataFrame, top_k: int, hub: str = "hub_type", stop_words: Sequence[str] = STOP_WORDS,
+                     weights: Sequence[float] = (3, 1, 1), min_similarity: float = 0.2) -> DataFrame:
+    """All sub-queries of all hubs in one job: vector, keyword and trigram lists, fused.
 
     ``questions`` has ``query_id``, the hub, ``vector`` and ``query``; each meets only the
-    chunks of its hub (an equi join), lists are ranked and fused per (query, hub).
+    chunks of its hub (an equi join), lists are ranked and fused per (query, hub). A hub in
+    which a query's words find nothing gets its trigram list from 0.1 on as keyword list,
+    unless the query is stop words only.
     """
-    depth = candidate_depth(top_k)
+    depth, group = candidate_depth(top_k), ("query_id", hub)
     asked = questions.withColumnRenamed(hub, "_hub")
-    vectors = vector_search_many(chunks, asked.select("query_id", "_hub", "vector"), depth, on=chunks[hub] == F.col("_hub"), by=("query_id", hub))
-    vectors = vectors.select("query_id", hub, "chunk_id", "score")
-    terms = asked.select(F.struct("query_id", "_hub").alias("query_id"), remove_stop_words(words(F.col("query")), tuple(stop_words)).alias("terms"))
-    found = keyword_matches(postings(chunks, keep=[hub]), terms, keep=[hub]).where(F.col(hub) == F.col("query_id._hub"))
-    keywords = top_per_query(found.select(F.col("query_id.query_id").alias("query_id"), hub, "chunk_id", "score"), depth, ("query_id", hub)).drop("rank")
-    return rank_fusion([vectors, keywords], [3, 1], top_k, ["vector", "keyword"], by=("query_id", hub))
+    in_hub = chunks[hub] == F.col("_hub")
+    vectors = vector_search_many(chunks, asked.select("query_id", "_hub", "vector"), depth, in_hub, by=group).select(*group, "chunk_id", "score")
+    words_of = asked.select("query_id", "_hub", "query")
+    keywords = keyword_search_many(chunks, words_of, depth, in_hub, keep=[hub], stop_words=stop_words)
+    near = trigram_search_many(chunks, words_of, min(FALLBACK_SIMILARITY, min_similarity), keep=[hub], on=F.col(hub) == F.col("_hub"))
+    near = top_per_query(near, depth, group).drop("rank")
+    trigram = near.where(F.col("score") >= min_similarity)
+    real = words_of.where(F.size(asked_for(F.col("query"), stop_words)["plain"]) > 0).select("query_id", F.col("_hub").alias(hub))
+    instead = near.where(F.col("score") >= FALLBACK_SIMILARITY).join(_small(real), list(group), "left_semi")
+    instead = instead.join(keywords.select(*group).distinct(), list(group), "left_anti")
+    lists = [vectors, keywords.unionByName(instead), trigram]
+    return rank_fusion(lists, weights, top_k, ["vector", "keyword", "trigram"], by=group)
 
 
 def relevant_to_case(score: Column, content: Column, keywords: Sequence[str], min_score: float = 0.5) -> Column:

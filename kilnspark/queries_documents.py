@@ -482,22 +482,18 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(files.strip_tags(F.col("html"))).alias("digest"))
 
 
-@query()
-def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables in HTML pages (the supplied pages hold none; tested by exact cases)."""
-    return files.html_tables(table(spark, sf_dir, "pages"))
-
-
 @query("SELECT doc_id, CASE WHEN lower(regexp_extract(source || '.PDF', '\\.([^./]+)$', 1)) <> 'pdf' THEN 'type' WHEN n_chars > 5000 THEN 'size' END AS error FROM documents".replace("\\\\", "\\"))
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", files.upload_error(F.concat("source", F.lit(".PDF")), F.col("n_chars"), max_bytes=5000).alias("error"))
 
 
-@query()
+@query("""SELECT doc_id AS chunk_id, length(text)::BIGINT AS first, (length(text) - length(replace(text, 'e', '')))::BIGINT AS second
+FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')""".replace("\\\\", "\\"))
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batched model calls with an injected (here: counting) embedder."""
     held = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return models.embed_chunks(held, lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
+    made = models.embed_chunks(held, lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]).where("embedding IS NOT NULL")
+    return made.select("chunk_id", F.get("embedding", 0).cast("long").alias("first"), F.get("embedding", 1).cast("long").alias("second"))
 
 
 # --- events ----------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.text import remove_stop_words, set_similarity, trigrams, words
+from .functions.text import DIGITS, PERSIAN_DIGITS, remove_stop_words, set_similarity, trigrams, words
 from .operators import context, relational, retrieval
 from .registry import query, table
 
@@ -82,7 +82,7 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = vectors(spark, sf_dir)
     asked = held.groupBy("label").agg(F.min_by(F.struct("chunk_id", "embedding"), "chunk_id").alias("q"))
     asked = asked.select(F.col("q.chunk_id").alias("query_id"), F.col("q.embedding").alias("vector"), F.col("label").alias("asked"))
-    found = retrieval.vector_search_many(held, asked, 5, on=F.col("label") == F.col("asked"))
+    found = retrieval.vector_search_many(held, asked, 5, F.col("label") == F.col("asked"))
     return rounded(found.select("query_id", "chunk_id", "rank", "score"), "score")
 
 
@@ -90,29 +90,30 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's first two words as a query."""
+    """The words of each benchmark item as a query."""
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_distinct(F.slice(words(F.col("text")), 1, 2)).alias("terms")
+        F.col("item_id").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("terms")
     )
 
 
-_POSTINGS = f"""asked0 AS (SELECT item_id AS query_id, list_slice({WORDS_SQL.format(c='text')}, 1, 2) AS l FROM benchmark),
+_POSTINGS = f"""asked0 AS (SELECT item_id AS query_id, {WORDS_SQL.format(c='text')} AS l FROM benchmark),
 asked AS (SELECT DISTINCT query_id, unnest(l) AS term FROM asked0),
 sizes AS (SELECT query_id, count(*) AS n_terms FROM asked GROUP BY query_id),
 post AS (SELECT chunk_id, term, count(*) AS tf FROM (
   SELECT doc_id AS chunk_id, unnest({WORDS_SQL.format(c='text')}) AS term FROM documents) GROUP BY chunk_id, term),
 hits AS (SELECT a.query_id, p.chunk_id, count(*) AS found, sum(tf / (tf + 1.0::DOUBLE)) AS weight
   FROM asked a JOIN post p ON p.term = a.term GROUP BY a.query_id, p.chunk_id),
-allof AS (SELECT h.query_id, chunk_id, weight / n_terms AS score FROM hits h JOIN sizes s USING (query_id) WHERE found = n_terms),
-anyof AS (SELECT h.query_id, chunk_id, weight / n_terms AS score FROM hits h JOIN sizes s USING (query_id))"""
+allof AS (SELECT h.query_id, chunk_id, round(weight / n_terms, 6) AS score FROM hits h JOIN sizes s USING (query_id) WHERE found = n_terms),
+anyof AS (SELECT h.query_id, chunk_id, round(weight / n_terms, 6) AS score FROM hits h JOIN sizes s USING (query_id))"""
 
 
 @query(f"""WITH {_POSTINGS},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM allof)
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def keyword_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.keyword_matches(retrieval.postings(chunks(spark, sf_dir)), benchmark_terms(spark, sf_dir))
-    return rounded(retrieval.top_per_query(found, 10).select("query_id", "chunk_id", "rank", "score"), "score")
+    asked = benchmark_terms(spark, sf_dir)
+    found = rounded(retrieval.keyword_matches(retrieval.postings(chunks(spark, sf_dir), asked=asked), asked), "score")
+    return retrieval.top_per_query(found, 10).select("query_id", "chunk_id", "rank", "score")
 
 
 @query(f"""WITH t AS (SELECT doc_id AS chunk_id, ' ' || array_to_string({WORDS_SQL.format(c='text')}, ' ') || ' ' AS s FROM documents)
@@ -128,10 +129,60 @@ first AS (SELECT *, min(stage) OVER (PARTITION BY query_id) AS f FROM staged),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM first WHERE stage = f)
 SELECT query_id, chunk_id, CAST(stage AS INTEGER) AS stage, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def keyword_stage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, asked = retrieval.postings(chunks(spark, sf_dir)), benchmark_terms(spark, sf_dir)
-    stages = [retrieval.keyword_matches(index, asked), retrieval.keyword_matches(index, asked, any_term=True)]
+    asked = benchmark_terms(spark, sf_dir)
+    index = retrieval.postings(chunks(spark, sf_dir), asked=asked)
+    stages = [rounded(retrieval.keyword_matches(index, asked, any_term=some), "score") for some in (False, True)]
     found = retrieval.top_per_query(retrieval.first_stage_that_finds(stages), 5)
-    return rounded(found.select("query_id", "chunk_id", "stage", "rank", "score"), "score")
+    return found.select("query_id", "chunk_id", "stage", "rank", "score")
+
+
+def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as short chunks; sizes are written in Persian digits."""
+    size = F.translate(F.col("p_size").cast("string"), DIGITS, PERSIAN_DIGITS)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.concat_ws(" ", "p_name", "p_type", size).alias("content"))
+
+
+def _keyword_sql(where: str, terms: tuple[str, ...]) -> str:
+    """Chunks of parts that match, ranked; the query's digits meet the chunks' as Latin ones."""
+    tf = " + ".join(f"(len(list_filter(w, lambda x: x = '{t}')) / (len(list_filter(w, lambda x: x = '{t}')) + 1.0::DOUBLE))" for t in terms)
+    return f"""WITH c AS (SELECT p_partkey AS chunk_id, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_size), '[\\p{{L}}\\p{{N}}_]+') AS w FROM part)
+SELECT chunk_id, round(({tf}) / {len(terms)}, 6) AS score FROM c WHERE {where} ORDER BY round(({tf}) / {len(terms)}, 6) DESC, chunk_id LIMIT 50"""
+
+
+def _has(word: str) -> str:
+    return f"list_contains(w, '{word}')"
+
+
+@query(_keyword_sql(f"({_has('ring')} AND {_has('12')} AND NOT {_has('red')}) OR contains(' ' || array_to_string(w, ' ') || ' ', ' hot gear ')", ("ring", "12", "hot", "gear")))
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop words go, digits of either script meet, phrases, ``or`` and ``-word`` count."""
+    found = retrieval.keyword_search(part_chunks(spark, sf_dir), 'the ring of 12 -red or "hot gear"', 50, stop_words=STOPS)
+    return rounded(found.select("chunk_id", "score"), "score")
+
+
+@query(_keyword_sql(f"{_has('red')} AND {_has('bolt')}", ("bolt", "red")))
+def keyword_search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No chunk has the phrase, so all of its words are asked for."""
+    found = retrieval.keyword_search(part_chunks(spark, sf_dir), '"bolt red"', 50, stop_words=STOPS)
+    return rounded(found.select("chunk_id", "score"), "score")
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS chunk_id, p_name || ' ' || p_type || ' ' || translate(p_size::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') AS content FROM part),
+a AS (SELECT g FROM ({_grams("(SELECT 0 AS k, 'widgit goldd' AS text)", 'k', 'text')})), g AS ({_grams('c', 'chunk_id', 'content')}),
+n AS (SELECT chunk_id, count(*) AS n, count(*) FILTER (WHERE g IN (SELECT g FROM a)) AS b FROM g GROUP BY chunk_id),
+s AS (SELECT chunk_id, round(b::DOUBLE / (n + (SELECT count(*) FROM a) - b), 6) AS score FROM n)
+SELECT chunk_id, score FROM s WHERE score >= 0.1 ORDER BY score DESC, chunk_id LIMIT 50""")
+def keyword_search_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No word is found, so trigrams from 0.1 on stand in."""
+    found = retrieval.keyword_search(part_chunks(spark, sf_dir), "the widgit goldd", 50, stop_words=STOPS)
+    return rounded(found.select("chunk_id", "score"), "score")
+
+
+@query("SELECT 0 AS chunk_id, 0.0::DOUBLE AS score WHERE false")
+def keyword_search_stop_words_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop words alone find nothing and fall back on nothing."""
+    found = retrieval.keyword_search(part_chunks(spark, sf_dir), "the of", 50, stop_words=STOPS)
+    return found.select("chunk_id", "score")
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest({WORDS_SQL.format(c='text')}) AS t, generate_subscripts({WORDS_SQL.format(c='text')}, 1) AS i FROM documents),
@@ -235,7 +286,7 @@ def _hybrid_sql(scope: str, question: str, terms: tuple[str, ...], depth: int, t
 
 
 def _hybrid(scoped: DataFrame, vector: list[float], question: str, top_k: int) -> DataFrame:
-    found = retrieval.hybrid_search(scoped, vector, question, top_k, min_similarity=0.02)
+    found = retrieval.hybrid_search(scoped, vector, question, top_k, min_similarity=0.02, stop_words=())
     return rounded(found.select("chunk_id", "rank", "relevance_score", "vector_score", "keyword_score", "trigram_score"), "vector_score", "keyword_score", "trigram_score")
 
 
@@ -251,24 +302,45 @@ def hybrid_by_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(scoped, first_vector(spark, sf_dir), "the of", 10)
 
 
-@query(f"""WITH q AS (SELECT lang AS hub, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS v,
-  CASE lang WHEN 'en' THEN 'the' WHEN 'fr' THEN 'en' WHEN 'de' THEN 'der' ELSE 'de' END AS term FROM (SELECT DISTINCT lang FROM documents)),
-c AS (SELECT d.doc_id, d.lang, d.text, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-vs AS (SELECT c.lang AS hub_type, c.doc_id AS chunk_id, {_COS.format(a='c.embedding', b='e.embedding')} AS score
-  FROM c JOIN q ON q.hub = c.lang JOIN embeddings e ON e.vec_id = q.v),
-vr AS (SELECT *, row_number() OVER (PARTITION BY hub_type ORDER BY score DESC, chunk_id) AS r FROM vs WHERE score >= 0),
-kw AS (SELECT lang AS hub_type, doc_id AS chunk_id, count(*) FILTER (WHERE w = term) AS tf
-  FROM (SELECT doc_id, lang, unnest({WORDS_SQL.format(c='text')}) AS w FROM c) JOIN q ON q.hub = lang GROUP BY lang, doc_id),
-ks AS (SELECT hub_type, chunk_id, tf / (tf + 1.0::DOUBLE) AS score FROM kw WHERE tf > 0),
-kr AS (SELECT *, row_number() OVER (PARTITION BY hub_type ORDER BY score DESC, chunk_id) AS r FROM ks),
-u AS (SELECT *, 0 AS src, 3.0::DOUBLE AS w FROM vr WHERE r <= 20 UNION ALL SELECT *, 1 AS src, 1.0::DOUBLE AS w FROM kr WHERE r <= 20),
-f AS (SELECT hub_type, chunk_id, sum(w / (60 + r)) AS total, min(src * 1000000 + r) AS seen FROM u GROUP BY hub_type, chunk_id),
-p AS (SELECT *, row_number() OVER (PARTITION BY hub_type ORDER BY total DESC, seen, chunk_id) AS rank FROM f)
-SELECT hub_type, chunk_id, CAST(rank AS INTEGER) AS rank, round(total, 6) AS relevance_score FROM p WHERE rank <= 5""")
+_ASKED = (("en", 0, "the thing"), ("fr", 1, '"en la" or les'), ("de", 2, "zzdern zzdie"), ("es", 3, "de -zzq"))
+
+
+def _hub_sql(hub: str, vec: int, match: str | None, terms: tuple[str, ...], question: str, depth: int) -> str:
+    """(hub_type, chunk_id, rank, relevance_score) of one hub; without ``match`` trigrams are the keyword list."""
+    docs = f"(SELECT d.*, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.lang = '{hub}')"
+    vector = f"SELECT doc_id AS chunk_id, {_COS.format(a='d.embedding', b='q.embedding')} AS score FROM {docs} d, (SELECT embedding FROM embeddings WHERE vec_id = {vec}) q WHERE score >= 0"
+    grams = f"""SELECT doc_id AS chunk_id, b::DOUBLE / (n + m - b) AS score FROM (
+      SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE g IN (SELECT g FROM ({_grams(f"(SELECT 0 AS k, '{question}' AS text)", 'k', 'text')}))) AS b,
+        (SELECT count(*) FROM ({_grams(f"(SELECT 0 AS k, '{question}' AS text)", 'k', 'text')})) AS m
+      FROM ({_grams(docs, 'doc_id', 'text')}) GROUP BY doc_id)"""
+    tf = " + ".join(f"(len(list_filter(w, lambda x: x = '{t}')) / (len(list_filter(w, lambda x: x = '{t}')) + 1.0::DOUBLE))" for t in terms)
+    found = f"SELECT doc_id AS chunk_id, ({tf}) / {len(terms)} AS score FROM (SELECT doc_id, {WORDS_SQL.format(c='text')} AS w FROM {docs}) WHERE {match}"
+    lists = [(vector, 3), (found if match else f"SELECT * FROM ({grams}) WHERE score >= 0.1", 1), (f"SELECT * FROM ({grams}) WHERE score >= 0.2", 1)]
+    united = " UNION ALL ".join(
+        f"SELECT * FROM (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r, {n} AS src, {w}::DOUBLE AS w FROM ({sql})) WHERE r <= {depth}"
+        for n, (sql, w) in enumerate(lists)
+    )
+    return f"""SELECT '{hub}' AS hub_type, chunk_id, CAST(row_number() OVER (ORDER BY sum(w / (60 + r)) DESC, min(src * 1000000 + r), chunk_id) AS INTEGER) AS rank,
+  round(sum(w / (60 + r)), 6) AS relevance_score FROM ({united}) GROUP BY chunk_id QUALIFY rank <= 5"""
+
+
+def _line(phrase: str) -> str:
+    return f"contains(' ' || array_to_string(w, ' ') || ' ', ' {phrase} ')"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in (
+    _hub_sql("en", 0, f"{_has('the')} AND {_has('thing')}", ("the", "thing"), "the thing", 20),
+    _hub_sql("fr", 1, f"{_line('en la')} OR {_has('les')}", ("en", "la", "les"), '"en la" or les', 20),
+    _hub_sql("de", 2, None, ("zzdern",), "zzdern zzdie", 20),
+    _hub_sql("es", 3, f"{_has('de')} AND NOT {_has('zzq')}", ("de",), "de -zzq", 20),
+)))
 def multi_hub_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("en", 0, "the"), ("fr", 1, "en"), ("de", 2, "der"), ("es", 3, "de")], "hub_type string, v long, query string")
-    asked = asked.join(vectors(spark, sf_dir), F.col("v") == F.col("chunk_id")).select(F.lit(0).alias("query_id"), "hub_type", F.col("embedding").alias("vector"), "query")
-    found = retrieval.multi_hub_search(paired(spark, sf_dir), asked, 5)
+    """Vector, keyword (syntax and fallback) and trigram lists of every hub in one job."""
+    asked = spark.createDataFrame(_ASKED, "hub_type string, v long, query string")
+    asked = asked.join(vectors(spark, sf_dir), F.col("v") == F.col("chunk_id")).select(
+        F.lit(0).alias("query_id"), "hub_type", F.col("embedding").alias("vector"), "query"
+    )
+    found = retrieval.multi_hub_search(paired(spark, sf_dir), asked, 5, stop_words=())
     return found.select("hub_type", "chunk_id", "rank", "relevance_score")
 
 
@@ -316,13 +388,45 @@ def citation_extract_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.resolve_citations(answers, turns).select("query_id", "n", F.col("rank").alias("turn"))
 
 
-@query()
+_HUBS = ("en", "fr", "de", "es")
+
+
+def _global_sql(budget: int) -> str:
+    """Hub after hub, as chained subqueries: what fits, what it costs, where numbers go on."""
+    ctes = [f"""s AS (SELECT d.doc_id, d.lang, d.text AS content, {_COS.format(a='e.embedding', b='q.embedding')} AS score
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0),
+st0 AS (SELECT 0 AS used, 0 AS seen)"""]
+    for i, hub in enumerate(_HUBS):
+        title = f"=== [{hub}] ==="
+        ctes.append(f"""
+r{i} AS (SELECT rank, content, seen + row_number() OVER (ORDER BY rank) AS n, used + {len(title) + 2} AS start
+  FROM k, st{i} WHERE lang = '{hub}' AND rank <= 8 AND used + {len(title) + 2} <= {budget}),
+h{i} AS (SELECT *, '[Source ' || n || ' | Pages 1-2]' AS header, length('[Source ' || n || ' | Pages 1-2]') + 3 + length(content) AS cost FROM r{i}),
+e{i} AS (SELECT *, start + sum(cost) OVER (ORDER BY n) AS stop FROM h{i}),
+p{i} AS (SELECT *, least(length(content), {budget} - (stop - cost) - length(header) - 3) AS room FROM e{i} WHERE stop - cost < {budget}),
+l{i} AS (SELECT * FROM p{i} WHERE room > 0 OR stop <= {budget}),
+st{i + 1} AS (SELECT used + coalesce((SELECT {len(title) + 2} FROM p{i} LIMIT 1), 0) + coalesce((SELECT sum(length(header) + 3 + room) FROM l{i}), 0) AS used,
+  coalesce((SELECT max(n) FROM l{i}), seen) AS seen FROM st{i}),
+t{i} AS (SELECT {i} AS hub, '{title}' || coalesce((SELECT string_agg(chr(10) || header || chr(10) || substring(content, 1, room::BIGINT), '' ORDER BY n) FROM l{i}), '') AS text
+  WHERE EXISTS (SELECT 1 FROM p{i}))""")
+    union = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(_HUBS)))
+    return f"""WITH {', '.join(ctes)}
+SELECT 0 AS query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY hub)) AS digest,
+  CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM ({union})"""
+
+
+@query(_global_sql(16000))
 def global_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Budgeted context over several hubs (a greedy state that SQL cannot carry; tested by hand)."""
-    best = W.partitionBy("lang").orderBy("doc_id")
-    rows = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(best)).where("rank <= 5")
-    rows = rows.select(F.lit(0).alias("query_id"), F.col("lang").alias("hub_type"), "rank", F.col("text").alias("content"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.lit(None).cast("string").alias("legal_context"))
-    return context.build_global_context(rows, ("en", "fr", "de", "es"))
+    """The eight nearest documents of each language, packed into one context."""
+    asked = spark.createDataFrame([(0, hub) for hub in _HUBS], "query_id int, hub string").crossJoin(
+        F.broadcast(vectors(spark, sf_dir).where("chunk_id = 0").select(F.col("embedding").alias("vector")))
+    )
+    rows = paired(spark, sf_dir)
+    found = retrieval.vector_search_many(rows, asked, 8, F.col("hub_type") == F.col("hub"), by=("query_id", "hub_type"))
+    found = found.withColumns({"page_start": F.lit(1), "page_end": F.lit(2), "legal_context": F.lit(None).cast("string")})
+    packed = context.build_global_context(found, _HUBS)
+    return packed.select("query_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("chars"))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part),

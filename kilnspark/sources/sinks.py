@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fts_normalize, normalize
+
+
+def with_search_text(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """Chunks with ``search_text``, the form that keyword search reads, worked out at write.
+
+    Writers call this on every chunk they write or change, so the column follows the content.
+    """
+    return chunks.withColumn("search_text", fts_normalize(F.col(content)))
+
+
+def backfilled(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """All chunks with normalised content and search text; one scan, so none is passed over."""
+    return with_search_text(chunks.withColumn(content, normalize(F.col(content))), content)
+
 
 def append_chunks(chunks: DataFrame, path: str, hub: str = "hub_type") -> None:
     """Append, partitioned by hub; the job commits as a whole."""

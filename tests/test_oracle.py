@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from kilnspark import queries_documents, queries_retrieval  # noqa: F401
+from kilnspark import queries_cases, queries_documents, queries_retrieval  # noqa: F401
 from kilnspark.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
