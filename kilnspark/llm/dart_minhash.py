@@ -179,18 +179,19 @@ _SHINGLERS: dict[int, Shingler] = {}
 
 
 SKETCH_SCHEMA = (
-    "doc_id long, t1 long, t2 long, node binary, n long, bands array<long>, shingles array<int>, counts array<int>"
+    "doc_id long, t1 long, t2 long, node binary, n long, bands array<long>, shingles array<int>, weights array<int>"
 )
 
 
 def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, t1, t2, node, n, bands, shingles, counts`` of each text.
+    """``doc_id, t1, t2, node, n, bands, shingles, weights`` of each text.
 
     ``t1`` and ``t2`` are the key of the text; ``node`` (16 bytes) is a digest of its words,
-    so texts of equal words share it; ``n`` is the number of shingles, repeats counted;
-    ``bands`` are the band hashes (empty without shingles) of the shingles weighted by their
-    counts; ``shingles`` are the low 32 bits of the distinct shingle hashes, ascending, with
-    their ``counts``, for the check.
+    so texts of equal words share it; a shingle that occurs once weighs 1, and 1 more each
+    time its count doubles, so that one run said a thousand times does not make two texts
+    alike; ``n`` is the sum of all weights; ``bands`` are the band hashes (empty without
+    shingles) of the weighted shingles; ``shingles`` are the low 32 bits of the distinct
+    shingle hashes, ascending, with their ``weights``, for the check.
     """
     hasher = DartMinHash(bands * rows)
 
@@ -201,7 +202,8 @@ def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int =
             for text in b.column(3).to_pylist():
                 tokens = sh.tokens(text)
                 nodes.append(hashlib.blake2b(b" ".join(tokens), digest_size=16).digest())
-                sets.append(sh.shingles(tokens))
+                shingles, counts = sh.shingles(tokens)
+                sets.append((shingles, np.frexp(counts)[1]))  # 1 + the whole part of log2
             sizes = np.array([len(s) for s, _ in sets])
             elements = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in sets)])
             weights = np.concatenate([np.zeros(0), *(c for _, c in sets)]).astype(float)
@@ -219,11 +221,10 @@ def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int =
     return id_text(docs).select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
-def _low_bits(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The low 32 bits of the hashes, ascending, and the summed counts of each."""
+def _low_bits(shingles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 32 bits of the hashes, ascending, and the summed weights of each."""
     low, at = np.unique(shingles.astype(np.uint32), return_inverse=True)
-    many = counts if len(low) == len(shingles) and (at[1:] > at[:-1]).all() else np.bincount(at, counts, len(low))
-    return low.view(np.int32), many.astype(np.int32)
+    return low.view(np.int32), np.bincount(at, weights, len(low)).astype(np.int32)
 
 
 def similarity_of(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> float:
@@ -238,9 +239,8 @@ def similarity_of(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray)
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, similarity`` of each pair of nodes (a stored table); ``sets`` has ``node,
-    shingles, counts``, a row a node."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
+    shingles, weights``, a row a node."""
+    left, right = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("weights").alias(f"w{s}")) for s in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -253,7 +253,7 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # the centre of a large group is in as many pairs as the group has members
     both = spread_join(spread_join(pairs, left, ["a"], "inner", by="b"), right, ["b"], "inner", by="a", counted=pairs)
-    return both.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
+    return both.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,55 +292,58 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK = 512
 
 
-def _in_blocks(rows: DataFrame, key: str, members: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` twice, for a join in which every two rows of one ``key`` meet exactly once.
+def _in_blocks(x: DataFrame, y: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables for a join on ``bucket, _i, _j`` in which every row of ``x`` meets every row
+    of ``y`` of its bucket once, and no task more than about ``block`` rows of each.
 
-    A key of many members is cut into groups; the rows of group i are listed under (key, i,
-    j) for every j >= i on one side, under (key, j, i) for every j <= i on the other.
+    Both have ``nx`` and ``ny``, the rows of the bucket in ``x`` and ``y``: the rows of either
+    fall into groups, and go to every group of the other.
     """
-    groups = F.ceil(F.col(members) / block).cast("int")
-    placed = rows.withColumn("_groups", F.greatest(F.lit(1), groups)).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_groups")).cast("int"))
-    x = placed.withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_groups") - 1)))
-    y = placed.withColumnsRenamed({"_i": "_j"}).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
-    return x.drop("_groups", members), y.drop("_groups", members)
+    groups = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), groups(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), groups(n) - 1))
+    return x.withColumn("_i", own("nx")).withColumn("_j", every("ny")), y.withColumn("_j", own("ny")).withColumn("_i", every("nx"))
 
 
-def linked_nodes(sets: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, huge: int = HUGE, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, huge: int = HUGE, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """``node, label``: the components of all pairs of nodes that share a bucket and reach
     ``similarity``; nodes without such a partner may be missing.
 
-    ``sets`` is a stored table of :func:`sketch` with one row a node.
+    ``table`` is a stored table of :func:`sketch`.
 
     1. In every bucket each member is held against one centre: as many pairs as members,
        however large the bucket.
-    2. Members that are linked already need no check between them. Those of different
+    2. Members outside the largest component of their bucket are held against its centre.
+    3. Members that are linked already need no check between them. Those of different
        components are held against each other, save where that is known to fail.
 
     For buckets of more than ``crowd`` members, the shingles of each member that no other
-    such member holds are counted. The rest bounds its overlap with any of them: a member
+    such member holds are weighed. The rest bounds its overlap with any of them: a member
     whose rest is below ``similarity`` of its shingles has no partner, and a pair is none
     if the smaller rest is below the overlap that its sizes ask for. The member with the
-    fewest such shingles, which is the nearest to the origin of a group of copies, is the
+    least of such shingles, which is the nearest to the origin of a group of copies, is the
     centre. In buckets of more than ``huge`` members, the bound leaves out all shingles
     that at most ``rare`` members hold, and pairs that share one of those are found by an
     equality join on it (at most ``rare`` members a key). So members of a large group of
     copies, or sharers of a passage, are not all held against each other, and no pair that
     reaches ``similarity`` is lost. What is left of a large bucket is dealt out in blocks.
     """
-    nodes = sets.where(F.size("bands") > 0)
-    entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     # a bucket of most documents is known by its size, so its entries need not meet at one place
     big = most_frequent(sizes, "members").withColumnRenamed("members", "_big")
     entries = entries.join(big, "bucket", "left")
     spread = F.when(F.col("_big").isNull(), F.col("bucket")).otherwise(F.xxhash64("node", "bucket"))
     found = entries.withColumn("_at", spread).join(sizes.select(F.col("bucket").alias("_at"), "members"), "_at", "left")
     members = F.coalesce("_big", "members")
-    shared = materialize(found.select("bucket", "node", "n", members.alias("members")).where(F.col("members").isNotNull()))
+    shared = materialize(found.select("bucket", "band", "node", "n", members.alias("members")).where(F.col("members").isNotNull()))
 
-    crowded = shared.where(F.col("members") > crowd).groupBy("node").agg((F.max("members") > huge).alias("huge"))
-    held = sets.select("node", F.arrays_zip("shingles", "counts").alias("z")).join(crowded, "node")
-    listed = held.select("node", "huge", F.inline("z").alias("s", "w"))
+    # only nodes that share a bucket matter from here on, each once
+    crowds = shared.groupBy("node").agg(F.max("members").alias("_most"))
+    sets = table.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"), F.first("bands").alias("bands"))
+    sets = materialize(sets.join(crowds, "node"))
+    listed = sets.where(F.col("_most") > crowd).select("node", (F.col("_most") > huge).alias("huge"), F.inline(F.arrays_zip("shingles", "weights")).alias("s", "w"))
     counted = listed.groupBy("s").agg(F.count("*").alias("c"))
     # shingles that most members hold are not rare, so they go before the join
     common = most_frequent(counted.where(F.col("c") > rare), "c").drop("c")
@@ -353,53 +356,80 @@ def linked_nodes(sets: DataFrame, similarity: float = SIMILARITY, crowd: int = C
     # shingles that another member may hold; in huge buckets, those that are not rare
     member = member.withColumns({"rest": F.col("n") - F.col("alone"), "main": F.col("n") - F.when(F.col("members") > huge, F.col("few")).otherwise(F.col("alone"))})
     able = member.where(F.col("rest") >= similarity * (1 - 1e-9) * F.col("n"))
-    able = materialize(able.select("bucket", "node", "n", "members", "alone", "rest", "main"))
+    able = materialize(able.select("bucket", "band", "node", "n", "alone", "rest", "main"))
 
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     overlap = similarity / (1 + similarity) * (1 - 1e-9)
     # of two sets of these sizes and bounds; sizes too far apart cannot reach the similarity
     possible = lambda a, b, by: alike(a("n"), b("n")) & (F.least(a(by), b(by)) >= overlap * (a("n") + b("n")))
-    heads = able.groupBy("bucket").agg(F.min(F.struct("alone", "node", "n", "rest")).alias("head"))
-    stars = spread_join(able, heads, ["bucket"], "inner", by="node").where(
-        (F.col("node") != F.col("head.node")) & possible(F.col, lambda c: F.col(f"head.{c}"), "rest")
-    )
-    stars = materialize(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    star_checks = materialize(checked(stars, sets))
     reach = F.col("similarity") >= similarity
-    labels = materialize(components(star_checks.where(reach).select("a", "b")))
-
-    named = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    open_ = spread_join(named, mixed, ["bucket"], "left_semi", by="node", counted=able)
-    open_ = materialize(open_.select("bucket", "node", "n", "members", "rest", "main", "label"))
-
-    def apart(rows: DataFrame, key: str, by: str) -> DataFrame:
+    centre = F.min(F.struct("alone", "node", "n", "rest")).alias("head")
+
+    def against(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """Pairs of each bucket's head and its members of other labels, save where that is
+        known to fail."""
+        met = spread_join(rows, heads, ["bucket"], "inner", by="node", counted=able)
+        fits = (F.col("label") != F.col("top")) & possible(F.col, lambda c: F.col(f"head.{c}"), "rest")
+        return met.where(fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+
+    def labelled() -> DataFrame:
+        return able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    alone = able.withColumn("label", F.col("node"))
+    heads = able.groupBy("bucket").agg(centre).withColumn("top", F.col("head.node"))
+    first = materialize(checked(materialize(against(alone, heads)), sets))
+    labels = materialize(components(first.where(reach).select("a", "b")))
+
+    named = labelled()
+    centres = named.groupBy("label").agg(centre)
+    largest = named.groupBy("bucket", "label").agg(F.count("*").alias("_c")).groupBy("bucket").agg(F.max(F.struct("_c", "label"))["label"].alias("label"))
+    heads = largest.join(centres, "label").withColumnRenamed("label", "top")
+    others = against(named, heads)
+    pairs = materialize(others.join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    second = materialize(checked(pairs, sets))
+    labels = materialize(joined_labels(labels, second.where(reach).select("a", "b")))
+
+    named = labelled()
+    groups = named.groupBy("bucket", "label").agg(F.count("*").alias("_c")).groupBy("bucket")
+    groups = groups.agg(F.max(F.struct("_c", "label")).alias("_top"), F.sum("_c").alias("ny"), F.count("*").alias("_kinds")).where("_kinds > 1")
+    groups = groups.select("bucket", F.col("_top.label").alias("top"), (F.col("ny") - F.col("_top._c")).alias("nx"), "ny")
+    open_ = spread_join(named, groups, ["bucket"], "inner", by="node", counted=able)
+    earlier = sets.select("node", "bands")
+    open_ = open_.join(earlier, "node").withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
+    open_ = materialize(open_.select("bucket", "node", "n", "rest", "main", "label", "top", "nx", "ny", "before"))
+
+    def apart(x: DataFrame, y: DataFrame, keys: list[str], by: str, once) -> DataFrame:
         """Pairs of members under one key, of different components, that ``by`` does not rule out."""
-        sides = _in_blocks(rows, key, "members", block)
-        x, y = (r.select(key, "_i", "_j", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", by, "label"))) for r, side in zip(sides, "ab"))
-        fits = possible(lambda c: x[f"{c}_a"], lambda c: y[f"{c}_b"], by)
-        # two groups meet in one order only; within a group both orders would come up
-        once = (x["_i"] < x["_j"]) | (x["node_a"] < y["node_b"])
-        same = (x[key] == y[key]) & (x["_i"] == y["_i"]) & (x["_j"] == y["_j"])
-        found = x.join(y, same & once & (x["label_a"] != y["label_b"]) & fits)
-        return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-
+        fits = possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), by) & (F.col("x.label") != F.col("y.label"))
+        same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+        found = x.alias("x").join(y.alias("y"), [*same, fits & once])
+        return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    # the largest component of a bucket need not meet itself; others meet it, and each other
+    # in one order; a pair counts in the first bucket that both are in
+    order = (F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+    new = ~F.exists(F.zip_with("x.before", "y.before", lambda p, q: p == q), lambda same: same)
+    sides = _in_blocks(open_.where("label <> top"), open_, block)
+    pairs = apart(*sides, ["bucket", "_i", "_j"], "main", order & new)
     # a pair in a huge bucket either reaches the overlap without rare shingles or shares one
-    vast = few.where(F.col("huge") & (F.col("c") > 1)).select("s", "node", F.col("c").alias("members"))
     facts = open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "label")), F.min("rest").alias("rest"))
-    by_rare = apart(vast.join(facts, "node").select("s", "node", "n", "members", "rest", "label"), "s", "rest")
-    pairs = apart(open_, "bucket", "main").unionByName(by_rare).distinct()
-    seen = star_checks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"))
-    more = checked(pairs, sets).where(reach)
-    # later links join components, so only those are searched again
+    scarce = few.where(F.col("huge") & (F.col("c") > 1)).select("s", "node").join(facts, "node")
+    by_rare = apart(scarce, scarce, ["s"], "rest", F.col("x.node") < F.col("y.node"))
+    pairs = pairs.unionByName(by_rare).distinct()
+    seen = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = checked(materialize(pairs.join(seen, ["a", "b"], "left_anti")), sets)
+    return joined_labels(labels, more.where(reach).select("a", "b"))
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``labels`` (a stored table of :func:`components`) with further ``links``
+    (a, b): only the components that those join are searched again."""
     for end in "ab":
         ends = labels.select(F.col("node").alias(end), F.col("label").alias("_label"))
-        more = more.join(ends, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
-    joined = materialize(components(more.select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("_label")))
-    whole = spread_join(labels, joined, ["label"], "left", by="node")
-    whole = whole.select("node", F.coalesce("_label", "label").alias("label"))
-    # components of single nodes are in no link yet
+        links = links.join(ends, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    joined = materialize(components(links.select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("_label")))
+    whole = spread_join(labels, joined, ["label"], "left", by="node").select("node", F.coalesce("_label", "label").alias("label"))
+    # nodes that had no link so far
     single = joined.join(labels, joined["label"] == labels["node"], "left_anti")
     return whole.unionByName(single.select(F.col("label").alias("node"), F.col("_label").alias("label")))
 
@@ -414,9 +444,8 @@ def classes_by_row(docs: DataFrame, words: int = WORDS, similarity: float = SIMI
         table = materialize(sketch(docs, words, bands, rows))
         given = materialize(table.select("doc_id", "t1", "t2", "node", "n"))
         least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t1", "t2"))).alias("least")
-        sets = materialize(table.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "shingles", "counts"))))
+        labels = materialize(linked_nodes(table, similarity))
         remove(docs.sparkSession, [table._kiln_path])
-        labels = materialize(linked_nodes(sets, similarity))
         nodes = given.groupBy("node").agg(least).join(labels, "node", "left")
         nodes = materialize(nodes.select("node", F.coalesce("label", "node").alias("label"), "least"))
         classes = nodes.groupBy("label").agg(F.min("least").alias("least"))

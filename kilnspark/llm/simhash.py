@@ -13,15 +13,17 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, slices
+from .common import id_text, materialize, slices, spread_join
 
 BITS = 128
 SHORT = 16
-RADIUS = 3
+#: Bits of 128. Wider radii find more edited copies, but need more or less selective tables.
+RADIUS = 6
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -89,12 +91,34 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _tree(key, cuts: list[int], low: int, high: int):
-    """The number of ``cuts`` at or below ``key``, by a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < F.lit(cuts[mid]), _tree(key, cuts, low, mid)).otherwise(_tree(key, cuts, mid + 1, high))
+#: Buckets of consecutive ids for each shuffle partition.
+BUCKETS = 4
+
+
+class Buckets:
+    """Where a row stands among cuts of the order (id, then hash of the text).
+
+    An id that comes up among the quantiles more than once is frequent; its rows are cut by
+    the hash, which is spread evenly. All is a few numbers for each bucket.
+    """
+
+    def __init__(self, quantiles: list[int]):
+        self.keys, n = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.frequent = bool((n > 1).any())
+        self.first = np.concatenate([[0], np.cumsum(n)])  # cuts before each key's
+        self.splits = n
+        self.heads: np.ndarray = np.zeros(0, np.int64)
+
+    def place(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of cuts at or below each (key, h)."""
+        at = np.searchsorted(self.keys, key, side="right")
+        here = self.first[at]
+        same = (at > 0) & (self.keys[np.maximum(at - 1, 0)] == key) if len(self.keys) else np.zeros(len(key), bool)
+        n = self.splits[at[same] - 1]
+        # the first cut of a key is at its lowest hash, the others divide the range of hashes
+        share = (h[same].astype(float) + 2.0**63) / 2.0**64
+        here[same] -= n - 1 - np.minimum((share * n).astype(np.int64), n - 1)
+        return here
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -103,28 +127,45 @@ def with_next(docs: DataFrame) -> DataFrame:
     Columns ``_bucket, _extra, doc_id, text``; each partition holds whole buckets in order.
     The first row of a bucket is copied to the end of the bucket before it (``_extra`` =
     1), the very first to the end of the last, so no window over all rows is needed. Only
-    the bounds of the buckets, a fixed number for each partition, pass through the driver.
+    the bounds of the buckets, ``BUCKETS`` for each partition, pass through the driver.
     """
+    spark = docs.sparkSession
     rows = id_text(docs).withColumn("_k", F.coalesce("doc_id", F.lit(-(2**63))))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    at = [i / buckets for i in range(1, buckets)]
-    cuts = sorted({int(c) for c in rows.select(F.col("_k").cast("double")).approxQuantile("_k", at, 0.25 / buckets)})
-    placed = rows.withColumn("_bucket", _tree(F.col("_k"), cuts, 0, len(cuts)))
-    heads = {r["_bucket"]: r["_k"] for r in placed.groupBy("_bucket").agg(F.min("_k").alias("_k")).collect()}
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("x"))
-    places = F.array(own)
-    if heads:
-        order = sorted(heads)
-        before = [(heads[b], order[i - 1]) for i, b in enumerate(order)]
-        where = F.create_map(*(F.lit(v) for pair in before for v in pair))
-        copy = F.struct(F.element_at(where, F.col("_k")).alias("b"), F.lit(1).alias("x"))
-        places = F.when(F.col("_k").isin([k for k, _ in before]), F.array(own, copy)).otherwise(places)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = BUCKETS * parts
+    at = [i / n for i in range(1, n)]
+    found = rows.select(F.col("_k").cast("double")).approxQuantile("_k", at, 0.25 / n)
+    buckets = Buckets([min(int(c), 2**63 - 1) for c in found])
+    # texts are hashed for their place only where an id is frequent
+    h = F.xxhash64("text") if buckets.frequent else F.lit(0).cast("long")
+    held = spark.sparkContext.broadcast(buckets)
+
+    @F.pandas_udf("long")
+    def bucket(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(held.value.place(k.to_numpy(), h.to_numpy()))
+
+    heads = rows.select("_k", h.alias("_h"), bucket("_k", h).alias("_bucket")).groupBy("_bucket").agg(F.min(F.struct("_k", "_h")).alias("head"))
+    heads = sorted((r["head"]["_k"], r["head"]["_h"], r["_bucket"]) for r in heads.collect())
+    keys, hashes, own = (np.array(c, np.int64) for c in zip(*heads)) if heads else (np.zeros(0, np.int64),) * 3
+    held_heads = spark.sparkContext.broadcast((keys, hashes, np.roll(own, 1)))
+
+    @F.pandas_udf("array<struct<b:long,x:int>>")
+    def places(k: pd.Series, h: pd.Series) -> pd.Series:
+        """The row's own bucket and, for the first of it, the one before."""
+        keys, hashes, before = held_heads.value
+        k, h = k.to_numpy(), h.to_numpy()
+        own = held.value.place(k, h)
+        out = [[{"b": b, "x": 0}] for b in own.tolist()]
+        low, high = (np.searchsorted(keys, k, side=s) for s in ("left", "right"))
+        for i in np.flatnonzero(low < high):
+            out[i] += [{"b": int(before[j]), "x": 1} for j in range(low[i], high[i]) if hashes[j] == h[i]]
+        return pd.Series(out)
+
     return (
-        placed.select(F.explode(places).alias("_at"), "_k", "doc_id", "text")
-        .select(F.col("_at.b").alias("_bucket"), F.col("_at.x").alias("_extra"), "_k", "doc_id", "text")
+        rows.select(F.explode(places("_k", h)).alias("_at"), "_k", "doc_id", "text")
+        .select(F.col("_at.b").alias("_bucket"), F.col("_at.x").alias("_extra"), "_k", F.xxhash64("text").alias("_h"), "doc_id", "text")
         .repartition(parts, "_bucket")
-        .sortWithinPartitions("_bucket", "_extra", "_k", "text")
+        .sortWithinPartitions("_bucket", "_extra", "_k", "_h", "text")
         .select("_bucket", "_extra", "doc_id", "text")
     )
 
@@ -140,8 +181,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
     The edited text is the text with its last quarter (``n_chars // 4`` code points)
-    replaced by as many first ones of the next document (ascending doc_id, then text; the
-    first follows the last). Null texts are empty; the fingerprint of no terms has no bit
+    replaced by as many first ones of the next document (ascending doc_id, then hash of the
+    text, then text; the first follows the last). Null texts are empty; the fingerprint of no terms has no bit
     set. Null ids come first in the order. Equal texts have equal fingerprints. Repeated
     rows are each other's next. Other columns of ``docs`` play no part.
     """
@@ -176,45 +217,70 @@ def _hexed(high: Column, low: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (high, low))))
 
 
-def _near(marks: DataFrame, radius: int) -> DataFrame:
-    """Pairs of distinct fingerprints as longs (hi_a, lo_a, hi_b, lo_b, distance), a before b."""
+def _tables(marks: DataFrame, radius: int) -> tuple[DataFrame, Column]:
+    """``hi, lo, table, key`` of each distinct fingerprint in every table, and the condition
+    under which two of a key, called ``a`` and ``b``, are a pair of that table.
+
+    The digits fall into radius + 2 blocks, of which at least two are equal in any pair
+    within the radius. There is a table for each two blocks; a pair belongs to the table of
+    its first two equal blocks, so it comes up once although others hold it too.
+    """
     digits, blocks = BITS // 4, radius + 2
     edges = [digits * i // blocks for i in range(blocks + 1)]
-    one = marks.where(F.col("fingerprint").isNotNull())
     high, low = halves(F.col("fingerprint"))
-    one = one.select(high.alias("hi"), low.alias("lo")).distinct()
-    whole = _hexed(F.col("hi"), F.col("lo"))
-    part = lambda i: F.substring(whole, edges[i] + 1, edges[i + 1] - edges[i])
+    one = marks.where(F.col("fingerprint").isNotNull()).select(high.alias("hi"), low.alias("lo")).distinct()
+    masks = []
+    for start, end in itertools.pairwise(edges):
+        mask = (16 ** (end - start) - 1) << 4 * (digits - end)
+        masks.append([F.lit(half - (half >> 63 << 64)).cast("long") for half in (mask >> 64, mask & (1 << 64) - 1)])
+    within = lambda b: (F.col("hi").bitwiseAND(masks[b][0]), F.col("lo").bitwiseAND(masks[b][1]))
     # a hash of two blocks as key is half as wide; it can only add candidates
-    keys = [F.xxhash64(F.lit(i), F.lit(j), part(i), part(j)) for i, j in itertools.combinations(range(blocks), 2)]
-    table = one.select("hi", "lo", F.explode(F.array(*keys)).alias("key"))
-    a, b = (table.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("hi", "lo"))) for side in "ab")
-    before = (F.col("hi_a") < F.col("hi_b")) | ((F.col("hi_a") == F.col("hi_b")) & (F.col("lo_a") < F.col("lo_b")))
-    distance = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-    found = a.join(b, (a["key"] == b["key"]) & before & (distance <= radius))
-    return found.select("hi_a", "lo_a", "hi_b", "lo_b", distance.alias("distance")).distinct()
+    keys = [
+        F.struct(F.lit(1 << i | 1 << j).alias("table"), F.xxhash64(F.lit(i), F.lit(j), *within(i), *within(j)).alias("key"))
+        for i, j in itertools.combinations(range(blocks), 2)
+    ]
+    table = one.select("hi", "lo", F.inline(F.array(*keys)))
+    other = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("hi", "lo")]
+    equal = F.lit(0)
+    for b, mask in enumerate(masks):
+        same = other[0].bitwiseAND(mask[0]).bitwiseOR(other[1].bitwiseAND(mask[1])) == 0
+        equal = equal + F.when(same, 1 << b).otherwise(0)
+    rest = equal.bitwiseAND(equal - 1)  # without the lowest bit
+    first_two = equal - rest.bitwiseAND(rest - 1)
+    pair = (F.col("a.key") == F.col("b.key")) & (_distance() <= radius) & (first_two == F.col("a.table"))
+    return table, pair
+
+
+def _distance() -> Column:
+    return F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
 
 
 def within_radius(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of distinct fingerprints that differ in at most ``radius`` bits.
 
     ``marks`` has a string column ``fingerprint`` (32 hex digits); equal ones count once,
-    nulls never. Returns ``a, b, distance``, each pair once. The digits fall into radius +
-    2 blocks, of which at least two are equal in any such pair, so one table keyed by each
-    two blocks finds them all; the exact distance is checked in the join.
+    nulls never. Returns ``a, b, distance``, each pair once.
     """
-    return _near(marks, radius).select(
-        _hexed(F.col("hi_a"), F.col("lo_a")).alias("a"), _hexed(F.col("hi_b"), F.col("lo_b")).alias("b"), "distance"
+    table, pair = _tables(marks, radius)
+    before = (F.col("a.hi") < F.col("b.hi")) | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo")))
+    return table.alias("a").join(table.alias("b"), pair & before).select(
+        _hexed(F.col("a.hi"), F.col("a.lo")).alias("a"), _hexed(F.col("b.hi"), F.col("b.lo")).alias("b"), _distance().alias("distance")
     )
 
 
+def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fingerprint, n_near``: how many others are within ``radius`` bits, where any are.
+
+    Pairs are counted in the join and never listed.
+    """
+    table, pair = _tables(marks, radius)
+    other = (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("b.lo"))
+    counts = table.alias("a").join(table.alias("b"), pair & other).groupBy("a.hi", "a.lo").agg(F.count("*").alias("n_near"))
+    return counts.select(_hexed(F.col("hi"), F.col("lo")).alias("fingerprint"), "n_near")
+
+
 def simhash_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """:func:`fingerprints` and ``n_near``, the other fingerprints within ``radius`` bits."""
     table = materialize(fingerprints(docs))
-    pairs = _near(table, radius)
-    ends = [pairs.select(F.col(f"hi_{s}").alias("hi"), F.col(f"lo_{s}").alias("lo")) for s in "ab"]
-    links = ends[0].unionByName(ends[1]).groupBy("hi", "lo").agg(F.count("*").alias("n_near"))
-    links = links.select(_hexed(F.col("hi"), F.col("lo")).alias("fingerprint"), "n_near")
-    return table.join(links, "fingerprint", "left").select(
-        *table.columns, F.coalesce("n_near", F.lit(0)).alias("n_near")
-    )
+    joined = spread_join(table, near_counts(table, radius), ["fingerprint"], "left", by="doc_id", small=True)
+    return joined.select(*table.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
