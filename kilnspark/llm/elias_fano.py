@@ -1,40 +1,63 @@
-"""Elias-Fano coded ascending integers with vectorised search, in memory-mapped files."""
+"""Elias-Fano coded ascending integers and packed ones, with vectorised search, in mapped files."""
 
 from __future__ import annotations
 
 import json
 import os
+import tempfile
 
 import numpy as np
+from pyarrow import fs
 
 _U64 = np.uint64
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
-#: Position of the r-th zero bit of a byte (8 if there are fewer).
-_ZERO_AT = np.array(
-    [[next((i for i in range(8) if not b >> i & 1 and r == sum(not b >> j & 1 for j in range(i))), 8) for r in range(8)] for b in range(256)],
-    np.int64,
-)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+_ONES = _BITS.sum(axis=1)
 
 
-def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """All arrays in one file; written aside and renamed, so a retried task does no harm."""
+def _places(bits: np.ndarray) -> np.ndarray:
+    """Place of the r-th set bit of each byte, in row-major order; 8 where there are fewer."""
+    out = np.full((256, 8), 8, np.int64)
+    byte, place = np.nonzero(bits)
+    out[byte, np.cumsum(bits, axis=1)[byte, place] - 1] = place
+    return out
+
+
+_ONE_AT, _ZERO_AT = _places(_BITS), _places(~_BITS)
+
+
+def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """All arrays in one file of any file system that Arrow knows; written aside and renamed,
+    so a retried task does no harm."""
     head, at = {}, 0
     for name, a in arrays.items():
         head[name] = (a.dtype.str, len(a), at)
         at += -(-a.nbytes // 64) * 64
     text = json.dumps(head).encode()
     text += b" " * (-(len(text) + 8) % 64)
+    where, path = fs.FileSystem.from_uri(uri)
+    where.create_dir(os.path.dirname(path))
     aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-    with open(aside, "wb") as out:
+    with where.open_output_stream(aside) as out:
         out.write(len(text).to_bytes(8, "little") + text)
         for a in arrays.values():
             out.write(a.tobytes() + b"\0" * (-a.nbytes % 64))
-    os.replace(aside, path)
-
-
-def load_arrays(path: str) -> dict[str, np.ndarray]:
-    """Views into the memory-mapped file: pages are read when touched."""
-    data = np.memmap(path, np.uint8, "r")
+    where.move(aside, path)
+
+
+def load_arrays(uri: str) -> dict[str, np.ndarray] | None:
+    """Views into the memory-mapped file, whose pages are read when touched; None if there is
+    no such file. A file of an object store is copied once by each worker that asks for it."""
+    where, path = fs.FileSystem.from_uri(uri)
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    if isinstance(where, fs.LocalFileSystem):
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
+    else:
+        with tempfile.TemporaryFile() as copy, where.open_input_stream(path) as given:
+            while part := given.read(1 << 24):
+                copy.write(part)
+            copy.flush()
+            data = np.asarray(np.memmap(copy, np.uint8, "r"))  # the mapping outlives the file's name
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     return {
@@ -55,8 +78,34 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+def packed(words: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
+    """The values at places ``i`` of what :func:`pack_bits` made."""
+    if not width:
+        return np.zeros(len(i), _U64)
+    at = i * width
+    word, shift = at >> 6, (at & 63).astype(_U64)
+    # a shift by 64 is undefined, so shift twice
+    return (words[word] >> shift | words[word + 1] << (_U64(63) - shift) << _U64(1)) & _U64(2**width - 1)
+
+
+def search_packed(words: np.ndarray, width: int, low: np.ndarray, high: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each value its place among the ascending ones at ``low`` to ``high`` (exclusive); -1 if none."""
+    out = np.full(len(want), -1, np.int64)
+    at = np.flatnonzero(low < high)
+    lo, hi, want = low[at], high[at] - 1, want[at]
+    while len(at):
+        mid = (lo + hi) >> 1
+        here = packed(words, width, mid)
+        less = here < want
+        out[at[here == want]] = mid[here == want]
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid - 1)
+        left = (lo <= hi) & (here != want)
+        at, lo, hi, want = at[left], lo[left], hi[left], want[left]
+    return out
+
+
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """Arrays that hold strictly ascending uint64 ``values`` below ``universe``.
+    """Arrays that hold ascending uint64 ``values`` below ``universe``.
 
     The low bits stand side by side; the high parts are one unary bit vector, with the
     zeros before each of its words as a directory.
@@ -82,30 +131,35 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.unary, self.zeros = arrays["low"], arrays["unary"], arrays["zeros"]
         self.n, self.width, self.top = map(int, arrays["shape"])
-        self.bytes = self.unary.view(np.uint8)
+        self.bytes = self.unary.view(np.uint8).reshape(-1, 8)
+        self.ones: np.ndarray | None = None
 
     def _zero(self, rank: np.ndarray) -> np.ndarray:
         """Positions of the zeros of these ranks (from 0) in the unary vector."""
         word = np.searchsorted(self.zeros, rank, side="right") - 1
-        left = rank - self.zeros[word]
-        at = np.full(len(rank), -1, np.int64)
-        for byte in range(8):
-            b = self.bytes[word * 8 + byte]
-            here = 8 - _ONES[b]
-            found = (at < 0) & (left < here)
-            at[found] = word[found] * 64 + byte * 8 + _ZERO_AT[b[found], left[found]]
-            left = left - here
-        return at
+        return self._within(word, rank - self.zeros[word], 8 - _ONES, _ZERO_AT)
+
+    def _one(self, rank: np.ndarray) -> np.ndarray:
+        if self.ones is None:
+            self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        word = np.searchsorted(self.ones, rank, side="right") - 1
+        return self._within(word, rank - self.ones[word], _ONES, _ONE_AT)
+
+    def _within(self, word: np.ndarray, left: np.ndarray, held: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Place of the bit of rank ``left`` in each word: first its byte, then its place there."""
+        b = self.bytes[word]
+        upto = np.cumsum(held[b], axis=1)
+        byte = np.minimum((upto <= left[:, None]).sum(axis=1), 7)
+        row = np.arange(len(word))
+        before = np.where(byte > 0, upto[row, byte - 1], 0)
+        return word * 64 + byte * 8 + places[b[row, byte], np.clip(left - before, 0, 7)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.width:
-            return np.zeros(len(i), _U64)
-        at = i * self.width
-        word, shift = at >> 6, (at & 63).astype(_U64)
-        first = self.low[word] >> shift
-        # a shift by 64 is undefined, so shift twice
-        second = (self.low[word + 1] << (_U64(63) - shift)) << _U64(1)
-        return (first | second) & _U64(2**self.width - 1)
+        return packed(self.low, self.width, i)
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The values at places ``i``."""
+        return (self._one(i) - i) << self.width | self.lows(i).astype(np.int64)
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value at or above each key (n if none), and whether it equals it."""

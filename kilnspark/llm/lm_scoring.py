@@ -5,25 +5,26 @@ discounting, and written as shards of a trie into the shared folder:
 
 * level 1: all words, as sorted 64-bit hashes, with their counts; the place of a word in
   this order, from 1 on, is its id;
-* level 2: all pairs (v, w), as numbers that mix the two ids reversibly;
-* level 3: all triples (u, v, w), relative to their context: rank of (u, v), then id of w.
-
-Each level is Elias-Fano coded, with 16-bit codes of the counts (exact below 32,768), and
-searched by successor queries through memory-mapped files, so a task touches only the
-pages its texts ask for. Nothing is left out: every training token counts at every level,
-whatever the size of the corpus.
-
-``spark.checkpoint.dir`` must name a folder that driver and executors can map (file:).
+* levels 2 and 3: all pairs and triples, in shards by a number that mixes the ids of a pair
+  reversibly. In a shard stand the first words, with monotone pointers to their second
+  words; these, with monotone pointers to the words that follow the pair; and those.
+
+Words of level 1, first words and pointers are Elias-Fano coded; second and third words are
+packed. A pair is found by successor search for its first word and then among that word's
+children only, a triple among the children of its pair. Beside each entry stand 16-bit codes
+of counts (exact below 32,768), of which smoothed probabilities are made. All is searched in
+memory-mapped files, so a task touches only the pages its texts ask for. Nothing is left
+out: every training token counts at every level, whatever the size of the corpus.
+
+The shards lie in ``spark.checkpoint.dir``, on any file system that Arrow knows.
 """
 
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, materialize, shared_dir, slices
-from .elias_fano import EliasFano, encode, load_arrays, save_arrays
+from .common import crc_mod, id_text, materialize, owned, shared_dir, slices
+from .elias_fano import EliasFano, encode, load_arrays, pack_bits, save_arrays, search_packed
 
 #: Words of a smaller share of all training tokens stay at level 1; 0: none do.
 SHARE = 0.0
@@ -75,7 +76,7 @@ def unpaired(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs, and where."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 2**16 else shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
     for a, b in zip(at, [*at[1:], len(order)]):
         yield int(shard[order[a]]), order[a:b]
@@ -251,13 +252,10 @@ class Model:
     def shard(self, name: str, at: int) -> dict | None:
         key = f"{name}-{at}"
         if key not in self._open:
-            path = os.path.join(self.folder, key)
-            arrays = load_arrays(path) if os.path.exists(path) else None
+            arrays = load_arrays(f"{self.folder}/{key}")
             if arrays is not None:
-                for level in ("a", "b", "c"):
-                    if f"{level}.shape" in arrays:
-                        own = {k[2:]: v for k, v in arrays.items() if k.startswith(f"{level}.")}
-                        arrays[level] = EliasFano(own)
+                for level in {k.split(".")[0] for k in arrays if k.endswith(".shape")}:
+                    arrays[level] = EliasFano({k.split(".")[1]: v for k, v in arrays.items() if k.startswith(f"{level}.")})
             self._open[key] = arrays
         return self._open[key]
 
@@ -267,7 +265,7 @@ class Model:
         rest = hashes & np.uint64(2 ** (64 - self.word_bits) - 1)
         for s, own in by_shard(top_bits(hashes, self.word_bits, 64)):
             if (part := self.shard("words", s)) is not None:
-                at, hit = part["a"].successor(rest[own])
+                at, hit = part["words"].successor(rest[own])
                 own, at = own[hit], at[hit]
                 counts[own] = part["counts"][at]
                 ids[own] = self.offsets[s] + at + 1
@@ -296,7 +294,8 @@ class Model:
         at, often = given[full], often[full]
         shard, rank, n, wide_left = (np.zeros(len(ids), t) for t in (np.int64, np.int64, float, float))
         rank[:] = -1
-        shard[at], rank[at], n[at], wide_left[at] = self._level2(pair_keys(v[at], ids[at], self.bits))
+        found, where = np.unique(v[at] << self.bits | ids[at], return_inverse=True)
+        shard[at], rank[at], n[at], wide_left[at] = (x[where] for x in self._level2(found >> self.bits, found & 2**self.bits - 1))
         p[at] += np.where(n[at] > 0, n[at] - self.d2, 0) / often
         # the pair that ends at the token before is the context of the next one of its text
         inner = np.ones(len(ids), bool)
@@ -324,47 +323,52 @@ class Model:
                 kinds[own], used[own] = (part[c][ids[own] % SHARD] for c in ("kinds", "used"))
         return often, (often - used + self.d2 * kinds) / often
 
-    def _level2(self, keys: np.ndarray):
-        """Shard, rank (-1: unseen) and count of pairs, and what share each leaves to level 2."""
-        shard, rank = top_bits(keys, self.gram_bits, 2 * self.bits), np.full(len(keys), -1, np.int64)
-        n, left = np.zeros(len(keys)), np.ones(len(keys))
-        rest = keys & np.uint64(2 ** (2 * self.bits - self.gram_bits) - 1)
+    def _level2(self, v: np.ndarray, w: np.ndarray):
+        """Shard, rank (-1: unseen) and count of pairs, and what share each leaves to level 2.
+
+        Pairs must come in order, by first word.
+        """
+        shard = top_bits(pair_keys(v, w, self.bits), self.gram_bits, 2 * self.bits)
+        rank, n, left = np.full(len(v), -1, np.int64), np.zeros(len(v)), np.ones(len(v))
         for s, own in by_shard(shard):
-            if (part := self.shard("ngrams", s)) is not None:
-                at, hit = part["b"].successor(rest[own])
-                own, at = own[hit], at[hit]
-                rank[own] = at
-                n[own] = decoded(part["n2"][at])
-                left[own] = self.d3 * decoded(part["kinds"][at])
-                if "unused" in part:
-                    left[own] += decoded(part["unused"][at])
-                left[own] /= n[own]
+            if (part := self.shard("ngrams", s)) is None:
+                continue
+            # pairs come by their first word, so each of those is looked for once
+            new = np.diff(v[own], prepend=-1) != 0
+            at, hit = part["first"].successor(v[own][new])
+            start, end = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            start[hit], end[hit] = (part["children"].access(at[hit] + x) for x in (0, 1))
+            of = np.cumsum(new) - 1
+            at = search_packed(part["second"], self.bits, start[of], end[of], w[own].astype(np.uint64))
+            own, at = own[at >= 0], at[at >= 0]
+            rank[own] = at
+            n[own] = decoded(part["n2"][at])
+            left[own] = self.d3 * decoded(part["kinds"][at])
+            if "unused" in part:
+                left[own] += decoded(part["unused"][at])
+            left[own] /= n[own]
         return shard, rank, n, left
 
     def _level3(self, shard: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Counts of the triples of a known pair (by shard and rank) and a word."""
         out = np.zeros(len(ids))
-        keys = rank.astype(np.uint64) << np.uint64(self.bits) | ids.astype(np.uint64)
         for s, own in by_shard(shard):
             part = self.shard("ngrams", s)
-            if part is not None and "c" in part:
-                at, hit = part["c"].successor(keys[own])
-                out[own[hit]] = decoded(part["n3"][at[hit]])
+            if part is not None and "third" in part:
+                start, kinds = part["grandchildren"].access(rank[own]), part["kinds"][rank[own]]
+                end = start + kinds
+                if (many := np.flatnonzero(kinds >= 2**15)).size:  # their number is not exact
+                    end[many] = part["grandchildren"].access(rank[own[many]] + 1)
+                at = search_packed(part["third"], self.bits, start, end, ids[own].astype(np.uint64))
+                out[own[at >= 0]] = decoded(part["n3"][at[at >= 0]])
         return out
 
 
-def _local(uri: str) -> str:
-    parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"spark.checkpoint.dir must be a shared folder that tasks can map, not {uri}")
-    return parts.path
-
-
 def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
     """Count, smooth and write the model of all rows of ``texts`` (column ``text``)."""
     spark = texts.sparkSession
-    folder = os.path.join(_local(shared_dir(spark)), f"trie-{uuid.uuid4().hex}")
-    os.makedirs(folder)
+    folder = owned(f"{shared_dir(spark)}/trie-{uuid.uuid4().hex}")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
     counts = materialize(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -384,10 +388,10 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
         h = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         rest = h[order] & np.uint64(2 ** (64 - word_bits) - 1)
-        arrays = {f"a.{k}": v for k, v in encode(rest, 2 ** (64 - word_bits)).items()}
+        arrays = {f"words.{k}": v for k, v in encode(rest, 2 ** (64 - word_bits)).items()}
         n = table.column("n").to_numpy()[order]
         arrays["counts"] = n.astype(np.uint32 if n.max() < 2**32 else np.uint64)
-        save_arrays(os.path.join(folder, f"words-{key[0].as_py()}"), arrays)
+        save_arrays(f"{folder}/words-{key[0].as_py()}", arrays)
         return pa.table({"shard": [key[0].as_py()], "n": [len(h)]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
 
     top = F.shiftrightunsigned("h", 64 - word_bits).cast("long") if word_bits else F.lit(0).cast("long")
@@ -399,30 +403,37 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
     meta["offsets"] = np.cumsum(sizes) - sizes
     (texts_n,), (end,) = Model(meta).find(np.array([word_hash(END)], np.uint64))
     meta["texts"] = int(texts_n)
-    gram_bits = meta["gram_bits"]
 
     def write_ngrams(key, table):
         parts = [unpack_block(b, n) for b, n in zip(table.column("block").to_pylist(), table.column("size").to_pylist())]
         keys, w, n = summed(*map(np.concatenate, zip(*parts)))
         first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        pairs, pair_n = keys[first], np.add.reduceat(n, first)
-        u, v = unpaired(pairs, bits)
+        pair_n = np.add.reduceat(n, first)
+        u, v = unpaired(keys[first], bits)
+        order = np.lexsort((v, u))  # by first word, then by second
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        u, v, pair_n = u[order], v[order], pair_n[order]
         three = np.flatnonzero(w != meta["none"])
-        triple_n, context = n[three], rank[three]
-        kinds = np.bincount(context, minlength=len(pairs))
+        three = three[np.argsort(place[rank[three]], kind="stable")]  # their words ascend already
+        triple_n, context = n[three], place[rank[three]]
+        kinds = np.bincount(context, minlength=len(u))
         # nothing follows the end of a text, and nothing asks for what does
-        unused = np.where(v == end, 0, pair_n - np.bincount(context, triple_n, len(pairs)).astype(np.int64))
-        width = 2 * bits - gram_bits
-        arrays = {f"b.{k}": v for k, v in encode(pairs & np.uint64(2**width - 1), 2**width).items()}
-        arrays |= {"n2": coded(pair_n), "kinds": coded(kinds)}
+        unused = np.where(v == end, 0, pair_n - np.bincount(context, triple_n, len(u)).astype(np.int64))
+        roots, starts = np.unique(u, return_index=True)
+        levels = {
+            "first": (roots, 2**bits),
+            "children": (np.append(starts, len(u)), len(u) + 1),
+            "grandchildren": (np.append(0, np.cumsum(kinds)), len(three) + 1),
+        }
+        arrays = {f"{name}.{k}": a for name, (x, top) in levels.items() for k, a in encode(x.astype(np.uint64), top).items()}
+        arrays |= {"second": pack_bits(v.astype(np.uint64), bits), "n2": coded(pair_n), "kinds": coded(kinds)}
         if unused.any():
             arrays["unused"] = coded(unused)
         if len(three):
-            relative = context.astype(np.uint64) << np.uint64(bits) | w[three].astype(np.uint64)
-            arrays |= {f"c.{k}": v for k, v in encode(relative, len(pairs) << bits).items()}
-            arrays["n3"] = coded(triple_n)
-        save_arrays(os.path.join(folder, f"ngrams-{key[0].as_py()}"), arrays)
+            arrays |= {"third": pack_bits(w[three].astype(np.uint64), bits), "n3": coded(triple_n)}
+        save_arrays(f"{folder}/ngrams-{key[0].as_py()}", arrays)
         words, at = np.unique(u, return_inverse=True)
         once = [(level, k, int((c == k).sum())) for level, c in ((2, pair_n), (3, triple_n)) for k in (1, 2)]
         columns = [
@@ -446,7 +457,7 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
             x = table.column(name).to_numpy()
             arrays[name] = np.zeros(SHARD, np.uint32 if x.max() < 2**32 else np.uint64)
             arrays[name][at] = x
-        save_arrays(os.path.join(folder, f"contexts-{key[0].as_py()}"), {"kinds": arrays["kinds"], "used": arrays["n"]})
+        save_arrays(f"{folder}/contexts-{key[0].as_py()}", {"kinds": arrays["kinds"], "used": arrays["n"]})
         return pa.table({"shard": [key[0].as_py()], "n": [len(at)]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
 
     by_word = told.where("level = 1").groupBy("word").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n"))
@@ -468,7 +479,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             opened = Model(meta)
             _MODELS[meta["folder"]] = opened, Words(opened.words)
         trie, words = _MODELS[meta["folder"]]
-        for b in slices(batches):
+        for b in slices(batches, 2048):  # the more texts, the more of their pairs are the same
             if not b.num_rows:
                 continue
             flat, starts = flat_tokens(b.column(1).to_pylist())
