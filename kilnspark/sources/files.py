@@ -17,6 +17,47 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
+class BlobStore:
+    """Files under one folder of any Hadoop file system (``file:``, ``hdfs:``, ``s3a:``)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._jvm, self._conf, self.root = spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/")
+
+    def url(self, name: str) -> str:
+        """The full path of ``name``, which must lie under the folder."""
+        if not name or name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"not a name under the folder: {name!r}")
+        return f"{self.root}/{name}"
+
+    def _at(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(self.url(name))
+        return path.getFileSystem(self._conf), path
+
+    def save(self, name: str, data: bytes) -> str:
+        where, path = self._at(name)
+        out = where.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        return self.url(name)
+
+    def open(self, name: str) -> bytes:
+        where, path = self._at(name)
+        if not where.exists(path):
+            raise FileNotFoundError(self.url(name))
+        given = where.open(path)
+        try:
+            return bytes(given.readAllBytes())
+        finally:
+            given.close()
+
+    def delete(self, name: str) -> bool:
+        """Whether there was such a file."""
+        where, path = self._at(name)
+        return where.delete(path, False)
+
+
 def upload_error(name: Column, length: Column, extensions: tuple[str, ...] = ("pdf",), max_bytes: int = 50 * 2**20) -> Column:
     """Why a file is refused: its extension or its size; null if it is not."""
     ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))

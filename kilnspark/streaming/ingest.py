@@ -42,3 +42,17 @@ def latest_state(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     return messages.groupBy(key).agg(
         F.count("*").alias("messages"), F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("last_user")
     )
+
+
+def state_stream(messages: DataFrame, target: str, checkpoint: str, key: str = "conv_id"):
+    """:func:`latest_state` of a stream of messages, kept in Spark's state store.
+
+    After each batch ``target`` holds the state of every conversation that the batch changed
+    under ``batch=<n>``; the highest batch of a conversation is its state.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    changed = latest_state(messages, key).writeStream.outputMode("update")
+    return changed.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
