@@ -288,6 +288,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Nodes, of 16 bytes each, up to which those that share a bucket are broadcast.
+BROADCAST_NODES = 1_000_000
 #: Members of one bucket that meet in one task, at most, in each of the two sides of a block.
 BLOCK = 512
 
@@ -339,9 +341,13 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     members = F.coalesce("_big", "members")
     shared = materialize(found.select("bucket", "band", "node", "n", members.alias("members")).where(F.col("members").isNotNull()))
 
-    # only nodes that share a bucket matter from here on, each once
-    crowds = shared.groupBy("node").agg(F.max("members").alias("_most"))
-    sets = table.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"), F.first("bands").alias("bands"))
+    # only nodes that share a bucket matter from here on, each once; where they are few, the
+    # others go before anything of them is shuffled
+    crowds = materialize(shared.groupBy("node").agg(F.max("members").alias("_most")))
+    held = table.select("node", "shingles", "weights")
+    if crowds.count() <= BROADCAST_NODES:
+        held = held.join(F.broadcast(crowds.select("node")), "node", "left_semi")
+    sets = held.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
     sets = materialize(sets.join(crowds, "node"))
     listed = sets.where(F.col("_most") > crowd).select("node", (F.col("_most") > huge).alias("huge"), F.inline(F.arrays_zip("shingles", "weights")).alias("s", "w"))
     counted = listed.groupBy("s").agg(F.count("*").alias("c"))
@@ -394,8 +400,9 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     groups = groups.agg(F.max(F.struct("_c", "label")).alias("_top"), F.sum("_c").alias("ny"), F.count("*").alias("_kinds")).where("_kinds > 1")
     groups = groups.select("bucket", F.col("_top.label").alias("top"), (F.col("ny") - F.col("_top._c")).alias("nx"), "ny")
     open_ = spread_join(named, groups, ["bucket"], "inner", by="node", counted=able)
-    earlier = sets.select("node", "bands")
-    open_ = open_.join(earlier, "node").withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
+    of_node = shared.groupBy("node").agg(F.collect_list(F.struct("band", "bucket")).alias("_in"))  # one for each band at most
+    earlier = F.transform(F.filter("_in", lambda e: e["band"] < F.col("band")), lambda e: e["bucket"])
+    open_ = open_.join(of_node, "node").withColumn("before", earlier)
     open_ = materialize(open_.select("bucket", "node", "n", "rest", "main", "label", "top", "nx", "ny", "before"))
 
     def apart(x: DataFrame, y: DataFrame, keys: list[str], by: str, once) -> DataFrame:
@@ -408,7 +415,7 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     # the largest component of a bucket need not meet itself; others meet it, and each other
     # in one order; a pair counts in the first bucket that both are in
     order = (F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    new = ~F.exists(F.zip_with("x.before", "y.before", lambda p, q: p == q), lambda same: same)
+    new = ~F.arrays_overlap("x.before", "y.before")
     sides = _in_blocks(open_.where("label <> top"), open_, block)
     pairs = apart(*sides, ["bucket", "_i", "_j"], "main", order & new)
     # a pair in a huge bucket either reaches the overlap without rare shingles or shares one

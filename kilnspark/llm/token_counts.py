@@ -5,7 +5,9 @@ dynamic programming carries the best score and the number of pieces to each posi
 tie rules are those of the unigram tokenizer: among equal scores the piece that starts
 first wins; a character that no single-character piece covers costs ten less than the
 lowest score of the vocabulary and counts as its UTF-8 bytes (byte fallback). Scores are
-added in single precision, as there.
+added in single precision, as there, but each stretch (below) starts anew from 0, where the
+tokenizer goes on adding over the whole text; so ties within a stretch are decided without
+the rounding that a long text before it would bring.
 
 Blanks become the mark U+2581 and one is put before the text. No piece may hold the mark
 after another character (checked), so the best path never crosses from a word into the
@@ -30,11 +32,12 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
-def read_pieces(model_path: str) -> list[tuple[str, float]]:
+def read_pieces(model_path: str, lift: bool = True) -> list[tuple[str, float]]:
     """The normal pieces and scores of a sentencepiece model file.
 
     Pieces that merges never make carry a score of about -1e9, beside which single
-    precision cannot hold other scores; they get the lowest other score, less one.
+    precision cannot hold other scores; with ``lift`` they get the lowest other score, less
+    one, without it the table is used as it is.
     """
     import sentencepiece
 
@@ -45,7 +48,7 @@ def read_pieces(model_path: str) -> list[tuple[str, float]]:
         if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))
     ]
     lowest = min((s for _, s in pieces if s > -1e8), default=0.0)
-    return [(p, s if s > -1e8 else lowest - 1) for p, s in pieces]
+    return [(p, s if s > -1e8 or not lift else lowest - 1) for p, s in pieces]
 
 
 class Counter(dict):
@@ -112,20 +115,21 @@ class Counter(dict):
         return sum(n for n, _ in found), float(sum(s for _, s in found))
 
 
-_COUNTERS: dict[str, Counter] = {}
+_COUNTERS: dict[tuple[str, bool], Counter] = {}
 
 
-def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, lift: bool = True) -> DataFrame:
     """``doc_id, n_tokens, score`` of every whole text; null or empty texts have no tokens.
 
     ``score`` is the sum of the piece scores of the best segmentation. Repeated rows are
-    each counted. Other columns of ``docs`` play no part. One map stage, no shuffle.
+    each counted. Other columns of ``docs`` play no part. ``lift``: see :func:`read_pieces`.
+    One map stage, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _COUNTERS:
-            _COUNTERS[model_path] = Counter(read_pieces(model_path))
-        counter = _COUNTERS[model_path]
+        if (model_path, lift) not in _COUNTERS:
+            _COUNTERS[model_path, lift] = Counter(read_pieces(model_path, lift))
+        counter = _COUNTERS[model_path, lift]
         for b in slices(batches):
             found = [counter.count(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch(
