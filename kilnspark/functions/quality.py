@@ -18,15 +18,17 @@ PERSIAN_LETTERS = "؀-ۿ"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~،؛؟«»"
 
 # fixed values: general function words and words of court documents
-GENERAL_WORDS = tuple(
-    """از به در با برای و که این آن را تا یا اما اگر البته باید شاید ممکن بعد قبل زیر روی بین درباره مثل مانند
-    چون زیرا بنابراین پس خواهد می است شد شود شده دارد داشت کرد کند گفت دهد بود باشند باشد نیز هم حدود سایر
-    غیر""".split()
+GENERAL_WORDS = (
+    "از", "به", "در", "با", "برای", "و", "که", "این", "آن", "را", "تا", "یا", "اما", "اگر", "البته", "باید",
+    "شاید", "ممکن", "بعد", "قبل", "زیر", "روی", "بین", "درباره", "مثل", "مانند", "چون", "زیرا", "بنابراین",
+    "پس", "خواهد", "می", "است", "شد", "شود", "شده", "دارد", "داشت", "کرد", "کند", "گفت", "دهد", "بود", "باشند",
+    "باشد", "نیز", "هم", "حدود", "سایر", "غیر",
 )
-COURT_WORDS = tuple(
-    """دادگاه شعبه خواهان خوانده دادنامه پرونده کلاسه رأی حکم قانون ماده تبصره مصوب الزام محکوم مستند مستندات
-    دلایل ادعا دعوی درخواست اعتراض تجدیدنظر فرجام وکالت وکیل مدعی منع قبول رد ابطال تنفیذ استرداد تامین
-    خسارت هزینه دادرسی کارشناسی کارشناس رای شرح گردش کار مندرج ذیل""".split()
+COURT_WORDS = (
+    "دادگاه", "شعبه", "خواهان", "خوانده", "دادنامه", "پرونده", "کلاسه", "رأی", "حکم", "قانون", "ماده", "تبصره",
+    "مصوب", "الزام", "محکوم", "مستند", "مستندات", "دلایل", "ادعا", "دعوی", "درخواست", "اعتراض", "تجدیدنظر",
+    "فرجام", "وکالت", "وکیل", "مدعی", "منع", "قبول", "رد", "ابطال", "تنفیذ", "استرداد", "تامین", "خسارت",
+    "هزینه", "دادرسی", "کارشناسی", "کارشناس", "رای", "شرح", "گردش", "کار", "مندرج", "ذیل",
 )
 
 

@@ -135,8 +135,10 @@ def fallback_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- upkeep ----------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey AS task_id, CASE WHEN f.k IS NOT NULL THEN 'failed' ELSE o_orderstatus END AS status, f.message AS error, CAST(coalesce(f.at, 0) AS BIGINT) AS completed_at
-FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS at, 'line ' || max(l_linenumber) AS message FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) f ON o_orderkey = f.k""")
+@query("""SELECT o_orderkey AS task_id, CASE
+  WHEN f.k IS NOT NULL THEN 'failed' ELSE o_orderstatus END AS status, f.message AS error, CAST(coalesce(f.at, 0) AS BIGINT) AS completed_at
+FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS at, 'line ' || max(l_linenumber) AS message FROM lineitem
+  WHERE l_returnflag = 'R' GROUP BY l_orderkey) f ON o_orderkey = f.k""")
 def failed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks with failures become failed, with the latest message."""
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"))
@@ -147,7 +149,8 @@ def failed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.with_failures(tasks, failures, "task_id").fillna(0, ["completed_at"])
 
 
-@query("""SELECT event_id, '[' || user_id || '] ' || event_type || CASE WHEN event_id % 2 = 0 THEN ' — id=' || event_id || ' kind=' || event_type ELSE '' END AS line FROM events""")
+@query("""SELECT event_id, '[' || user_id || '] ' || event_type || CASE
+  WHEN event_id % 2 = 0 THEN ' — id=' || event_id || ' kind=' || event_type ELSE '' END AS line FROM events""")
 def milestone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("kind"), F.col("event_type")))
     extra = F.coalesce(extra, F.create_map().cast("map<string,string>"))
@@ -155,7 +158,8 @@ def milestone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS chunk_id, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 THEN length(text) END::BIGINT AS first,
-  CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 THEN length(text) - length(replace(text, 'e', '')) END::BIGINT AS second FROM documents""")
+  CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 THEN length(text) - length(replace(text, 'e', '')) END::BIGINT AS second
+  FROM documents""")
 def re_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors anew, by an embedder that counts letters."""
     held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.array(F.lit(0.0)).alias("embedding"))
@@ -163,7 +167,8 @@ def re_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("chunk_id", F.get("embedding", 0).cast("long").alias("first"), F.get("embedding", 1).cast("long").alias("second"))
 
 
-@query("""SELECT count(*) FILTER (WHERE doc_id % 3 = 0 AND length(trim(coalesce(text, ''))) > 0) AS processed, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) = 0) AS skipped,
+@query("""SELECT count(*) FILTER (WHERE doc_id % 3 = 0
+  AND length(trim(coalesce(text, ''))) > 0) AS processed, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) = 0) AS skipped,
   count(*) FILTER (WHERE doc_id % 3 <> 0 AND length(trim(coalesce(text, ''))) > 0) AS failed FROM documents""")
 def embed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.coalesce("text", F.lit(""))
@@ -186,7 +191,8 @@ def search_text_at_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.with_search_text(rows).select("chunk_id", "search_text")
 
 
-@query("""SELECT doc_id AS chunk_id, 0 AS chunk_index, 1 AS page_start, 2 AS page_end, lang AS content, n_chars / 2.0::DOUBLE AS relevance_score, n_chars AS token_count,
+@query("""SELECT doc_id AS chunk_id, 0 AS chunk_index, 1 AS page_start, 2 AS page_end, lang AS content, n_chars / 2.0::DOUBLE AS relevance_score,
+  n_chars AS token_count,
   source || ' | ' || lang AS legal_context FROM documents""")
 def search_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = F.create_map(F.lit("law_name"), F.col("source"), F.lit("fasl"), F.col("lang"), F.lit("other"), F.lit("x"))
@@ -207,7 +213,8 @@ def header_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id AS chunk_id, 'verdict' AS section_type, 'رأی دادگاه' AS anchor_text, 3 AS sentence_count, true AS has_verdict, true AS has_legislation_ref,
+@query("""SELECT doc_id AS chunk_id, 'verdict' AS section_type, 'رأی دادگاه' AS anchor_text, 3 AS sentence_count, true AS has_verdict,
+  true AS has_legislation_ref,
   'ماده 12,ماده 7' AS refs, 2 AS start_page, CAST(2 + doc_id % 3 AS INTEGER) AS end_page FROM documents""")
 def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.lit("حکم به ماده 12 است. و ماده 7 نیز! ماده 12")

@@ -118,14 +118,16 @@ def anti_join_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.not_yet_imported(rows, existing, "title", "doc_id").select("doc_id")
 
 
-@query("""SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE length(coalesce(text, '')) = 0 OR role = 'system')""")
+@query("""SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations
+  WHERE length(coalesce(text, '')) = 0 OR role = 'system')""")
 def reject_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.col("text")))
     kept, _ = relational.reject_groups_with_empty(rows, "conv_id", "text")
     return kept.select("conv_id", "turn")
 
 
-@query("""WITH c AS (SELECT doc_id AS chunk_id, doc_id % 50 AS document_id, n_chars % 40 + 1 AS page_start, n_chars % 40 + 1 + n_chars % 7 AS page_end FROM documents),
+@query("""WITH c AS (SELECT doc_id AS chunk_id, doc_id % 50 AS document_id, n_chars % 40 + 1 AS page_start,
+  n_chars % 40 + 1 + n_chars % 7 AS page_end FROM documents),
 t AS (SELECT page_id AS table_id, page_id % 50 AS document_id, page_id % 41 + 1 AS page FROM pages)
 SELECT chunk_id, table_id FROM c JOIN t ON c.document_id = t.document_id AND page BETWEEN page_start AND page_end""")
 def range_join_tables_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +191,8 @@ def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.last_per_group(table(spark, sf_dir, "conversations"), ["conv_id"], [F.desc("turn")], 6).select("conv_id", "turn")
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'signup') WHERE n = 1")
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n
+  FROM events WHERE event_type = 'signup') WHERE n = 1""")
 def latest_pending_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     pending = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
     return relational.last_per_group(pending, ["user_id"], [F.desc("ts"), F.desc("event_id")], 1).select("user_id", "event_id")
@@ -206,7 +209,8 @@ def section_spans_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_spans(anchors, "o_custkey").select("o_custkey", "pos", F.col("end").alias("stop"))
 
 
-@query("""WITH g AS (SELECT o_custkey, year(o_orderdate) AS y, lead(year(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - year(o_orderdate) AS step FROM orders)
+@query("""WITH g AS (SELECT o_custkey, year(o_orderdate) AS y, lead(year(o_orderdate)) OVER (PARTITION BY o_custkey
+  ORDER BY o_orderkey) - year(o_orderdate) AS step FROM orders)
 SELECT o_custkey, count(*) FILTER (WHERE step > 2) AS gaps, count(*) FILTER (WHERE step < 0) AS descents FROM g GROUP BY o_custkey""")
 def article_gap_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").cast("long").alias("y"))))
@@ -224,7 +228,8 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.groupBy("user_id").agg(relational.display_status(F.col("status")).alias("status"), relational.overall_progress(F.col("progress")).alias("progress"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND user_id % 3 = 0 THEN 'failed' WHEN event_type IN ('click', 'view') AND user_id % 3 = 1 THEN 'cancelled' ELSE event_type END AS status FROM events""")
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND user_id % 3 = 0 THEN 'failed' WHEN event_type IN ('click', 'view')
+  AND user_id % 3 = 1 THEN 'cancelled' ELSE event_type END AS status FROM events""")
 def task_healing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "pending").otherwise(F.col("event_type"))
@@ -257,7 +262,8 @@ def upsert_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], "event_id")
 
 
-@query("SELECT conv_id, CAST(coalesce(sum(length(coalesce(text, ''))) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS completion, CAST(coalesce(sum(length(coalesce(text, ''))) FILTER (WHERE role <> 'assistant'), 0) AS BIGINT) AS prompt FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, CAST(coalesce(sum(length(coalesce(text, ''))) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS completion,
+  CAST(coalesce(sum(length(coalesce(text, ''))) FILTER (WHERE role <> 'assistant'), 0) AS BIGINT) AS prompt FROM conversations GROUP BY conv_id""")
 def token_usage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit(""))).cast("long")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
@@ -270,7 +276,8 @@ def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") < 200).alias("short"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty"))
 
 
-@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(toxic, doc_id % 3, 0), doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id)) WHERE n <= 5")
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source
+  ORDER BY coalesce(toxic, doc_id % 3, 0), doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id)) WHERE n <= 5""")
 def nullable_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return relational.last_per_group(rows, ["source"], [F.coalesce("toxic", F.col("doc_id") % 3, F.lit(0)), F.asc("doc_id")], 5).select("source", "doc_id")
@@ -296,32 +303,38 @@ _LETTERS = "regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')"
 
 
 @query(f"""WITH {_TOKENS}
-SELECT d.doc_id, round(coalesce(count(t) FILTER (WHERE t IN {_IN})::DOUBLE / nullif(count(t), 0), 0), 6) AS ratio FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id""")
+SELECT d.doc_id, round(coalesce(count(t) FILTER (WHERE t IN {_IN})::DOUBLE / nullif(count(t), 0), 0), 6) AS ratio FROM documents d LEFT
+  JOIN tok USING (doc_id) GROUP BY d.doc_id""")
 def stopword_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.round(quality.stopword_ratio(F.col("text"), _STOPS), 6).alias("ratio"))
 
 
 @query(rf"""WITH {_TOKENS}, l AS (SELECT doc_id, trim(t, '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~،؛؟«»') AS b FROM tok WHERE regexp_matches(t, '[a-z]'))
-SELECT d.doc_id, round(coalesce(count(b) FILTER (WHERE b IN {_IN})::DOUBLE / nullif(count(b), 0), 0), 6) AS validity FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""")
+SELECT d.doc_id, round(coalesce(count(b) FILTER (WHERE b IN {_IN})::DOUBLE / nullif(count(b), 0), 0), 6) AS validity FROM documents d LEFT
+  JOIN l USING (doc_id) GROUP BY d.doc_id""")
 def lexicon_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.round(quality.lexicon_validity(F.col("text"), _STOPS, LATIN), 6).alias("validity"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_LETTERS} AS s FROM documents), p AS (SELECT doc_id, substring(s, i, 2) AS p FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 1)) AS i FROM s))
-SELECT d.doc_id, round(coalesce(count(p) FILTER (WHERE p IN {_PAIRS_IN})::DOUBLE / nullif(count(p), 0), 1), 6) AS plausibility FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""")
+@query(f"""WITH s AS (SELECT doc_id, {_LETTERS} AS s FROM documents), p AS (SELECT doc_id, substring(s, i, 2) AS p
+  FROM (SELECT doc_id, s, unnest(generate_series(1, length(s) - 1)) AS i FROM s))
+SELECT d.doc_id, round(coalesce(count(p) FILTER (WHERE p IN {_PAIRS_IN})::DOUBLE / nullif(count(p), 0), 1), 6) AS plausibility
+  FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""")
 def bigram_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.round(quality.pair_plausibility(F.col("text"), _PAIRS, LATIN), 6).alias("plausibility"))
 
 
 @query("""WITH s AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')) AS n,
   length(regexp_replace(regexp_replace(coalesce(text, ''), '[a-z]{2,}', ' ', 'g'), '[^a-z]', '', 'g')) AS alone FROM documents)
-SELECT doc_id, round(CASE WHEN n = 0 THEN 1 ELSE (n - alone)::DOUBLE / n END, 6) AS connected, round(CASE WHEN n = 0 THEN 0 ELSE 1 - (n - alone)::DOUBLE / n END, 6) AS isolated FROM s""")
+SELECT doc_id, round(CASE WHEN n = 0 THEN 1 ELSE (n - alone)::DOUBLE / n END, 6) AS connected, round(CASE
+  WHEN n = 0 THEN 0 ELSE 1 - (n - alone)::DOUBLE / n END, 6) AS isolated FROM s""")
 def rtl_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return docs(spark, sf_dir).select("doc_id", F.round(quality.connected_share(c, LATIN), 6).alias("connected"), F.round(quality.isolated_share(c, LATIN), 6).alias("isolated"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_LETTERS} AS s FROM documents), c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(s, '')) AS ch FROM s) WHERE ch <> '' GROUP BY doc_id, ch),
+@query(f"""WITH s AS (SELECT doc_id, {_LETTERS} AS s FROM documents), c AS (SELECT doc_id, ch, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split(s, '')) AS ch FROM s) WHERE ch <> '' GROUP BY doc_id, ch),
 e AS (SELECT doc_id, -sum(n::DOUBLE / t * log2(n::DOUBLE / t)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(h, 0), 6) + 0.0 AS entropy FROM documents d LEFT JOIN e USING (doc_id)""")
 def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +342,8 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {_TOKENS}, l AS (SELECT doc_id, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n FROM tok WHERE regexp_matches(t, '[a-z]'))
-SELECT d.doc_id, round(coalesce(count(n) FILTER (WHERE n = 1)::DOUBLE / nullif(count(n), 0), 0), 6) AS ratio FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""")
+SELECT d.doc_id, round(coalesce(count(n) FILTER (WHERE n = 1)::DOUBLE / nullif(count(n), 0), 0), 6) AS ratio FROM documents d LEFT
+  JOIN l USING (doc_id) GROUP BY d.doc_id""")
 def shattered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.round(quality.shattered_ratio(F.col("text"), LATIN), 6).alias("ratio"))
 
@@ -341,7 +355,8 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", quality.repeated_lines(F.col("text")).cast("int").alias("repeated"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, count(DISTINCT ch) AS u FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id)
+@query(r"""WITH c AS (SELECT doc_id, count(DISTINCT ch) AS u FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents)
+  WHERE ch <> '' GROUP BY doc_id)
 SELECT d.doc_id, round(CASE WHEN NOT regexp_matches(coalesce(text, ''), '\S') THEN 0 ELSE 0.4::DOUBLE * least(length(regexp_replace(text, '[^a-z]', '', 'g')) / 100.0::DOUBLE, 1)
   + 0.3::DOUBLE * least(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) / 500.0::DOUBLE, 1) + 0.3::DOUBLE * least(coalesce(u, 0) / 50.0::DOUBLE, 1) END, 6) AS quality
 FROM documents d LEFT JOIN c USING (doc_id)""")
@@ -351,7 +366,8 @@ def output_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\n$', ''), chr(10))) AS x FROM documents),
 n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(x, '[.…]{3,}') OR regexp_matches(x, '[0-9]\s*$')) AS s FROM l GROUP BY doc_id)
-SELECT doc_id, regexp_matches(substring(coalesce(text, ''), 1, 300), 'the|Der|La') AND s >= 1 AND s / n::DOUBLE >= 0.05 AS toc FROM documents JOIN n USING (doc_id)""")
+SELECT doc_id, regexp_matches(substring(coalesce(text, ''), 1, 300), 'the|Der|La') AND s >= 1 AND s / n::DOUBLE >= 0.05 AS toc FROM documents
+  JOIN n USING (doc_id)""")
 def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = quality.is_table_of_contents(F.col("text"), titles=("the", "Der", "La"), min_lines=1, min_ratio=0.05)
     return docs(spark, sf_dir).select("doc_id", flag.alias("toc"))
@@ -418,8 +434,10 @@ def article_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = "p_name AS a, p_type AS b, nullif(p_brand, 'Brand#17') AS c"
 
 
-@query("""WITH r AS (SELECT p_partkey, p_name AS a, coalesce(nullif(p_type, 'ECONOMY'), '') AS b FROM part), w AS (SELECT *, greatest(length(a), 4) AS wa, greatest(length(b), 4) AS wb FROM r)
-SELECT p_partkey, '| ' || rpad('name', CAST(wa AS INTEGER), ' ') || ' | ' || rpad('kind', CAST(wb AS INTEGER), ' ') || ' |' || chr(10) || '| ' || repeat('-', CAST(wa AS INTEGER)) || ' | ' || repeat('-', CAST(wb AS INTEGER)) || ' |'
+@query("""WITH r AS (SELECT p_partkey, p_name AS a, coalesce(nullif(p_type, 'ECONOMY'), '') AS b
+  FROM part), w AS (SELECT *, greatest(length(a), 4) AS wa, greatest(length(b), 4) AS wb FROM r)
+SELECT p_partkey, '| ' || rpad('name', CAST(wa AS INTEGER), ' ') || ' | ' || rpad('kind',
+  CAST(wb AS INTEGER), ' ') || ' |' || chr(10) || '| ' || repeat('-', CAST(wa AS INTEGER)) || ' | ' || repeat('-', CAST(wb AS INTEGER)) || ' |'
   || chr(10) || '| ' || rpad(a, CAST(wa AS INTEGER), ' ') || ' | ' || rpad(b, CAST(wb AS INTEGER), ' ') || ' |' AS markdown FROM w""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(F.array(F.lit("name"), F.lit("kind")), F.array(F.col("p_name"), F.nullif("p_type", F.lit("ECONOMY"))))
@@ -465,7 +483,8 @@ def probability_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", jsontext.probability(said).alias("p"))
 
 
-@query("""WITH s AS (SELECT doc_id, contains(lower(text), 'the')::INT + contains(lower(text), 'and')::INT AS a, contains(lower(text), 'der')::INT + contains(lower(text), 'zu')::INT AS b, contains(lower(text), 'que')::INT AS c FROM documents)
+@query("""WITH s AS (SELECT doc_id, contains(lower(text), 'the')::INT + contains(lower(text), 'and')::INT AS a,
+  contains(lower(text), 'der')::INT + contains(lower(text), 'zu')::INT AS b, contains(lower(text), 'que')::INT AS c FROM documents)
 SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a = greatest(a, b, c) THEN 'x' WHEN b = greatest(a, b, c) THEN 'y' ELSE 'z' END AS hub FROM s""")
 def hub_inference_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", json_documents.hub_by_words(F.col("text"), {"x": ("the", "and"), "y": ("der", "zu"), "z": ("que",)}).alias("hub"))

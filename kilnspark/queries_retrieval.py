@@ -278,7 +278,8 @@ def _hybrid_sql(scope: str, question: str, terms: tuple[str, ...], depth: int, t
       SELECT doc_id AS chunk_id, ({tf}) / {len(terms)} AS score FROM (SELECT doc_id, unnest({WORDS_SQL.format(c='text')}) AS w FROM {docs})
       GROUP BY doc_id HAVING {has}) ORDER BY score DESC, chunk_id LIMIT {depth}"""
     trigram = f"""SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM (
-      SELECT doc_id AS chunk_id, count(*) FILTER (WHERE g IN (SELECT g FROM asked))::DOUBLE / (count(*) + (SELECT count(*) FROM asked) - count(*) FILTER (WHERE g IN (SELECT g FROM asked))) AS score
+      SELECT doc_id AS chunk_id, count(*) FILTER (WHERE g IN (SELECT g FROM asked))::DOUBLE / (count(*) + (SELECT count(*)
+  FROM asked) - count(*) FILTER (WHERE g IN (SELECT g FROM asked))) AS score
       FROM ({_grams(docs, 'doc_id', 'text')}) GROUP BY doc_id) WHERE score >= 0.02 ORDER BY score DESC, chunk_id LIMIT {depth}"""
     asked = f"asked AS (SELECT g FROM ({_grams(f'''(SELECT 0 AS k, '{question}' AS text)''', 'k', 'text')})), "
     sql = _fusion_sql({"vector": (vector, 3), "keyword": (keyword, 1), "trigram": (trigram, 1)}, top_k)
@@ -408,7 +409,8 @@ p{i} AS (SELECT *, least(length(content), {budget} - (stop - cost) - length(head
 l{i} AS (SELECT * FROM p{i} WHERE room > 0 OR stop <= {budget}),
 st{i + 1} AS (SELECT used + coalesce((SELECT {len(title) + 2} FROM p{i} LIMIT 1), 0) + coalesce((SELECT sum(length(header) + 3 + room) FROM l{i}), 0) AS used,
   coalesce((SELECT max(n) FROM l{i}), seen) AS seen FROM st{i}),
-t{i} AS (SELECT {i} AS hub, '{title}' || coalesce((SELECT string_agg(chr(10) || header || chr(10) || substring(content, 1, room::BIGINT), '' ORDER BY n) FROM l{i}), '') AS text
+t{i} AS (SELECT {i} AS hub, '{title}' || coalesce((SELECT string_agg(chr(10) || header || chr(10) || substring(content, 1, room::BIGINT), ''
+  ORDER BY n) FROM l{i}), '') AS text
   WHERE EXISTS (SELECT 1 FROM p{i}))""")
     union = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(_HUBS)))
     return f"""WITH {', '.join(ctes)}
