@@ -29,6 +29,28 @@ def test_equal_to_library(spark, pieces, library):
     assert [counter.count(w)[0] for w in words] == [len(library.encode(w)) for w in words]
 
 
+def test_whole_texts_equal_the_library(spark, pieces, library):
+    """Counts and scores of whole documents; the library's score is the sum over its pieces."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    score = dict(pieces)
+    lowest = min(score.values()) - 10
+    for r in count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect():
+        found = library.encode(text[r.doc_id], out_type=str)
+        assert r.n_tokens == len(found), r.doc_id
+        known = [p for p in found if p in score]
+        if len(known) == len(found):
+            assert r.score == pytest.approx(sum(score[p] for p in known)), r.doc_id
+        else:
+            assert r.score <= sum(score[p] for p in known) + lowest
+
+
+def test_scores_can_be_left_as_they_are(pieces):
+    given = dict(read_pieces(public_tokenizers.path("piece_bpe_32k.model"), lift=False))
+    lifted = dict(pieces)
+    assert given.keys() == lifted.keys() and all(lifted[p] == s for p, s in given.items() if s > -1e8)
+
+
 def test_ties_go_to_the_piece_that_starts_first():
     counter = Counter([(MARK, -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("bc", -1.0), ("c", -1.0)])
     assert counter.solve("ab") == (1, -2.0)
