@@ -53,6 +53,33 @@ def anchor_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("part_key", text.anchor_form(F.col("said")).alias("form"))
 
 
+def _named(step) -> str:
+    return getattr(step, "__name__", "nfkc")
+
+
+_STEPS = [
+    (text.fix_ligatures, "وکالی دالیل عالوه", "وکلای دلایل علاوه"),
+    (text.rejoin_dates, "1376/\n01/15 ۱۳۷۶-\n۰۱-۱۵", "1376/01/15 ۱۳۷۶-۰۱-۱۵"),
+    (text.strip_tatweel, "قـانون", "قانون"),
+    (text.to_persian, "كتابي", "کتابی"),
+    (text.fix_half_spaces, "می روم کتاب اش", "می‌روم کتاب‌اش"),
+    (text.strip_controls, "a\u200bc\u200cd\te", "acd\te"),
+    (text.tidy, "  a\n\n\n\nb    c \n", "a\n\nb c"),
+    (text.nfkc, "ﬁ²", "fi2"),
+    (text.fts_normalize, "ماده‌۲۲ كتاب", "ماده 22 کتاب"),
+    (text.normalize, "  كتابـي\u200b ﬁ\n\n\n\nمی روم ", "کتابی fi\n\nمی‌روم"),
+]
+
+
+@query(expected_sql("step, made", [(_named(f), made) for f, _, made in _STEPS]))
+def normalisation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each step of the normalisation on a text of its own."""
+    turn, made, name = F.col("p_partkey") % len(_STEPS), F, F
+    for i, (step, given, _) in enumerate(_STEPS):
+        made, name = made.when(turn == i, step(F.lit(given))), name.when(turn == i, _named(step))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), name.alias("step"), made.alias("made"))
+
+
 @query(expected_sql("kind", [("verdict",), ("minutes",), ("article",), ("text",)]))
 def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given_texts(spark, sf_dir, ["رأي دادگاه", "صورت جلسه", "مادّه ۱۲", "سایر"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import jsontext, quality, tables, text
 from .operators import chunking, models, relational
 from .queries_retrieval import WORDS_SQL
-from .registry import query, table
+from .registry import SQL, query, table
 from .sources import files, json_documents, sinks
 from .streaming import ingest
 
@@ -342,10 +344,12 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {_TOKENS}, l AS (SELECT doc_id, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n FROM tok WHERE regexp_matches(t, '[a-z]'))
-SELECT d.doc_id, round(coalesce(count(n) FILTER (WHERE n = 1)::DOUBLE / nullif(count(n), 0), 0), 6) AS ratio FROM documents d LEFT
+SELECT d.doc_id, round(coalesce(count(n) FILTER (WHERE n = 1)::DOUBLE / nullif(count(n), 0), 0), 6) AS ratio,
+  coalesce(count(n) FILTER (WHERE n = 1)::DOUBLE / nullif(count(n), 0), 0) > 0.01 AS shattered FROM documents d LEFT
   JOIN l USING (doc_id) GROUP BY d.doc_id""")
 def shattered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.round(quality.shattered_ratio(F.col("text"), LATIN), 6).alias("ratio"))
+    c = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", F.round(quality.shattered_ratio(c, LATIN), 6).alias("ratio"), quality.is_shattered(c, LATIN, 0.01).alias("shattered"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, x FROM (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS x FROM documents) WHERE x <> ''),
@@ -373,12 +377,29 @@ def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", flag.alias("toc"))
 
 
-@query()
+def _unrounded(name: str) -> str:
+    """The SQL of a signal, its value as it is."""
+    return re.sub(r"round\((.*?), 6\)( \+ 0\.0)? AS", r"\1 AS", SQL[name], flags=re.S)
+
+
+_SIGNALS = {
+    "ratio": ("stopword_ratio", "0.30 * ratio"),
+    "validity": ("lexicon_validity", "0.25 * validity"),
+    "plausibility": ("bigram_plausibility", "0.15 * plausibility"),
+    "connected": ("rtl_consistency", "0.20 * connected"),
+    "entropy": ("char_entropy", "0.10 * (1 - least(entropy / 5, 1))"),
+}
+
+
+@query(f"""WITH b AS (SELECT doc_id, regexp_matches(coalesce(text, ''), '\\S') AS filled FROM documents),
+s AS (SELECT doc_id, filled, CASE WHEN filled THEN {' + '.join(w for _, w in _SIGNALS.values())} ELSE 0 END::DOUBLE AS score
+  FROM b {' '.join(f"JOIN ({_unrounded(name)}) USING (doc_id)" for name, _ in _SIGNALS.values())})
+SELECT doc_id, round(score, 6) AS score, filled AND score < 0.3 AS garbled FROM s""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted sum of five signals that have SQL of their own."""
-    c = F.col("text")
-    score = quality.quality_score(c, _STOPS, _PAIRS, letters=LATIN, stop_words=_STOPS)
-    return docs(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"), (~quality.is_blank(c) & (score < 0.3)).alias("garbled"))
+    """Weighted sum of five signals, and whether it is so low that the text counts as garbled."""
+    c, how = F.col("text"), {"letters": LATIN, "stop_words": _STOPS}
+    score = quality.quality_score(c, _STOPS, _PAIRS, **how)
+    return docs(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"), quality.is_garbled(c, _STOPS, _PAIRS, **how).alias("garbled"))
 
 
 @query()
