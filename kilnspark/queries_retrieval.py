@@ -7,7 +7,6 @@ No key links ``embeddings`` to ``documents``; ``chunk_id = vec_id`` is a declare
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.text import DIGITS, PERSIAN_DIGITS, remove_stop_words, set_similarity, trigrams, words
