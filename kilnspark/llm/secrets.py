@@ -9,7 +9,6 @@ parts link if the gap between them is below ``scope``.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
