@@ -121,7 +121,8 @@ def fts_normalize(c: Column, unicode_forms: bool = True) -> Column:
     """
     c = F.coalesce(c, F.lit(""))
     c = nfkc(c) if unicode_forms else c
-    return F.translate(c, *FTS_LETTERS)
+    # none of the letters is ASCII, and most texts of some corpora are nothing else
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(c, *FTS_LETTERS))
 
 
 def fts_normalized(text: str) -> str:
