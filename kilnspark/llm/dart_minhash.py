@@ -350,6 +350,7 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     sets = held.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
     sets = materialize(sets.join(crowds, "node"))
     listed = sets.where(F.col("_most") > crowd).select("node", (F.col("_most") > huge).alias("huge"), F.inline(F.arrays_zip("shingles", "weights")).alias("s", "w"))
+    listed = materialize(listed)  # read twice: listed once
     counted = listed.groupBy("s").agg(F.count("*").alias("c"))
     # shingles that most members hold are not rare, so they go before the join
     common = most_frequent(counted.where(F.col("c") > rare), "c").drop("c")
