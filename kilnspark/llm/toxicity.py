@@ -324,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int
     read = [json.loads(r["_as_text"]) for r in picked.collect()]
     tagger = fit_crf([(r["x"], r["y"]) for r in read])
     told = tagged(texts.select(F.lit(0).cast("long").alias("doc_id"), "text", "toxic"), tagger, keep=["toxic"])
-    told = told.select("most", "mass", "toxic").orderBy("most", "mass", "toxic").toPandas()
+    told = told.select("most", "mass", "toxic").toPandas().sort_values(["most", "mass", "toxic"])  # bounded by the sample
     tagger.curve = fit_curve(*(told[c].to_numpy(float) for c in ("most", "mass", "toxic")))
     return tagger
 
