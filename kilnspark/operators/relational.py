@@ -230,10 +230,15 @@ def display_status(statuses: Column) -> Column:
     )
 
 
-def overall_progress(progress: Column) -> Column:
-    """Aggregate: the mean of whole per cents, cut to a whole number; none: 0."""
-    total = F.sum(progress.cast("long"))
-    return F.when(F.count(progress) == 0, F.lit(0)).otherwise(F.floor(total / F.count(progress))).cast("long")
+def progress_of(status: Column, progress: Column) -> Column:
+    """What a task counts in the whole: its per cents while it runs or once it is completed,
+    nothing when it failed, waits or was cancelled."""
+    return F.when(status.isin("completed", "running"), F.coalesce(progress.cast("long"), F.lit(0))).otherwise(F.lit(0).cast("long"))
+
+
+def overall_progress(status: Column, progress: Column) -> Column:
+    """Aggregate: the mean of what tasks count (:func:`progress_of`), cut to a whole number; none: 0."""
+    return F.coalesce(F.floor(F.sum(progress_of(status, progress)) / F.count("*")), F.lit(0)).cast("long")
 
 
 def task_progress(processed: Column, total: Column) -> Column:

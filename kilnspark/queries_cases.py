@@ -240,18 +240,6 @@ def header_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id AS chunk_id, 'verdict' AS section_type, 'رأی دادگاه' AS anchor_text, 3 AS sentence_count, true AS has_verdict,
-  true AS has_legislation_ref,
-  'ماده 12,ماده 7' AS refs, 2 AS start_page, CAST(2 + doc_id % 3 AS INTEGER) AS end_page FROM documents""")
-def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.lit("حکم به ماده 12 است. و ماده 7 نیز! ماده 12")
-    pages = F.sequence(F.lit(2), (2 + F.col("doc_id") % 3).cast("int"))
-    m = chunking.chunk_metadata(content, F.lit("رأی دادگاه"), pages)
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), m.alias("m"))
-    kept = ("section_type", "anchor_text", "sentence_count", "has_verdict", "has_legislation_ref")
-    return rows.select("chunk_id", *(f"m.{c}" for c in kept), F.array_join("m.legislation_refs", ",").alias("refs"), "m.start_page", "m.end_page")
-
-
 _SALVAGE = [
     ('{"a": 1}', "strict", '{"a": 1}'), ('```json\n{"a": 2}\n```', "fenced", '{"a": 2}'), ('so {"a": 3} it is', "braces", '{"a": 3}'),
     ('{"a": [1, 2,],}', "commas", '{"a": [1, 2]}'), ("{'a': 'it is', 'b': ['x']}", "quotes", '{"a": "it is", "b": ["x"]}'),

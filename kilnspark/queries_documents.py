@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import jsontext, quality, tables, text
@@ -222,11 +222,11 @@ def article_gap_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'signup') THEN 'cancelled'
   WHEN bool_or(event_type IN ('click', 'view')) THEN 'processing' ELSE 'completed' END AS status,
-  CAST(floor(sum(CAST(floor(value) AS BIGINT) % 101) / count(*)) AS BIGINT) AS progress FROM events GROUP BY user_id""")
+  CAST(floor(sum(CASE WHEN event_type IN ('error', 'signup', 'view') THEN 0 ELSE CAST(floor(value) AS BIGINT) % 101 END) / count(*)) AS BIGINT) AS progress FROM events GROUP BY user_id""")
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for x in ("error", "failed", "signup", "cancelled", "click", "running", "view", "pending", "purchase", "completed")))
     tasks = table(spark, sf_dir, "events").select("user_id", F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("completed")).alias("status"), (F.floor("value") % 101).alias("progress"))
-    return tasks.groupBy("user_id").agg(relational.display_status(F.col("status")).alias("status"), relational.overall_progress(F.col("progress")).alias("progress"))
+    return tasks.groupBy("user_id").agg(relational.display_status(F.col("status")).alias("status"), relational.overall_progress(F.col("status"), F.col("progress")).alias("progress"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND user_id % 3 = 0 THEN 'failed' WHEN event_type IN ('click', 'view')
@@ -425,16 +425,145 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chunks ----------------------------------------------------------------------------
 
 
-@query()
+#: Anchors, hints, words of a verdict and references in the languages of the given texts.
+KINDS = ((r"The\s+th[a-z]*", "verdict"), (r"In\s+th[a-z]*", "article"), (r"Der\s+[a-z]+", "chapter"), (r"(?:La|Les)\s+[a-z]+", "section"))
+HINTS = (r"and\s+the", r"und\s+die", r"of\s+th")
+VERDICTS, REFERENCES = (r"(?:thing|zeit)[a-z]*",), "the?re[a-z]*"
+
+_TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x{85}\p{Z}]"
+_BLANK_SQL = r"[\s\x0b\x{85}\p{Z}]"
+_C, _H = "chr(64976)", "chr(64977)"
+
+
+def paged(text: Column) -> Column:
+    """The text with a page marker before every thousand characters."""
+    page = lambda i: F.concat(F.lit("[PAGE "), (i + 1).cast("string"), F.lit("]\n"), F.substr(text, i * 1000 + 1, F.lit(1000)))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 1000).cast("int")), page), "")
+
+
+def _split_sql(marked: str) -> str:
+    return f"string_split({marked}, {_C})"
+
+
+#: Documents with page marks, and what is left without them: doc_id, text, pages, where they begin.
+_PAGED_SQL = rf"""raw AS (SELECT doc_id, array_to_string(list_transform(range(0, length(text) // 1000 + 1),
+    lambda i: '[PAGE ' || (i + 1) || ']' || chr(10) || substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000)), '') AS t FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, t, string_split_regex(t, '\[PAGE{_BLANK_SQL}*\d+\]{_BLANK_SQL}*\n?') AS parts,
+    list_transform(regexp_extract_all(t, '\[PAGE{_BLANK_SQL}*(\d+)\]', 1), lambda x: CAST(x AS INTEGER)) AS pages FROM raw),
+d AS (SELECT doc_id, array_to_string(parts, '') AS text, pages,
+    list_transform(range(1, len(pages) + 1), lambda i: CAST(list_sum(list_transform(parts[:i], lambda p: length(p))) AS INTEGER)) AS starts FROM cut
+  WHERE regexp_matches(array_to_string(parts, ''), '[^\s\x0b\x{{85}}\p{{Z}}]'))"""
+
+_PAGES_SQL = """array_to_string(list_sort(list_distinct([coalesce(pages[len(list_filter(starts, lambda p: p <= start))], 1)]
+    || pages[len(list_filter(starts, lambda p: p <= start)) + 1:len(list_filter(starts, lambda p: p < stop))])), ',')"""
+
+
+def _guarded(text: str, back: bool = False) -> str:
+    """Marks beside digits become other characters, or those become marks again."""
+    for n, mark in enumerate(".؟!"):
+        other = f"chr({64980 + n})"
+        if back:
+            text = f"replace({text}, {other}, '{mark}')"
+        else:
+            text = rf"regexp_replace(regexp_replace({text}, '(\p{{Nd}})[{mark}]', '\1' || {other}, 'g'), '[{mark}](\p{{Nd}})', {other} || '\1', 'g')"
+    return text
+
+
+def _kind_sql(title: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({title}, '{p}') THEN '{k}'" for p, k in KINDS) + " ELSE 'text' END"
+
+
+def _n_tokens(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '{_TOKEN_SQL}'))"
+
+
+#: Section by section, then piece by piece, as recursions over their numbers.
+_STRUCTURAL_SQL = rf"""WITH RECURSIVE {_PAGED_SQL},
+split AS (SELECT doc_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT doc_id,
+    {_split_sql(f"regexp_replace(text, '({'|'.join(p for p, _ in KINDS)})', {_C} || '{chr(92)}1' || {_H}, 'g')")} AS x FROM d)),
+titled AS (SELECT doc_id, i, CASE WHEN contains(part, {_H}) THEN split_part(part, {_H}, 1) ELSE '' END AS title, replace(part, {_H}, '') AS body,
+    count(*) OVER (PARTITION BY doc_id) AS parts FROM split),
+lead_in AS (SELECT doc_id, body FROM titled WHERE i = 1 AND parts > 1 AND NOT regexp_matches(body, '[^\s\x0b\x{{85}}\p{{Z}}]')),
+sec0 AS (SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY i) AS i, title, CASE WHEN i = 2 THEN coalesce(l.body, '') ELSE '' END || t.body AS body
+  FROM titled t LEFT JOIN lead_in l ON l.doc_id = t.doc_id WHERE NOT (i = 1 AND l.doc_id IS NOT NULL)),
+merged AS (
+  SELECT doc_id, i, 0 AS sec, title, body, 0::BIGINT AS base FROM sec0 WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN more THEN sec ELSE sec + 1 END, CASE WHEN more THEN old_title ELSE title END, CASE WHEN more THEN old || body ELSE body END,
+    CASE WHEN more THEN base ELSE base + length(old) END
+  FROM (SELECT s.doc_id, s.i, m.sec, m.title AS old_title, m.body AS old, s.title, s.body, m.base,
+      {_n_tokens('m.body')} < 150 AND {_n_tokens('m.body || s.body')} <= 400 AS more
+    FROM merged m JOIN sec0 s ON s.doc_id = m.doc_id AND s.i = m.i + 1)),
+secs AS (SELECT doc_id, sec, max(title) AS title, arg_max(body, i) AS body, max(base) AS base FROM merged GROUP BY doc_id, sec),
+p0 AS (SELECT doc_id, sec, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, sec,
+    list_filter({_split_sql(f"regexp_replace({_guarded(f'regexp_replace(body, {chr(39)}({chr(124).join(HINTS)}){chr(39)}, {_C} || {_H} || {chr(39)}{chr(92)}1{chr(39)}, {chr(39)}g{chr(39)})')}, '([.؟!]|:{_BLANK_SQL}|{chr(92)}n{{2,}})', '{chr(92)}1' || {_C}, 'g')")},
+      lambda x: x <> '') AS x FROM secs)),
+p1 AS (SELECT doc_id, sec, i, starts_with(part, {_H}) AS hinted, {_guarded(f"replace(part, {_H}, '')", True)} AS t FROM p0),
+p2 AS (SELECT doc_id, sec, i, hinted, t, regexp_extract_all(t, '^{_BLANK_SQL}*(?:{_TOKEN_SQL}){_BLANK_SQL}*|(?:{_TOKEN_SQL}){_BLANK_SQL}*') AS w, {_n_tokens('t')} AS n FROM p1),
+p3 AS (SELECT doc_id, sec, i, g, hinted AND g = 0 AS hinted, CASE WHEN n > 400 THEN array_to_string(w[g * 400 + 1:g * 400 + 400], '') ELSE t END AS t
+  FROM p2, range(0, CASE WHEN n > 400 THEN (len(w) + 399) // 400 ELSE 1 END) r(g)),
+p AS (SELECT doc_id, sec, row_number() OVER (PARTITION BY doc_id, sec ORDER BY i, g) AS k, hinted, t, {_n_tokens('t')} AS n,
+    coalesce(sum(length(t)) OVER (PARTITION BY doc_id, sec ORDER BY i, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p3),
+run AS (
+  SELECT doc_id, sec, k, 1::BIGINT AS first, n AS size, n AS last_n, 0::BIGINT AS closed FROM p WHERE k = 1
+  UNION ALL
+  SELECT doc_id, sec, k, CASE WHEN NOT fits THEN k - along ELSE first END, CASE WHEN NOT fits THEN n + along * last_n ELSE size + n END, n, CASE WHEN NOT fits THEN first ELSE 0 END
+  FROM (SELECT p.doc_id, p.sec, p.k, r.first, r.size, r.last_n, p.n, r.size + p.n <= 400 AND NOT (p.hinted AND r.size >= 150) AS fits,
+      CASE WHEN p.k - r.first > 1 AND r.last_n + p.n <= 400 THEN 1 ELSE 0 END AS along
+    FROM run r JOIN p ON p.doc_id = r.doc_id AND p.sec = r.sec AND p.k = r.k + 1)),
+ends AS (SELECT doc_id, sec, closed AS first, k - 1 AS last FROM run WHERE closed > 0
+  UNION ALL SELECT doc_id, sec, arg_max(first, k), max(k) FROM run GROUP BY doc_id, sec),
+c AS (SELECT e.doc_id, e.sec, e.first, string_agg(p.t, '' ORDER BY p.k) AS content, min(p.off) AS off FROM ends e
+  JOIN p ON p.doc_id = e.doc_id AND p.sec = e.sec AND p.k BETWEEN e.first AND e.last GROUP BY e.doc_id, e.sec, e.first),
+placed AS (SELECT c.doc_id, c.sec, content, title, base + off AS start, base + off + length(content) AS stop, d.pages, d.starts
+  FROM c JOIN secs USING (doc_id, sec) JOIN d ON d.doc_id = c.doc_id WHERE regexp_matches(content, '[^\s\x0b\x{{85}}\p{{Z}}]')),
+found AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, start, stop) - 1 AS INTEGER) AS chunk_index, content,
+  CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, {_PAGES_SQL} AS pages,
+  CAST({_n_tokens('content')} AS INTEGER) AS token_count, title AS section_title, {_kind_sql('title')} AS section_type FROM placed)"""
+
+
+def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents; those of over 20,000 characters are packed as rows."""
+    rows = docs(spark, sf_dir).select("doc_id", paged(F.col("text")).alias("text"))
+    return chunking.structural_chunks(rows, kinds=KINDS, hints=HINTS, verdict=VERDICTS, reference=REFERENCES, long=20_000, id_col="doc_id").withColumnsRenamed({"document_id": "doc_id", "end": "stop"})
+
+
+@query(_STRUCTURAL_SQL + " SELECT doc_id, chunk_index, md5(content) AS digest, start, stop, pages, token_count, section_title, section_type FROM found")
 def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents (tested by coverage and exact cases)."""
-    return chunking.chunk_documents(docs(spark, sf_dir), id_col="doc_id").withColumnRenamed("document_id", "doc_id")
-
-
-@query()
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages")
+    return structural(spark, sf_dir).select("doc_id", "chunk_index", F.md5("content").alias("digest"), "start", "stop", pages, "token_count", "section_title", "section_type")
+
+
+@query(_STRUCTURAL_SQL + rf""" SELECT doc_id, chunk_index, section_type, nullif(section_title, '') AS anchor_text,
+  CAST(len(list_filter(string_split_regex({_guarded('content')}, '[.؟!]|:{_BLANK_SQL}|\n{{2,}}'), lambda x: regexp_matches(x, '[^\s\x0b\x{{85}}\p{{Z}}]'))) AS INTEGER) AS sentence_count,
+  regexp_matches(content, '{VERDICTS[0]}') AS has_verdict, len(regexp_extract_all(content, '{REFERENCES}')) > 0 AS has_legislation_ref,
+  CAST(len(list_distinct(regexp_extract_all(content, '{REFERENCES}'))) AS INTEGER) AS refs,
+  CAST(string_split(pages, ',')[1] AS INTEGER) AS start_page, CAST(string_split(pages, ',')[-1] AS INTEGER) AS end_page FROM found""")
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every chunk carries along."""
+    kept = ("section_type", "anchor_text", "sentence_count", "has_verdict", "has_legislation_ref")
+    rows = structural(spark, sf_dir)
+    return rows.select("doc_id", "chunk_index", *(f"metadata.{c}" for c in kept), F.size("metadata.legislation_refs").alias("refs"), "metadata.start_page", "metadata.end_page")
+
+
+@query(rf"""WITH {_PAGED_SQL},
+split AS (SELECT doc_id, unnest(x) AS part, generate_subscripts(x, 1) AS sec FROM (SELECT doc_id,
+    {_split_sql(f"regexp_replace(text, '({'|'.join(p for p, _ in KINDS)})', {_C} || '{chr(92)}1' || {_H}, 'g')")} AS x FROM d)),
+body AS (SELECT doc_id, sec, CASE WHEN sec = 1 THEN '{chunking.PREAMBLE}' ELSE split_part(part, {_H}, 1) END AS title,
+    CASE WHEN sec = 1 THEN part ELSE split_part(part, {_H}, 2) END AS t,
+    coalesce(sum(length(replace(part, {_H}, ''))) OVER (PARTITION BY doc_id ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      + CASE WHEN sec = 1 THEN 0 ELSE length(split_part(part, {_H}, 1)) END AS base FROM split),
+words AS (SELECT doc_id, sec, title, base + length(regexp_extract(t, '^{_BLANK_SQL}*')) AS base, regexp_extract_all(t, '(?:{_TOKEN_SQL}){_BLANK_SQL}*') AS w FROM body),
+win AS (SELECT doc_id, sec, title, base + length(array_to_string(w[:i], '')) AS start, regexp_replace(array_to_string(w[i + 1:i + 400], ''), '{_BLANK_SQL}+$', '') AS content
+  FROM words, range(0, greatest(1, len(w) - 50), 350) r(i) WHERE len(w) > 0),
+placed AS (SELECT *, start + length(content) AS stop FROM win JOIN d USING (doc_id))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, start, stop) - 1 AS INTEGER) AS chunk_index, md5(content) AS digest, CAST(start AS INTEGER) AS start,
+  {_PAGES_SQL} AS pages, CAST({_n_tokens('content')} AS INTEGER) AS token_count, title AS section_title FROM placed""")
 def chunk_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunking.chunk_documents(docs(spark, sf_dir), chunking.SimpleChunker(), id_col="doc_id")
-    return found.withColumnRenamed("document_id", "doc_id")
+    rows = docs(spark, sf_dir).select("doc_id", paged(F.col("text")).alias("text"))
+    found = chunking.simple_chunks(rows, anchors=[p for p, _ in KINDS], id_col="doc_id").withColumnRenamed("document_id", "doc_id")
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages")
+    return found.select("doc_id", "chunk_index", F.md5("content").alias("digest"), "start", pages, "token_count", "section_title")
 
 
 @query(f"""WITH t AS (SELECT doc_id, {WORDS_SQL.format(c='text')} AS w FROM documents),

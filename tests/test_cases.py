@@ -82,11 +82,12 @@ def test_global_context_cuts_within_the_budget(spark):
     assert [got[0].count(f"[Source {n} ") for n in (1, 2, 3, 4, 5)] == [1, 1, 1, 1, 0]
 
 
-def test_anchors_of_either_script():
+def test_anchors_of_either_script(spark):
     text = "مقدمه. رأيُ دادگاه چنین است. متن رای. گردش كار. پایان"
-    found = chunking.StructuralChunker(smallest=1).chunks(text)
+    rows = spark.createDataFrame([(1, text)], "document_id int, text string")
+    found = chunking.structural_chunks(rows, smallest=1).orderBy("chunk_index").collect()
     assert "".join(text[c.start : c.end] for c in found) == text
-    assert [c.kind for c in found if c.title] == ["verdict", "proceedings"]
+    assert [c.section_type for c in found if c.section_title] == ["verdict", "proceedings"]
 
 
 def test_blob_store(spark, tmp_path):

@@ -1,9 +1,8 @@
 import itertools
 import random
 
+import plain_chunkers
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kilnspark.operators import chunking, context, models, relational, retrieval
@@ -80,8 +79,10 @@ def test_status(spark):
     for statuses, expected in (([], "pending"), (["completed"] * 2, "completed"), (["completed", "failed"], "failed"), (["cancelled", "running"], "cancelled"), (["pending", "completed"], "processing")):
         rows = spark.createDataFrame([(s,) for s in statuses], "s string")
         assert rows.agg(relational.display_status(F.col("s")).alias("v")).first().v == expected
-    assert spark.createDataFrame([], "p int").agg(relational.overall_progress(F.col("p")).alias("v")).first().v == 0
-    assert spark.createDataFrame([(50,), (33,)], "p int").agg(relational.overall_progress(F.col("p")).alias("v")).first().v == 41
+    overall = relational.overall_progress(F.col("s"), F.col("p")).alias("v")
+    assert spark.createDataFrame([], "s string, p int").agg(overall).first().v == 0
+    for rows, want in (([("running", 50), ("completed", 33)], 41), ([("failed", 90), ("pending", 90), ("cancelled", 90), ("running", 81)], 20), ([(None, 9), ("completed", None)], 0)):
+        assert spark.createDataFrame(rows, "s string, p int").agg(overall).first().v == want
 
 
 def packed(spark, contents, budget):
@@ -127,34 +128,67 @@ def test_upsert_and_as_of(spark):
 TEXT = "پیش گفتار. [PAGE 1]\nماده 1 متن اول است. ادامه دارد! [PAGE 2]\nماده 2 متن دوم؟ بله: خوب.\n\nفصل 3 پایان."
 
 
-def test_page_markers():
-    text, pages = chunking.strip_page_markers("[PAGE 1]\nabcd[PAGE 2]\nefgh[PAGE 3]\nijkl")
-    assert text == "abcdefghijkl" and pages == [(0, 1), (4, 2), (8, 3)]
-    assert chunking.pages_of(0, 4, pages) == [1] and chunking.pages_of(2, 9, pages) == [1, 2, 3]
+def test_page_markers(spark):
+    rows = spark.createDataFrame([("[PAGE 1]\nabcd[PAGE 2]\nefgh[PAGE 3]\nijkl",)], "t string")
+    starts = chunking.page_starts(F.col("t"))
+    spans = [chunking.pages_between(starts, F.lit(a), F.lit(b)) for a, b in ((0, 4), (2, 9))]
+    got = rows.select(chunking.without_page_markers(F.col("t")).alias("text"), starts.alias("starts"), *(s.alias(f"s{i}") for i, s in enumerate(spans))).first()
+    assert got.text == "abcdefghijkl" and [tuple(x) for x in got.starts] == [(0, 1), (4, 2), (8, 3)]
+    assert got.s0 == [1] and got.s1 == [1, 2, 3]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["ماده 1", "دادنامه", "foo bar", ". ", "! ", "\n\n", " ", "لذا دادگاه", "x" * 30, "a b c d e f g h "]), max_size=40), st.integers(1, 6), st.integers(6, 12), st.integers(0, 2))
-def test_chunks_cover_the_text(parts, smallest, largest, overlap):
-    text = "".join(parts)
-    chunker = chunking.StructuralChunker(smallest, largest, overlap)
-    covered = set()
-    for c in chunker.chunks(text):
-        assert chunking.count_tokens(text[c.start : c.end]) <= largest
-        covered.update(range(c.start, c.end))
-    assert {i for i, ch in enumerate(text) if not ch.isspace()} <= covered
+PARTS = ["ماده 1", "دادنامه", "foo bar", ". ", "! ", "\n\n", " ", "لذا دادگاه", "x" * 30, "a b c d e f g h ", "رأيُ دادگاه", "[PAGE 2]\n", "[PAGE 13]", "3.5", "گردش كار", ": ", "حکم به", "w " * 30]
 
 
-def test_chunk_documents(spark):
+def _chunks(rows):
+    return sorted((r.document_id, r.chunk_index, r.content, r.start, r.end, list(r.pages), r.token_count, r.section_title, r.section_type) for r in rows.collect())
+
+
+@pytest.mark.parametrize(("smallest", "largest", "overlap"), [(3, 8, 1), (2, 6, 0), (5, 12, 2)])
+def test_chunks_against_plain_loops(spark, smallest, largest, overlap):
+    rnd = random.Random(smallest)
+    rows = [(i, "".join(rnd.choice(PARTS) for _ in range(rnd.randrange(0, 50)))) for i in range(120)] + [(1000, None), (1001, "  ")]
+    docs = spark.createDataFrame(rows, "document_id int, text string")
+    plain = plain_chunkers.StructuralChunker(smallest, largest, overlap)
+    want = sorted((i, *r) for i, t in rows for r in plain_chunkers.chunk_rows(plain, t))
+    # within the row of a text, and as rows over all tasks
+    for long in (chunking.LONG, 0):
+        assert _chunks(chunking.structural_chunks(docs, smallest, largest, overlap, long=long)) == want
+    simple = plain_chunkers.SimpleChunker(largest, overlap)
+    want = sorted((i, *r) for i, t in rows for r in plain_chunkers.chunk_rows(simple, t))
+    assert _chunks(chunking.simple_chunks(docs, largest, overlap)) == want
+
+
+def test_chunks_cover_the_text(spark):
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choice(PARTS[:10]) for _ in range(40))) for i in range(60)]
+    covered = {i: set() for i, _ in rows}
+    for r in chunking.structural_chunks(spark.createDataFrame(rows, "document_id int, text string"), 4, 12).collect():
+        assert r.token_count <= 12
+        covered[r.document_id].update(range(r.start, r.end))
+    for i, text in rows:
+        assert {k for k, ch in enumerate(text) if not ch.isspace()} <= covered[i]
+
+
+def test_long_document_is_packed_over_tasks(spark):
+    """Both ways give the same chunks, also where running sums and searches cross blocks."""
+    text = "".join(f"Word {i} is here{'!' * (i % 3)}. " for i in range(6000))
+    docs = spark.createDataFrame([(1, text)], "document_id int, text string")
+    one, other = (_chunks(chunking.structural_chunks(docs, 20, 60, 2, hints=(r"Word\s+\d*7",), long=long)) for long in (chunking.LONG, 1000))
+    assert one == other and len(one) > 400
+
+
+def test_chunks_of_odd_documents(spark):
     docs = spark.createDataFrame([("d", TEXT), ("e", None), ("f", "  ")], "document_id string, text string")
-    got = chunking.chunk_documents(docs, chunking.StructuralChunker(2, 8, 0)).orderBy("chunk_index").collect()
+    got = chunking.structural_chunks(docs, 2, 8, 0).orderBy("chunk_index").collect()
     assert {r.document_id for r in got} == {"d"}
     assert [r.section_type for r in got][0] == "text" and {"article", "chapter"} <= {r.section_type for r in got}
-    assert got[-1].pages == [2]
-    simple = chunking.chunk_documents(docs, chunking.SimpleChunker(5, 1)).collect()
+    assert got[-1].pages == [2] and got[-1].metadata.start_page == 2
+    simple = chunking.simple_chunks(docs, 5, 1).orderBy("chunk_index").collect()
     assert simple[0].section_title == chunking.PREAMBLE
+    assert chunking.structural_chunks(docs.limit(0)).count() == 0 and chunking.simple_chunks(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        chunking.SimpleChunker(5, 5)
+        chunking.simple_chunks(docs, 5, 5)
 
 
 def test_token_windows(spark):
