@@ -123,18 +123,18 @@ FROM marked GROUP BY doc_id
 
 OP7_SQL = """
 WITH raw AS (
-  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-bad AS (SELECT DISTINCT vec_id FROM raw WHERE x IS NULL OR NOT isfinite(x)),
+  SELECT r, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i
+  FROM (SELECT row_number() OVER () AS r, * FROM embeddings) WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+bad AS (SELECT DISTINCT r FROM raw WHERE x IS NULL OR NOT isfinite(x)),
 cells AS (
-  SELECT vec_id, i, CAST(floor(256 * x) AS BIGINT) AS x FROM raw
-  WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+  SELECT r, vec_id, i, CAST(floor(256 * x) AS BIGINT) AS x FROM raw
+  WHERE r NOT IN (SELECT r FROM bad)),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  SELECT q.r AS qr, q.vec_id AS query_id, c.r AS cr, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM cells q JOIN cells c ON q.i = c.i AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+  WHERE q.vec_id % 50 = 0 GROUP BY q.r, q.vec_id, c.r, c.vec_id),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
          vec_id, score
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5

@@ -35,7 +35,7 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """``vec_id, v``: floor(scale * x) of each component, x as double, as array of long.
 
     Vectors that are null or hold null or non-finite components are left out, as are null
-    ids. Of several rows with one id the smallest vector stays.
+    ids. Several rows with one id all stay.
     """
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
@@ -43,8 +43,6 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
         .where(F.coalesce(finite, F.lit(False)))
         .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
     )
 
 
@@ -111,10 +109,10 @@ def best_of(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tup
 
 
 class Best:
-    """The k best rows so far of each query of a block."""
+    """The k best rows so far of each query of a block; ``number`` tells queries of one id apart."""
 
-    def __init__(self, own: np.ndarray, wanted: np.ndarray, k: int):
-        self.own, self.wanted, self.k = own, wanted, k
+    def __init__(self, number: np.ndarray, own: np.ndarray, wanted: np.ndarray, k: int):
+        self.number, self.own, self.wanted, self.k = number, own, wanted, k
         self.scores, self.ids = np.full((len(own), k), LOWEST), np.zeros((len(own), k), np.int64)
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -129,26 +127,27 @@ class Best:
 
     def listed(self) -> pa.RecordBatch:
         q, place = np.nonzero(self.scores > LOWEST)
-        columns = self.own[q], self.ids[q, place], self.scores[q, place]
-        return pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+        columns = self.number[q], self.own[q], self.ids[q, place], self.scores[q, place]
+        return pa.record_batch([pa.array(c) for c in columns], names=["number", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best rows other than its own id.
 
-    Both are stored tables with ``vec_id, v``, one row an id (see :func:`integer_vectors`).
-    Scores are integer inner products (missing components count as 0); ties go to the
-    smaller vec_id; a query with fewer candidates gets all of them. Empty tables give no
-    rows. Every row goes to each block of queries once; a block has ``query_block`` queries
+    Both are stored tables with ``vec_id, v`` (see :func:`integer_vectors`) and ``number``,
+    which tells rows apart. All rows of the query's own id are left out; several other rows
+    of one id are candidates each, and several queries of one id get their rows each. Scores
+    are integer inner products (missing components count as 0); ties go to the smaller
+    vec_id; a query with fewer candidates gets all of them. Empty tables give no rows. Every row goes to each block of queries once; a block has ``query_block`` queries
     on average.
     """
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, math.ceil(queries.count() / query_block))
     row_blocks = max(1, min(math.ceil(GROUPS * parts / blocks), math.ceil(vectors.count() / row_block)))
-    own_block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    own_block = lambda n: F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("vec_id", "v", own_block(blocks).alias("_q"), F.lit(0).alias("_row")).withColumn("_r", every_block(row_blocks))
-    held = vectors.select("vec_id", "v", own_block(row_blocks).alias("_r"), F.lit(1).alias("_row")).withColumn("_q", every_block(blocks))
+    asked = queries.select("number", "vec_id", "v", own_block(blocks).alias("_q"), F.lit(0).alias("_row")).withColumn("_r", every_block(row_blocks))
+    held = vectors.select("number", "vec_id", "v", own_block(row_blocks).alias("_r"), F.lit(1).alias("_row")).withColumn("_q", every_block(blocks))
     group = ["_q", "_r"]
     dealt = asked.unionByName(held).repartition(parts, *group).sortWithinPartitions(*group, "_row", "vec_id")
 
@@ -164,21 +163,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
                     if best is not None:
                         yield best.listed()
                     at, best, waiting = (q[start], r[start]), None, []
-                ids, v = b.column(3)[start:end], b.column(4)[start:end]
+                numbers, ids, v = (b.column(i)[start:end] for i in (3, 4, 5))
                 if row[start] == 0:
-                    waiting.append((ids, v))
+                    waiting.append((numbers, ids, v))
                     continue
                 if best is None:
                     if not waiting:
                         continue  # no queries in this block
-                    width = max(max(x.value_lengths().to_pylist(), default=0) for _, x in waiting)
-                    best = Best(np.concatenate([i.to_numpy() for i, _ in waiting]), np.concatenate([_dense(x, width) for _, x in waiting]), k)
+                    width = max(max(x.value_lengths().to_pylist(), default=0) for *_, x in waiting)
+                    number, own = (np.concatenate([w[i].to_numpy() for w in waiting]) for i in (0, 1))
+                    best = Best(number, own, np.concatenate([_dense(x, width) for *_, x in waiting]), k)
                 best.add(ids.to_numpy(), _dense(v, best.wanted.shape[1]))
         if best is not None:
             yield best.listed()
 
-    merged = dealt.select(*group, "_row", "vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    merged = dealt.select(*group, "_row", "number", "vec_id", "v").mapInArrow(run, "number long, query_id long, vec_id long, score long")
+    best = W.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return (
         merged.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -188,5 +188,5 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
 
 def top_k_every(vectors: DataFrame, every: int = 50, k: int = 5, **names) -> DataFrame:
     """:func:`top_k` of the rows whose id is divisible by ``every``, against all rows."""
-    whole = materialize(integer_vectors(vectors, **names))
+    whole = materialize(integer_vectors(vectors, **names).withColumn("number", F.monotonically_increasing_id()))
     return top_k(whole, whole.where(F.col("vec_id") % every == 0), k)

@@ -37,8 +37,6 @@ from .common import crc_mod, id_text, materialize, slices
 SAMPLE = 20_000
 #: Labelled windows of tokens that the CRF is fitted to, at most, and their half width.
 WINDOWS, REACH = 8_000, 6
-#: Features, at most; never more than windows, so that each has a window of its own.
-FEATURES = 20_000
 #: How much more often a feature must occur in toxic texts than in clean ones.
 LIFT = 20
 THRESHOLD = 0.3
@@ -56,7 +54,7 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Tagger:
-    """A fitted model; small (at most ``FEATURES`` weights) whatever the corpus."""
+    """A fitted model; small (its weights are as many as the windows it is fitted to at most) whatever the corpus."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -6.0
@@ -284,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int
         .select("f", ratio.alias("g"))
         .where(F.col("g") > 2 * math.log(20 * tested))
         .orderBy(F.desc("g"), "f")
-        .limit(min(FEATURES, windows))
+        .limit(windows)  # each feature has a window of its own
         .collect()
     )
     lexicon = {r["f"] for r in known}

@@ -346,21 +346,23 @@ def test_topk(spark):
     vectors = {i: rng.normal(size=6).round(1).tolist() for i in range(400)}
     vectors |= {i: vectors[50] for i in range(400, 440)}  # ties
     bad = [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [1.0] * 6)]
-    rows = [*vectors.items(), *bad, (7, vectors[7])]
+    # ids that repeat, with the same vector, with others, among queries too
+    again = [(7, vectors[7]), (7, vectors[50]), (8, [9.0] * 6), (50, vectors[50]), (100, [-9.0] * 6)]
+    rows = [*vectors.items(), *bad, *again]
     table = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items()}
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in [*vectors.items(), *again]]
     got = topk.top_k_every(table).collect()
-    asked = [i for i in whole if i % 50 == 0]
     want = []
-    for q in asked:
-        scored = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:5]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    for q, wanted in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(wanted, v)), i) for i, v in whole if i != q)[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
-    prepared = topk.integer_vectors(table)
+    prepared = common.materialize(topk.integer_vectors(table).withColumn("number", F.monotonically_increasing_id()))
     blocks = topk.top_k(prepared, prepared.where("vec_id % 50 = 0"), query_block=2, row_block=30)
     assert sorted(map(tuple, blocks.collect())) == sorted(want)
     sparse = spark.createDataFrame([(i, [rng.integers(1, 9).item() if rng.random() < 0.1 else 0 for _ in range(rng.integers(0, 40))]) for i in range(300)], "vec_id long, v array<long>")
-    sparse = common.materialize(sparse)
+    sparse = common.materialize(sparse.withColumn("number", F.col("vec_id")))
     held = {r.vec_id: r.v for r in sparse.collect()}
     got = topk.top_k(sparse, sparse.where("vec_id % 7 = 0"), 4, row_block=50).collect()
     want = []
