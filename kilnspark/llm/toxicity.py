@@ -39,6 +39,8 @@ SAMPLE = 20_000
 WINDOWS, REACH = 8_000, 6
 #: How much more often a feature must occur in toxic texts than in clean ones.
 LIFT = 20
+#: Words whose evidence a worker keeps.
+CACHE = 100_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 #: A marginal from which a token counts as offending.
@@ -73,7 +75,7 @@ class Tagger:
     def evidence(self, word: str) -> float | None:
         """Score of the toxic state at ``word``; None if no feature speaks."""
         if word not in self._cache:
-            if len(self._cache) > 500_000:
+            if len(self._cache) > CACHE:
                 self._cache.clear()
             found = [self.weights[f] for f in features(word.lower()) if f in self.weights]
             self._cache[word] = self.bias + sum(found) if found else None
