@@ -45,7 +45,7 @@ class IdEncoder(dict):
     out first, as the library does; each stretch between them is a text of its own.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
