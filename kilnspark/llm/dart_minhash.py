@@ -153,7 +153,7 @@ class Shingler:
     A text with fewer words has one shingle, all of it; a text without words has none.
     """
 
-    def __init__(self, words: int = WORDS, limit: int = 500_000):
+    def __init__(self, words: int = WORDS, limit: int = 100_000):
         self.words, self.limit = words, limit
         self.known: dict[bytes, int] = {}
 
