@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..stored import stored
+
 BUDGET_TOKENS = 4000
 CHARS_PER_TOKEN = 4
 HUB_ORDER = ("legislation", "judicial_precedent", "advisory_opinion")
@@ -55,7 +57,8 @@ def build_global_context(chunks: DataFrame, hub_order: Sequence[str] = HUB_ORDER
     from hub to hub as a small table, so every step is a running sum over one hub's rows.
     """
     by, carried = ["query_id"], ["_used", "_seen", "context"]
-    state = chunks.where(F.col("hub_type").isin(list(hub_order))).select(*by).distinct()
+    chunks = stored(chunks.where(F.col("hub_type").isin(list(hub_order))))  # a few rows for each question and hub, which every hub reads
+    state = chunks.select(*by).distinct()
     state = state.withColumns({"_used": F.lit(0).cast("long"), "_seen": F.lit(0).cast("long"), "context": F.lit("")})
     in_order = W.partitionBy(*by).orderBy("rank")
     for hub in hub_order:

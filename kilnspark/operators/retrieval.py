@@ -284,8 +284,13 @@ def rank_fusion(lists: Sequence[DataFrame], weights: Sequence[float], top_k: int
         rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))
         one = rows.select(*by, "chunk_id", "score", rank.alias("r"), F.lit(n).alias("src"), F.lit(float(weight)).alias("w"))
         united = one if united is None else united.unionByName(one)
+    return _fused(united, top_k, names, by)
+
+
+def _fused(ranked: DataFrame, top_k: int, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Fusion of ranked rows: ``by``, ``chunk_id, score``, rank ``r`` in list ``src`` of weight ``w``."""
     own = [F.coalesce(F.max(F.when(F.col("src") == n, F.col("score"))), F.lit(0.0)).alias(f"{name}_score") for n, name in enumerate(names)]
-    fused = united.groupBy(*by, "chunk_id").agg(
+    fused = ranked.groupBy(*by, "chunk_id").agg(
         F.sum(F.col("w") / (RRF_K + F.col("r"))).alias("_sum"), F.min(F.struct("src", "r")).alias("_seen"), *own
     )
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_sum"), "_seen", "chunk_id"))
@@ -335,54 +340,76 @@ def holds_all(text: Column, wanted: Column) -> Column:
     return F.forall(wanted, lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" "))))
 
 
+def _stage_of(line: Column, asked: Column) -> Column:
+    """0 where the syntax of ``asked`` matches, 1 where all of its plain words stand, else null."""
+    absent = lambda a: ~F.exists(a["no"], lambda w: F.contains(line, F.concat(F.lit(" "), w, F.lit(" "))))
+    hit = F.exists(asked["alternatives"], lambda a: holds_all(line, a["words"]) & holds_all(line, a["phrases"]) & absent(a))
+    every = (F.size(asked["plain"]) > 0) & holds_all(line, asked["plain"])
+    return F.when(hit, 0).when(every, 1)
+
+
+def _rank_of(tokens: Column, terms: Column) -> Column:
+    """Sum of tf / (tf + 1) over the terms, divided by their number."""
+    tf = lambda t: F.size(F.filter(tokens, lambda x: x == t))
+    parts = F.transform(terms, lambda t: tf(t) / (tf(t) + 1))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(terms))
+
+
 def keyword_search_many(chunks: DataFrame, queries: DataFrame, top_k: int, on: Column, content: str = "content", keep: Sequence[str] = (), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """:func:`keyword_search` without its trigrams for many queries (``query_id, query``) at
     once, each over the chunks that ``on`` gives it; ranked per query and ``keep``."""
     asked = queries.withColumn("_asked", asked_for(F.col("query"), stop_words)).drop("query", "vector")
     tokens = chunks.select("chunk_id", *keep, words(searched_text(chunks, content)).alias("_tokens"))
     met = tokens.withColumn("_line", F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))).join(_small(asked), on)
-    hit = F.exists(
-        "_asked.alternatives",
-        lambda a: holds_all(F.col("_line"), a["words"]) & holds_all(F.col("_line"), a["phrases"])
-        & ~F.exists(a["no"], lambda w: F.contains(F.col("_line"), F.concat(F.lit(" "), w, F.lit(" ")))),
-    )
-    every = (F.size("_asked.plain") > 0) & holds_all(F.col("_line"), F.col("_asked.plain"))
-    met = met.withColumn("stage", F.when(hit, 0).when(every, 1)).where(F.col("stage").isNotNull())
-
-    def rank(terms: Column) -> Column:
-        tf = lambda t: F.size(F.filter("_tokens", lambda x: x == t))
-        parts = F.transform(terms, lambda t: tf(t) / (tf(t) + 1))
-        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(terms))
-
-    score = F.when(F.col("stage") == 0, rank(F.col("_asked.terms"))).otherwise(rank(F.col("_asked.plain")))
+    met = met.withColumn("stage", _stage_of(F.col("_line"), F.col("_asked"))).where(F.col("stage").isNotNull())
+    score = F.when(F.col("stage") == 0, _rank_of(F.col("_tokens"), F.col("_asked.terms"))).otherwise(_rank_of(F.col("_tokens"), F.col("_asked.plain")))
     group = ["query_id", *keep]
     ranked = top_per_query(met.withColumn("score", score).select(*group, "chunk_id", "stage", "score"), top_k, (*group, "stage"))
     return ranked.drop("rank").withColumn("_first", F.min("stage").over(W.partitionBy(*group))).where("stage = _first").drop("_first", "stage")
 
 
 def multi_hub_search(chunks: DataFrame, questions: DataFrame, top_k: int, hub: str = "hub_type", stop_words: Sequence[str] = STOP_WORDS,
-                     weights: Sequence[float] = (3, 1, 1), min_similarity: float = 0.2) -> DataFrame:
+                     weights: Sequence[float] = (3, 1, 1), min_similarity: float = 0.2, content: str = "content") -> DataFrame:
     """All sub-queries of all hubs in one job: vector, keyword and trigram lists, fused.
 
     ``questions`` has ``query_id``, the hub, ``vector`` and ``query``; each meets only the
     chunks of its hub (an equi join), lists are ranked and fused per (query, hub). A hub in
     which a query's words find nothing gets its trigram list from 0.1 on as keyword list,
     unless the query is stop words only.
+
+    Chunks are scanned once: a chunk that meets a question gets all of its scores, each a row
+    of a list, and one window ranks all lists; Spark keeps the best of each list in every
+    partition before it shuffles them.
     """
-    depth, group = candidate_depth(top_k), ("query_id", hub)
-    asked = questions.withColumnRenamed(hub, "_hub")
-    in_hub = chunks[hub] == F.col("_hub")
-    vectors = vector_search_many(chunks, asked.select("query_id", "_hub", "vector"), depth, in_hub, by=group).select(*group, "chunk_id", "score")
-    words_of = asked.select("query_id", "_hub", "query")
-    keywords = keyword_search_many(chunks, words_of, depth, in_hub, keep=[hub], stop_words=stop_words)
-    near = trigram_search_many(chunks, words_of, min(FALLBACK_SIMILARITY, min_similarity), keep=[hub], on=F.col(hub) == F.col("_hub"))
-    near = top_per_query(near, depth, group).drop("rank")
-    trigram = near.where(F.col("score") >= min_similarity)
-    real = words_of.where(F.size(asked_for(F.col("query"), stop_words)["plain"]) > 0).select("query_id", F.col("_hub").alias(hub))
-    instead = near.where(F.col("score") >= FALLBACK_SIMILARITY).join(_small(real), list(group), "left_semi")
-    instead = instead.join(keywords.select(*group).distinct(), list(group), "left_anti")
-    lists = [vectors, keywords.unionByName(instead), trigram]
-    return rank_fusion(lists, weights, top_k, ["vector", "keyword", "trigram"], by=group)
+    depth = candidate_depth(top_k)
+    parsed = questions.withColumn("_asked", asked_for(F.col("query"), stop_words)).withColumn("_grams", trigrams(F.col("query")))
+    asked = _small(parsed.select("query_id", F.col(hub).alias("_hub"), F.col("vector").alias("_vector"), "_asked", "_grams"))
+    held = chunks.select("chunk_id", hub, "embedding", words(searched_text(chunks, content)).alias("_tokens"), trigrams(F.col(content)).alias("_held"))
+    held = held.withColumn("_line", F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" ")))
+    met = held.join(asked, F.col(hub) == F.col("_hub"))
+    there = F.col("embedding").isNotNull() & F.col("_vector").isNotNull()
+    near = F.when(there, same_width(F.col("embedding"), F.col("_vector"), cosine(F.col("embedding"), F.col("_vector"))))
+    met = met.withColumn("stage", _stage_of(F.col("_line"), F.col("_asked")))
+    stage = F.col("stage")
+    score = F.when(stage == 0, _rank_of(F.col("_tokens"), F.col("_asked.terms"))).when(stage == 1, _rank_of(F.col("_tokens"), F.col("_asked.plain")))
+    scored = met.select("query_id", hub, "chunk_id", near.alias("near"), "stage", score.alias("score"),
+                        set_similarity(F.col("_held"), F.col("_grams")).alias("alike"), (F.size("_asked.plain") > 0).alias("real"))
+    entry = lambda which, stage, score, there: F.when(there, F.struct(F.lit(which).alias("src"), stage.alias("stage"), score.alias("score")))
+    none, alike = F.lit(0), F.col("alike")
+    entries = F.array(
+        entry(0, none, F.col("near"), F.col("near") >= 0),
+        entry(1, F.col("stage"), F.col("score"), F.col("stage").isNotNull()),
+        entry(1, F.lit(2), alike, F.col("real") & (alike >= FALLBACK_SIMILARITY)),
+        entry(2, none, alike, alike >= min_similarity),
+    )
+    listed = scored.select("query_id", hub, "chunk_id", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("query_id", hub, "chunk_id", "e.*")
+    group = ["query_id", hub]
+    ranked = top_per_query(listed, depth, (*group, "src", "stage")).withColumnRenamed("rank", "r")
+    # of the keyword list, the first stage that finds anything
+    first = F.min("stage").over(W.partitionBy(*group, "src"))
+    ranked = ranked.withColumn("_first", first).where("stage = _first")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("src") + 1)
+    return _fused(ranked.withColumn("w", weight), top_k, ["vector", "keyword", "trigram"], group)
 
 
 def relevant_to_case(score: Column, content: Column, keywords: Sequence[str], min_score: float = 0.5) -> Column:
