@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cases, jsontext, quality, tables, text
@@ -11,79 +13,124 @@ from .registry import query, table
 from .sources import files, sinks
 
 
-def sql_text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_WIDE = "".join(chr(ord(x) + 0xFEE0) for x in _LETTERS)
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TEXT_SQL = "coalesce(text, '')"
 
 
-def sql_values(rows: list[tuple]) -> str:
-    """A VALUES list of texts, whole numbers and nulls."""
-    one = lambda v: "NULL" if v is None else sql_text(v) if isinstance(v, str) else str(v)
-    return ", ".join(f"({', '.join(map(one, row))})" for row in rows)
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text``: every whole text, empty for null."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def given_texts(spark: SparkSession, sf_dir: str, said: list[str]) -> DataFrame:
-    """``part_key, said``: the texts in turn over all parts."""
-    texts = F.array(*map(F.lit, said))
-    picked = F.element_at(texts, (F.col("p_partkey") % len(said) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), picked.alias("said"))
+def swapped(c: Column, pairs: dict[str, str]) -> Column:
+    """Each key replaced by its value, one pair after the other."""
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), pairs.items(), c)
 
 
-def expected_sql(columns: str, rows: list[tuple]) -> str:
-    """What each text must give, by its turn, over all parts."""
-    return f"SELECT p_partkey AS part_key, {columns} FROM part JOIN (VALUES {sql_values([(i, *r) for i, r in enumerate(rows)])}) v(i, {columns}) ON p_partkey % {len(rows)} = i"
+def swapped_sql(c: str, pairs: dict[str, str]) -> str:
+    return reduce(lambda c, pair: f"replace({c}, '{pair[0]}', '{pair[1]}')", pairs.items(), c)
 
 
-# texts and what the operators must make of them
-_BRACKETS = [
-    (")سلام", "سلام)"), (") سلام", "سلام)"), ("متن )سلام دنیا", "متن سلام) دنیا"), ("))سلام", ")سلام)"), ("سلام(", "(سلام"), ("سلام (", "(سلام"),
-    ("متن سلام( دنیا", "متن (سلام دنیا"), ("سلام((", "(سلام("), ("a (b) c", "a (b) c"), ("x)))y", "xy"), ("(((x\ny)", "x\ny)"), ("(a)b))))", "(a)b"), ("((((a)b", "(a)b"),
-]
-_ANCHORS = [("رأي  دادگاه", "رای دادگاه"), (" مُادّه\n۱۲ ", "ماده ۱۲"), ("آئين  نامة", "ائین نامة"), ("كتاب", "کتاب"), ("plain", "plain")]
+# --- damaged texts and their repair ----------------------------------------------------
+#
+# The supplied texts are in Latin letters, so each query puts into them what its operator
+# repairs, by letter or word; the SQL says what must come out.
 
+_DIGITS_SEEN = "01234" + text.PERSIAN_DIGITS[5:] + text.ARABIC_DIGITS[:10] + "0"
+_WORD_SQL = r"\p{L}\p{M}\p{N}_\x{200c}"
+_JOINED = {" the ": " می ", " and ": " نمی ", " le ": " اش ", " of ": " به ", " und ": " علی ", " la ": " ام ", " der ": " ات "}
+_GARBLED = {x: f" {word} " for x, word in zip(_LETTERS, text.LIGATURES)}
+_REPAIRED = {x: f" {word} " for x, word in zip(_LETTERS, text.LIGATURES.values())}
 
-@query(expected_sql("fixed", [(b,) for _, b in _BRACKETS]))
-def bracket_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given_texts(spark, sf_dir, [a for a, _ in _BRACKETS])
-    return rows.select("part_key", text.fix_brackets(F.col("said")).alias("fixed"))
 
+def _half_spaces_sql(c: str) -> str:
+    after = lambda c, w: rf"regexp_replace({c}, '(^|[^{_WORD_SQL}]){w}\s+([{_WORD_SQL}])', '\1{w}{text.ZWNJ}\2', 'g')"
+    before = lambda c, w: rf"regexp_replace({c}, '([{_WORD_SQL}])\s+{w}([^{_WORD_SQL}]|$)', '\1{text.ZWNJ}{w}\2', 'g')"
+    c = reduce(before, text.JOINED_BEFORE, reduce(after, text.JOINED_NEXT, c))
+    return reduce(after, text.JOINED_NEXT_TOO, c)
 
-@query(expected_sql("form", [(b,) for _, b in _ANCHORS]))
-def anchor_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given_texts(spark, sf_dir, [a for a, _ in _ANCHORS])
-    return rows.select("part_key", text.anchor_form(F.col("said")).alias("form"))
 
+def _dates_sql(c: str) -> str:
+    one = lambda c, m: rf"regexp_replace({c}, '(\p{{Nd}}{{2,4}})\s*{m}\s*\n\s*(\p{{Nd}}{{1,2}})\s*{m}\s*(\p{{Nd}}{{1,2}})', '\1{m}\2{m}\3', 'g')"
+    return one(one(c, "/"), "-")
 
-def _named(step) -> str:
-    return getattr(step, "__name__", "nfkc")
 
+_DATED = {". ": "-\n", " ": "/\n"}
+_TIDIED = {"e": "    ", ".": "\n\n\n\n"}
+_CONTROLS = "\u0001\u000b\u001f\u0085​‏⁠﻿￼­"
+_MARKS = "ًٰؐۖ"
+_MIXED = ("abcdefghij" + "mnopqrstuvwxyz" + "kl", text.ARABIC + _WIDE[12:] + "ـ​")
 
-_STEPS = [
-    (text.fix_ligatures, "وکالی دالیل عالوه", "وکلای دلایل علاوه"),
-    (text.rejoin_dates, "1376/\n01/15 ۱۳۷۶-\n۰۱-۱۵", "1376/01/15 ۱۳۷۶-۰۱-۱۵"),
-    (text.strip_tatweel, "قـانون", "قانون"),
-    (text.to_persian, "كتابي", "کتابی"),
-    (text.fix_half_spaces, "می روم کتاب اش", "می‌روم کتاب‌اش"),
-    (text.strip_controls, "a\u200bc\u200cd\te", "acd\te"),
-    (text.tidy, "  a\n\n\n\nb    c \n", "a\n\nb c"),
-    (text.nfkc, "ﬁ²", "fi2"),
-    (text.fts_normalize, "ماده‌۲۲ كتاب", "ماده 22 کتاب"),
-    (text.normalize, "  كتابـي\u200b ﬁ\n\n\n\nمی روم ", "کتابی fi\n\nمی‌روم"),
-]
+# name, step, what is done to a text first, SQL of what must come out
+_STEPS = (
+    ("nfkc", text.nfkc, lambda c: F.translate(c, _LETTERS, _WIDE), _TEXT_SQL),
+    ("ligatures", text.fix_ligatures, lambda c: swapped(c, _GARBLED), swapped_sql(_TEXT_SQL, _REPAIRED)),
+    ("tatweel", text.strip_tatweel, lambda c: F.translate(c, "eau", "ـــ"), f"translate({_TEXT_SQL}, 'eau', '')"),
+    ("controls", text.strip_controls, lambda c: F.translate(c, _LETTERS[:10], _CONTROLS), f"translate({_TEXT_SQL}, '{_LETTERS[:10]}', '')"),
+    ("persian", text.to_persian, lambda c: F.translate(c, _LETTERS[:14], text.ARABIC + _MARKS), f"translate({_TEXT_SQL}, '{_LETTERS[:14]}', '{text.PERSIAN}')"),
+    ("half_spaces", text.fix_half_spaces, lambda c: swapped(c, _JOINED), _half_spaces_sql(swapped_sql(_TEXT_SQL, _JOINED))),
+    ("dates", text.rejoin_dates, lambda c: swapped(F.translate(c, _LETTERS, _DIGITS_SEEN * 2), _DATED),
+     _dates_sql(swapped_sql(f"translate({_TEXT_SQL}, '{_LETTERS}', '{(_DIGITS_SEEN * 2)[:26]}')", _DATED))),
+    ("tidy", text.tidy, lambda c: F.concat(F.lit(" \n"), swapped(c, _TIDIED), F.lit("\n ")),
+     rf"trim(regexp_replace(regexp_replace({swapped_sql(_TEXT_SQL, _TIDIED)}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{3,}}', ' ', 'g'), {_BLANKS})"),
+    ("search", text.fts_normalize, lambda c: F.translate(c, _LETTERS[:15], text.ARABIC + "۳۷٤٩" + text.ZWNJ), f"translate({_TEXT_SQL}, '{_LETTERS[:15]}', '{text.PERSIAN}3749 ')"),
+    ("whole", text.normalize, lambda c: F.translate(c, *_MIXED),
+     rf"trim(regexp_replace(regexp_replace(translate({_TEXT_SQL}, '{_MIXED[0]}', '{text.PERSIAN}{_LETTERS[12:]}'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{3,}}', ' ', 'g'), {_BLANKS})"),
+)
 
 
-@query(expected_sql("step, made", [(_named(f), made) for f, _, made in _STEPS]))
+@query("SELECT doc_id, " + ", ".join(f"md5({sql}) AS {name}" for name, _, _, sql in _STEPS) + " FROM documents")
 def normalisation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each step of the normalisation on a text of its own."""
-    turn, made, name = F.col("p_partkey") % len(_STEPS), F, F
-    for i, (step, given, _) in enumerate(_STEPS):
-        made, name = made.when(turn == i, step(F.lit(given))), name.when(turn == i, _named(step))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), name.alias("step"), made.alias("made"))
+    """Digests of every text after each step of the normalisation, and after all."""
+    return texts(spark, sf_dir).select("doc_id", *(F.md5(step(damage(F.col("text")))).alias(name) for name, step, damage, _ in _STEPS))
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace({_TEXT_SQL}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{3,}}', ' ', 'g'), {_BLANKS})) AS digest,
+  md5({_TEXT_SQL}) AS fts_digest FROM documents""")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps on the texts as they are: Latin letters stay, blanks and line breaks are tidied."""
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"), F.md5(text.fts_normalize(F.col("text"))).alias("fts_digest"))
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(translate({_TEXT_SQL}, 'aeioustn', 'یکااا'), '\s+', ' ', 'g'), ' ')) AS form FROM documents""")
+def anchor_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that anchors do not tell apart, marks and wide blanks, put into every text."""
+    said = F.replace(F.translate("text", "aeioustn", text.ANCHOR_LETTERS[0] + _MARKS[:3]), F.lit(" "), F.lit(" \t "))
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.anchor_form(said)).alias("form"))
+
+
+_BRACKETED = ("aotrnhEI", "بتسلمن()")
+_SIDES = {"i": ")", "d": "("}
+_B = text.BRACKETED
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {swapped_sql(f"translate({_TEXT_SQL}, '{_BRACKETED[0]}', '{_BRACKETED[1]}')", _SIDES)} AS t FROM documents),
+closed AS (SELECT doc_id, regexp_replace(t, '(^|[^{_B}])(\s*)\)\s*([{_B}]+)', '\1\3)', 'g') AS t FROM d),
+moved AS (SELECT doc_id, regexp_replace(t, '([{_B}]+)\s*\((\s*)($|[^{_B}])', '(\1\3', 'g') AS t FROM closed),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM moved),
+counted AS (SELECT *, length(line) - length(replace(line, '(', '')) AS o, length(line) - length(replace(line, ')', '')) AS c FROM lines),
+fixed AS (SELECT doc_id, n, CASE
+  WHEN c - o >= 3 THEN regexp_extract(line, '^(?:[^)]*\)){{' || least(o, 900) || '}}') || replace(substring(line, 1 + length(regexp_extract(line, '^(?:[^)]*\)){{' || least(o, 900) || '}}'))), ')', '')
+  WHEN o - c >= 3 THEN replace(substring(line, 1, length(line) - length(regexp_extract(line, '(?:\([^(]*){{' || least(c, 900) || '}}$'))), '(', '') || regexp_extract(line, '(?:\([^(]*){{' || least(c, 900) || '}}$')
+  ELSE line END AS line FROM counted)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS fixed FROM fixed GROUP BY doc_id""")
+def bracket_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets and Persian letters put into every text; sides and counts are mended."""
+    said = swapped(F.translate("text", *_BRACKETED), _SIDES)
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.fix_brackets(said)).alias("fixed"))
 
 
-@query(expected_sql("kind", [("verdict",), ("minutes",), ("article",), ("text",)]))
+_TITLES = {"The ": "رأي  دادگاه ", "Is ": "صورت جلسه ", "La ": "گردشكار ", "Der ": "نظريه مشورتي ", "Les ": "قرار دادگاه "}
+
+
+@query("""WITH t AS (SELECT doc_id, substring(coalesce(text, ''), 1, 200) AS t FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'The ') OR contains(t, 'Les ') THEN 'verdict' WHEN contains(t, 'La ') THEN 'proceedings'
+  WHEN contains(t, 'Is ') THEN 'minutes' WHEN contains(t, 'Der ') THEN 'opinion' ELSE 'text' END AS kind FROM t""")
 def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given_texts(spark, sf_dir, ["رأي دادگاه", "صورت جلسه", "مادّه ۱۲", "سایر"])
-    return rows.select("part_key", chunking.section_kind(F.col("said")).alias("kind"))
+    """The kind of a section by its title, here the head of each text with anchors in place of articles."""
+    return texts(spark, sf_dir).select("doc_id", chunking.section_kind(swapped(F.substring("text", 1, 200), _TITLES)).alias("kind"))
 
 
 _BAR = " | "
@@ -230,52 +277,92 @@ def search_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.search_results(found).drop("metadata")
 
 
-@query("""SELECT doc_id, 'x' || chr(10) || 'y' AS body, 'c' || doc_id AS case_number FROM documents""")
+_HEADED = {". ": "\nCase: "}
+
+
+@query(rf"""WITH l AS (SELECT doc_id, string_split({swapped_sql(_TEXT_SQL, _HEADED)}, chr(10)) AS l FROM documents),
+k AS (SELECT doc_id, l, list_filter(l, lambda x: regexp_matches(x, 'Case:\s*[\p{{L}}\p{{N}}_]')) AS k FROM l)
+SELECT doc_id, md5(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, 'Case:\s*[\p{{L}}\p{{N}}_]')), chr(10))) AS body,
+  regexp_extract(k[-1], 'Case:\s*([\p{{L}}\p{{N}}_]+)', 1) AS case_number FROM k""")
 def header_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with a header field leave the text, and the field is kept."""
-    said = F.concat(F.lit("x\nCase: c"), F.col("doc_id").cast("string"), F.lit("\ny"))
-    fields = (("case_number", r"Case:\s*(\w+)"),)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", chunking.without_header(said, fields).alias("body"), F.element_at(chunking.header_fields(said, fields), F.lit("case_number")).alias("case_number")
+    """Lines with a header field, here all sentences but the first of each line, leave the text; the last field is kept."""
+    said, fields = swapped(F.col("text"), _HEADED), (("case_number", r"Case:\s*(\w+)"),)
+    return texts(spark, sf_dir).select(
+        "doc_id", F.md5(chunking.without_header(said, fields)).alias("body"), F.element_at(chunking.header_fields(said, fields), F.lit("case_number")).alias("case_number")
     )
 
 
-_SALVAGE = [
-    ('{"a": 1}', "strict", '{"a": 1}'), ('```json\n{"a": 2}\n```', "fenced", '{"a": 2}'), ('so {"a": 3} it is', "braces", '{"a": 3}'),
-    ('{"a": [1, 2,],}', "commas", '{"a": [1, 2]}'), ("{'a': 'it is', 'b': ['x']}", "quotes", '{"a": "it is", "b": ["x"]}'),
-    ('{"a": "cut', "closed", '{"a": "cut"}'), ('bad "a": ["x", "y", broken', "fields", '{"a": ["x", "y"]}'), ("nothing", "none", "{}"),
-]
+# an answer around the letters of a text, and the strategy and the object that come of it
+_ANSWERS = (
+    ('{"a": "V"}', "strict", '{"a": "V"}'), ('```json\n{"a": "V"}\n```', "fenced", '{"a": "V"}'), ('so {"a": "V"} it is', "braces", '{"a": "V"}'),
+    ('{"a": ["V", 2,],}', "commas", '{"a": ["V", 2]}'), ("{'a': 'V', 'b': ['x']}", "quotes", '{"a": "V", "b": ["x"]}'),
+    ('{"a": "V', "closed", '{"a": "V"}'), ('bad "a": ["V", "y", broken', "fields", '{"a": ["V", "y"]}'), ("V", "none", "{}"),
+)
+_TURN_SQL = lambda at: " ".join(f"WHEN {i} THEN {at(row)}" for i, row in enumerate(_ANSWERS))
 
 
-@query(expected_sql("strategy, body", [(s, j) for _, s, j in _SALVAGE]))
+@query(f"""SELECT doc_id, CASE doc_id % 8 {_TURN_SQL(lambda r: f"'{r[1]}'")} END AS strategy,
+  md5(replace(CASE doc_id % 8 {_TURN_SQL(lambda r: f"'{r[2]}'")} END, 'V', regexp_replace({_TEXT_SQL}, '[^a-z]', '', 'g'))) AS body FROM documents""")
 def json_salvage_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given_texts(spark, sf_dir, [a for a, _, _ in _SALVAGE])
-    found = jsontext.salvaged(F.col("said"), ("a",))
-    return rows.select("part_key", found["strategy"].alias("strategy"), found["json"].alias("body"))
+    """Answers that hold each text's letters, broken in a way that each strategy mends."""
+    answer = F.element_at(F.array(*(F.lit(a) for a, _, _ in _ANSWERS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    said = F.replace(answer, F.lit("V"), F.regexp_replace("text", "[^a-z]", ""))
+    rows = texts(spark, sf_dir).select("doc_id", jsontext.salvaged(said, ("a",)).alias("found"))
+    return rows.select("doc_id", "found.strategy", F.md5("found.json").alias("body"))
+
+
+@query("""SELECT event_id, 'closed' AS strategy, left(props, length(props) - 1) || ', "s": "open"}' AS json FROM events""")
+def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers cut off within a text."""
+    cut = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "s": "open'))
+    rows = table(spark, sf_dir, "events").select("event_id", jsontext.salvaged(cut, ("k",)).alias("found"))
+    return rows.select("event_id", "found.strategy", "found.json")
+
+
+_PAGED = {"th": "ماده 3 ", "que": "ماده 7 ", "und": "ماده ۹", ". ": "\nsame\n"}
+
 
+# the check of pages d(doc_id, t): t is stripped
+_CHECKED_SQL = rf"""n AS (SELECT doc_id, t, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n, CAST(regexp_extract_all(translate(t, '{text.PERSIAN_DIGITS}', '0123456789'), 'ماده\s*([0-9]+)', 1) AS BIGINT[]) AS a,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> '') AS l FROM d),
+s AS (SELECT doc_id, t, n, l, list_transform(list_zip(a[2:], a[:-2]), lambda z: z[1] - z[2]) AS s FROM n),
+f AS (SELECT doc_id, t, list_concat(CASE WHEN n > 0 AND n / length(t) < 0.1 THEN ['low_letter_ratio'] ELSE [] END,
+  list_transform(list_filter(s, lambda x: x > 2 OR x < 0), lambda x: CASE WHEN x > 2 THEN 'article_gap' ELSE 'non_ascending_articles' END),
+  CASE WHEN regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '[۰-۹]') AND n / length(t) > 0.2 THEN ['digit_conversion'] ELSE [] END,
+  CASE WHEN len(l) >= 4 AND list_max(map_values(list_histogram(l))) >= 3 THEN ['repeated_content'] ELSE [] END) AS f FROM s)
+SELECT doc_id, length(t) >= 10 AND len(f) = 0 AS verified, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) < 10 THEN 0.1 ELSE round(greatest(0.1, 1 - 0.15 * len(f)), 6) END::DOUBLE AS confidence,
+  CASE WHEN length(t) = 0 THEN 'empty_output' WHEN length(t) < 10 THEN 'too_short' ELSE array_to_string(f, ',') END AS flags FROM f"""
 
-_PAGES = [
-    ("", "false", "0.0", "empty_output"), ("ab cd", "false", "0.1", "too_short"), ("aaaa bbbb cccc dddd", "true", "1.0", ""),
-    ("1234567890 1234567890 a", "false", "0.85", "low_letter_ratio"), ("abcdefgh 12 abcdefgh", "false", "0.85", "digit_conversion"),
-    ("same same\nsame same\nsame same\nanother", "false", "0.85", "repeated_content"),
-]
 
+def _verified(rows: DataFrame, said: Column) -> DataFrame:
+    found = rows.select("doc_id", quality.verify_extraction(said, "a-z").alias("found"))
+    return found.select("doc_id", "found.verified", F.round("found.confidence", 6).alias("confidence"), F.array_join("found.flags", ",").alias("flags"))
 
-@query(expected_sql("verified, confidence, flags", [r[1:] for r in _PAGES]))
+
+@query(f"WITH d AS (SELECT doc_id, trim({_TEXT_SQL}, {_BLANKS}) AS t FROM documents), {_CHECKED_SQL}")
+def extraction_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and confidence of the texts as they are."""
+    return _verified(texts(spark, sf_dir), F.col("text"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, trim(CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN substring({_TEXT_SQL}, 1, 5) WHEN 2 THEN repeat('12345 ', 400) || {_TEXT_SQL}
+    WHEN 3 THEN {_TEXT_SQL} ELSE {swapped_sql(_TEXT_SQL, _PAGED)} END, {_BLANKS}) AS t FROM documents), {_CHECKED_SQL}""")
 def extraction_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = given_texts(spark, sf_dir, [r[0] for r in _PAGES])
-    found = quality.verify_extraction(F.col("said"), "a-z")
-    return rows.select(
-        "part_key", found["verified"].cast("string").alias("verified"), F.round(found["confidence"], 6).cast("string").alias("confidence"), F.array_join(found["flags"], ",").alias("flags")
-    )
+    """Pages with articles, digits and lines put into them; each flag of the check is met."""
+    turn = F.col("doc_id") % 10
+    said = F.when(turn == 0, "").when(turn == 1, F.substring("text", 1, 5)).when(turn == 2, F.concat(F.repeat(F.lit("12345 "), 400), "text"))
+    said = said.when(turn == 3, F.col("text")).otherwise(swapped(F.col("text"), _PAGED))
+    return _verified(texts(spark, sf_dir), said)
+
+
+_LISTED = {"<ul>": "<table><tr><th>name</th><th>n</th></tr>", "</ul>": "</table>", "<li>": "<tr><td>", "</li>": "</td><td> 1 </td></tr>"}
 
 
-@query("""WITH w AS (SELECT page_id, page_id::VARCHAR AS c, greatest(3, length(page_id::VARCHAR))::INT AS n FROM pages)
-SELECT page_id, 0 AS n, '| ' || rpad('k', n, ' ') || ' | v   |' || chr(10) || '| ' || repeat('-', n) || ' | --- |' || chr(10)
-  || '| ' || rpad(c, n, ' ') || ' | x   |' AS markdown FROM w""")
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li>(?:<a[^>]*>)?([^<]*)', 1) AS l FROM pages),
+w AS (SELECT page_id, l, greatest(4, list_max(list_transform(l, lambda x: length(x))))::INT AS w FROM l WHERE len(l) > 0)
+SELECT page_id, 0 AS n, '| ' || rpad('name', w, ' ') || ' | n   |' || chr(10) || '| ' || repeat('-', w) || ' | --- |' || chr(10)
+  || array_to_string(list_transform(l, lambda x: '| ' || rpad(x, w, ' ') || ' | 1   |'), chr(10)) AS markdown FROM w""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of pages; the supplied ones hold none, so each gets one of two rows and one too small."""
-    cell = F.col("page_id").cast("string")
-    html = F.concat(F.lit("<table><tr><th>k</th><th>v</th></tr><tr><td>"), cell, F.lit("</td><td>x</td></tr></table><table><tr><td>a</td></tr></table>"))
-    found = files.html_tables(table(spark, sf_dir, "pages").withColumn("html", html))
+    """Tables of pages; the supplied ones hold lists only, which are made tables of two columns."""
+    found = files.html_tables(table(spark, sf_dir, "pages").withColumn("html", swapped(F.col("html"), _LISTED)))
     return found.select("page_id", "n", tables.table_markdown(F.col("table")).alias("markdown"))

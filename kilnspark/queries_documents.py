@@ -401,13 +401,6 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"), quality.is_garbled(c, _STOPS, _PAIRS, **how).alias("garbled"))
 
 
-@query()
-def extraction_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags and confidence of extracted pages (tested by exact cases)."""
-    found = quality.verify_extraction(F.col("text"), LATIN)
-    return docs(spark, sf_dir).select("doc_id", found["verified"].alias("verified"), F.round(found["confidence"], 6).alias("confidence"), F.array_join(found["flags"], ",").alias("flags"))
-
-
 @query(r"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS word FROM benchmark)),
 s AS (SELECT regexp_replace(word, '[^\p{L}]', '', 'g') AS s FROM w)
 SELECT pair, count(*) AS n FROM (SELECT substring(s, i, 2) AS pair FROM (SELECT s, unnest(generate_series(1, length(s) - 1)) AS i FROM s)) GROUP BY pair""")
@@ -416,12 +409,6 @@ def letter_pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.pairs_of(found)
 
 
-@query()
-def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All normalisation steps (NFKC has no SQL; tested by exact pairs)."""
-    return docs(spark, sf_dir).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"), F.md5(text.fts_normalize(F.col("text"))).alias("fts_digest"))
-
-
 # --- chunks ----------------------------------------------------------------------------
 
 
@@ -618,14 +605,6 @@ def try_parse_json_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", jsontext.parse_tier(F.col("said")).alias("tier"), jsontext.field(jsontext.parse_json(F.col("said")), "$.k", "long").alias("k"))
 
 
-@query()
-def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut-off answers repaired by the scanner (tested by exact cases)."""
-    cut = F.expr("left(props, length(props) - 1)")
-    found = jsontext.salvaged(F.concat(cut, F.lit(', "s": "open')), ("k",))
-    return table(spark, sf_dir, "events").select("event_id", found["strategy"].alias("strategy"), found["json"].alias("json"))
-
-
 @query("SELECT event_id, least(1.0, CASE WHEN n > 1 THEN n / 100.0 ELSE n END)::DOUBLE AS p FROM (SELECT event_id, (event_id % 150)::DOUBLE AS n FROM events)")
 def probability_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("about "), (F.col("event_id") % 150).cast("string"), F.lit(" per cent, not 7"))

@@ -151,3 +151,38 @@ def test_parse_tiers(spark):
     rows = spark.createDataFrame([(s,) for s in said], "s string")
     got = rows.select(jsontext.parse_tier(F.col("s")).alias("t"), jsontext.field(jsontext.parse_json(F.col("s")), "$.k", "int").alias("k")).collect()
     assert [(r.t, r.k) for r in got] == [(1, 1), (2, 2), (3, 3), (None, None), (None, None)]
+
+
+# texts and what the operators must make of them
+BRACKETS = [
+    (")سلام", "سلام)"), (") سلام", "سلام)"), ("متن )سلام دنیا", "متن سلام) دنیا"), ("))سلام", ")سلام)"), ("سلام(", "(سلام"), ("سلام (", "(سلام"),
+    ("متن سلام( دنیا", "متن (سلام دنیا"), ("سلام((", "(سلام("), ("a (b) c", "a (b) c"), ("x)))y", "xy"), ("(((x\ny)", "x\ny)"), ("(a)b))))", "(a)b"), ("((((a)b", "(a)b"),
+]
+ANCHORS = [("رأي  دادگاه", "رای دادگاه"), (" مُادّه\n۱۲ ", "ماده ۱۲"), ("آئين  نامة", "ائین نامة"), ("كتاب", "کتاب"), ("plain", "plain")]
+STEPS = [
+    (text.fix_ligatures, "وکالی دالیل عالوه", "وکلای دلایل علاوه"),
+    (text.rejoin_dates, "1376/\n01/15 ۱۳۷۶-\n۰۱-۱۵", "1376/01/15 ۱۳۷۶-۰۱-۱۵"),
+    (text.strip_tatweel, "قـانون", "قانون"),
+    (text.to_persian, "كتابي", "کتابی"),
+    (text.fix_half_spaces, "می روم کتاب اش", "می‌روم کتاب‌اش"),
+    (text.strip_controls, "a\u200bc\u200cd\te", "acd\te"),
+    (text.tidy, "  a\n\n\n\nb    c \n", "a\n\nb c"),
+    (text.nfkc, "ﬁ²", "fi2"),
+    (text.fts_normalize, "ماده‌۲۲ كتاب", "ماده 22 کتاب"),
+    (text.normalize, "  كتابـي\u200b ﬁ\n\n\n\nمی روم ", "کتابی fi\n\nمی‌روم"),
+]
+
+
+@pytest.mark.parametrize("given,made", BRACKETS)
+def test_fix_brackets(spark, given, made):
+    assert value(spark, text.fix_brackets(F.lit(given))) == made
+
+
+@pytest.mark.parametrize("given,made", ANCHORS)
+def test_anchor_form(spark, given, made):
+    assert value(spark, text.anchor_form(F.lit(given))) == made
+
+
+@pytest.mark.parametrize("step,given,made", STEPS)
+def test_step(spark, step, given, made):
+    assert value(spark, step(F.lit(given))) == made
