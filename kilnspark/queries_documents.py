@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import jsontext, quality, tables, text
 from .operators import chunking, models, relational
+from .operators.embedding_cache import cached_embeddings
 from .queries_retrieval import WORDS_SQL
 from .registry import SQL, query, table
 from .sources import files, json_documents, sinks
-from .streaming import ingest
+from .stored import shared_path
+from .streaming import ingest, state
 
 LATIN = "a-z"
 SPLIT_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
@@ -655,3 +657,51 @@ def event_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, count(*) AS messages, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user FROM conversations GROUP BY conv_id""")
 def conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.latest_state(table(spark, sf_dir, "conversations"))
+
+
+@query("""WITH f AS (SELECT conv_id, coalesce(turn, -1)::BIGINT AS turn, role AS name, md5(coalesce(text, '')) AS value FROM conversations WHERE role IS NOT NULL
+  UNION ALL SELECT conv_id, coalesce(turn, -1)::BIGINT, 'starts ' || substring(text, 1, 1), role FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id, name, turn, value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY turn DESC, value DESC) AS n FROM f) WHERE n = 1""")
+def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation knows at its end: facts of all turns, the latest telling of each."""
+    return state.merged_facts(with_facts(table(spark, sf_dir, "conversations")))
+
+
+def with_facts(messages: DataFrame) -> DataFrame:
+    """Messages with two facts: the digest of a role's text, and who used a first letter."""
+    told = F.array(
+        F.struct(F.col("role").alias("k"), F.md5(F.coalesce("text", F.lit(""))).alias("v")),
+        F.struct(F.concat(F.lit("starts "), F.substring("text", 1, 1)).alias("k"), F.col("role").alias("v")),
+    )
+    return messages.withColumn("facts", F.map_from_entries(F.filter(told, lambda s: s["k"].isNotNull() & s["v"].isNotNull())))
+
+
+@query("""WITH l AS (SELECT user_id AS task_id, max(ts) AS seen FROM events GROUP BY user_id),
+s AS (SELECT task_id, seen, max(event_type) AS status FROM l JOIN events ON user_id = task_id AND ts = seen GROUP BY ALL)
+SELECT task_id, epoch_us(seen::TIMESTAMP) AS last_us, CASE WHEN status NOT IN ('purchase', 'error') AND seen::TIMESTAMP + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events)::TIMESTAMP
+  THEN 'failed' ELSE status END AS status FROM s""")
+def stalled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every task at the end of the events; those long silent have failed."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+    return state.stalled(e, "30 minutes", final=("purchase", "error"))
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN regexp_matches(text, '[^\\s]') THEN length(text) END::BIGINT AS first,
+  CASE WHEN NOT regexp_matches(text, '[^\\s]') OR text IS NULL THEN NULL WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) THEN 1 ELSE 2 END::BIGINT AS run FROM documents""")
+def embedding_cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the chunks embedded in a first run, all in a second, which sends only texts not seen before."""
+    chunks, path = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), shared_path(spark)
+    embedder = lambda said: [[float(len(t))] for t in said]
+    cached_embeddings(chunks.where("chunk_id % 2 = 0"), embedder, path, now=1)
+    made = cached_embeddings(chunks, embedder, path, now=2)
+    return made.select("chunk_id", F.get("embedding", 0).cast("long").alias("first"), F.col("made_at").alias("run"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '[^\\s]')) AS imported,
+  count(*) FILTER (WHERE NOT regexp_matches(coalesce(text, ''), '[^\\s]')) AS skipped,
+  count(*) FILTER (WHERE lang IS NULL AND regexp_matches(coalesce(text, ''), '[^\\s]')) AS without_hub FROM documents""")
+def counted_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written by hub, and the counters of that same pass."""
+    chunks = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("hub_type"))
+    found = sinks.append_counted(chunks, shared_path(spark))
+    return spark.createDataFrame([tuple(found[c] for c in ("total", "imported", "skipped", "without_hub"))], "total long, imported long, skipped long, without_hub long")

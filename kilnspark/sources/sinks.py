@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_normalize, normalize
@@ -26,6 +26,21 @@ def append_chunks(chunks: DataFrame, path: str, hub: str = "hub_type") -> None:
     chunks.write.mode("append").partitionBy(hub).parquet(path)
 
 
+def append_counted(chunks: DataFrame, path: str, content: str = "content", hub: str = "hub_type") -> dict[str, int]:
+    """:func:`append_chunks` of the chunks with text; ``total, imported, skipped, without_hub``.
+
+    The counters come out of the pass that writes, so the chunks are read once. A chunk of
+    null or blank text is skipped; one without hub is imported and counted apart.
+    """
+    blank = ~F.coalesce(F.col(content), F.lit("")).rlike(r"\S")
+    seen = Observation()
+    counted = chunks.observe(
+        seen, F.count("*").alias("total"), F.count_if(~blank).alias("imported"), F.count_if(blank).alias("skipped"), F.count_if(~blank & F.col(hub).isNull()).alias("without_hub")
+    )
+    append_chunks(counted.where(~blank), path, hub)
+    return seen.get
+
+
 def reload_hubs(chunks: DataFrame, path: str, hub: str = "hub_type") -> None:
     """Replace the hubs that ``chunks`` holds and leave the other partitions alone."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(hub).parquet(path)
