@@ -36,7 +36,7 @@ def top_per_query(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _small(queries: DataFrame) -> DataFrame:
+def small(queries: DataFrame) -> DataFrame:
     """Broadcast the queries if they are few and small (measured over a limited number)."""
     width = F.sum(F.octet_length(F.to_json(F.struct(*queries.columns))))
     rows, size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
@@ -91,7 +91,7 @@ def vector_search_many(chunks: DataFrame, queries: DataFrame, top_k: int, on: Co
     """
     held = chunks.where(F.col("embedding").isNotNull())
     score = same_width(F.col("embedding"), F.col("vector"), cosine(F.col("embedding"), F.col("vector")))
-    scored = held.join(_small(queries), on).withColumn("score", score).drop("embedding", "vector")
+    scored = held.join(small(queries), on).withColumn("score", score).drop("embedding", "vector")
     return top_per_query(scored.where(F.col("score") >= min_score), top_k, by)
 
 
@@ -208,7 +208,7 @@ def postings(chunks: DataFrame, content: str = "content", keep: Sequence[str] =
     exploded = chunks.select("chunk_id", *keep, F.explode(words(searched_text(chunks, content))).alias("term"))
     if asked is not None:
         wanted = asked.select(F.explode("terms").alias("term")).distinct()
-        exploded = exploded.join(_small(wanted), "term", "left_semi")
+        exploded = exploded.join(small(wanted), "term", "left_semi")
     return exploded.groupBy("chunk_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
@@ -221,7 +221,7 @@ def keyword_matches(index: DataFrame, queries: DataFrame, any_term: bool = False
     asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).select(
         "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
     )
-    hits = index.join(_small(asked), "term").groupBy("query_id", "n_terms", "chunk_id", *keep).agg(
+    hits = index.join(small(asked), "term").groupBy("query_id", "n_terms", "chunk_id", *keep).agg(
         F.count("*").alias("found"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("weight")
     )
     hits = hits if any_term else hits.where(F.col("found") == F.col("n_terms"))
@@ -259,11 +259,11 @@ def trigram_search_many(chunks: DataFrame, queries: DataFrame, min_similarity: f
     asked = queries.withColumn("_asked", trigrams(F.col("query"))).drop("query")
     if on is not None:
         score = set_similarity(F.col("_grams"), F.col("_asked"))
-        scored = held.join(_small(asked), on).select("query_id", "chunk_id", *keep, score.alias("score"))
+        scored = held.join(small(asked), on).select("query_id", "chunk_id", *keep, score.alias("score"))
         return scored.where(F.col("score") >= min_similarity)
     one = held.select("chunk_id", *keep, F.size("_grams").alias("_n"), F.explode("_grams").alias("_g"))
     other = asked.select("query_id", F.size("_asked").alias("_m"), F.explode("_asked").alias("_g"))
-    met = one.join(_small(other), "_g").groupBy("query_id", "_m", "chunk_id", *keep, "_n").agg(F.count("*").alias("_both"))
+    met = one.join(small(other), "_g").groupBy("query_id", "_m", "chunk_id", *keep, "_n").agg(F.count("*").alias("_both"))
     scored = met.select("query_id", "chunk_id", *keep, (F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("score"))
     return scored.where(F.col("score") >= min_similarity)
 
@@ -360,7 +360,7 @@ def keyword_search_many(chunks: DataFrame, queries: DataFrame, top_k: int, on: C
     once, each over the chunks that ``on`` gives it; ranked per query and ``keep``."""
     asked = queries.withColumn("_asked", asked_for(F.col("query"), stop_words)).drop("query", "vector")
     tokens = chunks.select("chunk_id", *keep, words(searched_text(chunks, content)).alias("_tokens"))
-    met = tokens.withColumn("_line", F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))).join(_small(asked), on)
+    met = tokens.withColumn("_line", F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))).join(small(asked), on)
     met = met.withColumn("stage", _stage_of(F.col("_line"), F.col("_asked"))).where(F.col("stage").isNotNull())
     score = F.when(F.col("stage") == 0, _rank_of(F.col("_tokens"), F.col("_asked.terms"))).otherwise(_rank_of(F.col("_tokens"), F.col("_asked.plain")))
     group = ["query_id", *keep]
@@ -383,7 +383,7 @@ def multi_hub_search(chunks: DataFrame, questions: DataFrame, top_k: int, hub: s
     """
     depth = candidate_depth(top_k)
     parsed = questions.withColumn("_asked", asked_for(F.col("query"), stop_words)).withColumn("_grams", trigrams(F.col("query")))
-    asked = _small(parsed.select("query_id", F.col(hub).alias("_hub"), F.col("vector").alias("_vector"), "_asked", "_grams"))
+    asked = small(parsed.select("query_id", F.col(hub).alias("_hub"), F.col("vector").alias("_vector"), "_asked", "_grams"))
     held = chunks.select("chunk_id", hub, "embedding", words(searched_text(chunks, content)).alias("_tokens"), trigrams(F.col(content)).alias("_held"))
     held = held.withColumn("_line", F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" ")))
     met = held.join(asked, F.col(hub) == F.col("_hub"))

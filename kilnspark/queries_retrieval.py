@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import DIGITS, PERSIAN_DIGITS, remove_stop_words, set_similarity, trigrams, words
-from .operators import context, relational, retrieval
+from .operators import context, relational, retrieval, text_index
 from .registry import query, table
+from .stored import shared_path
 
 STOPS = ("the", "of", "and", "de", "la")
 _STOPS_SQL = "(" + ", ".join(f"'{w}'" for w in STOPS) + ")"
@@ -135,6 +136,59 @@ def keyword_stage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "stage", "rank", "score")
 
 
+def word_index(rows: DataFrame) -> str:
+    path = shared_path(rows.sparkSession)
+    text_index.write_word_index(rows, path)
+    return path
+
+
+@query(f"""WITH {_POSTINGS},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM allof)
+SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def index_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that hold all words of a question, from an index with positions."""
+    index = spark.read.parquet(word_index(chunks(spark, sf_dir)))
+    found = text_index.WordSearch(index, benchmark_terms(spark, sf_dir), 10).top()
+    return found.select("query_id", "chunk_id", "rank", "score")
+
+
+@query(f"""WITH {_POSTINGS},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM anyof)
+SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def index_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = spark.read.parquet(word_index(chunks(spark, sf_dir)))
+    found = text_index.WordSearch(index, benchmark_terms(spark, sf_dir), 5, all_terms=False).top()
+    return found.select("query_id", "chunk_id", "rank", "score")
+
+
+_PHRASES = f"""q AS (SELECT DISTINCT l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM (
+  SELECT l, unnest(generate_series(1, len(l) - 2)) AS i FROM (SELECT {WORDS_SQL.format(c='text')} AS l FROM benchmark))),
+d AS (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM (SELECT doc_id, {WORDS_SQL.format(c='text')} AS l FROM documents)),
+t AS (SELECT doc_id, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM d)"""
+
+
+@query(f"""WITH {_PHRASES}
+SELECT a || ' ' || b || ' ' || c AS query_id, doc_id AS chunk_id, count(*) AS n_times FROM q JOIN t USING (a, b, c) GROUP BY ALL""")
+def index_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phrases of three words of the benchmark, and how often each document holds them."""
+    index = spark.read.parquet(word_index(chunks(spark, sf_dir)))
+    three = F.transform(F.sequence(F.lit(1), F.size("l") - 2), lambda i: F.slice("l", i, 3))
+    asked = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("l")).where(F.size("l") > 2).select(F.explode(three).alias("terms")).distinct()
+    return text_index.phrase_search(index, asked.withColumn("query_id", F.array_join("terms", " ")))
+
+
+@query(f"""WITH {_POSTINGS.replace('FROM documents)', "FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN replace(text, 'the', 'der') ELSE text END AS text FROM documents))")},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM allof)
+SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def index_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the texts of one hub were changed and merged into the index."""
+    held, path = chunks(spark, sf_dir), shared_path(spark)
+    changed = held.where(F.col("hub_type") == "en").withColumn("content", F.replace("content", F.lit("the"), F.lit("der")))
+    text_index.merge_word_index(spark, word_index(held), changed, path, batch="1")
+    found = text_index.WordSearch(spark.read.parquet(path), benchmark_terms(spark, sf_dir), 10).top()
+    return found.select("query_id", "chunk_id", "rank", "score")
+
+
 def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as short chunks; sizes are written in Persian digits."""
     size = F.translate(F.col("p_size").cast("string"), DIGITS, PERSIAN_DIGITS)
@@ -207,25 +261,50 @@ s AS (SELECT doc_id AS chunk_id, b::DOUBLE / (n + (SELECT count(*) FROM asked) -
 SELECT chunk_id, round(score, 6) AS score FROM s {where} {limit}"""
 
 
+_MINSIM_SQL = f"""WITH q AS (SELECT DISTINCT p_type AS text FROM part), p AS (SELECT DISTINCT p_brand || ' ' || p_name AS name, p_type AS t FROM part),
+qg AS ({_grams('q', 'text', 'text')}), pn AS (SELECT DISTINCT name FROM p), pg AS ({_grams('(SELECT DISTINCT p_name AS name FROM part)', 'name', 'name')}),
+qn AS (SELECT text, count(*) AS n FROM qg GROUP BY text), pc AS (SELECT name, count(*) AS n FROM pg GROUP BY name),
+b AS (SELECT qg.text, pg.name, count(*) AS b FROM qg JOIN pg USING (g) GROUP BY qg.text, pg.name),
+s AS (SELECT b.text AS query_id, b.name AS chunk_id, b::DOUBLE / (qn.n + pc.n - b) AS score FROM b JOIN qn USING (text) JOIN pc USING (name))
+SELECT query_id, chunk_id, round(score, 6) AS score FROM s WHERE score >= @least"""
+
+
+def named_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names of parts as chunks, their types as queries."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("chunk_id"), F.col("p_name").alias("content")).distinct()
+    return names, part.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("query")).distinct()
+
+
 @query(_trigram_sql("WHERE score >= 0.02", "ORDER BY score DESC, chunk_id LIMIT 10"))
 def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.trigram_search(chunks(spark, sf_dir), _QUESTION, 10, min_similarity=0.02)
     return rounded(found.select("chunk_id", "score"), "score")
 
 
-@query(f"""WITH q AS (SELECT DISTINCT p_type AS text FROM part), p AS (SELECT DISTINCT p_brand || ' ' || p_name AS name, p_type AS t FROM part),
-qg AS ({_grams('q', 'text', 'text')}), pn AS (SELECT DISTINCT name FROM p), pg AS ({_grams('(SELECT DISTINCT p_name AS name FROM part)', 'name', 'name')}),
-qn AS (SELECT text, count(*) AS n FROM qg GROUP BY text), pc AS (SELECT name, count(*) AS n FROM pg GROUP BY name),
-b AS (SELECT qg.text, pg.name, count(*) AS b FROM qg JOIN pg USING (g) GROUP BY qg.text, pg.name),
-s AS (SELECT b.text AS query_id, b.name AS chunk_id, b::DOUBLE / (qn.n + pc.n - b) AS score FROM b JOIN qn USING (text) JOIN pc USING (name))
-SELECT query_id, chunk_id, round(score, 6) AS score FROM s WHERE score >= 0.05""")
+@query(_MINSIM_SQL.replace("@least", "0.05"))
 def trigram_minsim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_name").alias("chunk_id"), F.col("p_name").alias("content")).distinct()
-    asked = part.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("query")).distinct()
+    names, asked = named_parts(spark, sf_dir)
     return rounded(retrieval.trigram_search_many(names, asked, 0.05), "score")
 
 
+@query(_trigram_sql("WHERE score >= 0.02", "ORDER BY score DESC, chunk_id LIMIT 10"))
+def gram_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`trigram_topk` from stored lists: only candidates' sets are compared."""
+    path = shared_path(spark)
+    text_index.write_gram_index(chunks(spark, sf_dir), path)
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(_QUESTION).alias("query"))
+    found = retrieval.top_per_query(text_index.GramSearch(path, asked, 0.02).found(), 10)
+    return rounded(found.select("chunk_id", "score"), "score")
+
+
+@query(_MINSIM_SQL.replace("@least", "0.3"))
+def gram_index_minsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, asked, path = *named_parts(spark, sf_dir), shared_path(spark)
+    text_index.write_gram_index(names, path)
+    return rounded(text_index.GramSearch(path, asked, 0.3).found(), "score")
+
+
 # --- fusion ----------------------------------------------------------------------------
 
 
