@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import jsontext, quality, tables, text
-from .operators import chunking, models, relational
+from .operators import chunking, models, relational, table_functions
 from .operators.embedding_cache import cached_embeddings
 from .queries_retrieval import WORDS_SQL
 from .registry import SQL, query, table
@@ -564,6 +564,24 @@ def chunk_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("window").cast("long").alias("window"), F.size("tokens").cast("long").alias("tokens"), F.element_at("tokens", 1).alias("first"))
 
 
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
+l AS (SELECT doc_id, page, {WORDS_SQL.format(c='line')} AS w FROM p),
+e AS (SELECT doc_id, page, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM l),
+n AS (SELECT doc_id, page, t, row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS pos FROM e),
+c AS (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id),
+s AS (SELECT doc_id, unnest(generate_series(0, greatest(0, n - 21), 80)) AS s FROM c)
+SELECT s.doc_id AS document_id, s // 80 AS window, count(*) AS n_tokens, min(page) AS first_page, max(page) AS last_page, md5(string_agg(t, ' ' ORDER BY pos)) AS digest
+FROM s JOIN n ON n.doc_id = s.doc_id AND pos >= s AND pos < s + 100 GROUP BY ALL""")
+def chunk_page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 100 words over the lines of each document, by the table function in SQL."""
+    table_functions.register(spark)
+    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    pages = lines.select("document_id", (F.col("at") + 1).alias("page"), text.words(F.col("line")).alias("tokens"))
+    return spark.sql(
+        "SELECT document_id, window, n_tokens, first_page, last_page, md5(content) AS digest FROM page_windows(TABLE(SELECT * FROM {pages}), 100, 20)", pages=pages
+    )
+
+
 @query(r"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), 'th[a-z]+'))) AS INTEGER) AS n FROM documents""")
 def article_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.size(chunking.article_references(F.coalesce("text", F.lit("")), "th[a-z]+")).cast("int").alias("n"))

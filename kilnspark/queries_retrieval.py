@@ -136,10 +136,10 @@ def keyword_stage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "stage", "rank", "score")
 
 
-def word_index(rows: DataFrame) -> str:
+def word_index(rows: DataFrame) -> DataFrame:
     path = shared_path(rows.sparkSession)
     text_index.write_word_index(rows, path)
-    return path
+    return text_index.read_word_index(rows.sparkSession, path)
 
 
 @query(f"""WITH {_POSTINGS},
@@ -147,7 +147,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def index_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that hold all words of a question, from an index with positions."""
-    index = spark.read.parquet(word_index(chunks(spark, sf_dir)))
+    index = word_index(chunks(spark, sf_dir))
     found = text_index.WordSearch(index, benchmark_terms(spark, sf_dir), 10).top()
     return found.select("query_id", "chunk_id", "rank", "score")
 
@@ -156,7 +156,7 @@ def index_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM anyof)
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def index_any_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spark.read.parquet(word_index(chunks(spark, sf_dir)))
+    index = word_index(chunks(spark, sf_dir))
     found = text_index.WordSearch(index, benchmark_terms(spark, sf_dir), 5, all_terms=False).top()
     return found.select("query_id", "chunk_id", "rank", "score")
 
@@ -171,7 +171,7 @@ t AS (SELECT doc_id, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM d)"""
 SELECT a || ' ' || b || ' ' || c AS query_id, doc_id AS chunk_id, count(*) AS n_times FROM q JOIN t USING (a, b, c) GROUP BY ALL""")
 def index_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All phrases of three words of the benchmark, and how often each document holds them."""
-    index = spark.read.parquet(word_index(chunks(spark, sf_dir)))
+    index = word_index(chunks(spark, sf_dir))
     three = F.transform(F.sequence(F.lit(1), F.size("l") - 2), lambda i: F.slice("l", i, 3))
     asked = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("l")).where(F.size("l") > 2).select(F.explode(three).alias("terms")).distinct()
     return text_index.phrase_search(index, asked.withColumn("query_id", F.array_join("terms", " ")))
@@ -182,10 +182,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def index_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after the texts of one hub were changed and merged into the index."""
-    held, path = chunks(spark, sf_dir), shared_path(spark)
+    held, path, new_path = chunks(spark, sf_dir), shared_path(spark), shared_path(spark)
+    text_index.write_word_index(held, path)
     changed = held.where(F.col("hub_type") == "en").withColumn("content", F.replace("content", F.lit("the"), F.lit("der")))
-    text_index.merge_word_index(spark, word_index(held), changed, path, batch="1")
-    found = text_index.WordSearch(spark.read.parquet(path), benchmark_terms(spark, sf_dir), 10).top()
+    text_index.merge_word_index(spark, path, changed, new_path, batch="1")
+    found = text_index.WordSearch(text_index.read_word_index(spark, new_path), benchmark_terms(spark, sf_dir), 10).top()
     return found.select("query_id", "chunk_id", "rank", "score")
 
 
@@ -302,7 +303,7 @@ def gram_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gram_index_minsim(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, asked, path = *named_parts(spark, sf_dir), shared_path(spark)
     text_index.write_gram_index(names, path)
-    return rounded(text_index.GramSearch(path, asked, 0.3).found(), "score")
+    return rounded(text_index.GramSearch(path, asked, 0.3, id_type="string").found(), "score")
 
 
 # --- fusion ----------------------------------------------------------------------------

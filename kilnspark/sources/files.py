@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PDF_MAGIC = b"%PDF"
@@ -131,6 +132,52 @@ def split_page_batch(response: Column) -> Column:
     return F.zip_with(numbers, texts, lambda n, t: F.struct(n.cast("int").alias("page"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("text")))
 
 
+def reread_page_batches(pages: DataFrame, bad: Column, batch_reader: Callable[[str, list[int]], str], reader: Callable[[str, int], str], size: int = 5) -> DataFrame:
+    """Pages that ``bad`` marks, sent ``size`` of a file at a time, with fallback to single pages.
+
+    ``batch_reader(path, pages)`` gives one answer with a ``[PAGE N]`` marker before each
+    page. A page that the answer leaves out or leaves blank, and all pages of a call that
+    fails, are read by ``reader(path, page)``; where that fails too, the page stays as it is.
+    """
+    columns = ["path", "page", "text", "error"]
+    nth = F.row_number().over(W.partitionBy("path").orderBy("page")) - 1
+    listed = F.sort_array(F.collect_list(F.struct("page", "text", "error")))
+    batches = pages.where(bad).withColumn("_batch", F.floor(nth / size)).groupBy("path", "_batch").agg(listed.alias("pages"))
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers = []
+            for path, numbers in zip(frame["path"], frame["numbers"]):
+                try:
+                    answers.append(batch_reader(path, [int(n) for n in numbers]))
+                except Exception:  # noqa: BLE001  a reader may raise anything
+                    answers.append(None)
+            yield frame.assign(answer=answers)
+
+    page = "struct<page:int,text:string,error:string>"
+    sent = batches.select("path", F.col("pages").cast(f"array<{page}>"), F.col("pages.page").alias("numbers"))
+    sent = sent.mapInPandas(ask, f"path string, pages array<{page}>, numbers array<int>, answer string")
+    found = F.coalesce(split_page_batch(F.col("answer")), F.array().cast("array<struct<page:int,text:string>>"))
+    each = sent.withColumn("found", found).select("path", "found", F.inline("pages"))
+    mine = F.filter("found", lambda p: (p["page"] == F.col("page")) & (p["text"] != ""))
+    read = each.withColumn("again", F.get(mine, F.lit(0))["text"])
+
+    def one_by_one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = []
+            for path, page, text, again in zip(frame["path"], frame["page"], frame["text"], frame["again"]):
+                if again is None:
+                    try:
+                        again = reader(path, int(page))
+                    except Exception:  # noqa: BLE001
+                        again = None
+                texts.append(again or text)
+            yield frame.assign(text=texts)[columns]
+
+    again = read.select(*columns, "again").mapInPandas(one_by_one, "path string, page int, text string, error string")
+    return pages.where(~F.coalesce(bad, F.lit(False))).select(*columns).unionByName(again)
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()
