@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -142,11 +143,43 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(n)
 
 
+def give_back() -> None:
+    """Hand memory that is free inside this process back to the system.
+
+    Arrow and malloc keep what a batch has used, in every worker and long after its task, so
+    a worker that served several operators would hold the largest batch of each.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that Python objects of few rows are alive at once."""
+    """Cut Arrow batches so that Python objects of few rows are alive at once; what a batch
+    took is given back when the next has begun, as the caller holds its last rows until then."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+            if not at:
+                give_back()
+    give_back()
+
+
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What ``make`` gives, kept in this Python worker for its next tasks.
+
+    One thing at a time: workers outlive their operator, and its caches go when the worker
+    is used by another.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 class BoundedCache(dict):

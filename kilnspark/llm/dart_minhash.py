@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, most_frequent, remove, scope, slices, spread_join, text_key
+from .common import held, id_text, materialize, most_frequent, remove, scope, slices, spread_join, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -175,9 +175,6 @@ class Shingler:
         return np.unique(out, return_counts=True)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 SKETCH_SCHEMA = (
     "doc_id long, t1 long, t2 long, node binary, n long, bands array<long>, shingles array<int>, weights array<int>"
 )
@@ -196,7 +193,7 @@ def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int =
     hasher = DartMinHash(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = _SHINGLERS.setdefault(words, Shingler(words))
+        sh = held(("shingler", words), lambda: Shingler(words))
         for b in slices(batches, 64):
             nodes, sets = [], []
             for text in b.column(3).to_pylist():
@@ -344,10 +341,10 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     # only nodes that share a bucket matter from here on, each once; where they are few, the
     # others go before anything of them is shuffled
     crowds = materialize(shared.groupBy("node").agg(F.max("members").alias("_most")))
-    held = table.select("node", "shingles", "weights")
+    rows = table.select("node", "shingles", "weights")
     if crowds.count() <= BROADCAST_NODES:
-        held = held.join(F.broadcast(crowds.select("node")), "node", "left_semi")
-    sets = held.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
+        rows = rows.join(F.broadcast(crowds.select("node")), "node", "left_semi")
+    sets = rows.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
     sets = materialize(sets.join(crowds, "node"))
     listed = sets.where(F.col("_most") > crowd).select("node", (F.col("_most") > huge).alias("huge"), F.inline(F.arrays_zip("shingles", "weights")).alias("s", "w"))
     listed = materialize(listed)  # read twice: listed once

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import id_text, materialize, slices
+from .common import held, id_text, materialize, slices
 from .pretokens import Splitter
 
 CAPACITY = 2048
@@ -83,14 +83,9 @@ class IdEncoder(dict):
         return out
 
 
-_ENCODERS: dict[str, IdEncoder] = {}
-
-
 def encoder(path: str) -> IdEncoder:
-    """One per Python worker: its cache serves all tasks the worker runs."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = IdEncoder(path)
-    return _ENCODERS[path]
+    """One per Python worker: its cache serves all tasks of packing the worker runs."""
+    return held(("encoder", path), lambda: IdEncoder(path))
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"

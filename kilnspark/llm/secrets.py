@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, slices, spread_join, text_key
+from .common import give_back, id_text, materialize, slices, spread_join, text_key
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
@@ -188,6 +188,7 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text, found):
+        give_back()
         out = []
         for t, spans in zip(text, found):
             if t is not None and spans is not None and len(spans):
@@ -203,9 +204,10 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     joined = spread_join(keyed, spans, ["_kiln_t1", "_kiln_t2"], "left", by="doc_id", small=True)
+    hit = F.col("_kiln_spans").isNotNull()  # only texts with spans go to Python
     return joined.select(
         *(
-            F.when(F.col("_kiln_spans").isNull(), F.col("text")).otherwise(cut("text", "_kiln_spans")).alias("text")
+            F.when(F.col("_kiln_spans").isNull(), F.col("text")).otherwise(cut(F.when(hit, F.col("text")), "_kiln_spans")).alias("text")
             if c == "text"
             else F.col(f"`{c}`")
             for c in docs.columns

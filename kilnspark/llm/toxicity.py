@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, materialize, slices
+from .common import crc_mod, give_back, id_text, materialize, slices
 
 #: Labelled rows that training looks at, at most (half of the budget for each label).
 SAMPLE = 20_000
@@ -389,6 +389,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     @F.pandas_udf("double")
     def score(texts):
+        give_back()
         if not models:
             models.append(Tagger(*held.value))
         return texts.map(lambda t: models[0].score(models[0].marginals(t or "")))
