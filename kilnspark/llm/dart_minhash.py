@@ -28,6 +28,8 @@ CROWD = 16
 #: Members of a bucket beyond which pairs that share a rare shingle are found by it; rare is
 #: a shingle that at most so many members hold.
 HUGE, RARE = 128, 32
+#: Nodes, of 16 bytes each, up to which those that share a bucket, or are at one end of pairs, are broadcast.
+BROADCAST_NODES = 1_000_000
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
@@ -236,8 +238,14 @@ def similarity_of(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray)
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, similarity`` of each pair of nodes (a stored table); ``sets`` has ``node,
-    shingles, weights``, a row a node."""
-    left, right = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("weights").alias(f"w{s}")) for s in "ab")
+    shingles, weights``, a row a node. Where the nodes at one end are few, such as the centres
+    of groups, only their sets are shuffled for it."""
+
+    def of(end: str) -> DataFrame:
+        ends = pairs.select(F.col(end).alias("node")).distinct()
+        return sets.join(F.broadcast(ends), "node", "left_semi") if ends.count() <= BROADCAST_NODES else sets
+
+    left, right = (of(s).select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("weights").alias(f"w{s}")) for s in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -285,8 +293,6 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-#: Nodes, of 16 bytes each, up to which those that share a bucket are broadcast.
-BROADCAST_NODES = 1_000_000
 #: Members of one bucket that meet in one task, at most, in each of the two sides of a block.
 BLOCK = 512
 
@@ -328,15 +334,21 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     reaches ``similarity`` is lost. What is left of a large bucket is dealt out in blocks.
     """
     nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    nodes = materialize(nodes)  # read three times, sizes twice: each shuffled once
+    # every entry is shuffled, so with half a node; two nodes of one key get each other's
+    # buckets, which can only add candidates
+    key = F.xxhash64("node").alias("key")
+    entries = nodes.select(key, F.posexplode("bands").alias("band", "bucket"))
+    sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     # a bucket of most documents is known by its size, so its entries need not meet at one place
     big = most_frequent(sizes, "members").withColumnRenamed("members", "_big")
     entries = entries.join(big, "bucket", "left")
-    spread = F.when(F.col("_big").isNull(), F.col("bucket")).otherwise(F.xxhash64("node", "bucket"))
+    spread = F.when(F.col("_big").isNull(), F.col("bucket")).otherwise(F.xxhash64("key", "bucket"))
     found = entries.withColumn("_at", spread).join(sizes.select(F.col("bucket").alias("_at"), "members"), "_at", "left")
     members = F.coalesce("_big", "members")
-    shared = materialize(found.select("bucket", "band", "node", "n", members.alias("members")).where(F.col("members").isNotNull()))
+    found = found.select("bucket", "band", "key", members.alias("members")).where(F.col("members").isNotNull())
+    shared = materialize(found.join(nodes.select(key, "node", "n"), "key").select("bucket", "band", "node", "n", "members"))
+    remove(table.sparkSession, [nodes._kiln_path])
 
     # only nodes that share a bucket matter from here on, each once; where they are few, the
     # others go before anything of them is shuffled
