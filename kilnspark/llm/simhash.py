@@ -8,8 +8,10 @@ make a graded fingerprint.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ BITS = 128
 SHORT = 16
 #: Bits of 128. Wider radii find more edited copies, but need more or less selective tables.
 RADIUS = 6
+#: Fingerprints alike in two neighbouring blocks beyond which links are counted round a centre.
+CROWD = 64
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -217,7 +221,7 @@ def _hexed(high: Column, low: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (high, low))))
 
 
-def _tables(marks: DataFrame, radius: int) -> tuple[DataFrame, Column]:
+def _tables(marks: DataFrame, radius: int, balls: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """``hi, lo, table, key`` of each distinct fingerprint in every table, and the condition
     under which two of a key, called ``a`` and ``b``, are a pair of that table.
 
@@ -229,6 +233,7 @@ def _tables(marks: DataFrame, radius: int) -> tuple[DataFrame, Column]:
     edges = [digits * i // blocks for i in range(blocks + 1)]
     high, low = halves(F.col("fingerprint"))
     one = marks.where(F.col("fingerprint").isNotNull()).select(high.alias("hi"), low.alias("lo")).distinct()
+    one = one if balls is None else one.join(balls, ["hi", "lo"], "left")
     masks = []
     for start, end in itertools.pairwise(edges):
         mask = (16 ** (end - start) - 1) << 4 * (digits - end)
@@ -239,7 +244,7 @@ def _tables(marks: DataFrame, radius: int) -> tuple[DataFrame, Column]:
         F.struct(F.lit(1 << i | 1 << j).alias("table"), F.xxhash64(F.lit(i), F.lit(j), *within(i), *within(j)).alias("key"))
         for i, j in itertools.combinations(range(blocks), 2)
     ]
-    table = one.select("hi", "lo", F.inline(F.array(*keys)))
+    table = one.select(*one.columns, F.inline(F.array(*keys)))
     other = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("hi", "lo")]
     equal = F.lit(0)
     for b, mask in enumerate(masks):
@@ -268,14 +273,74 @@ def within_radius(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _long(n: int) -> Column:
+    return F.lit(n - (n >> 63 << 64)).cast("long")
+
+
+def balls(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """``hi, lo, ball_hi, ball_lo``: fingerprints within ``radius`` of the centre of a crowd.
+
+    A crowd is more than ``crowd`` fingerprints of equal neighbouring blocks, its centre what
+    most of them have at each bit. A fingerprint is in one ball at most, that of its largest
+    crowd.
+    """
+    table, _ = _tables(marks, radius)
+    rows = table.where(F.col("table").isin([1 << i | 1 << i + 1 for i in range(0, radius + 1, 2)]))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > crowd)
+    members = materialize(rows.join(sizes, "key").select("hi", "lo", "key", "m"))
+
+    def majority(half: str) -> Column:
+        ones = (F.sum(F.shiftrightunsigned(half, i).bitwiseAND(F.lit(1))) for i in range(64))
+        bits = (F.when(2 * n > F.count("*"), _long(1 << i)).otherwise(_long(0)) for i, n in enumerate(ones))
+        return functools.reduce(Column.bitwiseOR, bits)
+
+    centres = members.groupBy("key").agg(majority("hi").alias("ball_hi"), majority("lo").alias("ball_lo"))
+    far = F.bit_count(F.col("hi").bitwiseXOR(F.col("ball_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("ball_lo")))
+    near = members.join(centres, "key").where(far <= radius)
+    return near.groupBy("hi", "lo").agg(F.max(F.struct("m", "ball_hi", "ball_lo")).alias("_b")).select("hi", "lo", "_b.ball_hi", "_b.ball_lo")
+
+
+def _inside(held: DataFrame, radius: int) -> DataFrame:
+    """``hi, lo, n_near``: the other members of its ball within ``radius`` of each member.
+
+    Members that differ from the centre in a and b bits, k of them the same, are a + b - 2k
+    apart. How many have at least t of a member's bits follows from how many hold each subset
+    of these (inclusion and exclusion), so no two members need meet: at most 2 ** radius rows
+    for each.
+    """
+    n = radius + 1
+    off = [F.col(c).bitwiseXOR(F.col(f"ball_{c}")) for c in ("hi", "lo")]
+    every = F.array(*(F.struct(_long(b >> 64).alias("h"), _long(b & (1 << 64) - 1).alias("l")) for b in (1 << i for i in range(BITS))))
+    flips = F.filter(every, lambda s: off[0].bitwiseAND(s["h"]).bitwiseOR(off[1].bitwiseAND(s["l"])) != 0)
+    joined = lambda t, s: F.struct(t["h"].bitwiseOR(s["h"]).alias("h"), t["l"].bitwiseOR(s["l"]).alias("l"))
+    nothing = F.array(F.struct(_long(0).alias("h"), _long(0).alias("l")))
+    subsets = F.aggregate("_flips", nothing, lambda acc, s: F.concat(acc, F.transform(acc, lambda t: joined(t, s))))
+    rows = materialize(held.withColumn("_flips", flips).select(*held.columns, F.size("_flips").alias("a"), F.inline(subsets)))
+    by = ["ball_hi", "ball_lo", "h", "l"]
+    holders = rows.groupBy(*by).agg(*(F.sum((F.col("a") == b).cast("long")).alias(f"c{b}") for b in range(n)))
+
+    def factor(a: int, j: int, b: int) -> int:
+        t = max(0, -((radius - a - b) // 2))
+        return int(j == 0) if t == 0 else (-1) ** (j - t) * math.comb(j - 1, t - 1) if j >= t else 0
+
+    factors = F.array(*(F.lit(factor(a, j, b)) for a in range(n) for j in range(n) for b in range(n)))
+    j = F.bit_count("h") + F.bit_count("l")
+    share = sum((F.get(factors, (F.col("a") * n + j) * n + b) * F.col(f"c{b}") for b in range(n)), F.lit(0))
+    return rows.join(holders, by).groupBy("hi", "lo").agg((F.sum(share) - 1).alias("n_near"))
+
+
+def near_counts(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """``fingerprint, n_near``: how many others are within ``radius`` bits, where any are.
 
-    Pairs are counted in the join and never listed.
+    Links between members of one ball (see :func:`balls`) are counted by what they differ in
+    from its centre; all others in the join, and never listed.
     """
-    table, pair = _tables(marks, radius)
+    held = materialize(balls(marks, radius, crowd))
+    table, pair = _tables(marks, radius, held)
     other = (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("b.lo"))
-    counts = table.alias("a").join(table.alias("b"), pair & other).groupBy("a.hi", "a.lo").agg(F.count("*").alias("n_near"))
+    same = F.coalesce((F.col("a.ball_hi") == F.col("b.ball_hi")) & (F.col("a.ball_lo") == F.col("b.ball_lo")), F.lit(False))
+    counts = table.alias("a").join(table.alias("b"), pair & other & ~same).groupBy("a.hi", "a.lo").agg(F.count("*").alias("n_near"))
+    counts = counts.unionByName(_inside(held, radius)).groupBy("hi", "lo").agg(F.sum("n_near").alias("n_near")).where("n_near > 0")
     return counts.select(_hexed(F.col("hi"), F.col("lo")).alias("fingerprint"), "n_near")
 
 
