@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, id_text, materialize, most_frequent, remove, scope, slices, spread_join, text_key
+from .common import SPREAD, held, id_text, materialize, most_frequent, remove, scope, slices, spread_join, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -310,6 +310,54 @@ def _in_blocks(x: DataFrame, y: DataFrame, block: int) -> tuple[DataFrame, DataF
     return x.withColumn("_i", own("nx")).withColumn("_j", every("ny")), y.withColumn("_j", own("ny")).withColumn("_i", every("nx"))
 
 
+#: Entries that are counted together where frequent buckets are looked for.
+STRETCH = 1_000_000
+
+
+def busy_buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket, members`` of frequent buckets (a stored table), ``SPREAD`` for each partition at most.
+
+    A bucket with more than a quarter of an average partition's entries has that share of some
+    stretch of them too, so each stretch tells those it knows, and nothing else is shuffled.
+    """
+    share = SPREAD * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            bucket, n = np.unique(np.concatenate(waiting), return_counts=True)
+            often = n > max(1, size / share)
+            return pa.record_batch([pa.array(bucket[often]), pa.array(n[often].astype(np.int64))], names=["bucket", "n"])
+
+        for b in slices(batches, 4096):
+            waiting.append(b.column(0).flatten().to_numpy())
+            size += len(waiting[-1])
+            if size > STRETCH:
+                yield told()
+                waiting, size = [], 0
+        if size:
+            yield told()
+
+    known = nodes.select("bands").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    entries = nodes.select(F.explode("bands").alias("bucket"))
+    counted = entries.join(F.broadcast(most_frequent(known, "n").select("bucket")), "bucket")
+    return materialize(counted.groupBy("bucket").agg(F.count("*").alias("members")))
+
+
+def shared_entries(nodes: DataFrame) -> DataFrame:
+    """``bucket, band, key, members`` of each entry whose bucket has several; ``nodes`` has
+    ``key, bands``.
+
+    Entries of frequent buckets are known by their sizes and stay where they are; all others
+    are shuffled once and counted where they meet.
+    """
+    entries = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
+    big = F.broadcast(busy_buckets(nodes))
+    met = entries.join(big, "bucket", "left_anti").withColumn("members", F.count("*").over(Window.partitionBy("bucket")))
+    return met.where("members > 1").unionByName(entries.join(big, "bucket")).select("bucket", "band", "key", "members")
+
+
 def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, huge: int = HUGE, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """``node, label``: the components of all pairs of nodes that share a bucket and reach
     ``similarity``; nodes without such a partner may be missing.
@@ -334,19 +382,11 @@ def linked_nodes(table: DataFrame, similarity: float = SIMILARITY, crowd: int =
     reaches ``similarity`` is lost. What is left of a large bucket is dealt out in blocks.
     """
     nodes = table.where(F.size("bands") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes)  # read three times, sizes twice: each shuffled once
+    nodes = materialize(nodes)  # read several times, shuffled once
     # every entry is shuffled, so with half a node; two nodes of one key get each other's
     # buckets, which can only add candidates
     key = F.xxhash64("node").alias("key")
-    entries = nodes.select(key, F.posexplode("bands").alias("band", "bucket"))
-    sizes = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
-    # a bucket of most documents is known by its size, so its entries need not meet at one place
-    big = most_frequent(sizes, "members").withColumnRenamed("members", "_big")
-    entries = entries.join(big, "bucket", "left")
-    spread = F.when(F.col("_big").isNull(), F.col("bucket")).otherwise(F.xxhash64("key", "bucket"))
-    found = entries.withColumn("_at", spread).join(sizes.select(F.col("bucket").alias("_at"), "members"), "_at", "left")
-    members = F.coalesce("_big", "members")
-    found = found.select("bucket", "band", "key", members.alias("members")).where(F.col("members").isNotNull())
+    found = shared_entries(nodes.select(key, "bands"))
     shared = materialize(found.join(nodes.select(key, "node", "n"), "key").select("bucket", "band", "node", "n", "members"))
     remove(table.sparkSession, [nodes._kiln_path])
 

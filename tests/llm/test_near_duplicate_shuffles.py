@@ -29,3 +29,17 @@ def test_nodes_and_sizes_of_buckets_are_stored_once(spark, monkeypatch):
     found = {r.doc_id: r.class_id for r in dart_minhash.near_duplicate_classes(docs).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
     assert ["node", "n", "bands"] in stored and ["bucket", "members"] in stored
+
+
+def test_entries_of_buckets_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "STRETCH", 50)
+    # bucket 7 holds every node, buckets from 100 on three each, the others one
+    rows = [(i, [7, 100 + i // 3, 10_000 + i]) for i in range(300)] + [(900, [])]
+    nodes = spark.createDataFrame(rows, "key long, bands array<long>").repartition(5)
+    busy = {r.bucket: r.members for r in dart_minhash.busy_buckets(nodes).collect()}
+    assert busy[7] == 300 and all(n == 3 for b, n in busy.items() if b != 7)
+    found = dart_minhash.shared_entries(nodes)
+    got = sorted((r.key, r.band, r.bucket, r.members) for r in found.collect())
+    assert got == sorted(x for i in range(300) for x in ((i, 0, 7, 300), (i, 1, 100 + i // 3, 3)))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
