@@ -7,8 +7,9 @@
 2. Keys that occur once are dropped. Contexts are counted: one that occurs twice as a whole
    is removed as a whole. Of keys with contexts that differ, each distinct context is fetched
    once from its text.
-3. Shards are filled with such contexts, all those of a key in one. Each is sorted by its
-   induced suffix array, and permuted common prefixes tell which windows occur twice.
+3. Contexts that agree with no other of their key on enough bytes beside the key's string are
+   left out. Shards are filled with the others, all those of a key in one. Each is sorted by
+   its induced suffix array, and permuted common prefixes tell which windows occur twice.
 4. Spans come back to their texts, are merged and removed.
 
 A key with more distinct contexts than a shard may hold has its windows counted one by one
@@ -198,12 +199,41 @@ def repeated_windows(contexts: list[bytes], length: int) -> np.ndarray:
     return found[found + length < ends[np.searchsorted(ends, found, "right")]]
 
 
-def shard_spans(contexts: DataFrame, length: int) -> DataFrame:
+def may_repeat(held: list[tuple[int, bytes]], length: int, gram: int) -> np.ndarray:
+    """Which contexts, each with its key, may hold a window that occurs more than once in them.
+
+    A window's key is the hash of a string in it, its anchor, with at least half of the other
+    bytes on one side. Equal windows lie alike about equal anchors, so two anchors of one key
+    must agree on so many bytes before them, or behind them; contexts of which no anchor agrees
+    with another hold none. Bytes are told by their hash, which can only keep too many.
+    """
+    half = (length - gram + 1) // 2
+    keys = np.array([k for k, _ in held], np.int64)
+    begins = np.cumsum([0, *(len(c) for _, c in held)])
+    data = np.frombuffer(b"".join(c for _, c in held), np.uint8)
+    hashes, longer = gram_hashes(data, gram), gram_hashes(data, gram + half)
+    owner = np.repeat(np.arange(len(held)), np.diff(begins))[: len(hashes)]
+    at = np.flatnonzero(hashes == keys.view(np.uint64)[owner])
+    owner = owner[at]
+    inside = at + gram <= begins[owner + 1]
+    at, owner = at[inside], owner[inside]
+    out = np.zeros(len(held), bool)
+    for first in (at - half, at):
+        whole = (first >= begins[owner]) & (first + gram + half <= begins[owner + 1])
+        of, seen = owner[whole], longer[first[whole]]
+        order = np.lexsort((seen, keys[of]))
+        of, seen = of[order], seen[order]
+        same = (seen[1:] == seen[:-1]) & (keys[of[1:]] == keys[of[:-1]])
+        out[of[1:][same]] = out[of[:-1][same]] = True
+    return out
+
+
+def shard_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans of repeated windows in contexts that occur once as a whole."""
 
     def solved(held: list[tuple]) -> pa.RecordBatch:
         texts = [row[-1] for row in held]
-        at = repeated_windows(texts, length)
+        at = repeated_windows(texts, length) if texts else np.zeros(0, np.int64)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
         first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         last = np.append(first[1:], len(at)) - 1
@@ -215,15 +245,27 @@ def shard_spans(contexts: DataFrame, length: int) -> DataFrame:
         return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], names=_SPAN_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, key = [], 0, None
+        # what comes is looked through first, so a shard is filled with what may repeat
+        held, size, waiting, more, key = [], 0, [], 0, None
+
+        def looked_through() -> None:
+            nonlocal held, size, waiting, more
+            found = [waiting[i] for i in np.flatnonzero(may_repeat([(row[0], row[-1]) for row in waiting], length, gram))]
+            held, size = held + found, size + sum(len(row[-1]) for row in found)
+            waiting, more = [], 0
+
         for b in slices(batches, 1024):
             for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if size > SHARD and row[0] != key:
-                    yield solved(held)
-                    held, size = [], 0
+                if more > SHARD and row[0] != key:
+                    looked_through()
+                    if size > SHARD:
+                        yield solved(held)
+                        held, size = [], 0
                 key = row[0]
-                held.append(row)
-                size += len(row[-1])
+                waiting.append(row)
+                more += len(row[-1])
+        if waiting:
+            looked_through()
         if held:
             yield solved(held)
 
@@ -269,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key_
     # a context that occurs twice is repeated from end to end
     whole = kept.join(counted.where("n > 1").select(*context), context)
     whole = whole.select("doc_id", "copy", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
-    spans = whole.unionByName(shard_spans(fetched(docs, wanted.where("NOT large").drop("large"), length), length))
+    spans = whole.unionByName(shard_spans(fetched(docs, wanted.where("NOT large").drop("large"), length), length, gram))
     large = wanted.where("large").drop("large")
     if large.isEmpty():
         return spans

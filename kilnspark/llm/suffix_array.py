@@ -3,15 +3,15 @@
 Suffixes are classified as S (smaller than the next one) or L (larger). Leftmost S suffixes
 (those behind an L) are sorted through the substrings between them, which are named and
 sorted recursively where names repeat; all others are then induced in linear time, first L
-from left to right, then S from right to left. Where the alphabet is small against the text,
-a bucket is induced at a time with array operations; else suffix by suffix.
+from left to right, then S from right to left, a bucket at a time with array operations. Names
+whose alphabet is large against their number are sorted by doubling instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols for each letter from which whole buckets are induced at a time.
+#: Symbols for each letter from which suffixes are induced, whole buckets at a time.
 DENSE = 64
 
 
@@ -80,32 +80,27 @@ def _by_bucket(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, letters: int
     return out
 
 
-def _by_suffix(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
-    counts = np.bincount(text, minlength=letters)
-    tails = np.cumsum(counts)
-    symbols, small, n = text.tolist(), is_s.tolist(), len(text)
-    out = [-1] * n
-    at = tails.tolist()
-    for i in lms[::-1].tolist():
-        c = symbols[i]
-        at[c] -= 1
-        out[at[c]] = i
-    at = (tails - counts).tolist()
-    for k in range(n):
-        i = out[k] - 1
-        if i >= 0 and not small[i]:
-            c = symbols[i]
-            out[at[c]] = i
-            at[c] += 1
-    at = tails.tolist()
-    for k in range(n - 1, -1, -1):
-        i = out[k] - 1
-        if i >= 0 and small[i]:
-            c = symbols[i]
-            at[c] -= 1
-            out[at[c]] = i
-    out[0] = n - 1
-    return np.array(out, np.int64)
+def _by_doubling(text: np.ndarray) -> np.ndarray:
+    """The sorted suffixes by ranks of their beginnings, of twice the length each time; only
+    those that still tie are sorted again."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    places, width = np.arange(n), 1
+    group, second = text[order], np.zeros(n, np.int64)
+    rank = np.empty(n, np.int64)
+    while True:
+        new = np.ones(len(places), bool)
+        new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        rank[order[places]] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
+        places = places[~(new & np.append(new[1:], True))]
+        if not len(places):
+            return order
+        # the last symbol occurs once, so suffixes that tie go on behind what they share
+        at = order[places]
+        group, second = rank[at], rank[at + width]
+        by = np.argsort(group * n + second)
+        order[places], group, second = at[by], group[by], second[by]
+        width *= 2
 
 
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -139,12 +134,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n, letters = len(text), int(text.max()) + 1
     if n == 1:
         return np.zeros(1, np.int64)
-    induce = _by_bucket if n >= DENSE * letters else _by_suffix
+    if n < DENSE * letters:
+        return _by_doubling(text)
     is_s = _s_type(text)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    rough = induce(text, is_s, lms, letters)
+    rough = _by_bucket(text, is_s, lms, letters)
     order = rough[is_lms[rough]]
     names = _names(text, lms, order)
     if names.max() + 1 == len(lms):
@@ -152,7 +148,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         by[names] = np.arange(len(lms))
     else:
         by = suffix_array(names)
-    return induce(text, is_s, lms[by], letters)
+    return _by_bucket(text, is_s, lms[by], letters)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
