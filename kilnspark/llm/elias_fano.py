@@ -11,7 +11,6 @@ from pyarrow import fs
 
 _U64 = np.uint64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
-_ONES = _BITS.sum(axis=1)
 
 
 def _places(bits: np.ndarray) -> np.ndarray:
@@ -22,7 +21,9 @@ def _places(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-_ONE_AT, _ZERO_AT = _places(_BITS), _places(~_BITS)
+_ONE_AT = _places(_BITS)
+#: The lowest and the highest bit of each byte of a word.
+_LOWEST, _HIGHEST = _U64(0x0101010101010101), _U64(0x8080808080808080)
 
 
 def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -131,28 +132,33 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.unary, self.zeros = arrays["low"], arrays["unary"], arrays["zeros"]
         self.n, self.width, self.top = map(int, arrays["shape"])
-        self.bytes = self.unary.view(np.uint8).reshape(-1, 8)
         self.ones: np.ndarray | None = None
 
     def _zero(self, rank: np.ndarray) -> np.ndarray:
         """Positions of the zeros of these ranks (from 0) in the unary vector."""
         word = np.searchsorted(self.zeros, rank, side="right") - 1
-        return self._within(word, rank - self.zeros[word], 8 - _ONES, _ZERO_AT)
+        return self._within(word, rank - self.zeros[word], ~self.unary[word])
 
     def _one(self, rank: np.ndarray) -> np.ndarray:
         if self.ones is None:
             self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
         word = np.searchsorted(self.ones, rank, side="right") - 1
-        return self._within(word, rank - self.ones[word], _ONES, _ONE_AT)
-
-    def _within(self, word: np.ndarray, left: np.ndarray, held: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Place of the bit of rank ``left`` in each word: first its byte, then its place there."""
-        b = self.bytes[word]
-        upto = np.cumsum(held[b], axis=1)
-        byte = np.minimum((upto <= left[:, None]).sum(axis=1), 7)
-        row = np.arange(len(word))
-        before = np.where(byte > 0, upto[row, byte - 1], 0)
-        return word * 64 + byte * 8 + places[b[row, byte], np.clip(left - before, 0, 7)]
+        return self._within(word, rank - self.ones[word], self.unary[word])
+
+    @staticmethod
+    def _within(word: np.ndarray, left: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Place of the set bit of rank ``left`` in each word: first its byte, then its place there.
+
+        The eight bytes of a word are counted side by side in it.
+        """
+        n = bits - (bits >> _U64(1) & _U64(0x5555555555555555))
+        n = (n & _U64(0x3333333333333333)) + (n >> _U64(2) & _U64(0x3333333333333333))
+        upto = (n + (n >> _U64(4)) & _U64(0x0F0F0F0F0F0F0F0F)) * _LOWEST  # set bits up to each byte
+        passed = (np.minimum(left, 64).astype(_U64) * _LOWEST | _HIGHEST) - upto & _HIGHEST
+        byte = np.minimum(np.bitwise_count(passed), 7)
+        shift = byte.astype(_U64) << _U64(3)
+        before = (upto << _U64(8) >> shift & _U64(255)).astype(np.int64)
+        return word * 64 + byte * np.int64(8) + _ONE_AT[bits >> shift & _U64(255), np.clip(left - before, 0, 7)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         return packed(self.low, self.width, i)

@@ -126,24 +126,40 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+class _Numbered(dict):
+    """Numbers for keys in the order in which they are first asked for; ``new`` lists those."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class Words:
-    """Small integers for tokens, through a bounded cache of what ``look`` finds by hash."""
+    """Small integers for tokens, through a bounded cache of what ``look`` finds by hash.
+
+    Tokens are gone through once. The cache is emptied before as many words as came last
+    would pass the limit.
+    """
 
     def __init__(self, look, limit: int = 500_000):
         self.look, self.limit = look, limit
-        self.index: dict[bytes, int] = {}
+        self.index, self.last = _Numbered(), 0
         self.columns: list[np.ndarray] | None = None
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if new := set(words).difference(self.index):
-            if len(self.index) + len(new) > self.limit:
-                self.index.clear()
-                self.columns, new = None, set(words)
-            listed = list(new)
-            found = self.look(np.fromiter(map(word_hash, listed), np.uint64, len(listed)))
-            self.index.update(zip(listed, range(len(self.index), len(self.index) + len(listed))))
+        if len(self.index) + self.last > self.limit:
+            self.index, self.columns = _Numbered(), None
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if new := self.index.new:
+            found = self.look(np.fromiter(map(word_hash, new), np.uint64, len(new)))
             self.columns = list(found) if self.columns is None else [np.concatenate(x) for x in zip(self.columns, found)]
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.last = len(new)
+        self.index.new = []
+        return at
 
 
 def flat_tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
