@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,10 @@ SHARD = 500_000
 GRAM_SHARD = 2_000_000
 #: Tokens that a task counts before it hands blocks on.
 BLOCK = 2_000_000
+#: Distinct words that a task counts before it hands them on, about.
+KEPT = 400_000
+#: Texts whose tokens are numbered at once: the more, the more of their words are the same.
+TEXTS = 2048
 #: Cannot occur in a word, so it can stand for the end of a text.
 END = b"\n"
 BOS = 0
@@ -57,21 +61,33 @@ def coded(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2**15, n, np.minimum(np.rint(wide), 65535)).astype(np.uint16)
 
 
+_CODES = np.arange(2**16, dtype=float)
+_DECODED = np.where(_CODES < 2**15, _CODES, 2 ** ((_CODES - 2**15) / 1024 + 15))
+
+
 def decoded(codes: np.ndarray) -> np.ndarray:
-    codes = codes.astype(float)
-    return np.where(codes < 2**15, codes, 2 ** ((codes - 2**15) / 1024 + 15))
+    return _DECODED[codes]
+
+
+def joined(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
+    """The pairs as numbers in their order, ``w`` in the lowest ``bits``; :func:`parted` turns them back."""
+    return v.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64)
+
+
+def parted(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (x >> np.uint64(bits)).astype(np.int64), (x & np.uint64(2**bits - 1)).astype(np.int64)
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     """The pairs as numbers of ``2 * bits`` bits, spread evenly; :func:`unpaired` turns them back."""
-    x = v.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64)
+    x = joined(v, w, bits)
     return (x ^ x >> np.uint64(bits)) * np.uint64(_ODD) & np.uint64(4**bits - 1)
 
 
 def unpaired(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     x = keys * np.uint64(_INVERSE) & np.uint64(4**bits - 1)
     x ^= x >> np.uint64(bits)
-    return (x >> np.uint64(bits)).astype(np.int64), (x & np.uint64(2**bits - 1)).astype(np.int64)
+    return parted(x, bits)
 
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,16 +103,35 @@ def top_bits(x: np.ndarray, bits: int, width: int) -> np.ndarray:
     return (x >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+#: Of the bytes of a word.
+word_hash = xxhash.xxh3_64_intdigest
+
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
-def tokens(text: str) -> list[bytes]:
-    """Words between blanks, A-Z lower-cased, and the end token.
 
-    On UTF-8 bytes, ``lower`` and ``split`` know exactly A-Z and the six ASCII blanks.
+def numbered_tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, the place among them of each token, and where each text starts.
+
+    Tokens are words between blanks, A-Z lower-cased, and an end token for each text. On
+    UTF-8, Arrow's ASCII functions know exactly A-Z and the six ASCII blanks.
     """
-    return [*text.encode().lower().split(), END]
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = pc.not_equal(pc.binary_length(words), 0)  # blanks at either end leave an empty word
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    each = np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
+    coded_words = words.filter(real).dictionary_encode()
+    distinct = coded_words.dictionary
+    ends = np.cumsum(each + 1)
+    at = np.full(len(coded_words) + len(each), len(distinct), np.int64)
+    inner = np.ones(len(at), bool)
+    inner[ends - 1] = False
+    at[inner] = coded_words.indices.to_numpy()
+    offsets = np.append(0, np.cumsum(pc.binary_length(distinct).to_numpy())).tolist()
+    data = distinct.buffers()[2].to_pybytes() if len(distinct) else b""
+    return [*(data[a:b] for a, b in zip(offsets, offsets[1:])), END], at, ends - each - 1
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -107,20 +142,30 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``h, n``: count of each word (by hash) and the end token in column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            h, n = map(np.concatenate, zip(*kept))
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            return h[at], np.add.reduceat(n[order], at)
 
         def flush():
-            h = _signed(np.fromiter(map(word_hash, counts), np.uint64, len(counts)))
-            out = pa.record_batch([pa.array(h), pa.array(list(counts.values()), pa.int64())], names=["h", "n"])
-            counts.clear()
-            return out
-
-        for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > 400_000:
-                yield flush()
-        if counts:
+            h, n = kept.pop()
+            return pa.record_batch([pa.array(_signed(h)), pa.array(n)], names=["h", "n"])
+
+        for b in slices(batches, TEXTS):
+            if not b.num_rows:
+                continue
+            words, at, _ = numbered_tokens(b.column(0))
+            kept.append((hashes(words), np.bincount(at, minlength=len(words))))
+            if sum(len(h) for h, _ in kept) > 2 * KEPT:
+                kept[:] = [merged()]
+                if len(kept[0][0]) > KEPT:
+                    yield flush()
+        if kept:
+            kept[:] = [merged()]
             yield flush()
 
     return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -141,7 +186,7 @@ class _Numbered(dict):
 class Words:
     """Small integers for tokens, through a bounded cache of what ``look`` finds by hash.
 
-    Tokens are gone through once. The cache is emptied before as many words as came last
+    What is given is gone through once. The cache is emptied before as many words as came last
     would pass the limit.
     """
 
@@ -155,23 +200,13 @@ class Words:
             self.index, self.columns = _Numbered(), None
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if new := self.index.new:
-            found = self.look(np.fromiter(map(word_hash, new), np.uint64, len(new)))
+            found = self.look(hashes(new))
             self.columns = list(found) if self.columns is None else [np.concatenate(x) for x in zip(self.columns, found)]
         self.last = len(new)
         self.index.new = []
         return at
 
 
-def flat_tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of some texts, and where each text starts."""
-    flat: list[bytes] = []
-    starts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        starts[i] = len(flat)
-        flat += tokens(t)
-    return flat, starts
-
-
 def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words two and one before each token; BOS before a text, -1 for none."""
     v, u = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
@@ -196,14 +231,23 @@ def unpack_block(block: bytes, size: int) -> tuple[np.ndarray, ...]:
 
 
 def summed(key: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Sorted distinct (key, w) and the sum of ``n`` (each one: 1) of each."""
-    order = np.lexsort((w, key))
-    key, w = key[order], w[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    total = np.diff(np.append(at, len(key))) if n is None else np.add.reduceat(n[order].astype(np.int64), at)
-    return key[at], w[at], total
+    """Sorted distinct (key, w) and the sum of ``n`` (each one: 1) of each.
+
+    Numbers sort several times faster than columns do, so the place of each key among the
+    distinct ones and ``w``, both of 32 bits at most, are put together.
+    """
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    key, both = key[new], (np.cumsum(new) - 1).astype(np.uint64) << np.uint64(32) | w[order]
+    if n is None:
+        both.sort()
+    else:
+        again = np.argsort(both)
+        both, n = both[again], n[order][again].astype(np.int64)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    total = np.diff(np.append(at, len(both))) if n is None else np.add.reduceat(n, at)
+    return key[both[at] >> np.uint64(32)], (both[at] & np.uint64(2**32 - 1)).astype(np.uint32), total
 
 
 def count_ngrams(texts: DataFrame, meta: dict) -> DataFrame:
@@ -228,11 +272,11 @@ def count_ngrams(texts: DataFrame, meta: dict) -> DataFrame:
             blocks = [pack_block(key[a:b], w[a:b], n[a:b]) for a, b in zip(at, ends)]
             return pa.record_batch([pa.array(shard[at]), pa.array(ends - at), pa.array(blocks, pa.binary())], names=["shard", "size", "block"])
 
-        for b in slices(batches):
+        for b in slices(batches, TEXTS):
             if not b.num_rows:
                 continue
-            flat, starts = flat_tokens(b.column(0).to_pylist())
-            at = words(flat)
+            distinct, at, starts = numbered_tokens(b.column(0))
+            at = words(distinct)[at]
             ids = words.columns[1][at]
             _, v = contexts(ids, starts)
             following = np.append(ids[1:], -1)
@@ -303,27 +347,33 @@ class Model:
         p = p1.copy()
         if not self.total:
             return p
+        # pairs in order, each once; words that the model lacks are one more word
         given = np.flatnonzero(v >= 0)
-        often, left = self._context(v[given])
-        p[given] *= left
-        full = ids[given] >= 0
-        at, often = given[full], often[full]
-        shard, rank, n, wide_left = (np.zeros(len(ids), t) for t in (np.int64, np.int64, float, float))
-        rank[:] = -1
-        found, where = np.unique(v[at] << self.bits | ids[at], return_inverse=True)
-        shard[at], rank[at], n[at], wide_left[at] = (x[where] for x in self._level2(found >> self.bits, found & 2**self.bits - 1))
-        p[at] += np.where(n[at] > 0, n[at] - self.d2, 0) / often
+        w = np.where(ids[given] >= 0, ids[given], self.none)
+        found, where = np.unique(joined(v[given], w, self.bits), return_inverse=True)
+        v, w = parted(found, self.bits)
+        new = np.append(True, v[1:] != v[:-1])[: len(v)]
+        of = np.cumsum(new) - 1
+        often, left = (x[of] for x in self._context(v[new]))
+        shard, rank, n, wide_left = np.zeros(len(v), np.int64), np.full(len(v), -1), np.zeros(len(v)), np.ones(len(v))
+        full = w != self.none
+        shard[full], rank[full], n[full], wide_left[full] = self._level2(v[full], w[full])
+        p[given] = p[given] * left[where] + (np.where(n > 0, n - self.d2, 0) / often)[where]
         # the pair that ends at the token before is the context of the next one of its text
+        pair = np.full(len(ids), -1)
+        pair[given] = np.where(rank >= 0, np.arange(len(rank)), -1)[where]
         inner = np.ones(len(ids), bool)
         inner[starts] = False
         wide = np.flatnonzero(inner)
-        wide = wide[rank[wide - 1] >= 0]
-        before = wide - 1
+        wide = wide[pair[wide - 1] >= 0]
+        before = pair[wide - 1]
         p[wide] *= wide_left[before]
         full = ids[wide] >= 0
         wide, before = wide[full], before[full]
-        n3 = self._level3(shard[before], rank[before], ids[wide])
-        p[wide] += np.where(n3 > 0, n3 - self.d3, 0) / n[before]
+        found, where = np.unique(joined(before, ids[wide], self.bits), return_inverse=True)
+        before, third = parted(found, self.bits)
+        n3 = self._level3(shard[before], rank[before], third)
+        p[wide] += (np.where(n3 > 0, n3 - self.d3, 0) / n[before])[where]
         return p
 
     def _context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,16 +416,21 @@ class Model:
         return shard, rank, n, left
 
     def _level3(self, shard: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Counts of the triples of a known pair (by shard and rank) and a word."""
+        """Counts of the triples of a known pair (by shard and rank) and a word.
+
+        Triples of a pair must stand side by side.
+        """
         out = np.zeros(len(ids))
         for s, own in by_shard(shard):
             part = self.shard("ngrams", s)
             if part is not None and "third" in part:
-                start, kinds = part["grandchildren"].access(rank[own]), part["kinds"][rank[own]]
+                new = np.diff(rank[own], prepend=-1) != 0
+                pairs, of = rank[own][new], np.cumsum(new) - 1
+                start, kinds = part["grandchildren"].access(pairs), part["kinds"][pairs]
                 end = start + kinds
                 if (many := np.flatnonzero(kinds >= 2**15)).size:  # their number is not exact
-                    end[many] = part["grandchildren"].access(rank[own[many]] + 1)
-                at = search_packed(part["third"], self.bits, start, end, ids[own].astype(np.uint64))
+                    end[many] = part["grandchildren"].access(pairs[many] + 1)
+                at = search_packed(part["third"], self.bits, start[of], end[of], ids[own].astype(np.uint64))
                 out[own[at >= 0]] = decoded(part["n3"][at[at >= 0]])
         return out
 
@@ -427,17 +482,19 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         pair_n = np.add.reduceat(n, first)
         u, v = unpaired(keys[first], bits)
-        order = np.lexsort((v, u))  # by first word, then by second
+        order = np.argsort(joined(u, v, bits))  # by first word, then by second
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         u, v, pair_n = u[order], v[order], pair_n[order]
         three = np.flatnonzero(w != meta["none"])
-        three = three[np.argsort(place[rank[three]], kind="stable")]  # their words ascend already
+        # by pair; their words ascend already
+        three = three[np.sort(place[rank[three]] << 32 | np.arange(len(three))) & 2**32 - 1]
         triple_n, context = n[three], place[rank[three]]
         kinds = np.bincount(context, minlength=len(u))
         # nothing follows the end of a text, and nothing asks for what does
         unused = np.where(v == end, 0, pair_n - np.bincount(context, triple_n, len(u)).astype(np.int64))
-        roots, starts = np.unique(u, return_index=True)
+        starts = np.flatnonzero(np.diff(u, prepend=-1))
+        roots = u[starts]
         levels = {
             "first": (roots, 2**bits),
             "children": (np.append(starts, len(u)), len(u) + 1),
@@ -450,13 +507,13 @@ def fit(texts: DataFrame, share: float = SHARE, shard: int = SHARD) -> Model:
         if len(three):
             arrays |= {"third": pack_bits(w[three].astype(np.uint64), bits), "n3": coded(triple_n)}
         save_arrays(f"{folder}/ngrams-{key[0].as_py()}", arrays)
-        words, at = np.unique(u, return_inverse=True)
+        sizes = np.diff(np.append(starts, len(u)))
         once = [(level, k, int((c == k).sum())) for level, c in ((2, pair_n), (3, triple_n)) for k in (1, 2)]
         columns = [
-            np.concatenate([np.ones(len(words), np.int64), [x[0] for x in once]]),
-            np.concatenate([words, [x[1] for x in once]]),
-            np.concatenate([np.bincount(at), np.zeros(len(once), np.int64)]),
-            np.concatenate([np.bincount(at, pair_n).astype(np.int64), [x[2] for x in once]]),
+            np.concatenate([np.ones(len(roots), np.int64), [x[0] for x in once]]),
+            np.concatenate([roots, [x[1] for x in once]]),
+            np.concatenate([sizes, np.zeros(len(once), np.int64)]),
+            np.concatenate([np.add.reduceat(pair_n, starts), [x[2] for x in once]]),
         ]
         return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["level", "word", "kinds", "n"])
 
@@ -495,14 +552,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             opened = Model(meta)
             _MODELS[meta["folder"]] = opened, Words(opened.words)
         trie, words = _MODELS[meta["folder"]]
-        for b in slices(batches, 2048):  # the more texts, the more of their pairs are the same
+        for b in slices(batches, TEXTS):
             if not b.num_rows:
                 continue
-            flat, starts = flat_tokens(b.column(1).to_pylist())
-            at = words(flat)
+            distinct, at, starts = numbered_tokens(b.column(1))
+            at = words(distinct)[at]
             count, ids, base, p1 = (c[at] for c in words.columns)
             logs = np.log10(trie.probabilities(ids, p1, starts))
-            ends = np.append(starts[1:], len(flat))
+            ends = np.append(starts[1:], len(at))
             out = [ends - starts, np.add.reduceat((count > 0).astype(np.int64), starts), np.full(len(starts), trie.total, np.int64), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)]
             yield pa.record_batch(
                 [b.column(0), *map(pa.array, out)],
