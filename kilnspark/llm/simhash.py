@@ -228,12 +228,16 @@ def _tables(marks: DataFrame, radius: int, balls: DataFrame | None = None) -> tu
     The digits fall into radius + 2 blocks, of which at least two are equal in any pair
     within the radius. There is a table for each two blocks; a pair belongs to the table of
     its first two equal blocks, so it comes up once although others hold it too.
+
+    Spark takes the rows of all tables for no more bytes than the fingerprints have on disk,
+    and would broadcast them. So every join of them, and of other tables that Parquet packs
+    tightly, says how it is done.
     """
     digits, blocks = BITS // 4, radius + 2
     edges = [digits * i // blocks for i in range(blocks + 1)]
     high, low = halves(F.col("fingerprint"))
     one = marks.where(F.col("fingerprint").isNotNull()).select(high.alias("hi"), low.alias("lo")).distinct()
-    one = one if balls is None else one.join(balls, ["hi", "lo"], "left")
+    one = one if balls is None else one.join(balls.hint("merge"), ["hi", "lo"], "left")
     masks = []
     for start, end in itertools.pairwise(edges):
         mask = (16 ** (end - start) - 1) << 4 * (digits - end)
@@ -268,7 +272,7 @@ def within_radius(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     table, pair = _tables(marks, radius)
     before = (F.col("a.hi") < F.col("b.hi")) | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo")))
-    return table.alias("a").join(table.alias("b"), pair & before).select(
+    return table.alias("a").hint("merge").join(table.alias("b"), pair & before).select(
         _hexed(F.col("a.hi"), F.col("a.lo")).alias("a"), _hexed(F.col("b.hi"), F.col("b.lo")).alias("b"), _distance().alias("distance")
     )
 
@@ -287,7 +291,7 @@ def balls(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
     table, _ = _tables(marks, radius)
     rows = table.where(F.col("table").isin([1 << i | 1 << i + 1 for i in range(0, radius + 1, 2)]))
     sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > crowd)
-    members = materialize(rows.join(sizes, "key").select("hi", "lo", "key", "m"))
+    members = materialize(rows.join(sizes.hint("shuffle_hash"), "key").select("hi", "lo", "key", "m"))
 
     def majority(half: str) -> Column:
         ones = (F.sum(F.shiftrightunsigned(half, i).bitwiseAND(F.lit(1))) for i in range(64))
@@ -296,7 +300,7 @@ def balls(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
 
     centres = members.groupBy("key").agg(majority("hi").alias("ball_hi"), majority("lo").alias("ball_lo"))
     far = F.bit_count(F.col("hi").bitwiseXOR(F.col("ball_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("ball_lo")))
-    near = members.join(centres, "key").where(far <= radius)
+    near = members.join(centres.hint("shuffle_hash"), "key").where(far <= radius)
     return near.groupBy("hi", "lo").agg(F.max(F.struct("m", "ball_hi", "ball_lo")).alias("_b")).select("hi", "lo", "_b.ball_hi", "_b.ball_lo")
 
 
@@ -326,7 +330,7 @@ def _inside(held: DataFrame, radius: int) -> DataFrame:
     factors = F.array(*(F.lit(factor(a, j, b)) for a in range(n) for j in range(n) for b in range(n)))
     j = F.bit_count("h") + F.bit_count("l")
     share = sum((F.get(factors, (F.col("a") * n + j) * n + b) * F.col(f"c{b}") for b in range(n)), F.lit(0))
-    return rows.join(holders, by).groupBy("hi", "lo").agg((F.sum(share) - 1).alias("n_near"))
+    return rows.hint("merge").join(holders, by).groupBy("hi", "lo").agg((F.sum(share) - 1).alias("n_near"))
 
 
 def near_counts(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
@@ -339,7 +343,7 @@ def near_counts(marks: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> D
     table, pair = _tables(marks, radius, held)
     other = (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("b.lo"))
     same = F.coalesce((F.col("a.ball_hi") == F.col("b.ball_hi")) & (F.col("a.ball_lo") == F.col("b.ball_lo")), F.lit(False))
-    counts = table.alias("a").join(table.alias("b"), pair & other & ~same).groupBy("a.hi", "a.lo").agg(F.count("*").alias("n_near"))
+    counts = table.alias("a").hint("merge").join(table.alias("b"), pair & other & ~same).groupBy("a.hi", "a.lo").agg(F.count("*").alias("n_near"))
     counts = counts.unionByName(_inside(held, radius)).groupBy("hi", "lo").agg(F.sum("n_near").alias("n_near")).where("n_near > 0")
     return counts.select(_hexed(F.col("hi"), F.col("lo")).alias("fingerprint"), "n_near")
 
