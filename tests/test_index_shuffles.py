@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from kilnspark.operators import text_index as ti
+from kilnspark.operators import retrieval, text_index as ti
 
 WORDS = [f"w{n}" for n in range(200)]
 
@@ -53,3 +53,13 @@ def test_merge_shuffles_no_posting_and_takes_a_batch_name_twice(spark, path):
     assert postings(spark, old) == sorted(want)
     index = ti.read_word_index(spark, old)
     assert index.groupBy("term", "block").count().where("count > 1").count() == 0
+
+
+def test_hits_of_asked_words_are_not_shuffled_again(spark):
+    asked = spark.createDataFrame([(0, WORDS[:20]), (1, WORDS[10:30])], "query_id long, terms array<string>")
+    index = retrieval.postings(chunks(spark, range(40)), asked=asked)
+    start = shuffled(spark)
+    assert index.count() == 40 * 30
+    listed = shuffled(spark)
+    assert retrieval.keyword_matches(index, asked).count() == 80
+    assert shuffled(spark) - listed < listed - start + 100
